@@ -75,6 +75,8 @@ def build_state(spark: SparkSession, sf_dir: str, domain: str = "plays") -> Stat
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         root = f"{base}/encore-state/{app}/{domain}-{tag}"
         messages, artists_state = domain_inputs(spark, sf_dir, domain)
+        # the enriched log is read by every stage: land it once
+        messages = _write(messages, f"{root}/enriched")
 
         history = _write(ordered.first_seen_history(messages), f"{root}/history")
         counters = ordered.artist_counters(messages, history)
