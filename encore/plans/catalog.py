@@ -252,3 +252,26 @@ def q_distinct_genres(spark, sf_dir):
     """Sorted distinct genres over all artists (dashboard facets)."""
     a = plays_state(spark, sf_dir).artists
     return a.select(F.explode("genres").alias("genre")).distinct().orderBy("genre")
+
+
+# ---------------------------------------------------------------- enrichment
+@query("enrich_chain")
+def q_enrich_chain(spark, sf_dir):
+    from encore.operators.enrich import enrich
+    from encore.sources import bindings as b
+    out = enrich(b.normalized_plays(spark, sf_dir), b.artist_meta(spark, sf_dir), b.track_meta(spark, sf_dir),
+                 b.artist_tag_lists(spark, sf_dir), b.track_tag_lists(spark, sf_dir))
+    return out.select("track_key", "artist", "title", "played_at", joined("genres").alias("genres"),
+                      F.col("genres").isNull().alias("genres_null"),
+                      "artist_popularity", "track_popularity", "enrichment_source", "pending_enrichment")
+
+
+@query("enrichment_source_counts")
+def q_enrichment_source_counts(spark, sf_dir):
+    """A16-style shares of the enrichment outcome."""
+    from encore.operators.enrich import enrich
+    from encore.sources import bindings as b
+    out = enrich(b.normalized_plays(spark, sf_dir), b.artist_meta(spark, sf_dir), b.track_meta(spark, sf_dir),
+                 b.artist_tag_lists(spark, sf_dir), b.track_tag_lists(spark, sf_dir))
+    return out.groupBy("enrichment_source").agg(F.count(F.lit(1)).alias("messages"),
+                                                F.count_if(F.size("genres") > 0).alias("with_genres"))

@@ -119,3 +119,78 @@ def event_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("lastfm").alias("enrichment_source"),
         F.lit(False).alias("pending_enrichment"),
     )
+
+
+# ---------------------------------------------------------------- enrichment inputs
+def normalized_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized (not yet enriched) play messages. Parts smaller than size 5
+    were not found by the id search (no ids); seventh order lines carry a
+    malformed artist URI (a track URI), which the enricher must reject."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
+    found = F.col("p_size") >= 5
+    artist_id = (F.when(~found, F.lit(None).cast("string"))
+                 .when(F.col("l_linenumber") == 7, spotify_uri("track", F.col("s_suppkey")))
+                 .otherwise(spotify_uri("artist", F.col("s_suppkey"))))
+    return df.select(
+        F.struct(F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber",
+                 "l_partkey", "l_suppkey").alias("seq"),
+        track_key(F.col("s_name"), F.col("p_name")).alias("track_key"),
+        F.col("s_name").alias("artist"), F.col("p_name").alias("title"),
+        artist_id.alias("artist_id"),
+        F.when(found, spotify_uri("track", F.col("p_partkey"))).alias("track_id"),
+        F.col("l_shipdate").alias("played_at"))
+
+
+def artist_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artist service answers: suppliers with a non-negative balance. Nations
+    below 5 answer with an empty genre list."""
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = sup.filter(F.col("s_acctbal") >= 0).join(nat, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return j.select(
+        F.substring(F.sha2(F.col("s_suppkey").cast("string"), 256), 1, 22).alias("artist_ref"),
+        F.when(F.col("s_nationkey") < 5, F.array().cast("array<string>"))
+        .otherwise(F.array(F.lower("n_name"))).alias("genres"),
+        F.pmod(F.floor("s_acctbal").cast("int"), F.lit(101)).alias("popularity"))
+
+
+def track_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track service answers: parts up to size 45."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return part.filter(F.col("p_size") <= 45).select(
+        F.substring(F.sha2(F.col("p_partkey").cast("string"), 256), 1, 22).alias("track_ref"),
+        F.col("p_size").alias("popularity"))
+
+
+def artist_tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag service answers per artist: part types the supplier's plays carry,
+    with play counts, in service order (count desc, name). Bounded by the
+    number of distinct types per supplier."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    counts = (li.join(part, li.l_partkey == part.p_partkey)
+              .groupBy("l_suppkey", "p_type").agg(F.count(F.lit(1)).cast("int").alias("n")))
+    per = counts.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(
+        F.struct((-F.col("n")).alias("k"), F.col("p_type").alias("name"), F.col("n").alias("count")))).alias("t"))
+    return (per.join(sup, per.l_suppkey == sup.s_suppkey)
+            .select(F.col("s_name").alias("artist"),
+                    F.transform("t", lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count")))
+                    .alias("tags")))
+
+
+def track_tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track tags per (artist, title): brand then type of the lowest part key
+    with that name supplied by the artist (names only)."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    pairs = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
+    return (pairs.groupBy(F.col("s_name").alias("artist"), F.col("p_name").alias("title"))
+            .agg(F.min_by(F.array(F.struct(F.col("p_brand").alias("name"), F.lit(None).cast("int").alias("count")),
+                                  F.struct(F.col("p_type").alias("name"), F.lit(None).cast("int").alias("count"))),
+                          F.col("p_partkey")).alias("tags")))
