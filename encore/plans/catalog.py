@@ -275,3 +275,217 @@ def q_enrichment_source_counts(spark, sf_dir):
                  b.artist_tag_lists(spark, sf_dir), b.track_tag_lists(spark, sf_dir))
     return out.groupBy("enrichment_source").agg(F.count(F.lit(1)).alias("messages"),
                                                 F.count_if(F.size("genres") > 0).alias("with_genres"))
+
+
+# ---------------------------------------------------------------- payload sources
+@query("raw_plays")
+def q_raw_plays(spark, sf_dir):
+    from encore.sources import payloads as p
+    rp = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
+    return rp.select("source", "artist", "title", "played_at",
+                     F.col("external_ids")["lastfm_mbid"].alias("lastfm_mbid"))
+
+
+@query("tag_payloads")
+def q_tag_payloads(spark, sf_dir):
+    from encore.operators.enrich import backfill_artist_tags, enrichment_artist_tags
+    from encore.sources import bindings as b
+    from encore.sources import payloads as p
+    parsed = p.tag_payloads(b.artist_tag_lists(spark, sf_dir)).select(
+        "artist", p.read_tag_payload("payload").alias("tags"))
+    return parsed.select("artist", F.size("tags").alias("n_tags"),
+                         joined(enrichment_artist_tags("tags")).alias("enrichment_tags"),
+                         joined(backfill_artist_tags("tags")).alias("backfill_tags"))
+
+
+@query("similar_payloads")
+def q_similar_payloads(spark, sf_dir):
+    from encore.sources import payloads as p
+    return p.read_similar_payload(p.similar_payloads(spark, sf_dir))
+
+
+@query("followed_names")
+def q_followed_names(spark, sf_dir):
+    from encore.sources import payloads as p
+    return p.read_followed(p.followed_payloads(spark, sf_dir))
+
+
+@query("incremental_pull")
+def q_incremental_pull(spark, sf_dir):
+    """A first pull up to a cut lands a high-water mark; the next pull
+    takes only plays after it and advances the mark to max(played_at)."""
+    from encore.sources import bindings as b
+    from encore.streaming.state import advance_checkpoint, pull_since
+    plays = b.event_plays(spark, sf_dir)
+    first = plays.filter(F.col("played_at") < F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    ckpt = advance_checkpoint(None, first, "lastfm-ingester")
+    new_rows = pull_since(plays, ckpt, "lastfm-ingester")
+    ckpt2 = advance_checkpoint(ckpt, new_rows, "lastfm-ingester")
+    pulled = new_rows.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled")) \
+        .withColumn("service", F.lit("lastfm-ingester"))
+    return pulled.join(ckpt2.select("service", F.col("last_played_at").alias("checkpoint")), "service", "left")
+
+
+# ---------------------------------------------------------------- artist jobs
+@query("similar_expansion")
+def q_similar_expansion(spark, sf_dir):
+    from encore.plans.jobs import expand_similar
+    from encore.sources import payloads as p
+    st = plays_state(spark, sf_dir)
+    outcomes, _, _, _ = expand_similar(st.artists, p.read_similar_payload(p.similar_payloads(spark, sf_dir)),
+                                       PLAYS_AS_OF)
+    return outcomes.select("origin_artist_name", "position", "name", "mbid", "outcome")
+
+
+@query("discovered_from")
+def q_discovered_from(spark, sf_dir):
+    """Artists discovered through similar expansion with their origin."""
+    from encore.operators.joins import artist_origin
+    from encore.plans.jobs import expand_similar
+    from encore.sources import payloads as p
+    st = plays_state(spark, sf_dir)
+    _, _, _, after = expand_similar(st.artists, p.read_similar_payload(p.similar_payloads(spark, sf_dir)),
+                                    PLAYS_AS_OF)
+    found = artist_origin(after.filter(F.col("source") == "LASTFM_SIMILAR"), after)
+    return found.select("name", "origin_artist_name", "added_at").orderBy(F.col("added_at").desc(), "name")
+
+
+@query("top_track_messages")
+def q_top_track_messages(spark, sf_dir):
+    from encore.plans.jobs import explore_top_tracks
+    from encore.sources import payloads as p
+    st = plays_state(spark, sf_dir)
+    msgs, _ = explore_top_tracks(st.artists, p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
+    return msgs.select("artist", "artist_id", "track_id", "title", "rank",
+                       F.col("origin.origin_artist_id").alias("origin_artist_id"))
+
+
+@query("onboarding")
+def q_onboarding(spark, sf_dir):
+    from encore.plans.jobs import onboard
+    from encore.sources import payloads as p
+    st = plays_state(spark, sf_dir)
+    return onboard(st.artists, p.read_followed(p.followed_payloads(spark, sf_dir))).select(
+        "id", "name", "status", "high_priority")
+
+
+@query("status_counts_delta")
+def q_status_counts_delta(spark, sf_dir):
+    from encore.plans.jobs import onboard
+    from encore.sources import payloads as p
+    st = plays_state(spark, sf_dir)
+    after = onboard(st.artists, p.read_followed(p.followed_payloads(spark, sf_dir)))
+    return stats.status_counts_delta(st.artists, after)
+
+
+@query("status_decisions")
+def q_status_decisions(spark, sf_dir):
+    from encore.plans.jobs import apply_status_decisions
+    from encore.sources import bindings as b
+    st = plays_state(spark, sf_dir)
+    after, _ = apply_status_decisions(st.artists, b.status_decisions(spark, sf_dir))
+    return after.select("id", "name", "previous_status", "status", "decided_at")
+
+
+@query("auto_promote")
+def q_auto_promote(spark, sf_dir):
+    from encore.operators.ordered import auto_promotions
+    from encore.sources import bindings as b
+    st = plays_state(spark, sf_dir)
+    return auto_promotions(st.messages, b.base_artists(spark, sf_dir).withColumn(
+        "scrobble_count", F.lit(0).cast("bigint")), 3)
+
+
+@query("backfill_genres")
+def q_backfill_genres(spark, sf_dir):
+    from encore.plans.jobs import backfill_genres
+    from encore.sources import bindings as b
+    out = backfill_genres(b.base_artists(spark, sf_dir).withColumn("genres", F.lit(None).cast("array<string>"))
+                          .withColumn("play_count", F.lit(0).cast("bigint")),
+                          b.artist_tag_lists(spark, sf_dir))
+    return out.select("id", "name", joined("genres").alias("genres"), "outcome")
+
+
+@query("backfill_entity_ids")
+def q_backfill_entity_ids(spark, sf_dir):
+    from encore.plans.jobs import backfill_entity_ids
+    from encore.sources import bindings as b
+    return backfill_entity_ids(b.base_artists(spark, sf_dir), b.artist_search(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- scalar functions
+@query("normalize_documents")
+def q_normalize_documents(spark, sf_dir):
+    """F1/F2 over whole document texts: normalized length and track key of
+    (source, text)."""
+    from encore.functions.text import normalize_text, track_key
+    from encore.sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return d.select("doc_id", F.length(normalize_text("text")).alias("norm_chars"),
+                    track_key(F.col("source"), F.col("text")).alias("key"))
+
+
+@query("artist_ids")
+def q_artist_ids(spark, sf_dir):
+    from encore.functions.text import id_from_uri
+    from encore.operators.enrich import bare_entity_id, entity_id
+    a = plays_state(spark, sf_dir).artists
+    return a.select("id", "name", "spotify_uri", id_from_uri("spotify_uri").alias("uri_id"),
+                    entity_id("spotify_uri", "artist").alias("valid_id"),
+                    bare_entity_id("spotify_uri").alias("bare_id"))
+
+
+@query("service_health")
+def q_service_health(spark, sf_dir):
+    from encore.streaming.state import advance_checkpoint
+    st = plays_state(spark, sf_dir)
+    ckpts = None
+    for source in ("lastfm", "spotify"):
+        ckpts = advance_checkpoint(ckpts, st.messages.filter(F.col("source") == source), f"{source}-ingester")
+    return stats.service_health(ckpts, PLAYS_AS_OF)
+
+
+# ---------------------------------------------------------------- detail / search
+@query("artist_detail")
+def q_artist_detail(spark, sf_dir):
+    from encore.operators.joins import artist_detail
+    st = plays_state(spark, sf_dir)
+    d = artist_detail(st.artists, st.recommendations)
+    return d.select("id", "name", "status", "play_count", "scrobble_count",
+                    r6("recommendation.score").alias("score"),
+                    r6("recommendation.score_breakdown.genre_novelty").alias("genre_novelty"),
+                    F.size("recommendation.evidence_tracks").cast("bigint").alias("n_evidence"))
+
+
+@query("rec_by_artist_name")
+def q_rec_by_artist_name(spark, sf_dir):
+    from encore.operators.joins import rec_artist
+    st = plays_state(spark, sf_dir)
+    return (rec_artist(st.recommendations, st.artists)
+            .filter(F.col("name_key") == F.lower(F.lit("Supplier#000000002")))
+            .select("artist_id", "name", r6("score").alias("score")))
+
+
+@query("search_artists")
+def q_search_artists(spark, sf_dir):
+    from encore.functions.text import name_contains
+    a = plays_state(spark, sf_dir).artists
+    return a.filter(name_contains("name", "r#00000001")).select("id", "name").orderBy("name")
+
+
+@query("genre_filter")
+def q_genre_filter(spark, sf_dir):
+    a = plays_state(spark, sf_dir).artists
+    return a.filter(F.array_contains("genres", "promo")).select("id", "name", joined("genres").alias("genres"))
+
+
+@query("run_counters")
+def q_run_counters(spark, sf_dir):
+    """Novelty-stage tallies of one run."""
+    st = plays_state(spark, sf_dir)
+    emitted = F.col("artist_is_new") | (F.size("new_genres") > 0)
+    kinds = (st.novelty.select(F.when(emitted, F.lit("processed")).otherwise(F.lit("skipped_no_novelty")).alias("k"))
+             .unionByName(st.dlq.select(F.lit("failed_dlq").alias("k")))
+             .unionByName(st.messages.filter(F.col("pending_enrichment")).select(F.lit("skipped_pending").alias("k"))))
+    return kinds.agg(*[F.count_if(F.col("k") == k).alias(k)
+                       for k in ("processed", "skipped_pending", "skipped_no_novelty", "failed_dlq")])

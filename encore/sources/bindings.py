@@ -194,3 +194,34 @@ def track_tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.min_by(F.array(F.struct(F.col("p_brand").alias("name"), F.lit(None).cast("int").alias("count")),
                                   F.struct(F.col("p_type").alias("name"), F.lit(None).cast("int").alias("count"))),
                           F.col("p_partkey")).alias("tags")))
+
+
+# ---------------------------------------------------------------- lifecycle inputs
+# --- Fixed values: status decided for each order priority (5-LOW is invalid) --
+PRIORITY_DECISIONS = [("1-URGENT", "FOLLOWING"), ("2-HIGH", "PUBLISHED"), ("3-MEDIUM", "TRACKED"),
+                      ("4-NOT SPECIFIED", "BLACKLISTED"), ("5-LOW", "ARCHIVED")]
+# ------------------------------------------------------------------------------
+
+
+def status_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curator decisions: every order decides on the artist (supplier) of its
+    first line; the status follows the order priority; decided at the order
+    date, order key breaking ties."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey") \
+        .filter(F.col("l_linenumber") == 1)
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    status = None
+    for prio, st in PRIORITY_DECISIONS:
+        status = F.when(F.col("o_orderpriority") == prio, F.lit(st)) if status is None else \
+            status.when(F.col("o_orderpriority") == prio, F.lit(st))
+    j = o.join(li, o.o_orderkey == li.l_orderkey).join(sup, li.l_suppkey == sup.s_suppkey)
+    return j.select(F.sha2(F.lower("s_name"), 256).alias("artist_id"), status.alias("status"),
+                    F.col("o_orderdate").alias("decided_at"), F.col("o_orderkey").alias("tie"))
+
+
+def artist_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artist search answers (name -> artist URI) where the service answered."""
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return sup.filter(F.col("s_acctbal") >= 0).select(F.col("s_name").alias("name"),
+                                                      spotify_uri("artist", F.col("s_suppkey")).alias("uri"))
