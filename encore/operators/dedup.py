@@ -32,8 +32,7 @@ def similar_dedup(candidates: DataFrame, artists: DataFrame, max_rounds: int = 1
     known_name = artists.select("name_key").distinct().withColumn("_kn", F.lit(True))
     marked = (cand.join(known_mbid, "mbid", "left").join(known_name, "name_key", "left"))
     pre_skipped = marked.filter(F.col("_km").isNotNull()).drop("_km", "_kn").withColumn("outcome", F.lit("skipped"))
-    pre_conflict = (marked.filter(F.col("_km").isNull() & F.col("_kn").isNotNull())
-                    .drop("_km", "_kn").withColumn("outcome", F.lit("conflict")))
+    pre_conflict = marked.filter(F.col("_km").isNull() & F.col("_kn").isNotNull()).drop("_km", "_kn")
     remaining = marked.filter(F.col("_km").isNull() & F.col("_kn").isNull()).drop("_km", "_kn").checkpoint()
 
     accepted_parts = []
@@ -61,15 +60,15 @@ def similar_dedup(candidates: DataFrame, artists: DataFrame, max_rounds: int = 1
     for part in accepted_parts[1:]:
         accepted = accepted.unionByName(part)
     accepted = accepted.withColumn("outcome", F.lit("inserted"))
-    # rows dropped inside the rounds: skipped if an earlier inserted row holds
-    # their mbid, else a name conflict
+    # every other row: skipped if an earlier inserted row holds its mbid (the
+    # mbid check comes first), else a name conflict
     in_rounds = (marked.filter(F.col("_km").isNull() & F.col("_kn").isNull()).drop("_km", "_kn")
-                 .join(accepted.select("ord"), "ord", "left_anti"))
+                 .join(accepted.select("ord"), "ord", "left_anti")).unionByName(pre_conflict)
     acc_mbid = _min_ord(accepted, "mbid", "_am")
     rejected = (in_rounds.join(acc_mbid, "mbid", "left")
                 .withColumn("outcome", F.when(F.col("_am") < F.col("ord"), F.lit("skipped"))
                             .otherwise(F.lit("conflict"))).drop("_am"))
-    return pre_skipped.unionByName(pre_conflict).unionByName(accepted).unionByName(rejected)
+    return pre_skipped.unionByName(accepted).unionByName(rejected)
 
 
 def topic_union(*frames: DataFrame) -> DataFrame:
