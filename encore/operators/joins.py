@@ -36,7 +36,11 @@ def evidence_labels(recs: DataFrame, history: DataFrame) -> DataFrame:
     """Map each evidence track key to ``artist — title`` when the track
     is in history, else keep the key; array order kept; empty -> []."""
     ex = recs.select("artist_id", F.posexplode("evidence_tracks").alias("pos", "track_key"))
-    labelled = (ex.join(history.select("track_key", "artist", "title"), "track_key", "left")
+    # ``recs`` is one page (<= 100 rows): its evidence keys are broadcast so the
+    # history table is only scanned, never shuffled, to label them
+    found = history.select("track_key", "artist", "title").join(
+        F.broadcast(ex.select("track_key").distinct()), "track_key")
+    labelled = (ex.join(found, "track_key", "left")
                 .select("artist_id", "pos",
                         F.when(F.col("title").isNotNull(),
                                F.concat(F.col("artist"), F.lit(EVIDENCE_SEPARATOR), F.col("title")))

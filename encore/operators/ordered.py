@@ -228,6 +228,7 @@ def auto_promotions(messages: DataFrame, artists: DataFrame, min_scrobbles: int
     w = Window.partitionBy("name_key").orderBy("seq")
     nth = (played.join(tracked, "name_key")
            .withColumn("_rn", F.row_number().over(w))
+           .filter(F.col("_rn") <= min_scrobbles)  # group limit before the shuffle
            .filter(F.col("_rn") + F.col("base") == min_scrobbles)
            .select("name_key", F.col("seq").alias("reach_seq")))
     already = tracked.filter(F.col("base") >= min_scrobbles).select(
