@@ -40,6 +40,12 @@ def track_key(artist, title) -> Column:
     return F.sha2(F.concat(normalize_text(artist), F.lit(" "), normalize_text(title)), 256)
 
 
+def track_key_of_normalized(artist_norm, title_norm) -> Column:
+    """track_key from already normalised sides (normalise per entity, e.g. on
+    a dimension table before a join, then hash per row)."""
+    return F.sha2(F.concat(_col(artist_norm), F.lit(" "), _col(title_norm)), 256)
+
+
 def case_fold_key(c) -> Column:
     return F.lower(_col(c))
 

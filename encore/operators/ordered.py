@@ -144,28 +144,25 @@ def novelty_signals(messages: DataFrame, history: DataFrame) -> DataFrame:
         .filter(F.col("genre").isNotNull()), "genre")
     track_first = hist.select("track_key", F.col("seq").alias("track_seq"))
 
-    # flags are computed on a narrow projection; the wide message row is
-    # joined back once by its unique seq
-    m = messages.withColumn("genres", clean_genres("genres"))
-    narrow = m.select("seq", "track_key", "artist_key", "genres")
-    flags = (narrow
-             .join(f2_artist, "artist_key", "left")
-             .withColumn("artist_is_new", ~_seen_before_by_other(F.col("seq"), F.col("track_key")))
-             .drop("s1", "t1", "s2", "t2")
-             .join(track_first, "track_key", "left")
-             .withColumn("track_is_new", F.col("track_seq").isNull() | (F.col("track_seq") >= F.col("seq")))
-             .select("seq", "track_key", "genres", "artist_is_new", "track_is_new"))
-    exploded = (flags.select("seq", "track_key", F.posexplode("genres").alias("pos", "genre"))
-                .join(f2_genre, "genre", "left")
-                .filter(~_seen_before_by_other(F.col("seq"), F.col("track_key")))
-                .groupBy("seq")
-                .agg(F.sort_array(F.collect_list(F.struct("pos", "genre"))).alias("_ng")))
-    judged = (flags.drop("track_key", "genres")
-              .join(exploded, "seq", "left")
-              .withColumn("new_genres", F.coalesce(F.transform("_ng", lambda x: x["genre"]),
-                                                   F.array().cast("array<string>")))
-              .drop("_ng"))
-    return (m.join(judged, "seq")
+    # flags are computed on the message rows themselves (the per-key tables
+    # are equi-joined; AQE broadcasts them while small); only the rare
+    # (message, new genre) hits are regrouped by seq and joined back
+    m = (messages.withColumn("genres", clean_genres("genres"))
+         .join(f2_artist, "artist_key", "left")
+         .withColumn("artist_is_new", ~_seen_before_by_other(F.col("seq"), F.col("track_key")))
+         .drop("s1", "t1", "s2", "t2")
+         .join(track_first, "track_key", "left")
+         .withColumn("track_is_new", F.col("track_seq").isNull() | (F.col("track_seq") >= F.col("seq")))
+         .drop("track_seq"))
+    hits = (m.select("seq", "track_key", F.posexplode("genres").alias("pos", "genre"))
+            .join(f2_genre, "genre", "left")
+            .filter(~_seen_before_by_other(F.col("seq"), F.col("track_key")))
+            .groupBy("seq")
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "genre"))).alias("_ng")))
+    return (m.join(hits, "seq", "left")
+            .withColumn("new_genres", F.coalesce(F.transform("_ng", lambda x: x["genre"]),
+                                                 F.array().cast("array<string>")))
+            .drop("_ng")
             .withColumn("known_genres", known_genres("genres", "new_genres"))
             .withColumn("genre_novelty_ratio", genre_novelty_ratio("new_genres", "genres")))
 

@@ -88,8 +88,11 @@ def q_novel_events(spark, sf_dir):
 @query("novelty_flags")
 def q_novelty_flags(spark, sf_dir):
     """W1 over every judged message, aggregated per artist."""
+    from encore.operators.ordered import novelty_signals
+    from encore.plans.stages import route_novelty
     st = plays_state(spark, sf_dir)
-    return st.novelty.groupBy("artist").agg(
+    routed = route_novelty(st.messages, st.artists).filter(F.col("route") == "ok").drop("route")
+    return novelty_signals(routed, st.history).groupBy("artist").agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if("artist_is_new").alias("artist_new"),
         F.count_if("track_is_new").alias("track_new"),
@@ -483,9 +486,17 @@ def q_genre_filter(spark, sf_dir):
 def q_run_counters(spark, sf_dir):
     """Novelty-stage tallies of one run."""
     st = plays_state(spark, sf_dir)
-    emitted = F.col("artist_is_new") | (F.size("new_genres") > 0)
-    kinds = (st.novelty.select(F.when(emitted, F.lit("processed")).otherwise(F.lit("skipped_no_novelty")).alias("k"))
-             .unionByName(st.dlq.select(F.lit("failed_dlq").alias("k")))
-             .unionByName(st.messages.filter(F.col("pending_enrichment")).select(F.lit("skipped_pending").alias("k"))))
-    return kinds.agg(*[F.count_if(F.col("k") == k).alias(k)
-                       for k in ("processed", "skipped_pending", "skipped_no_novelty", "failed_dlq")])
+    from encore.plans.stages import route_novelty
+    routed = route_novelty(st.messages, st.artists)
+    emitted = st.novelty.select(F.lit("processed").alias("k"), F.lit(-1).alias("w"))
+    kinds = (routed.select(F.col("route").alias("k"), F.lit(1).alias("w"))
+             .unionByName(emitted)
+             .unionByName(st.dlq.select(F.lit("failed_dlq").alias("k"), F.lit(1).alias("w"))))
+    # ok-routed messages minus the emitted ones are the skipped-without-novelty
+    out = kinds.agg(
+        F.count_if(F.col("k") == "processed").alias("processed"),
+        F.count_if(F.col("k") == "skipped_pending").alias("skipped_pending"),
+        F.coalesce(F.sum(F.when(F.col("k").isin("ok", "processed"), F.col("w"))), F.lit(0)).cast("bigint")
+        .alias("skipped_no_novelty"),
+        F.count_if(F.col("k") == "failed_dlq").alias("failed_dlq"))
+    return out

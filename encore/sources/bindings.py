@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.functions.text import case_fold_key, track_key
+from encore.functions.text import case_fold_key, normalize_text, track_key, track_key_of_normalized
 from encore.sources.tables import read_table
 
 # --- Fixed values of the binding ----------------------------------------------
@@ -48,19 +48,22 @@ def enriched_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x part x supplier as enriched play messages."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    # text normalisation runs once per part / supplier, before the join
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size") \
+        .withColumn("p_norm", normalize_text("p_name")).withColumn("p_uri", spotify_uri("track", F.col("p_partkey")))
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal") \
+        .withColumn("s_norm", normalize_text("s_name")).withColumn("s_uri", spotify_uri("artist", F.col("s_suppkey")))
     df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     source = F.when(F.col("l_returnflag") == "R", F.lit("spotify")).otherwise(F.lit("lastfm"))
     return df.select(
         F.struct(F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber",
                  "l_partkey", "l_suppkey").alias("seq"),
-        track_key(F.col("s_name"), F.col("p_name")).alias("track_key"),
+        track_key_of_normalized("s_norm", "p_norm").alias("track_key"),
         F.col("s_name").alias("artist"),
         case_fold_key(F.col("s_name")).alias("artist_key"),
         F.col("p_name").alias("title"),
-        spotify_uri("artist", F.col("s_suppkey")).alias("artist_id"),
-        spotify_uri("track", F.col("p_partkey")).alias("track_id"),
+        F.col("s_uri").alias("artist_id"),
+        F.col("p_uri").alias("track_id"),
         F.array(F.lower("p_type"), F.lower("p_brand")).alias("genres"),
         F.pmod(F.floor("s_acctbal").cast("int"), F.lit(101)).alias("artist_popularity"),
         F.col("p_size").alias("track_popularity"),
@@ -128,8 +131,10 @@ def normalized_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     malformed artist URI (a track URI), which the enricher must reject."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size") \
+        .withColumn("p_norm", normalize_text("p_name"))
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name") \
+        .withColumn("s_norm", normalize_text("s_name"))
     df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     found = F.col("p_size") >= 5
     artist_id = (F.when(~found, F.lit(None).cast("string"))
@@ -138,7 +143,7 @@ def normalized_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         F.struct(F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber",
                  "l_partkey", "l_suppkey").alias("seq"),
-        track_key(F.col("s_name"), F.col("p_name")).alias("track_key"),
+        track_key_of_normalized("s_norm", "p_norm").alias("track_key"),
         F.col("s_name").alias("artist"), F.col("p_name").alias("title"),
         artist_id.alias("artist_id"),
         F.when(found, spotify_uri("track", F.col("p_partkey"))).alias("track_id"),
