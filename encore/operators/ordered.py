@@ -52,7 +52,8 @@ def first_seen_history(messages: DataFrame, state: DataFrame | None = None) -> D
             .select("track_key", "r.*"))
 
 
-def artist_counters(messages: DataFrame, history: DataFrame) -> DataFrame:
+def artist_counters(messages: DataFrame, history: DataFrame,
+                    history_state: DataFrame | None = None) -> DataFrame:
     """W3-W5 per artist key over one batch of applied messages.
 
     scrobble_count: every applied message; play_count: messages that inserted
@@ -60,8 +61,10 @@ def artist_counters(messages: DataFrame, history: DataFrame) -> DataFrame:
     id (right side wins); name: first spelling; first_played_at: first play.
     """
     applied = applied_to_history(messages)
-    new_tracks = (history.join(applied.select("track_key", "seq"), ["track_key", "seq"], "left_semi")
-                  .groupBy("artist_key").agg(F.count(F.lit(1)).alias("play_delta")))
+    # history rows absent from the previous state are the ones this batch inserted
+    inserted = history if history_state is None else \
+        history.join(history_state.select("track_key"), "track_key", "left_anti")
+    new_tracks = inserted.groupBy("artist_key").agg(F.count(F.lit(1)).alias("play_delta"))
     agg = applied.groupBy("artist_key").agg(
         F.min_by("artist", "seq").alias("first_name"),
         F.count(F.lit(1)).alias("scrobble_delta"),

@@ -75,7 +75,7 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
                     recs_state: DataFrame | None = None,
                     weights: ScoreWeights = DEFAULT_WEIGHTS) -> BatchResult:
     history = ordered.first_seen_history(messages, history_state)
-    counters = ordered.artist_counters(messages, history)
+    counters = ordered.artist_counters(messages, history, history_state)
     artists = ordered.upsert_artists(artists_state, counters)
 
     routed = route_novelty(messages, artists)
