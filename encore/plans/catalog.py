@@ -500,3 +500,56 @@ def q_run_counters(spark, sf_dir):
         .alias("skipped_no_novelty"),
         F.count_if(F.col("k") == "failed_dlq").alias("failed_dlq"))
     return out
+
+
+# ---------------------------------------------------------------- normalize stage
+@query("normalize_stage")
+def q_normalize_stage(spark, sf_dir):
+    from encore.plans.normalize import normalize_stage
+    from encore.sources import bindings as b
+    from encore.sources import payloads as p
+    raw = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
+    out = normalize_stage(raw, b.track_catalog(spark, sf_dir))
+    return out.select("track_key", "artist", "title", "artist_id", "track_id", joined("sources").alias("sources"),
+                      "played", "played_at")
+
+
+# ---------------------------------------------------------------- dashboard tiles
+@query("avg_plays_per_day")
+def q_avg_plays_per_day(spark, sf_dir):
+    """round(total plays over the 30-day window / 30)."""
+    v = stats.play_velocity(events_state(spark, sf_dir).history, EVENTS_AS_OF)
+    return v.agg(F.round(F.sum("plays") / 30).cast("bigint").alias("avg_plays_per_day"),
+                 F.sum("plays").cast("bigint").alias("total_plays"))
+
+
+@query("funnel_bar_base")
+def q_funnel_bar_base(spark, sf_dir):
+    """The largest funnel total, at least 1."""
+    f = stats.pipeline_funnel(plays_state(spark, sf_dir).artists)
+    return f.agg(F.greatest(F.max("total"), F.lit(1)).cast("bigint").alias("bar_base"))
+
+
+@query("score_readout")
+def q_score_readout(spark, sf_dir):
+    """Score as an integer percentage per recommended artist."""
+    st = plays_state(spark, sf_dir)
+    return st.recommendations.select("artist_id", F.round(F.col("score") * 100).cast("int").alias("score_pct"))
+
+
+@query("day_labels")
+def q_day_labels(spark, sf_dir):
+    """Velocity days labelled D-k (k days before the as-of day)."""
+    v = stats.play_velocity(events_state(spark, sf_dir).history, EVENTS_AS_OF)
+    k = F.datediff(F.to_date(F.lit(EVENTS_AS_OF)), F.col("day"))
+    return v.select("day", F.concat(F.lit("D-"), k.cast("string")).alias("label"), "plays")
+
+
+@query("dlq_rate")
+def q_dlq_rate(spark, sf_dir):
+    """Share of messages routed to the DLQ in one run."""
+    st = plays_state(spark, sf_dir)
+    kinds = (st.messages.select(F.lit(1).alias("m"), F.lit(0).alias("d"))
+             .unionByName(st.dlq.select(F.lit(0).alias("m"), F.lit(1).alias("d"))))
+    return kinds.agg(F.sum("m").cast("bigint").alias("messages"), F.sum("d").cast("bigint").alias("dlq"),
+                     F.round(F.coalesce(F.sum("d") / F.sum("m"), F.lit(0.0)), 6).alias("dlq_rate"))

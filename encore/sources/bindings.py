@@ -230,3 +230,21 @@ def artist_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     return sup.filter(F.col("s_acctbal") >= 0).select(F.col("s_name").alias("name"),
                                                       spotify_uri("artist", F.col("s_suppkey")).alias("uri"))
+
+
+def track_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed track-search answers for (artist, title) queries over the event
+    log: every (user, event type, whole value) with value >= 5 is one hit,
+    ranked by the value; the hit carries artist and track URIs."""
+    ev = read_table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    hits = ev.filter(F.col("value") >= 5).select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("q_artist"),
+        F.col("event_type").alias("q_title"),
+        F.floor("value").cast("int").alias("rank"),
+        "user_id").distinct()
+    return hits.select(
+        "q_artist", "q_title", "rank",
+        spotify_uri("artist", F.col("user_id")).alias("artist_uri"),
+        F.concat(F.lit("spotify:track:"),
+                 F.substring(F.sha2(F.concat_ws("|", F.col("q_artist"), F.col("q_title"),
+                                                F.col("rank").cast("string")), 256), 1, 22)).alias("track_uri"))
