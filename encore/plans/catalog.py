@@ -508,7 +508,15 @@ def q_normalize_stage(spark, sf_dir):
     from encore.plans.normalize import normalize_stage
     from encore.sources import bindings as b
     from encore.sources import payloads as p
-    raw = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
+    from encore.operators.dedup import topic_union
+    from encore.plans.jobs import explore_top_tracks
+    plays = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
+    # The normalizer consumes raw plays and the raw tracks that top-track
+    # exploration produces (their ids are ignored and re-resolved)
+    tracks, _ = explore_top_tracks(plays_state(spark, sf_dir).artists,
+                                   p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
+    raw = topic_union(plays.drop("external_ids", "raw"),
+                      tracks.select("source", "artist", "title", "artist_id", "track_id"))
     out = normalize_stage(raw, b.track_catalog(spark, sf_dir))
     return out.select("track_key", "artist", "title", "artist_id", "track_id", joined("sources").alias("sources"),
                       "played", "played_at")
@@ -553,3 +561,29 @@ def q_dlq_rate(spark, sf_dir):
              .unionByName(st.dlq.select(F.lit(0).alias("m"), F.lit(1).alias("d"))))
     return kinds.agg(F.sum("m").cast("bigint").alias("messages"), F.sum("d").cast("bigint").alias("dlq"),
                      F.round(F.coalesce(F.sum("d") / F.sum("m"), F.lit(0.0)), 6).alias("dlq_rate"))
+
+
+@query("explored_after_jobs")
+def q_explored_after_jobs(spark, sf_dir):
+    """Exploration timestamps after the top-track (T6) and similar
+    jobs ran at the as-of time."""
+    from encore.plans.jobs import expand_similar, explore_top_tracks
+    from encore.sources import payloads as p
+    st = plays_state(spark, sf_dir)
+    _, after6 = explore_top_tracks(st.artists, p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
+    _, _, _, after7 = expand_similar(after6, p.read_similar_payload(p.similar_payloads(spark, sf_dir)), PLAYS_AS_OF)
+    # artists that existed before the jobs (the expansion also inserts new ones)
+    return after7.join(st.artists.select("id"), "id", "left_semi") \
+        .select("id", "name", F.col("last_explored_at").cast("timestamp_ntz").alias("last_explored_at"),
+                F.col("last_similar_explored_at").cast("timestamp_ntz").alias("last_similar_explored_at"))
+
+
+@query("breakdown_averages_json")
+def q_breakdown_averages_json(spark, sf_dir):
+    """A8 over the breakdown kept as JSON text (F9/F10 at the storage edge):
+    only rows whose object has both keys count."""
+    st = plays_state(spark, sf_dir)
+    recs = st.recommendations.withColumn("score_breakdown", F.to_json("score_breakdown"))
+    return stats.breakdown_averages_json(recs, st.artists).select(
+        r6("avg_genre_novelty").alias("avg_genre_novelty"),
+        r6("avg_popularity_norm").alias("avg_popularity_norm"), "total")

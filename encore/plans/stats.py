@@ -121,6 +121,20 @@ def breakdown_averages(recs: DataFrame, artists: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"))
 
 
+def breakdown_averages_json(recs: DataFrame, artists: DataFrame) -> DataFrame:
+    """A8 with ``score_breakdown`` as JSON text: key presence via
+    json_object_keys, values via get_json_object (JSON ->> / ? operators)."""
+    keys = F.json_object_keys("score_breakdown")
+    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
+    rows = rec_artist(recs, artists).filter(
+        (F.col("status") != "BLACKLISTED") & F.col("score_breakdown").isNotNull() &
+        has("genre_novelty") & has("popularity_norm"))
+    val = lambda k: F.get_json_object("score_breakdown", f"$.{k}").try_cast("double")
+    return rows.agg((F.avg(val("genre_novelty")) * 100).alias("avg_genre_novelty"),
+                    (F.avg(val("popularity_norm")) * 100).alias("avg_popularity_norm"),
+                    F.count(F.lit(1)).alias("total"))
+
+
 def exploration_coverage(artists: DataFrame) -> DataFrame:
     """A9 (+R8): FOLLOWING artists, how many were similar-explored, percent
     rounded to one decimal (0.0 when none), and how many are pending."""

@@ -76,3 +76,11 @@ def test_parse_topic_routes_malformed(spark):
     ok, bad = parse_topic(raw, "artist string, title string")
     assert [tuple(r) for r in ok.collect()] == [("a", "t")]
     assert [r.error_reason for r in bad.collect()] == ["malformed_message"]
+
+
+def test_topic_sink_frame_is_keyed_json(spark):
+    from encore.streaming.pipeline import topic_sink_frame
+    df = spark.createDataFrame([("k1", "a", None)], "track_key string, artist string, mbid string")
+    row = topic_sink_frame(df, "track_key").first()
+    assert row.key == "k1"
+    assert row.value == '{"track_key":"k1","artist":"a"}'  # nulls are left out, as the discovery events want
