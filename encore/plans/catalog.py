@@ -318,15 +318,15 @@ def q_incremental_pull(spark, sf_dir):
     """A first pull up to a cut lands a high-water mark; the next pull
     takes only plays after it and advances the mark to max(played_at)."""
     from encore.sources import bindings as b
-    from encore.streaming.state import advance_checkpoint, pull_since
+    from encore.streaming.state import advance_checkpoint, high_water_mark, pull_since
     plays = b.event_plays(spark, sf_dir)
     first = plays.filter(F.col("played_at") < F.to_timestamp(F.lit("2024-01-20 00:00:00")))
     ckpt = advance_checkpoint(None, first, "lastfm-ingester")
     new_rows = pull_since(plays, ckpt, "lastfm-ingester")
     ckpt2 = advance_checkpoint(ckpt, new_rows, "lastfm-ingester")
-    pulled = new_rows.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled")) \
+    return new_rows.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled")) \
+        .withColumn("checkpoint", high_water_mark(ckpt2, "lastfm-ingester")) \
         .withColumn("service", F.lit("lastfm-ingester"))
-    return pulled.join(ckpt2.select("service", F.col("last_played_at").alias("checkpoint")), "service", "left")
 
 
 # ---------------------------------------------------------------- artist jobs

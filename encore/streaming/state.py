@@ -32,13 +32,16 @@ def advance_checkpoint(state: DataFrame | None, rows: DataFrame, service: str) -
             .select("service", "c.last_played_at", "c.updated_at"))
 
 
+def high_water_mark(checkpoints: DataFrame, service: str) -> F.Column:
+    """The service's mark as a scalar subquery (one value, computed once;
+    null when the service has no checkpoint yet)."""
+    return checkpoints.filter(F.col("service") == service).select(F.max("last_played_at")).scalar()
+
+
 def pull_since(rows: DataFrame, checkpoints: DataFrame, service: str) -> DataFrame:
     """S3: rows at or after the service's high-water mark (all when none)."""
-    hwm = checkpoints.select("service", F.col("last_played_at").alias("_hwm"))
-    tagged = rows.withColumn("_svc", F.lit(service))
-    j = tagged.join(hwm, tagged["_svc"] == hwm["service"], "left")
-    return (j.filter(F.col("_hwm").isNull() | (F.col("played_at") >= F.col("_hwm")))
-            .drop("_svc", "service", "_hwm"))
+    hwm = high_water_mark(checkpoints, service)
+    return rows.filter(hwm.isNull() | (F.col("played_at") >= hwm))
 
 
 class SnapshotStore:
