@@ -89,7 +89,7 @@ def upsert_artists(state: DataFrame, counters: DataFrame) -> DataFrame:
     s = state
     for c, default in (("play_count", F.lit(0).cast("bigint")), ("scrobble_count", F.lit(0).cast("bigint")),
                        ("genres", F.lit(None).cast("array<string>")),
-                       ("added_at", F.lit(None).cast("timestamp"))):
+                       ("added_at", F.lit(None).cast("timestamp_ntz"))):
         if c not in s.columns:
             s = s.withColumn(c, default)
     c = counters.withColumnRenamed("artist_key", "name_key")

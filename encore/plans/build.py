@@ -29,10 +29,12 @@ ARTIST_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("name", T.StringType()),
     T.StructField("name_key", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("high_priority", T.BooleanType()), T.StructField("origin_artist_id", T.StringType()),
-    T.StructField("source", T.StringType()), T.StructField("last_explored_at", T.TimestampType()),
-    T.StructField("last_similar_explored_at", T.TimestampType()),
+    T.StructField("source", T.StringType()), T.StructField("last_explored_at", T.TimestampNTZType()),
+    T.StructField("last_similar_explored_at", T.TimestampNTZType()),
     T.StructField("spotify_uri", T.StringType()), T.StructField("lastfm_mbid", T.StringType()),
 ])
+# (timestamps are timestamp_ntz throughout: wall-clock UTC, independent of
+# the zone of whichever process reads them)
 
 
 @dataclass

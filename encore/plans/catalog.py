@@ -158,7 +158,7 @@ def q_recent_plays(spark, sf_dir):
 @query("eligible_top_tracks")
 def q_eligible_top_tracks(spark, sf_dir):
     st = plays_state(spark, sf_dir)
-    older = F.to_timestamp(F.lit(PLAYS_AS_OF)) - F.make_interval(days=F.lit(7))
+    older = F.to_timestamp_ntz(F.lit(PLAYS_AS_OF)) - F.make_interval(days=F.lit(7))
     return lists.exploration_queue(st.artists, "last_explored_at", older).select(
         "id", "name", "last_explored_at")
 
@@ -166,7 +166,7 @@ def q_eligible_top_tracks(spark, sf_dir):
 @query("eligible_similar")
 def q_eligible_similar(spark, sf_dir):
     st = plays_state(spark, sf_dir)
-    older = F.to_timestamp(F.lit(PLAYS_AS_OF)) - F.make_interval(hours=F.lit(24))
+    older = F.to_timestamp_ntz(F.lit(PLAYS_AS_OF)) - F.make_interval(hours=F.lit(24))
     return lists.exploration_queue(st.artists, "last_similar_explored_at", older).select(
         "id", "name", "last_similar_explored_at")
 
@@ -320,7 +320,7 @@ def q_incremental_pull(spark, sf_dir):
     from encore.sources import bindings as b
     from encore.streaming.state import advance_checkpoint, high_water_mark, pull_since
     plays = b.event_plays(spark, sf_dir)
-    first = plays.filter(F.col("played_at") < F.to_timestamp(F.lit("2024-01-20 00:00:00")))
+    first = plays.filter(F.col("played_at") < F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")))
     ckpt = advance_checkpoint(None, first, "lastfm-ingester")
     new_rows = pull_since(plays, ckpt, "lastfm-ingester")
     ckpt2 = advance_checkpoint(ckpt, new_rows, "lastfm-ingester")

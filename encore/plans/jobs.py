@@ -18,7 +18,7 @@ from encore.sources.bindings import STATUSES
 
 
 def _ts(as_of):
-    return F.to_timestamp(F.lit(as_of)) if isinstance(as_of, str) else as_of
+    return F.to_timestamp_ntz(F.lit(as_of)) if isinstance(as_of, str) else as_of
 
 
 def eligible(artists: DataFrame, ts_col: str, older_than) -> DataFrame:

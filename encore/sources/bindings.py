@@ -81,7 +81,7 @@ def base_artists(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = sup.select(F.col("s_suppkey").alias("o_key"), F.col("s_name").alias("o_name"))
     joined = sup.join(origin, (F.col("s_suppkey") >= 10) & (F.col("o_key") == F.floor(F.col("s_suppkey") / 10)),
                       "left")
-    as_of = F.to_timestamp(F.lit(PLAYS_AS_OF))
+    as_of = F.to_timestamp_ntz(F.lit(PLAYS_AS_OF))
     nation = F.col("s_nationkey")
     uri = spotify_uri("artist", F.col("s_suppkey"))
     mbid = F.substring(F.sha2(F.concat(F.lit("mbid"), F.col("s_suppkey").cast("string")), 256), 1, 36)

@@ -93,7 +93,8 @@ def raw_plays(tracks: DataFrame) -> DataFrame:
         F.lit("lastfm").alias("source"),
         t["artist"]["#text"].alias("artist"),
         t["name"].alias("title"),
-        F.timestamp_seconds(t["date"]["uts"].cast("long")).alias("played_at"),
+        # epoch seconds -> UTC wall-clock time (the session zone is UTC)
+        F.timestamp_seconds(t["date"]["uts"].cast("long")).cast("timestamp_ntz").alias("played_at"),
         F.when(mbid.isNotNull(), F.create_map(F.lit("lastfm_mbid"), mbid))
         .otherwise(F.create_map().cast("map<string,string>")).alias("external_ids"),
         F.to_json(t).alias("raw"))
