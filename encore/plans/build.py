@@ -14,11 +14,9 @@ import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encore.operators import ordered
-from encore.plans.stages import NOVEL_EVENT_COLUMNS, dlq_rows, route_novelty, score_events
+from encore.plans.stages import discovery_batch
 from encore.session import ensure_checkpoint_dir
 from encore.sources import bindings
 
@@ -80,23 +78,8 @@ def build_state(spark: SparkSession, sf_dir: str, domain: str = "plays") -> Stat
         # the enriched log is a map-only derivation of the landed tables (scan
         # + dimension joins): each stage re-derives it instead of landing a
         # copy (measured cheaper than writing or caching the wide rows)
-        messages = source
-
-        history = _write(ordered.first_seen_history(messages), f"{root}/history")
-        counters = ordered.artist_counters(messages, history)
-        artists = _write(ordered.upsert_artists(artists_state, counters), f"{root}/artists")
-
-        routed = route_novelty(messages, artists)
-        judged = ordered.novelty_signals(routed.filter(F.col("route") == "ok").drop("route"), history)
-        emitted = F.col("artist_is_new") | (F.size("new_genres") > 0)
-        novelty = _write(judged.filter(emitted), f"{root}/novel_events")
-        novel = novelty.select(*NOVEL_EVENT_COLUMNS)
-        scored = _write(score_events(novel, artists), f"{root}/scored")
-        recs = _write(ordered.best_score_with_evidence(scored.filter(F.col("route") == "ok")),
-                      f"{root}/recommendations")
-        dlq = _write(dlq_rows(routed.select("route", "seq", "track_key", "artist", "title"), "novelty")
-                     .unionByName(dlq_rows(scored.select("route", "seq", "track_key", "artist"), "scorer"),
-                                  allowMissingColumns=True), f"{root}/dlq")
-        st = StateTables(source, history, artists, novelty, scored, recs, dlq, root)
+        res = discovery_batch(source, artists_state, land=lambda name, df: _write(df, f"{root}/{name}"))
+        st = StateTables(source, res.history, res.artists, res.novel_events, res.scored,
+                         res.recommendations, res.dlq, root)
         _MEMO[key] = st
         return st

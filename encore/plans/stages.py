@@ -8,6 +8,7 @@ body of a streaming ``foreachBatch`` (one micro-batch, previous snapshot).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -70,20 +71,35 @@ def dlq_rows(df: DataFrame, stage: str) -> DataFrame:
         F.col("seq.ts").alias("failed_at"))
 
 
+def keep_lazy(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
 def discovery_batch(messages: DataFrame, artists_state: DataFrame,
                     history_state: DataFrame | None = None,
                     recs_state: DataFrame | None = None,
-                    weights: ScoreWeights = DEFAULT_WEIGHTS) -> BatchResult:
-    history = ordered.first_seen_history(messages, history_state)
+                    weights: ScoreWeights = DEFAULT_WEIGHTS,
+                    land: Callable[[str, DataFrame], DataFrame] = keep_lazy) -> BatchResult:
+    """One batch through T3 (history + artists) -> T4 (novelty) -> T5 (scores).
+
+    ``land(name, df)`` materialises a state table and returns what later
+    steps read: the identity (lazy, one plan), a parquet table in the
+    checkpoint folder (batch build) or a versioned snapshot (micro-batch).
+    Each landed table cuts the lineage of the steps after it.
+    """
+    history = land("history", ordered.first_seen_history(messages, history_state))
     counters = ordered.artist_counters(messages, history, history_state)
-    artists = ordered.upsert_artists(artists_state, counters)
+    artists = land("artists", ordered.upsert_artists(artists_state, counters))
 
     routed = route_novelty(messages, artists)
     judged = ordered.novelty_signals(routed.filter(F.col("route") == "ok").drop("route"), history)
-    novel = judged.filter(F.col("artist_is_new") | (F.size("new_genres") > 0)).select(*NOVEL_EVENT_COLUMNS)
-
-    scored = score_events(novel, artists, weights)
-    recs = ordered.best_score_with_evidence(scored.filter(F.col("route") == "ok"), recs_state)
-    dlq = dlq_rows(routed.select("route", "seq", "track_key", "artist", "title"), "novelty").unionByName(
-        dlq_rows(scored.select("route", "seq", "track_key", "artist"), "scorer"), allowMissingColumns=True)
-    return BatchResult(history, artists, judged, novel, scored, recs, dlq)
+    emitted = F.col("artist_is_new") | (F.size("new_genres") > 0)
+    novel_events = land("novel_events", judged.filter(emitted))
+
+    scored = land("scored", score_events(novel_events.select(*NOVEL_EVENT_COLUMNS), artists, weights))
+    recs = land("recommendations",
+                ordered.best_score_with_evidence(scored.filter(F.col("route") == "ok"), recs_state))
+    dlq = land("dlq", dlq_rows(routed.select("route", "seq", "track_key", "artist", "title"), "novelty")
+               .unionByName(dlq_rows(scored.select("route", "seq", "track_key", "artist"), "scorer"),
+                            allowMissingColumns=True))
+    return BatchResult(history, artists, judged, novel_events, scored, recs, dlq)

@@ -21,21 +21,20 @@ STATE_TABLES = ("history", "artists", "recommendations")
 
 
 def process_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, base_artists: DataFrame) -> dict:
-    """Apply one micro-batch; returns the new snapshots."""
+    """Apply one micro-batch; returns the new snapshots by table name."""
     history = store.read_before("history", batch_id)
     artists = store.read_before("artists", batch_id)
     recs = store.read_before("recommendations", batch_id)
     if artists is None:
         artists = base_artists
-    res = discovery_batch(batch, artists, history, recs)
-    out = {
-        "history": store.write("history", batch_id, res.history),
-        "artists": store.write("artists", batch_id, res.artists),
-    }
-    out["recommendations"] = store.write("recommendations", batch_id, res.recommendations)
-    out["novel_events"] = store.write("novel_events", batch_id, res.novel_events)
-    out["dlq"] = store.write("dlq", batch_id, res.dlq)
-    return out
+    written: dict = {}
+
+    def land(name: str, df: DataFrame) -> DataFrame:
+        written[name] = store.write(name, batch_id, df)
+        return written[name]
+
+    discovery_batch(batch, artists, history, recs, land=land)
+    return written
 
 
 def start(spark: SparkSession, source: DataFrame, store: SnapshotStore, base_artists: DataFrame,
