@@ -190,15 +190,18 @@ def artist_tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def track_tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track tags per (artist, title): brand then type of the lowest part key
-    with that name supplied by the artist (names only)."""
+    with that name supplied by the artist (names only). The lowest key is a
+    hash aggregation on (supplier, part name); the part row is joined after."""
     li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    pairs = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
-    return (pairs.groupBy(F.col("s_name").alias("artist"), F.col("p_name").alias("title"))
-            .agg(F.min_by(F.array(F.struct(F.col("p_brand").alias("name"), F.lit(None).cast("int").alias("count")),
-                                  F.struct(F.col("p_type").alias("name"), F.lit(None).cast("int").alias("count"))),
-                          F.col("p_partkey")).alias("tags")))
+    first = (li.join(part.select("p_partkey", "p_name"), li.l_partkey == part.p_partkey)
+             .groupBy("l_suppkey", "p_name").agg(F.min("p_partkey").alias("k")))
+    tags = F.array(F.struct(F.col("p_brand").alias("name"), F.lit(None).cast("int").alias("count")),
+                   F.struct(F.col("p_type").alias("name"), F.lit(None).cast("int").alias("count")))
+    return (first.join(part.select(F.col("p_partkey").alias("k"), "p_brand", "p_type"), "k")
+            .join(sup, first.l_suppkey == sup.s_suppkey)
+            .select(F.col("s_name").alias("artist"), F.col("p_name").alias("title"), tags.alias("tags")))
 
 
 # ---------------------------------------------------------------- lifecycle inputs
