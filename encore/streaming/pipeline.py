@@ -69,6 +69,19 @@ def parse_topic(raw: DataFrame, schema) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
+def topic_stream(spark: SparkSession, bootstrap_servers: str, topics: str, schema,
+                 starting_offsets: str = "earliest") -> tuple[DataFrame, DataFrame]:
+    """S5 over Kafka: one stream for several comma-separated topics (D5),
+    parsed with ``parse_topic``. Needs the spark-sql-kafka package on the
+    cluster; local tests use the file source instead."""
+    raw = (spark.readStream.format("kafka")
+           .option("kafka.bootstrap.servers", bootstrap_servers)
+           .option("subscribe", topics)
+           .option("startingOffsets", starting_offsets)
+           .load())
+    return parse_topic(raw, schema)
+
+
 def topic_sink_frame(df: DataFrame, key_col: str) -> DataFrame:
     """Keyed JSON records (the shape a Kafka sink expects)."""
     return df.select(F.col(key_col).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
