@@ -52,18 +52,15 @@ def first_seen_history(messages: DataFrame, state: DataFrame | None = None) -> D
             .select("track_key", "r.*"))
 
 
-def artist_counters(messages: DataFrame, history: DataFrame,
-                    history_state: DataFrame | None = None) -> DataFrame:
+def artist_counters(messages: DataFrame, inserted: DataFrame) -> DataFrame:
     """W3-W5 per artist key over one batch of applied messages.
 
     scrobble_count: every applied message; play_count: messages that inserted
-    a history row; genres: latest non-empty list; spotify_uri: latest artist
-    id (right side wins); name: first spelling; first_played_at: first play.
+    a history row (``inserted``: the history rows this batch added); genres:
+    latest non-empty list; spotify_uri: latest artist id (right side wins);
+    name: first spelling; first_played_at: first play.
     """
     applied = applied_to_history(messages)
-    # history rows absent from the previous state are the ones this batch inserted
-    inserted = history if history_state is None else \
-        history.join(history_state.select("track_key"), "track_key", "left_anti")
     new_tracks = inserted.groupBy("artist_key").agg(F.count(F.lit(1)).alias("play_delta"))
     agg = applied.groupBy("artist_key").agg(
         F.min_by("artist", "seq").alias("first_name"),
@@ -113,10 +110,17 @@ def upsert_artists(state: DataFrame, counters: DataFrame) -> DataFrame:
     )
 
 
-def first_two(rows: DataFrame, key: str) -> DataFrame:
-    """Per key the two earliest (seq, track_key) rows as columns s1,t1,s2,t2."""
+def first_two_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Per key the two earliest (seq, track_key) rows, long form. Mergeable:
+    first_two_rows(previous result ∪ new rows) is the result over all rows,
+    so it is kept as streaming state (size: 2 rows per key)."""
     w = Window.partitionBy(key).orderBy("seq")
-    top = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
+    return (rows.select(key, "seq", "track_key").withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") <= 2).drop("_rn"))
+
+
+def pivot_first_two(top: DataFrame, key: str) -> DataFrame:
+    """Long first-two rows -> one row per key with s1,t1,s2,t2."""
     return (top.groupBy(key)
             .agg(F.sort_array(F.collect_list(F.struct("seq", "track_key"))).alias("_f2"))
             .select(key,
@@ -124,6 +128,21 @@ def first_two(rows: DataFrame, key: str) -> DataFrame:
                     F.col("_f2")[1]["seq"].alias("s2"), F.col("_f2")[1]["track_key"].alias("t2")))
 
 
+def first_two(rows: DataFrame, key: str) -> DataFrame:
+    """Per key the two earliest (seq, track_key) rows as columns s1,t1,s2,t2."""
+    return pivot_first_two(first_two_rows(rows, key), key)
+
+
+def artist_rows(history: DataFrame) -> DataFrame:
+    return history.select("artist_key", "seq", "track_key")
+
+
+def genre_rows(history: DataFrame) -> DataFrame:
+    """One row per distinct genre of a history row (containment counts once)."""
+    return (history.select(F.explode(F.array_distinct("genres")).alias("genre"), "seq", "track_key")
+            .filter(F.col("genre").isNotNull()))
+
+
 def _seen_before_by_other(own_seq, own_track) -> F.Column:
     """True iff a history row of another track precedes the message, decided
     from the key's first two history rows (s1,t1) and (s2,t2)."""
@@ -131,7 +150,9 @@ def _seen_before_by_other(own_seq, own_track) -> F.Column:
     return F.coalesce(first_other < own_seq, F.lit(False))
 
 
-def novelty_signals(messages: DataFrame, history: DataFrame) -> DataFrame:
+def novelty_signals(messages: DataFrame, history: DataFrame | None = None, *,
+                    f2_artist: DataFrame | None = None, f2_genre: DataFrame | None = None,
+                    track_first: DataFrame | None = None) -> DataFrame:
     """W1 (J3+J4+J5+F8+P8): novelty of each message against the history rows
     strictly before it.
 
@@ -140,12 +161,12 @@ def novelty_signals(messages: DataFrame, history: DataFrame) -> DataFrame:
     track contains it. track_is_new: the track's first history row is not
     earlier than the message. Duplicates and order of the genre list are kept.
     """
-    hist = history.select("track_key", "artist_key", "genres", "seq")
-    f2_artist = first_two(hist.select("artist_key", "seq", "track_key"), "artist_key")
-    f2_genre = first_two(
-        hist.select(F.explode(F.array_distinct("genres")).alias("genre"), "seq", "track_key")
-        .filter(F.col("genre").isNotNull()), "genre")
-    track_first = hist.select("track_key", F.col("seq").alias("track_seq"))
+    if history is not None:
+        hist = history.select("track_key", "artist_key", "genres", "seq")
+        f2_artist = first_two(artist_rows(hist), "artist_key")
+        f2_genre = first_two(genre_rows(hist), "genre")
+        track_first = hist.select("track_key", "seq")
+    track_first = track_first.select("track_key", F.col("seq").alias("track_seq"))
 
     # flags are computed on the message rows themselves (the per-key tables
     # are equi-joined; AQE broadcasts them while small); only the rare

@@ -79,20 +79,58 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
                     history_state: DataFrame | None = None,
                     recs_state: DataFrame | None = None,
                     weights: ScoreWeights = DEFAULT_WEIGHTS,
-                    land: Callable[[str, DataFrame], DataFrame] = keep_lazy) -> BatchResult:
+                    land: Callable[[str, DataFrame], DataFrame] = keep_lazy,
+                    first2_state: tuple[DataFrame, DataFrame] | None = None) -> BatchResult:
     """One batch through T3 (history + artists) -> T4 (novelty) -> T5 (scores).
 
     ``land(name, df)`` materialises a state table and returns what later
     steps read: the identity (lazy, one plan), a parquet table in the
-    checkpoint folder (batch build) or a versioned snapshot (micro-batch).
-    Each landed table cuts the lineage of the steps after it.
+    checkpoint folder (batch build) or a snapshot (micro-batch). Each landed
+    table cuts the lineage of the steps after it.
+
+    With ``history_state`` (all history rows before this batch) the work is
+    incremental: ``land("history", ...)`` receives only the rows this batch
+    inserts (an append), the first-two tables are merged from
+    ``first2_state`` (artist rows, genre rows) and the new rows, and track
+    lookups touch only this batch's keys. ``BatchResult.history`` is then the
+    lazy union of the previous and the new rows.
     """
-    history = land("history", ordered.first_seen_history(messages, history_state))
-    counters = ordered.artist_counters(messages, history, history_state)
+    batch_first = ordered.first_seen_history(messages)
+    if history_state is None:
+        inserted = land("history", batch_first)
+        history = inserted
+        track_first = history.select("track_key", "seq")
+        prev_artist_rows = prev_genre_rows = None
+    else:
+        # which of this batch's tracks were already known (scan of the state
+        # restricted to the batch keys), and the ones it inserts
+        known = history_state.select("track_key", "seq").join(batch_first.select("track_key"), "track_key",
+                                                              "left_semi")
+        inserted = land("history", batch_first.join(known.select("track_key"), "track_key", "left_anti"))
+        history = history_state.unionByName(inserted.select(*history_state.columns))
+        track_first = known.unionByName(inserted.select("track_key", "seq"))
+        if first2_state is None:
+            first2_state = (ordered.first_two_rows(ordered.artist_rows(history_state), "artist_key"),
+                            ordered.first_two_rows(ordered.genre_rows(history_state), "genre"))
+        prev_artist_rows, prev_genre_rows = first2_state
+
+    new_artist_rows = ordered.artist_rows(inserted)
+    new_genre_rows = ordered.genre_rows(inserted)
+    if prev_artist_rows is not None:
+        new_artist_rows = prev_artist_rows.select(*new_artist_rows.columns).unionByName(new_artist_rows)
+        new_genre_rows = prev_genre_rows.select(*new_genre_rows.columns).unionByName(new_genre_rows)
+    f2_artist_rows = land("first2_artist", ordered.first_two_rows(new_artist_rows, "artist_key"))
+    f2_genre_rows = land("first2_genre", ordered.first_two_rows(new_genre_rows, "genre"))
+
+    counters = ordered.artist_counters(messages, inserted)
     artists = land("artists", ordered.upsert_artists(artists_state, counters))
 
     routed = route_novelty(messages, artists)
-    judged = ordered.novelty_signals(routed.filter(F.col("route") == "ok").drop("route"), history)
+    judged = ordered.novelty_signals(
+        routed.filter(F.col("route") == "ok").drop("route"),
+        f2_artist=ordered.pivot_first_two(f2_artist_rows, "artist_key"),
+        f2_genre=ordered.pivot_first_two(f2_genre_rows, "genre"),
+        track_first=track_first)
     emitted = F.col("artist_is_new") | (F.size("new_genres") > 0)
     novel_events = land("novel_events", judged.filter(emitted))
 

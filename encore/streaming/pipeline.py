@@ -17,23 +17,35 @@ from pyspark.sql import functions as F
 from encore.plans.stages import discovery_batch
 from encore.streaming.state import SnapshotStore
 
-STATE_TABLES = ("history", "artists", "recommendations")
+STATE_TABLES = ("history", "artists", "recommendations", "first2_artist", "first2_genre")
+
+
+APPEND_TABLES = ("history",)
 
 
 def process_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, base_artists: DataFrame) -> dict:
-    """Apply one micro-batch; returns the new snapshots by table name."""
-    history = store.read_before("history", batch_id)
+    """Apply one micro-batch; returns what it wrote by table name. History is
+    append-only (this batch's inserted rows); the other tables are versioned
+    snapshots, the first-two tables holding at most two rows per key."""
+    history = store.read_appended_before("history", batch_id)
     artists = store.read_before("artists", batch_id)
     recs = store.read_before("recommendations", batch_id)
+    f2a = store.read_before("first2_artist", batch_id)
+    f2g = store.read_before("first2_genre", batch_id)
     if artists is None:
         artists = base_artists
     written: dict = {}
 
     def land(name: str, df: DataFrame) -> DataFrame:
-        written[name] = store.write(name, batch_id, df)
+        if name in APPEND_TABLES:
+            written[name] = store.append(name, batch_id, df)
+        else:
+            written[name] = store.write(name, batch_id, df)
         return written[name]
 
-    discovery_batch(batch, artists, history, recs, land=land)
+    first2 = (f2a, f2g) if f2a is not None and f2g is not None else None
+    res = discovery_batch(batch, artists, history, recs, land=land, first2_state=first2)
+    written["history_all"] = res.history
     return written
 
 

@@ -78,6 +78,37 @@ class SnapshotStore:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def append(self, table: str, batch_id: int, df: DataFrame) -> DataFrame:
+        """Write this batch's rows as partition ``batch_id`` of an append-only
+        table (a replay overwrites the same partition)."""
+        path = f"{self.root}/{table}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def read_appended_before(self, table: str, batch_id: int) -> DataFrame | None:
+        """All rows appended by batches older than ``batch_id`` (partition
+        pruning on batch_id)."""
+        done = [v for v in self._appended(table) if v < batch_id]
+        if not done:
+            return None
+        df = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(
+            *[f"{self.root}/{table}/batch_id={v}" for v in done])
+        return df.drop("batch_id")
+
+    def _appended(self, table: str) -> list[int]:
+        jvm = self.spark._jvm
+        fs_path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(fs_path):
+            return []
+        out = []
+        for st in fs.listStatus(fs_path):
+            name = st.getPath().getName()
+            if name.startswith("batch_id=") and fs.exists(
+                    jvm.org.apache.hadoop.fs.Path(st.getPath().toString() + "/_SUCCESS")):
+                out.append(int(name.split("=", 1)[1]))
+        return sorted(out)
+
     def latest(self, table: str) -> DataFrame | None:
         vs = self._versions(table)
         return self.spark.read.parquet(f"{self.root}/{table}/v={vs[-1]}") if vs else None
