@@ -457,7 +457,8 @@ def q_artist_detail(spark, sf_dir):
     return d.select("id", "name", "status", "play_count", "scrobble_count",
                     r6("recommendation.score").alias("score"),
                     r6("recommendation.score_breakdown.genre_novelty").alias("genre_novelty"),
-                    F.size("recommendation.evidence_tracks").cast("bigint").alias("n_evidence"))
+                    F.when(F.col("recommendation").isNotNull(), F.size("recommendation.evidence_tracks"))
+                    .cast("bigint").alias("n_evidence"))
 
 
 @query("rec_by_artist_name")

@@ -14,6 +14,10 @@ from pyspark.sql import SparkSession
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Spark 4 defaults the code is written for, pinned in case a caller's
+    # session differs (ANSI casts/arithmetic, size(NULL) = NULL)
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.legacy.sizeOfNull": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
