@@ -80,7 +80,8 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
                     recs_state: DataFrame | None = None,
                     weights: ScoreWeights = DEFAULT_WEIGHTS,
                     land: Callable[[str, DataFrame], DataFrame] = keep_lazy,
-                    first2_state: tuple[DataFrame, DataFrame] | None = None) -> BatchResult:
+                    first2_state: tuple[DataFrame, DataFrame] | None = None,
+                    through: str = "recommendations") -> BatchResult:
     """One batch through T3 (history + artists) -> T4 (novelty) -> T5 (scores).
 
     ``land(name, df)`` materialises a state table and returns what later
@@ -94,6 +95,9 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
     ``first2_state`` (artist rows, genre rows) and the new rows, and track
     lookups touch only this batch's keys. ``BatchResult.history`` is then the
     lazy union of the previous and the new rows.
+
+    ``through="artists"`` stops after T3 (history and artists only), for
+    readers that need nothing else, like the reference's history statistics.
     """
     batch_first = ordered.first_seen_history(messages)
     if history_state is None:
@@ -114,6 +118,11 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
                             ordered.first_two_rows(ordered.genre_rows(history_state), "genre"))
         prev_artist_rows, prev_genre_rows = first2_state
 
+    counters = ordered.artist_counters(messages, inserted)
+    artists = land("artists", ordered.upsert_artists(artists_state, counters))
+    if through == "artists":
+        return BatchResult(history, artists, None, None, None, None, None)
+
     new_artist_rows = ordered.artist_rows(inserted)
     new_genre_rows = ordered.genre_rows(inserted)
     if prev_artist_rows is not None:
@@ -122,9 +131,6 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
     f2_artist_rows = land("first2_artist", ordered.first_two_rows(new_artist_rows, "artist_key"))
     f2_genre_rows = land("first2_genre", ordered.first_two_rows(new_genre_rows, "genre"))
 
-    counters = ordered.artist_counters(messages, inserted)
-    artists = land("artists", ordered.upsert_artists(artists_state, counters))
-
     routed = route_novelty(messages, artists)
     judged = ordered.novelty_signals(
         routed.filter(F.col("route") == "ok").drop("route"),
