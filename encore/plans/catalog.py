@@ -224,9 +224,9 @@ def q_exploration_coverage(spark, sf_dir):
     return stats.exploration_coverage(plays_state(spark, sf_dir).artists)
 
 
-@query("pipeline_funnel")
-def q_pipeline_funnel(spark, sf_dir):
-    return stats.pipeline_funnel(plays_state(spark, sf_dir).artists)
+@query("status_funnel")
+def q_status_funnel(spark, sf_dir):
+    return stats.status_funnel(plays_state(spark, sf_dir).artists)
 
 
 @query("high_priority_list")
@@ -535,7 +535,7 @@ def q_avg_plays_per_day(spark, sf_dir):
 @query("funnel_bar_base")
 def q_funnel_bar_base(spark, sf_dir):
     """The largest funnel total, at least 1."""
-    f = stats.pipeline_funnel(plays_state(spark, sf_dir).artists)
+    f = stats.status_funnel(plays_state(spark, sf_dir).artists)
     return f.agg(F.greatest(F.max("total"), F.lit(1)).cast("bigint").alias("bar_base"))
 
 

@@ -45,11 +45,11 @@ def valid_normalized(df: DataFrame) -> DataFrame:
 
 
 def route_history(df: DataFrame) -> DataFrame:
-    """Null track key -> DLQ NULL_SIGNAL_ID; missing artist/title ->
+    """Null track key -> DLQ NULL_TRACK_KEY; missing artist/title ->
     dropped; played false -> skipped (absent counts as true); else apply."""
     return df.withColumn(
         "route",
-        F.when(F.col("track_key").isNull(), F.lit("NULL_SIGNAL_ID"))
+        F.when(F.col("track_key").isNull(), F.lit("NULL_TRACK_KEY"))
         .when(F.col("artist").isNull() | F.col("title").isNull(), F.lit("dropped"))
         .when(~F.coalesce(F.col("played"), F.lit(True)), F.lit("skipped_not_played"))
         .otherwise(F.lit("apply")))

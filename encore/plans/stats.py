@@ -145,7 +145,7 @@ def exploration_coverage(artists: DataFrame) -> DataFrame:
                       (F.col("total") - F.col("explored")).alias("pending"))
 
 
-def pipeline_funnel(artists: DataFrame) -> DataFrame:
+def status_funnel(artists: DataFrame) -> DataFrame:
     """Per status total and high-priority count, in lifecycle order."""
     return (artists.groupBy("status").agg(F.count(F.lit(1)).alias("total"),
                                           F.count_if(F.col("high_priority")).alias("high_priority"))

@@ -35,7 +35,7 @@ def test_valid_raw_rules(spark):
 def test_route_history(spark):
     df = spark.createDataFrame([(None, "a", "t", True), ("k", "a", "t", False), ("k", "a", "t", None),
                                 ("k", None, "t", True)], "track_key string, artist string, title string, played boolean")
-    assert [r.route for r in route_history(df).collect()] == ["NULL_SIGNAL_ID", "skipped_not_played", "apply", "dropped"]
+    assert [r.route for r in route_history(df).collect()] == ["NULL_TRACK_KEY", "skipped_not_played", "apply", "dropped"]
 
 
 def test_route_novelty(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF0001
 from encore.plans.stages import discovery_batch
 from encore.sources import bindings
-from encore.streaming.pipeline import parse_topic, process_batch, start
+from encore.streaming.microbatch import parse_topic, process_batch, start
 from encore.streaming.state import SnapshotStore
 
 CUTS = ["1997-01-01", "1999-01-01"]
@@ -82,7 +82,7 @@ def test_parse_topic_routes_malformed(spark):
 
 
 def test_topic_sink_frame_is_keyed_json(spark):
-    from encore.streaming.pipeline import topic_sink_frame
+    from encore.streaming.microbatch import topic_sink_frame
     df = spark.createDataFrame([("k1", "a", None)], "track_key string, artist string, mbid string")
     row = topic_sink_frame(df, "track_key").first()
     assert row.key == "k1"
