@@ -588,3 +588,19 @@ def q_breakdown_averages_json(spark, sf_dir):
     return stats.breakdown_averages_json(recs, st.artists).select(
         r6("avg_genre_novelty").alias("avg_genre_novelty"),
         r6("avg_popularity_norm").alias("avg_popularity_norm"), "total")
+
+
+@query("history_run_counters")
+def q_history_run_counters(spark, sf_dir):
+    """A14 for the history stage: P3/P4 routes of every message, applied
+    messages split into inserted (first delivery) and already seen."""
+    from encore.plans.normalize import route_history, valid_normalized
+    st = plays_state(spark, sf_dir)
+    routed = route_history(valid_normalized(st.messages).select("track_key", "artist", "title", "played", "seq"))
+    first = st.history.select("track_key", F.col("seq").alias("_first"))
+    r = routed.join(first, "track_key", "left")
+    applied = F.col("route") == "apply"
+    return r.agg(F.count_if(applied & (F.col("seq") == F.col("_first"))).alias("inserted"),
+                 F.count_if(applied & (F.col("seq") != F.col("_first"))).alias("already_seen"),
+                 F.count_if(F.col("route") == "skipped_not_played").alias("skipped"),
+                 F.count_if(F.col("route") == "NULL_TRACK_KEY").alias("dlq"))
