@@ -5,7 +5,6 @@ import hashlib
 import string
 
 import pytest
-from pyspark.sql import functions as F
 
 from encore.functions.scoring import artist_score, genre_novelty_ratio, score_breakdown, valid_ratio
 from encore.functions.text import normalize_text, track_key

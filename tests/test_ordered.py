@@ -5,7 +5,6 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conftest import SF0001
 from encore.operators.dedup import similar_dedup

@@ -1,6 +1,5 @@
 """Payload readers on hand-written JSON (cases the reference pins)."""
 
-from pyspark.sql import functions as F
 
 from encore.sources import payloads as p
 
