@@ -13,6 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.plans import lists, stats
+from encore.functions.text import id_from_uri, name_contains, normalize_text, track_key
+from encore.operators.dedup import topic_union
+from encore.operators.enrich import (backfill_artist_tags, bare_entity_id, enrich, enrichment_artist_tags,
+                                    entity_id)
+from encore.operators.joins import artist_detail, artist_origin, rec_artist
+from encore.operators.ordered import auto_promotions, novelty_signals
+from encore.plans.jobs import (apply_status_decisions, backfill_entity_ids, backfill_genres, expand_similar,
+                               explore_top_tracks, onboard)
+from encore.plans.normalize import normalize_stage, route_history, valid_normalized
+from encore.plans.stages import route_novelty
+from encore.sources import bindings as b, payloads as p
+from encore.sources.tables import read_table
+from encore.streaming.state import advance_checkpoint, high_water_mark, pull_since
 from encore.plans.build import build_state
 from encore.sources.bindings import EVENTS_AS_OF, PLAYS_AS_OF
 
@@ -88,8 +101,6 @@ def q_novel_events(spark, sf_dir):
 @query("novelty_flags")
 def q_novelty_flags(spark, sf_dir):
     """W1 over every judged message, aggregated per artist."""
-    from encore.operators.ordered import novelty_signals
-    from encore.plans.stages import route_novelty
     st = plays_state(spark, sf_dir)
     routed = route_novelty(st.messages, st.artists).filter(F.col("route") == "ok").drop("route")
     return novelty_signals(routed, st.history).groupBy("artist").agg(
@@ -260,8 +271,6 @@ def q_distinct_genres(spark, sf_dir):
 # ---------------------------------------------------------------- enrichment
 @query("enrich_chain")
 def q_enrich_chain(spark, sf_dir):
-    from encore.operators.enrich import enrich
-    from encore.sources import bindings as b
     out = enrich(b.normalized_plays(spark, sf_dir), b.artist_meta(spark, sf_dir), b.track_meta(spark, sf_dir),
                  b.artist_tag_lists(spark, sf_dir), b.track_tag_lists(spark, sf_dir))
     return out.select("track_key", "artist", "title", "played_at", joined("genres").alias("genres"),
@@ -272,8 +281,6 @@ def q_enrich_chain(spark, sf_dir):
 @query("enrichment_source_counts")
 def q_enrichment_source_counts(spark, sf_dir):
     """A16-style shares of the enrichment outcome."""
-    from encore.operators.enrich import enrich
-    from encore.sources import bindings as b
     out = enrich(b.normalized_plays(spark, sf_dir), b.artist_meta(spark, sf_dir), b.track_meta(spark, sf_dir),
                  b.artist_tag_lists(spark, sf_dir), b.track_tag_lists(spark, sf_dir))
     return out.groupBy("enrichment_source").agg(F.count(F.lit(1)).alias("messages"),
@@ -283,7 +290,6 @@ def q_enrichment_source_counts(spark, sf_dir):
 # ---------------------------------------------------------------- payload sources
 @query("raw_plays")
 def q_raw_plays(spark, sf_dir):
-    from encore.sources import payloads as p
     rp = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
     return rp.select("source", "artist", "title", "played_at",
                      F.col("external_ids")["lastfm_mbid"].alias("lastfm_mbid"))
@@ -291,9 +297,6 @@ def q_raw_plays(spark, sf_dir):
 
 @query("tag_payloads")
 def q_tag_payloads(spark, sf_dir):
-    from encore.operators.enrich import backfill_artist_tags, enrichment_artist_tags
-    from encore.sources import bindings as b
-    from encore.sources import payloads as p
     parsed = p.tag_payloads(b.artist_tag_lists(spark, sf_dir)).select(
         "artist", p.read_tag_payload("payload").alias("tags"))
     return parsed.select("artist", F.size("tags").alias("n_tags"),
@@ -303,13 +306,11 @@ def q_tag_payloads(spark, sf_dir):
 
 @query("similar_payloads")
 def q_similar_payloads(spark, sf_dir):
-    from encore.sources import payloads as p
     return p.read_similar_payload(p.similar_payloads(spark, sf_dir))
 
 
 @query("followed_names")
 def q_followed_names(spark, sf_dir):
-    from encore.sources import payloads as p
     return p.read_followed(p.followed_payloads(spark, sf_dir))
 
 
@@ -317,8 +318,6 @@ def q_followed_names(spark, sf_dir):
 def q_incremental_pull(spark, sf_dir):
     """A first pull up to a cut lands a high-water mark; the next pull
     takes only plays after it and advances the mark to max(played_at)."""
-    from encore.sources import bindings as b
-    from encore.streaming.state import advance_checkpoint, high_water_mark, pull_since
     plays = b.event_plays(spark, sf_dir)
     first = plays.filter(F.col("played_at") < F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")))
     ckpt = advance_checkpoint(None, first, "lastfm-ingester")
@@ -332,8 +331,6 @@ def q_incremental_pull(spark, sf_dir):
 # ---------------------------------------------------------------- artist jobs
 @query("similar_expansion")
 def q_similar_expansion(spark, sf_dir):
-    from encore.plans.jobs import expand_similar
-    from encore.sources import payloads as p
     st = plays_state(spark, sf_dir)
     outcomes, _, _, _ = expand_similar(st.artists, p.read_similar_payload(p.similar_payloads(spark, sf_dir)),
                                        PLAYS_AS_OF)
@@ -343,9 +340,6 @@ def q_similar_expansion(spark, sf_dir):
 @query("discovered_from")
 def q_discovered_from(spark, sf_dir):
     """Artists discovered through similar expansion with their origin."""
-    from encore.operators.joins import artist_origin
-    from encore.plans.jobs import expand_similar
-    from encore.sources import payloads as p
     st = plays_state(spark, sf_dir)
     _, _, _, after = expand_similar(st.artists, p.read_similar_payload(p.similar_payloads(spark, sf_dir)),
                                     PLAYS_AS_OF)
@@ -355,8 +349,6 @@ def q_discovered_from(spark, sf_dir):
 
 @query("top_track_messages")
 def q_top_track_messages(spark, sf_dir):
-    from encore.plans.jobs import explore_top_tracks
-    from encore.sources import payloads as p
     st = plays_state(spark, sf_dir)
     msgs, _ = explore_top_tracks(st.artists, p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
     return msgs.select("artist", "artist_id", "track_id", "title", "rank",
@@ -365,8 +357,6 @@ def q_top_track_messages(spark, sf_dir):
 
 @query("onboarding")
 def q_onboarding(spark, sf_dir):
-    from encore.plans.jobs import onboard
-    from encore.sources import payloads as p
     st = plays_state(spark, sf_dir)
     return onboard(st.artists, p.read_followed(p.followed_payloads(spark, sf_dir))).select(
         "id", "name", "status", "high_priority")
@@ -374,8 +364,6 @@ def q_onboarding(spark, sf_dir):
 
 @query("status_counts_delta")
 def q_status_counts_delta(spark, sf_dir):
-    from encore.plans.jobs import onboard
-    from encore.sources import payloads as p
     st = plays_state(spark, sf_dir)
     after = onboard(st.artists, p.read_followed(p.followed_payloads(spark, sf_dir)))
     return stats.status_counts_delta(st.artists, after)
@@ -383,8 +371,6 @@ def q_status_counts_delta(spark, sf_dir):
 
 @query("status_decisions")
 def q_status_decisions(spark, sf_dir):
-    from encore.plans.jobs import apply_status_decisions
-    from encore.sources import bindings as b
     st = plays_state(spark, sf_dir)
     after, _ = apply_status_decisions(st.artists, b.status_decisions(spark, sf_dir))
     return after.select("id", "name", "previous_status", "status", "decided_at")
@@ -392,8 +378,6 @@ def q_status_decisions(spark, sf_dir):
 
 @query("auto_promote")
 def q_auto_promote(spark, sf_dir):
-    from encore.operators.ordered import auto_promotions
-    from encore.sources import bindings as b
     st = plays_state(spark, sf_dir)
     return auto_promotions(st.messages, b.base_artists(spark, sf_dir).withColumn(
         "scrobble_count", F.lit(0).cast("bigint")), 3)
@@ -401,8 +385,6 @@ def q_auto_promote(spark, sf_dir):
 
 @query("backfill_genres")
 def q_backfill_genres(spark, sf_dir):
-    from encore.plans.jobs import backfill_genres
-    from encore.sources import bindings as b
     out = backfill_genres(b.base_artists(spark, sf_dir).withColumn("genres", F.lit(None).cast("array<string>"))
                           .withColumn("play_count", F.lit(0).cast("bigint")),
                           b.artist_tag_lists(spark, sf_dir))
@@ -411,8 +393,6 @@ def q_backfill_genres(spark, sf_dir):
 
 @query("backfill_entity_ids")
 def q_backfill_entity_ids(spark, sf_dir):
-    from encore.plans.jobs import backfill_entity_ids
-    from encore.sources import bindings as b
     return backfill_entity_ids(b.base_artists(spark, sf_dir), b.artist_search(spark, sf_dir))
 
 
@@ -421,8 +401,6 @@ def q_backfill_entity_ids(spark, sf_dir):
 def q_normalize_documents(spark, sf_dir):
     """F1/F2 over whole document texts: normalized length and track key of
     (source, text)."""
-    from encore.functions.text import normalize_text, track_key
-    from encore.sources.tables import read_table
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return d.select("doc_id", F.length(normalize_text("text")).alias("norm_chars"),
                     track_key(F.col("source"), F.col("text")).alias("key"))
@@ -430,8 +408,6 @@ def q_normalize_documents(spark, sf_dir):
 
 @query("artist_ids")
 def q_artist_ids(spark, sf_dir):
-    from encore.functions.text import id_from_uri
-    from encore.operators.enrich import bare_entity_id, entity_id
     a = plays_state(spark, sf_dir).artists
     return a.select("id", "name", "spotify_uri", id_from_uri("spotify_uri").alias("uri_id"),
                     entity_id("spotify_uri", "artist").alias("valid_id"),
@@ -440,7 +416,6 @@ def q_artist_ids(spark, sf_dir):
 
 @query("service_health")
 def q_service_health(spark, sf_dir):
-    from encore.streaming.state import advance_checkpoint
     st = plays_state(spark, sf_dir)
     ckpts = None
     for source in ("lastfm", "spotify"):
@@ -451,7 +426,6 @@ def q_service_health(spark, sf_dir):
 # ---------------------------------------------------------------- detail / search
 @query("artist_detail")
 def q_artist_detail(spark, sf_dir):
-    from encore.operators.joins import artist_detail
     st = plays_state(spark, sf_dir)
     d = artist_detail(st.artists, st.recommendations)
     return d.select("id", "name", "status", "play_count", "scrobble_count",
@@ -463,7 +437,6 @@ def q_artist_detail(spark, sf_dir):
 
 @query("rec_by_artist_name")
 def q_rec_by_artist_name(spark, sf_dir):
-    from encore.operators.joins import rec_artist
     st = plays_state(spark, sf_dir)
     return (rec_artist(st.recommendations, st.artists)
             .filter(F.col("name_key") == F.lower(F.lit("Supplier#000000002")))
@@ -472,7 +445,6 @@ def q_rec_by_artist_name(spark, sf_dir):
 
 @query("search_artists")
 def q_search_artists(spark, sf_dir):
-    from encore.functions.text import name_contains
     a = plays_state(spark, sf_dir).artists
     return a.filter(name_contains("name", "r#00000001")).select("id", "name").orderBy("name")
 
@@ -487,7 +459,6 @@ def q_genre_filter(spark, sf_dir):
 def q_run_counters(spark, sf_dir):
     """Novelty-stage tallies of one run."""
     st = plays_state(spark, sf_dir)
-    from encore.plans.stages import route_novelty
     routed = route_novelty(st.messages, st.artists)
     emitted = st.novelty.select(F.lit("processed").alias("k"), F.lit(-1).alias("w"))
     kinds = (routed.select(F.col("route").alias("k"), F.lit(1).alias("w"))
@@ -506,11 +477,6 @@ def q_run_counters(spark, sf_dir):
 # ---------------------------------------------------------------- normalize stage
 @query("normalize_stage")
 def q_normalize_stage(spark, sf_dir):
-    from encore.plans.normalize import normalize_stage
-    from encore.sources import bindings as b
-    from encore.sources import payloads as p
-    from encore.operators.dedup import topic_union
-    from encore.plans.jobs import explore_top_tracks
     plays = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
     # The normalizer consumes raw plays and the raw tracks that top-track
     # exploration produces (their ids are ignored and re-resolved)
@@ -568,8 +534,6 @@ def q_dlq_rate(spark, sf_dir):
 def q_explored_after_jobs(spark, sf_dir):
     """Exploration timestamps after the top-track (T6) and similar
     jobs ran at the as-of time."""
-    from encore.plans.jobs import expand_similar, explore_top_tracks
-    from encore.sources import payloads as p
     st = plays_state(spark, sf_dir)
     _, after6 = explore_top_tracks(st.artists, p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
     _, _, _, after7 = expand_similar(after6, p.read_similar_payload(p.similar_payloads(spark, sf_dir)), PLAYS_AS_OF)
@@ -594,7 +558,6 @@ def q_breakdown_averages_json(spark, sf_dir):
 def q_history_run_counters(spark, sf_dir):
     """A14 for the history stage: P3/P4 routes of every message, applied
     messages split into inserted (first delivery) and already seen."""
-    from encore.plans.normalize import route_history, valid_normalized
     st = plays_state(spark, sf_dir)
     routed = route_history(valid_normalized(st.messages).select("track_key", "artist", "title", "played", "seq"))
     first = st.history.select("track_key", F.col("seq").alias("_first"))
