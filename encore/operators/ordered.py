@@ -124,8 +124,9 @@ def pivot_first_two(top: DataFrame, key: str) -> DataFrame:
     return (top.groupBy(key)
             .agg(F.sort_array(F.collect_list(F.struct("seq", "track_key"))).alias("_f2"))
             .select(key,
-                    F.col("_f2")[0]["seq"].alias("s1"), F.col("_f2")[0]["track_key"].alias("t1"),
-                    F.col("_f2")[1]["seq"].alias("s2"), F.col("_f2")[1]["track_key"].alias("t2")))
+                    # get(): NULL when a key has a single row (no ANSI index error)
+                    F.get("_f2", 0)["seq"].alias("s1"), F.get("_f2", 0)["track_key"].alias("t1"),
+                    F.get("_f2", 1)["seq"].alias("s2"), F.get("_f2", 1)["track_key"].alias("t2")))
 
 
 def first_two(rows: DataFrame, key: str) -> DataFrame:

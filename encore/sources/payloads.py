@@ -181,8 +181,8 @@ def read_top_tracks(payloads: DataFrame) -> DataFrame:
     ex = payloads.select("artist", F.posexplode(arr).alias("pos", "t"))
     return (ex.filter(F.size("t.artists") > 0)
             .select("artist", (F.col("pos") + 1).alias("rank"), F.col("t.id").alias("track_ref"),
-                    F.col("t.name").alias("title"), F.col("t.artists")[0]["id"].alias("track_artist_ref"),
-                    F.col("t.artists")[0]["name"].alias("track_artist")))
+                    F.col("t.name").alias("title"), F.get("t.artists", 0)["id"].alias("track_artist_ref"),
+                    F.get("t.artists", 0)["name"].alias("track_artist")))
 
 
 # ---------------------------------------------------------------- follows

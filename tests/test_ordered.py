@@ -160,3 +160,13 @@ def test_hot_artist_holding_a_third_of_the_log(spark):
     names = {r.id: r.name_key for r in base.collect()}
     got_recs = {names[r.artist_id]: (r.score, list(r.evidence_tracks)) for r in res.recommendations.collect()}
     assert {k: (pytest.approx(v[0]), v[1]) for k, v in recs.items()} == got_recs
+
+
+def test_first_two_with_a_single_row_key(spark):
+    """A key with one history row (common in small micro-batches) gives a
+    null second row instead of an index error under ANSI mode."""
+    from encore.operators.ordered import first_two
+    rows = spark.createDataFrame([("a", (1,), "t1"), ("b", (2,), "t2"), ("b", (3,), "t3")],
+                                 "k string, seq struct<i:int>, track_key string")
+    got = {r.k: (r.t1, r.t2) for r in first_two(rows, "k").collect()}
+    assert got == {"a": ("t1", None), "b": ("t2", "t3")}

@@ -62,7 +62,7 @@ def test_foreach_batch_stream_over_files(spark):
     src = os.path.join(root, "in")
     msgs = bindings.enriched_plays(spark, SF0001)
     for i, chunk in enumerate(_chunks(msgs)):
-        chunk.write.mode("overwrite").parquet(os.path.join(src, f"part={i}"))
+        chunk.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, f"part={i}"))
     base = bindings.base_artists(spark, SF0001)
     stream = (spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
