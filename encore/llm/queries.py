@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe
+from encore.llm import bpe, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
