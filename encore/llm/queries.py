@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, simhash
+from encore.llm import bpe, simhash, winnowing
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op5_winnowing": winnowing.op5_winnowing,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_winnowing": winnowing.SQL,
+}
