@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from encore.llm import bpe, simhash, winnowing
+from encore.llm import bpe, rule_ledger, simhash, winnowing
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op5_winnowing": winnowing.op5_winnowing,
+    "op8_rule_ledger": rule_ledger.op8_rule_ledger,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op5_winnowing": winnowing.SQL,
+    "op8_rule_ledger": rule_ledger.SQL,
 }
