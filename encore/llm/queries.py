@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from encore.llm import attention_mil, bpe, neural_lm, rule_ledger, simhash, winnowing
+from encore.llm import attention_mil, bpe, neural_lm, rule_ledger, simhash, toxicity, winnowing
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_attention_mil": attention_mil.op3_attention_mil,
     "op5_winnowing": winnowing.op5_winnowing,
     "op8_rule_ledger": rule_ledger.op8_rule_ledger,
