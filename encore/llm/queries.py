@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from encore.llm import attention_mil, bpe, neural_lm, rule_ledger, simhash, toxicity, winnowing
+from encore.llm import (
+    attention_mil,
+    bpe,
+    chat_format,
+    neural_lm,
+    rule_ledger,
+    simhash,
+    toxicity,
+    warc,
+    winnowing,
+)
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_attention_mil": attention_mil.op3_attention_mil,
     "op5_winnowing": winnowing.op5_winnowing,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op7_warc": warc.op7_warc,
     "op8_rule_ledger": rule_ledger.op8_rule_ledger,
     "op9_neural_lm": neural_lm.op9_neural_lm,
     "op10_simhash": simhash.op10_simhash,
@@ -16,5 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_winnowing": winnowing.SQL,
+    "op6_chat_format": chat_format.SQL,
+    "op7_warc": warc.SQL,
     "op8_rule_ledger": rule_ledger.SQL,
 }
