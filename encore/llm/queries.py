@@ -6,6 +6,7 @@ from encore.llm import (
     attention_mil,
     bpe,
     chat_format,
+    line_dedup,
     neural_lm,
     rule_ledger,
     simhash,
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_attention_mil": attention_mil.op3_attention_mil,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_winnowing": winnowing.op5_winnowing,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_warc": warc.op7_warc,
@@ -27,6 +29,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.SQL,
     "op5_winnowing": winnowing.SQL,
     "op6_chat_format": chat_format.SQL,
     "op7_warc": warc.SQL,
