@@ -178,17 +178,25 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     return train(x, bags, y)
 
 
-def score(docs: DataFrame, par: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, n_passages, top_passage) of every row; top_passage has the most attention."""
+def score(docs: DataFrame, par: dict, id_col: str = "doc_id", text_col: str = "text",
+          carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, score, n_passages, top_passage) of every row; top_passage has the most attention.
+
+    With `carry`, these columns of `docs` stand in the place of doc_id.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(par)
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id")) if carry is None else docs.select(carry)
+    source = docs.select(F.col(text_col).alias("_text"), *(
+        [F.col(id_col).cast("long").alias("doc_id")] if carry is None else [F.col(f"`{c}`") for c in carry]))
+    names = [*kept.columns, "score", "n_passages", "top_passage"]
 
     def run(batches):
         par = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                x, bags = encode(part.column(1).to_pylist())
+                x, bags = encode(part.column(0).to_pylist())
                 firsts = np.cumsum(bags) - bags
                 if "share" in par:
                     got, top = np.full(len(bags), par["share"]), np.zeros(len(bags), np.int64)
@@ -197,11 +205,10 @@ def score(docs: DataFrame, par: dict, id_col: str = "doc_id", text_col: str = "t
                     best = np.lexsort((np.arange(len(att)), -att, np.repeat(np.arange(len(bags)), bags)))
                     top = best[firsts] - firsts
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(got), pa.array(bags), pa.array(top)],
-                    names=["doc_id", "score", "n_passages", "top_passage"])
+                    [*part.columns[1:], pa.array(got), pa.array(bags), pa.array(top)], names=names)
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, score double, n_passages long, top_passage long"))
+    fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
+    return source.mapInArrow(run, f"{fields}, score double, n_passages long, top_passage long")
 
 
 def op3_attention_mil(spark, sf_dir: str) -> DataFrame:
