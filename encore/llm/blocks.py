@@ -7,9 +7,14 @@ bucket, where every word of the corpus is treated once; the answers travel
 back to the blocks and are put in place by position.
 
     split_blocks   documents -> rows WORDS (block, bucket) and DOCS (block)
+    deal           both kinds in one exchange, by bucket or by block
     by_bucket      WORDS rows -> per-word answers, one task per hash bucket
     assemble       answers + DOCS rows of a block -> rows per document
 
+`by_bucket` and `assemble` read the same exchange, so texts are split once.
+Rows are put in a fixed order before they are numbered: a map task that runs
+again after the loss of an executor writes the same blocks.
+
 A very frequent word is one entry per block, so no word makes a hot key;
 rows are bounded by the block size, tasks by the number of buckets.
 """
@@ -18,19 +23,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS, DOCS = 0, 1
-SCHEMA = ("block long, kind int, bucket int, doc_ids array<bigint>, flags array<boolean>, "
+SCHEMA = ("key long, block long, kind int, bucket int, doc_ids array<bigint>, flags array<boolean>, "
           "lens array<int>, payload binary")
-ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()),
+ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()),
                    ("doc_ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())),
                    ("lens", pa.list_(pa.int32())), ("payload", pa.binary())])
 LONG_TEXT = 4_000_000       # longer texts are split by an iterator, not one list
@@ -117,18 +123,19 @@ def _close(block: int, numbering: Numbering, seqs: list, buckets: int) -> Iterat
     raw = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in words]
     of = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
     rows = []
-    by = sorted(range(len(raw)), key=lambda i: (of[i], raw[i]))
-    edges = np.flatnonzero(np.diff(of[by], prepend=-1)).tolist() if by else []
+    by = np.lexsort((rank, of))
+    edges = np.flatnonzero(np.diff(of[by], prepend=-1)).tolist()
     for a, b in zip(edges, [*edges[1:], len(by)]):
-        ids = by[a:b]
-        rows.append((block, WORDS, int(of[ids[0]]), None, None, None, join_payloads(
-            pack(rank[ids], counts[ids]), pack_words([raw[i] for i in ids]))))
+        ids, bucket = by[a:b], int(of[by[a]])
+        rows.append((bucket, block, WORDS, bucket, None, None, None, join_payloads(
+            pack(np.diff(rank[ids], prepend=np.uint32(0)), counts[ids]),
+            pack_words([raw[i] for i in ids]))))
     chunk, size = [], 0
     for i, x in enumerate(seqs):
         chunk.append(x)
         size += len(x[2])
         if size >= CHUNK_TOKENS or i + 1 == len(seqs):
-            rows.append((block, DOCS, None, [c[0] for c in chunk], [c[1] for c in chunk],
+            rows.append((-1 - block, block, DOCS, None, [c[0] for c in chunk], [c[1] for c in chunk],
                          [len(c[2]) for c in chunk],
                          pack(rank[np.concatenate([c[2] for c in chunk])])))
             chunk, size = [], 0
@@ -140,7 +147,7 @@ def _close(block: int, numbering: Numbering, seqs: list, buckets: int) -> Iterat
 def split_blocks(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[[str], list],
                  buckets: int, train=None, block_chars: int = 32_000_000,
                  block_words: int = 1_000_000) -> DataFrame:
-    """Rows WORDS and DOCS of every block; land the result before using it twice.
+    """Rows WORDS and DOCS of every block.
 
     `splitter(text)` gives the words (str or bytes), as a list or, for texts
     over LONG_TEXT characters, any iterable. `train` is a boolean column: the
@@ -165,14 +172,19 @@ def split_blocks(docs: DataFrame, id_col: str, text_col: str, splitter: Callable
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       F.coalesce(F.lit(True) if train is None else train, F.lit(False)).alias("flag"))
-    return src.mapInArrow(run, SCHEMA)
+    return src.sortWithinPartitions("doc_id", F.xxhash64("text"), "flag").mapInArrow(run, SCHEMA)
+
+
+def deal(split: DataFrame, partitions: int) -> DataFrame:
+    """The one exchange of both kinds of rows, by `key`."""
+    return split.repartition(partitions, "key")
 
 
-def by_bucket(blocks: DataFrame, answer: Callable, partitions: int, schema: str = SCHEMA) -> DataFrame:
-    """Bring the WORDS rows of a bucket together and answer them.
+def by_bucket(dealt: DataFrame, answer: Callable) -> DataFrame:
+    """Answer the WORDS rows of each bucket.
 
-    `answer(rows)` gets an iterator over the rows of one bucket, each
-    (block, bucket, numbers, counts, words), and yields output rows as dicts.
+    `answer(rows)` gets the rows of one bucket, each (block, bucket, payload),
+    and yields output rows as dicts; an answer to a block has key -1 - block.
     """
     def grouped(rows):
         bucket, held = None, []
@@ -185,11 +197,14 @@ def by_bucket(blocks: DataFrame, answer: Callable, partitions: int, schema: str
         if held:
             yield held
 
+    def words(batches):
+        for b in batches:
+            b = b.filter(pc.equal(b.column("kind"), WORDS))
+            yield from zip(*(b.column(n).to_pylist() for n in ("block", "bucket", "payload")))
+
     def run(batches):
-        raw = chain.from_iterable(zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
-                                      b.column(2).to_pylist()) for b in batches)
         out = []
-        for rows in grouped(raw):
+        for rows in grouped(words(batches)):
             for row in answer(rows):
                 out.append(row)
                 if len(out) == 256:
@@ -198,36 +213,32 @@ def by_bucket(blocks: DataFrame, answer: Callable, partitions: int, schema: str
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
-    words = blocks.where(F.col("kind") == WORDS).select("block", "bucket", "payload")
-    return (words.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(run, schema))
+    # all columns, as `assemble` reads them: so that both read one exchange
+    return dealt.sortWithinPartitions("key").mapInArrow(run, SCHEMA)
 
 
-def assemble(answers: DataFrame, blocks: DataFrame, partitions: int, start: Callable,
-             finish: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
-    """Bring a block's answers and documents together, answers first.
+def assemble(answers: DataFrame, dealt: DataFrame, start: Callable, finish: Callable, schema: str,
+             arrow: pa.Schema) -> DataFrame:
+    """Bring a block's answers to its documents.
 
     `start(payloads)` turns the answer payloads of the block into its
     dictionary; `finish(dictionary, doc_ids, flags, lens, numbers)` gives the
     output columns of one DOCS row.
     """
-    def run(batches):
-        block, payloads, book = None, [], None
-        for batch in batches:
+    def run(answered: pa.Table, rows: pa.Table) -> pa.Table:
+        batches, book = [], None
+        for batch in rows.to_batches():
             for row in batch.to_pylist():
-                if row["block"] != block:
-                    block, payloads, book = row["block"], [], None
-                if row["kind"] == WORDS:
-                    payloads.append(row["payload"])
-                    continue
+                if row["kind"] != DOCS:
+                    return arrow.empty_table()        # a bucket's words, not a block
                 if book is None:
-                    book, payloads = start(payloads), []
+                    book = start(answered.column("payload").to_pylist())
                 numbers, = unpack(row["payload"])
                 for columns in finish(book, row["doc_ids"], row["flags"], row["lens"], numbers):
-                    yield pa.RecordBatch.from_arrays(
+                    batches.append(pa.RecordBatch.from_arrays(
                         [c if isinstance(c, pa.Array) else pa.array(c, f.type)
-                         for c, f in zip(columns, arrow)], schema=arrow)
+                         for c, f in zip(columns, arrow)], schema=arrow))
+        return pa.Table.from_batches(batches, schema=arrow)
 
-    both = answers.unionByName(blocks.where(F.col("kind") == DOCS))
-    return (both.repartition(partitions, "block").sortWithinPartitions("block", "kind")
-            .mapInArrow(run, schema))
+    return (answers.where(F.col("kind") == WORDS).groupBy("key").cogroup(dealt.groupBy("key"))
+            .applyInArrow(run, schema))

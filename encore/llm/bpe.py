@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm import blocks as B
-from encore.llm.common import land, prepare, shuffle_partitions, table
+from encore.llm.common import prepare, shuffle_partitions, table
 
 MAX_VOCABULARY = 1_000_000  # entries of a rank file; the proven bound of what is broadcast
 
@@ -110,14 +110,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 found.append(ids)
             lens = np.fromiter(map(len, found), np.uint32, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lens.sum()))
-            yield {"block": block, "kind": B.WORDS, "bucket": bucket,
+            yield {"key": -1 - block, "block": block, "kind": B.WORDS, "bucket": bucket,
                    "payload": B.pack(B.unpack(numbers)[0], lens, flat)}
 
     def start(payloads):
         parts = [B.unpack(p) for p in payloads]
         if not parts:
             return np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        numbers, lens, flat = (np.concatenate(x) for x in zip(*parts))
+        numbers = np.concatenate([np.cumsum(p[0]) for p in parts])
+        lens, flat = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         at = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
         begin, size = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
         begin[numbers], size[numbers] = at[:-1], lens
@@ -134,10 +135,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         ids = pa.array(flat[at].astype(np.int32))
         yield [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), ids)]
 
-    split = land(B.split_blocks(docs, id_col, text_col, splitter, 4 * partitions), "bpe-blocks")
-    answers = B.by_bucket(split, answer, partitions)
+    dealt = B.deal(B.split_blocks(docs, id_col, text_col, splitter, 4 * partitions), partitions)
+    answers = B.by_bucket(dealt, answer)
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return B.assemble(answers, split, partitions, start, finish, "doc_id long, ids array<int>", arrow)
+    return B.assemble(answers, dealt, start, finish, "doc_id long, ids array<int>", arrow)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
