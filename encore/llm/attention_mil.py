@@ -10,8 +10,8 @@ map over all documents and all their passages.
 Null and empty texts are a bag of one empty passage and get a score like any
 other. Every input row gives one output row (repeated rows and null ids
 too). A document with several labels counts with the lowest; null labels are
-not learned from. Without labelled rows of both classes the score is the
-share of label 1 (0.5 without any). Extra columns are ignored.
+not learned from. Without labelled rows of both classes every score is 0.5.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     rows = sorted((bytes(r.x), r.y) for r in texts.mapInArrow(run, "x binary, y int").collect())
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
-        return {"share": float(y.mean()) if len(y) else 0.5}
+        return {"share": 0.5}
     bags = np.array([len(r[0]) // (4 * FEATURES) for r in rows])
     x = np.frombuffer(b"".join(r[0] for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
     return train(x, bags, y)
