@@ -61,11 +61,7 @@ def name_contains(c, query: str) -> Column:
     return F.contains(F.lower(_col(c)), F.lower(F.lit(query)))
 
 
-def evidence_label(artist, title) -> Column:
-    return F.concat(_col(artist), F.lit(EVIDENCE_SEPARATOR), _col(title))
-
-
 def is_valid_text(c, max_len: int = 500) -> Column:
-    """Non-blank after strip and at most ``max_len`` code points."""
+    """Something besides Unicode whitespace, and at most ``max_len`` code points."""
     col = _col(c)
-    return col.isNotNull() & (F.length(F.trim(col)) > 0) & (F.length(col) <= max_len)
+    return col.isNotNull() & (F.length(F.regexp_replace(col, WHITESPACE_RUN, "")) > 0) & (F.length(col) <= max_len)

@@ -22,7 +22,7 @@ def _min_ord(df: DataFrame, key: str, alias: str) -> DataFrame:
             .agg(F.min("ord").alias(alias)))
 
 
-def similar_dedup(candidates: DataFrame, artists: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def similar_dedup(candidates: DataFrame, artists: DataFrame) -> DataFrame:
     """``candidates``: ord (orderable, unique), name, mbid (nullable) + payload.
     ``artists``: name_key, lastfm_mbid. Returns every candidate with
     ``outcome`` in {inserted, skipped, conflict}."""
@@ -36,9 +36,7 @@ def similar_dedup(candidates: DataFrame, artists: DataFrame, max_rounds: int = 1
     remaining = marked.filter(F.col("_km").isNull() & F.col("_kn").isNull()).drop("_km", "_kn").checkpoint()
 
     accepted_parts = []
-    for _ in range(max_rounds):
-        if remaining.isEmpty():
-            break
+    while not remaining.isEmpty():    # every round accepts the first remaining candidate at least
         by_name = _min_ord(remaining, "name_key", "_fn")
         by_mbid = _min_ord(remaining, "mbid", "_fm")
         flagged = remaining.join(by_name, "name_key", "left").join(by_mbid, "mbid", "left")
@@ -52,8 +50,6 @@ def similar_dedup(candidates: DataFrame, artists: DataFrame, max_rounds: int = 1
                      .join(taken_names, "name_key", "left").join(taken_mbids, "mbid", "left")
                      .filter(F.col("_tn").isNull() & F.col("_tm").isNull())
                      .drop("_tn", "_tm").checkpoint())
-    else:
-        raise RuntimeError("similar_dedup did not converge")
 
     accepted = (accepted_parts[0] if accepted_parts else
                 marked.filter(F.lit(False)).drop("_km", "_kn"))

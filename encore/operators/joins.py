@@ -36,10 +36,8 @@ def evidence_labels(recs: DataFrame, history: DataFrame) -> DataFrame:
     """Map each evidence track key to ``artist — title`` when the track
     is in history, else keep the key; array order kept; empty -> []."""
     ex = recs.select("artist_id", F.posexplode("evidence_tracks").alias("pos", "track_key"))
-    # ``recs`` is one page (<= 100 rows): its evidence keys are broadcast so the
-    # history table is only scanned, never shuffled, to label them
     found = history.select("track_key", "artist", "title").join(
-        F.broadcast(ex.select("track_key").distinct()), "track_key")
+        ex.select("track_key").distinct(), "track_key", "left_semi")
     labelled = (ex.join(found, "track_key", "left")
                 .select("artist_id", "pos",
                         F.when(F.col("title").isNotNull(),
@@ -92,11 +90,3 @@ def follow_semi(artists: DataFrame, follows: DataFrame) -> DataFrame:
     """Artists whose case-folded name is in the followed set."""
     f = follows.select(F.lower(F.col("name")).alias("name_key")).distinct()
     return artists.join(f, "name_key", "left_semi")
-
-
-def mbid_lookup(candidates: DataFrame, artists: DataFrame) -> DataFrame:
-    """Candidates whose mbid already belongs to an artist (any status)."""
-    known = artists.filter(F.col("lastfm_mbid").isNotNull()).select(
-        F.col("lastfm_mbid").alias("mbid"), F.col("id").alias("known_id"),
-        F.col("status").alias("known_status")).dropDuplicates(["mbid"])
-    return candidates.join(known, "mbid", "left")

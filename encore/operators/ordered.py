@@ -31,10 +31,10 @@ HISTORY_COLUMNS = ["track_key", "artist", "artist_key", "title", "artist_id", "t
 
 
 def applied_to_history(messages: DataFrame) -> DataFrame:
-    """Messages the history stage applies: a track key present and ``played``
-    not false (absent counts as true)."""
-    return messages.filter(F.col("track_key").isNotNull() &
-                           F.coalesce(F.col("played"), F.lit(True)))
+    """Messages the history stage applies: track key, artist and title present
+    and ``played`` not false (absent counts as true)."""
+    return messages.filter(F.col("track_key").isNotNull() & F.col("artist").isNotNull() &
+                           F.col("title").isNotNull() & F.coalesce(F.col("played"), F.lit(True)))
 
 
 def first_seen_history(messages: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -236,6 +236,25 @@ def best_score_with_evidence(scored: DataFrame, state: DataFrame | None = None)
     return out.select("artist_id", "score", "score_breakdown", "evidence_tracks", "updated_at")
 
 
+def counts_before(state: DataFrame, counters: DataFrame) -> DataFrame:
+    """name_key, status and scrobble_count before the batch; names that the
+    batch brings enter as TRACKED without plays."""
+    count = F.col("scrobble_count") if "scrobble_count" in state.columns else F.lit(0)
+    known = state.select("name_key", "status", F.coalesce(count, F.lit(0)).cast("bigint").alias("scrobble_count"))
+    return known.join(counters.select(F.col("artist_key").alias("name_key")), "name_key", "full_outer").select(
+        "name_key", F.coalesce("status", F.lit("TRACKED")).alias("status"),
+        F.coalesce("scrobble_count", F.lit(0)).cast("bigint").alias("scrobble_count"))
+
+
+def apply_promotions(artists: DataFrame, promotions: DataFrame) -> DataFrame:
+    """U4: TRACKED -> FOLLOWING for the artists W7 promoted."""
+    p = promotions.select(F.col("name_key").alias("_pk"), "promoted_at")
+    return (artists.join(p, F.col("name_key") == F.col("_pk"), "left")
+            .withColumn("status", F.when(F.col("promoted_at").isNotNull() & (F.col("status") == "TRACKED"),
+                                         F.lit("FOLLOWING")).otherwise(F.col("status")))
+            .drop("_pk"))
+
+
 def auto_promotions(messages: DataFrame, artists: DataFrame, min_scrobbles: int = 3) -> DataFrame:
     """TRACKED artists whose scrobble count reaches ``min_scrobbles``
     by the time any valid, non-pending message of theirs is processed.

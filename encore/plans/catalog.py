@@ -20,13 +20,13 @@ from encore.operators.enrich import (backfill_artist_tags, bare_entity_id, enric
 from encore.operators.joins import artist_detail, artist_origin, rec_artist
 from encore.operators.ordered import auto_promotions, novelty_signals
 from encore.plans.jobs import (apply_status_decisions, backfill_entity_ids, backfill_genres, expand_similar,
-                               explore_top_tracks, onboard)
-from encore.plans.normalize import normalize_stage, route_history, valid_normalized
+                               explore_top_tracks, mark_similar_explored, onboard)
+from encore.plans.normalize import normalize_stage, route_history
 from encore.plans.stages import route_novelty
 from encore.sources import bindings as b, payloads as p
 from encore.sources.tables import read_table
 from encore.streaming.state import advance_checkpoint, high_water_mark, pull_since
-from encore.plans.build import build_state
+from encore.plans.build import build_state, land_small
 from encore.sources.bindings import EVENTS_AS_OF, PLAYS_AS_OF
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,16 @@ def q_list_recommendations_following(spark, sf_dir):
                        joined("evidence_labels").alias("evidence"))
 
 
+@query("list_recommendations_page_2")
+def q_list_recommendations_page_2(spark, sf_dir):
+    """O2/O3: the second page of ten, blacklisted artists out, followed ones in."""
+    st = plays_state(spark, sf_dir)
+    page = lists.list_recommendations(st.recommendations, st.artists, st.history, page=2, page_size=10,
+                                      include_following=True)
+    return page.select("artist_id", "name", "status", r6("score").alias("score"),
+                       joined("evidence_labels").alias("evidence"))
+
+
 @query("recommendation_total")
 def q_recommendation_total(spark, sf_dir):
     st = plays_state(spark, sf_dir)
@@ -319,13 +329,16 @@ def q_incremental_pull(spark, sf_dir):
     """A first pull up to a cut lands a high-water mark; the next pull
     takes only plays after it and advances the mark to max(played_at)."""
     plays = b.event_plays(spark, sf_dir)
+    service = "lastfm-ingester"
     first = plays.filter(F.col("played_at") < F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")))
-    ckpt = advance_checkpoint(None, first, "lastfm-ingester")
-    new_rows = pull_since(plays, ckpt, "lastfm-ingester")
-    ckpt2 = advance_checkpoint(ckpt, new_rows, "lastfm-ingester")
-    return new_rows.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled")) \
-        .withColumn("checkpoint", high_water_mark(ckpt2, "lastfm-ingester")) \
-        .withColumn("service", F.lit("lastfm-ingester"))
+    # the mark is one row, landed by the first pull: the second reads it, not the log
+    mark = land_small(advance_checkpoint(None, first, service))
+    new_rows = pull_since(plays, mark, service)
+    pulled = new_rows.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled"),
+                          F.max("played_at").alias("last_pulled"))
+    return pulled.select("pulled", "first_pulled",
+                         F.coalesce("last_pulled", high_water_mark(mark, service)).alias("checkpoint"),
+                         F.lit(service).alias("service"))
 
 
 # ---------------------------------------------------------------- artist jobs
@@ -463,7 +476,8 @@ def q_run_counters(spark, sf_dir):
     emitted = st.novelty.select(F.lit("processed").alias("k"), F.lit(-1).alias("w"))
     kinds = (routed.select(F.col("route").alias("k"), F.lit(1).alias("w"))
              .unionByName(emitted)
-             .unionByName(st.dlq.select(F.lit("failed_dlq").alias("k"), F.lit(1).alias("w"))))
+             .unionByName(st.dlq.filter(F.col("stage") == "novelty")
+                          .select(F.lit("failed_dlq").alias("k"), F.lit(1).alias("w"))))
     # ok-routed messages minus the emitted ones are the skipped-without-novelty
     out = kinds.agg(
         F.count_if(F.col("k") == "processed").alias("processed"),
@@ -535,12 +549,21 @@ def q_explored_after_jobs(spark, sf_dir):
     """Exploration timestamps after the top-track (T6) and similar
     jobs ran at the as-of time."""
     st = plays_state(spark, sf_dir)
-    _, after6 = explore_top_tracks(st.artists, p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
-    _, _, _, after7 = expand_similar(after6, p.read_similar_payload(p.similar_payloads(spark, sf_dir)), PLAYS_AS_OF)
-    # artists that existed before the jobs (the expansion also inserts new ones)
-    return after7.join(st.artists.select("id"), "id", "left_semi") \
-        .select("id", "name", F.col("last_explored_at").cast("timestamp_ntz").alias("last_explored_at"),
-                F.col("last_similar_explored_at").cast("timestamp_ntz").alias("last_similar_explored_at"))
+    tops, similar = p.top_track_payloads(spark, sf_dir), p.similar_payloads(spark, sf_dir)
+    _, after6 = explore_top_tracks(st.artists, p.read_top_tracks(tops), PLAYS_AS_OF, answered=tops)
+    # the marks depend on the answers that came, not on what the expansion inserts
+    return mark_similar_explored(after6, similar, PLAYS_AS_OF).select(
+        "id", "name", "last_explored_at", "last_similar_explored_at")
+
+
+@query("dlq_rows")
+def q_dlq_rows(spark, sf_dir):
+    """The dead letters of all stages by reason, read back from their
+    whole payloads."""
+    d = plays_state(spark, sf_dir).dlq
+    seq = F.from_json("original_payload", "seq struct<l_orderkey:long,l_linenumber:int>")["seq"]
+    return d.select("stage", "error_reason", "error_detail", seq["l_orderkey"].alias("order_key"),
+                    seq["l_linenumber"].cast("int").alias("line_number"), "failed_at")
 
 
 @query("breakdown_averages_json")
@@ -559,11 +582,12 @@ def q_history_run_counters(spark, sf_dir):
     """A14 for the history stage: P3/P4 routes of every message, applied
     messages split into inserted (first delivery) and already seen."""
     st = plays_state(spark, sf_dir)
-    routed = route_history(valid_normalized(st.messages).select("track_key", "artist", "title", "played", "seq"))
+    routed = route_history(st.messages.select("track_key", "artist", "title", "played", "seq"))
     first = st.history.select("track_key", F.col("seq").alias("_first"))
     r = routed.join(first, "track_key", "left")
     applied = F.col("route") == "apply"
     return r.agg(F.count_if(applied & (F.col("seq") == F.col("_first"))).alias("inserted"),
                  F.count_if(applied & (F.col("seq") != F.col("_first"))).alias("already_seen"),
                  F.count_if(F.col("route") == "skipped_not_played").alias("skipped"),
+                 F.count_if(F.col("route") == "dropped").alias("dropped"),
                  F.count_if(F.col("route") == "NULL_TRACK_KEY").alias("dlq"))

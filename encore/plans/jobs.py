@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from encore.operators.dedup import similar_dedup
 from encore.operators.enrich import backfill_artist_tags
 from encore.operators.joins import follow_semi
-from encore.plans.lists import status_rank
 from encore.sources.bindings import STATUSES
 
 
@@ -28,14 +27,36 @@ def eligible(artists: DataFrame, ts_col: str, older_than) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T7 similar expansion
-def expand_similar(artists: DataFrame, similar: DataFrame, as_of, hours: int = 24):
+def mark_explored(artists: DataFrame, explored: DataFrame, ts_col: str, now) -> DataFrame:
+    """``ts_col`` := now for the artists whose id is in ``explored``."""
+    x = explored.select(F.col("id").alias("_xid")).distinct().withColumn("_x", F.lit(True))
+    return (artists.join(x, F.col("id") == F.col("_xid"), "left")
+            .withColumn(ts_col, F.when(F.col("_x"), now).otherwise(F.col(ts_col))).drop("_xid", "_x"))
+
+
+def similar_origins(artists: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """The artists whose similar artists are due."""
+    return eligible(artists, "last_similar_explored_at", _ts(as_of) - F.make_interval(hours=F.lit(hours)))
+
+
+def mark_similar_explored(artists: DataFrame, answered: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """U6 after T7: due artists that got an answer (an empty list included)."""
+    due = similar_origins(artists, as_of, hours).join(answered.select(F.col("artist").alias("name")).distinct(),
+                                                      "name", "left_semi")
+    return mark_explored(artists, due, "last_similar_explored_at", _ts(as_of))
+
+
+def expand_similar(artists: DataFrame, similar: DataFrame, as_of, hours: int = 24,
+                   answered: DataFrame | None = None):
     """P15 -> S11 -> D3 -> insert TRACKED / LASTFM_SIMILAR -> P19 events
     -> mark explored. ``similar`` = read_similar_payload output (artist,
     position, name, mbid, match). Origins are processed oldest-explored first
     (never explored on top), then by name; candidates in list order.
-    Returns (outcomes, new_artist_rows, discovery_events, artists_after)."""
+    ``answered`` names the artists whose answer arrived (``similar`` alone
+    does not show empty answers). Returns (outcomes, new_artist_rows,
+    discovery_events, artists_after)."""
     now = _ts(as_of)
-    origins = eligible(artists, "last_similar_explored_at", now - F.make_interval(hours=F.lit(hours)))
+    origins = similar_origins(artists, as_of, hours)
     o = origins.select(F.col("id").alias("origin_artist_id"), F.col("name").alias("origin_artist_name"),
                        "last_similar_explored_at", "name_key")
     cand = (similar.join(o, similar.artist == o.origin_artist_name)
@@ -48,8 +69,8 @@ def expand_similar(artists: DataFrame, similar: DataFrame, as_of, hours: int = 2
     new_rows = inserted.select(
         F.sha2(F.col("name_key"), 256).alias("id"), "name", "name_key", F.lit("TRACKED").alias("status"),
         F.lit(False).alias("high_priority"), "origin_artist_id", F.lit("LASTFM_SIMILAR").alias("source"),
-        F.lit(None).cast("timestamp").alias("last_explored_at"),
-        F.lit(None).cast("timestamp").alias("last_similar_explored_at"),
+        F.lit(None).cast("timestamp_ntz").alias("last_explored_at"),
+        F.lit(None).cast("timestamp_ntz").alias("last_similar_explored_at"),
         F.lit(None).cast("string").alias("spotify_uri"), F.col("mbid").alias("lastfm_mbid"),
         F.lit(0).cast("bigint").alias("play_count"), F.lit(0).cast("bigint").alias("scrobble_count"),
         F.lit(None).cast("array<string>").alias("genres"), now.alias("added_at"))
@@ -57,33 +78,28 @@ def expand_similar(artists: DataFrame, similar: DataFrame, as_of, hours: int = 2
         F.col("name").alias("artist_name"), F.lit("LASTFM_SIMILAR").alias("source"),
         "origin_artist_id", "origin_artist_name", F.col("mbid").alias("lastfm_mbid"))).alias("value"),
         F.col("name").alias("key"))
-    explored = origins.select(F.col("id").alias("_xid"), F.lit(True).alias("_x"))
-    marked = (artists.join(explored, F.col("id") == F.col("_xid"), "left")
-              .withColumn("last_similar_explored_at",
-                          F.when(F.col("_x").isNotNull(), now).otherwise(F.col("last_similar_explored_at")))
-              .drop("_xid", "_x"))
+    marked = mark_similar_explored(artists, similar if answered is None else answered, as_of, hours)
     after = marked.unionByName(new_rows.select(*marked.columns))
     return outcomes, new_rows, events, after
 
 
 # ---------------------------------------------------------------- T6 top-track exploration
-def explore_top_tracks(artists: DataFrame, top_tracks: DataFrame, as_of, days: int = 7):
-    """P14 -> S12 -> P18 raw-track messages -> mark explored (also when
-    the list is empty). Artists without a spotify id produce no messages."""
+def explore_top_tracks(artists: DataFrame, top_tracks: DataFrame, as_of, days: int = 7,
+                       answered: DataFrame | None = None):
+    """P14 -> S12 -> P18 raw-track messages -> mark explored. Artists
+    without a spotify id are skipped; marked are those whose answer arrived
+    (``answered``, an empty list included)."""
     now = _ts(as_of)
-    el = eligible(artists, "last_explored_at", now - F.make_interval(days=F.lit(days)))
-    with_id = el.filter(F.col("spotify_uri").isNotNull())
-    msgs = with_id.join(top_tracks, with_id.name == top_tracks.artist).select(
+    due = eligible(artists, "last_explored_at", now - F.make_interval(days=F.lit(days))) \
+        .filter(F.col("spotify_uri").isNotNull())
+    msgs = due.join(top_tracks, due.name == top_tracks.artist).select(
         F.lit("spotify").alias("source"), F.col("track_artist").alias("artist"),
         F.concat(F.lit("spotify:artist:"), F.col("track_artist_ref")).alias("artist_id"),
         F.concat(F.lit("spotify:track:"), F.col("track_ref")).alias("track_id"),
         "title", "rank",
         F.struct(F.lit("top_tracks").alias("type"), F.col("id").alias("origin_artist_id")).alias("origin"))
-    explored = el.select(F.col("id").alias("_xid"), F.lit(True).alias("_x"))
-    after = (artists.join(explored, F.col("id") == F.col("_xid"), "left")
-             .withColumn("last_explored_at", F.when(F.col("_x").isNotNull(), now).otherwise(F.col("last_explored_at")))
-             .drop("_xid", "_x"))
-    return msgs, after
+    came = (top_tracks if answered is None else answered).select(F.col("artist").alias("name")).distinct()
+    return msgs, mark_explored(artists, due.join(came, "name", "left_semi"), "last_explored_at", now)
 
 
 # ---------------------------------------------------------------- U5 status decisions
@@ -118,18 +134,23 @@ def onboard(artists: DataFrame, followed_names: DataFrame, min_scrobbles: int =
 
 # ---------------------------------------------------------------- backfills U10/U11
 def missing_genres(artists: DataFrame) -> DataFrame:
-    """No genres yet; status rank, then most played first."""
-    return (artists.filter(F.col("genres").isNull() | (F.size("genres") == 0))
-            .orderBy(status_rank("status"), F.col("play_count").desc(), F.col("name_key")))
+    """No genres yet. ``backfill_order`` is the order of work."""
+    return artists.filter(F.col("genres").isNull() | (F.size("genres") == 0))
+
+
+def backfill_order() -> list:
+    """Followed artists first, tracked ones next, all others equal; then most played."""
+    rank = F.when(F.col("status") == "FOLLOWING", 0).when(F.col("status") == "TRACKED", 1).otherwise(2)
+    return [rank, F.col("play_count").desc_nulls_last(), F.col("name_key")]
 
 
 def backfill_genres(artists: DataFrame, artist_tags: DataFrame) -> DataFrame:
     """Genres := backfill tags (count >= 15, then first five) where
     missing and the answer is non-empty; ``outcome`` updated / skipped."""
-    todo = missing_genres(artists).select("id", "name")
+    todo = missing_genres(artists).select("id", "name", "status", "play_count", "name_key")
     tags = artist_tags.select(F.col("artist").alias("_ta"), backfill_artist_tags("tags").alias("_bt"))
     j = todo.join(tags, F.col("name") == F.col("_ta"), "left")
-    return j.select("id", "name", F.when(F.size("_bt") > 0, F.col("_bt")).alias("genres"),
+    return j.orderBy(*backfill_order()).select("id", "name", F.when(F.size("_bt") > 0, F.col("_bt")).alias("genres"),
                     F.when(F.coalesce(F.size("_bt"), F.lit(0)) > 0, F.lit("updated")).otherwise(F.lit("skipped"))
                     .alias("outcome"))
 
@@ -149,15 +170,6 @@ def backfill_entity_ids(artists: DataFrame, resolved: DataFrame) -> DataFrame:
         F.when(F.col("_uri").isNotNull(), F.lit("updated")).otherwise(F.lit("unresolved")).alias("outcome"))
 
 
-def apply_promotions(artists: DataFrame, promotions: DataFrame) -> DataFrame:
-    """U4: TRACKED -> FOLLOWING for the artists W7 promoted."""
-    p = promotions.select(F.col("name_key").alias("_pk"), "promoted_at")
-    return (artists.join(p, F.col("name_key") == F.col("_pk"), "left")
-            .withColumn("status", F.when(F.col("promoted_at").isNotNull() & (F.col("status") == "TRACKED"),
-                                         F.lit("FOLLOWING")).otherwise(F.col("status")))
-            .drop("_pk"))
-
-
 def schema_upgrade(v1: DataFrame) -> DataFrame:
     """v1 history snapshot -> v2 columns (audio features dropped,
     popularity renamed, track popularity added)."""

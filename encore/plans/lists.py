@@ -67,8 +67,9 @@ def list_recommendations(recs: DataFrame, artists: DataFrame, history: DataFrame
     """O2: recommendations JOIN artists, by score DESC then name ASC, with
     evidence keys mapped to readable labels."""
     rows = recommendable(rec_artist(recs, artists), include_following)
-    page_rows = _page(rows, [F.col("score").desc(), F.col("name").asc()], page, page_size)
-    return evidence_labels(page_rows, history)
+    order = [F.col("score").desc(), F.col("name").asc()]
+    # labelling joins and regroups, so the page is put in order again after it
+    return evidence_labels(_page(rows, order, page, page_size), history).orderBy(*order)
 
 
 def recommendation_total(recs: DataFrame, artists: DataFrame, include_following: bool = False) -> DataFrame:

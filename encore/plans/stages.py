@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from encore.functions.scoring import DEFAULT_WEIGHTS, ScoreWeights, artist_score, score_breakdown, valid_ratio
 from encore.operators import ordered
 from encore.operators.joins import artist_lookup
+from encore.plans.normalize import route_history
 
 NOVEL_EVENT_COLUMNS = ["track_key", "artist", "artist_id", "genres", "artist_popularity",
                        "track_popularity", "played_at", "track_is_new", "artist_is_new",
                        "new_genres", "known_genres", "genre_novelty_ratio", "seq"]
 
 
+# plays after which a tracked artist is followed
+AUTO_FOLLOW_PLAYS = 3
+
+
 @dataclass
 class BatchResult:
     history: DataFrame
@@ -62,12 +67,38 @@ def score_events(novel: DataFrame, artists: DataFrame, weights: ScoreWeights = D
             .withColumn("breakdown", score_breakdown(ratio, F.col("artist_popularity"), weights)))
 
 
-def dlq_rows(df: DataFrame, stage: str) -> DataFrame:
-    """Error envelope for rows whose route is an error reason."""
-    return df.filter(~F.col("route").isin("ok", "skipped_pending")).select(
+def _missing(c: str):
+    return F.col(c).isNull() | (F.col(c) == "")
+
+
+# (stage, reason) -> what the envelope says about the row
+DLQ_DETAILS = {
+    ("history", "NULL_TRACK_KEY"): lambda: F.lit("the track key is missing"),
+    ("novelty", "malformed_message"): lambda: F.concat(F.lit("missing: "), F.concat_ws(
+        ", ", *[F.when(_missing(c), F.lit(c)) for c in ("track_key", "artist", "title")],
+        F.when(F.col("pending_enrichment").isNull(), F.lit("pending_enrichment")))),
+    ("novelty", "artist_record_missing"): lambda: F.concat(F.lit("no artist row for "), F.col("artist")),
+    ("scorer", "validation_failed"): lambda: F.coalesce(
+        *[F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in ("track_key", "artist")],
+        F.lit("genre_novelty_ratio is not between 0 and 1")),
+    ("scorer", "artist_not_found"): lambda: F.concat(F.lit("no artist row for "), F.col("artist")),
+}
+NO_ERROR = ("ok", "apply", "dropped", "skipped_pending", "skipped_not_played")
+
+
+def dlq_rows(df: DataFrame, stage: str, payload: list[str] | None = None) -> DataFrame:
+    """Error envelope of the rows whose route is an error reason, with the
+    whole message (``payload`` columns) so that it can be replayed."""
+    payload = payload or [c for c in df.columns if c != "route"]
+    detail = F.lit(None).cast("string")
+    for (at, reason), text in DLQ_DETAILS.items():
+        if at == stage:
+            detail = F.when(F.col("route") == reason, text()).otherwise(detail)
+    return df.filter(~F.col("route").isin(*NO_ERROR)).select(
         F.lit(stage).alias("stage"),
         F.col("route").alias("error_reason"),
-        F.to_json(F.struct(*[c for c in df.columns if c not in ("route", "seq")])).alias("original_payload"),
+        detail.alias("error_detail"),
+        F.to_json(F.struct(*payload)).alias("original_payload"),
         F.col("seq.ts").alias("failed_at"))
 
 
@@ -81,7 +112,7 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
                     weights: ScoreWeights = DEFAULT_WEIGHTS,
                     land: Callable[[str, DataFrame], DataFrame] = keep_lazy,
                     first2_state: tuple[DataFrame, DataFrame] | None = None,
-                    through: str = "recommendations") -> BatchResult:
+                    promote_at: int = AUTO_FOLLOW_PLAYS) -> BatchResult:
     """One batch through T3 (history + artists) -> T4 (novelty) -> T5 (scores).
 
     ``land(name, df)`` materialises a state table and returns what later
@@ -96,8 +127,9 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
     lookups touch only this batch's keys. ``BatchResult.history`` is then the
     lazy union of the previous and the new rows.
 
-    ``through="artists"`` stops after T3 (history and artists only), for
-    readers that need nothing else, like the reference's history statistics.
+    Artists that a message of this batch promotes (W7/U4) are landed as
+    FOLLOWING: the promotion is part of the novelty stage and reads only the
+    counters, so it is applied before the one write of the artist table.
     """
     batch_first = ordered.first_seen_history(messages)
     if history_state is None:
@@ -119,9 +151,9 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
         prev_artist_rows, prev_genre_rows = first2_state
 
     counters = ordered.artist_counters(messages, inserted)
-    artists = land("artists", ordered.upsert_artists(artists_state, counters))
-    if through == "artists":
-        return BatchResult(history, artists, None, None, None, None, None)
+    upserted = ordered.upsert_artists(artists_state, counters)
+    promoted = ordered.auto_promotions(messages, ordered.counts_before(artists_state, counters), promote_at)
+    artists = land("artists", ordered.apply_promotions(upserted, promoted).drop("promoted_at"))
 
     new_artist_rows = ordered.artist_rows(inserted)
     new_genre_rows = ordered.genre_rows(inserted)
@@ -143,7 +175,7 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
     scored = land("scored", score_events(novel_events.select(*NOVEL_EVENT_COLUMNS), artists, weights))
     recs = land("recommendations",
                 ordered.best_score_with_evidence(scored.filter(F.col("route") == "ok"), recs_state))
-    dlq = land("dlq", dlq_rows(routed.select("route", "seq", "track_key", "artist", "title"), "novelty")
-               .unionByName(dlq_rows(scored.select("route", "seq", "track_key", "artist"), "scorer"),
-                            allowMissingColumns=True))
+    dlq = land("dlq", dlq_rows(route_history(messages), "history", messages.columns)
+               .unionByName(dlq_rows(routed, "novelty", messages.columns))
+               .unionByName(dlq_rows(scored, "scorer", NOVEL_EVENT_COLUMNS)))
     return BatchResult(history, artists, judged, novel_events, scored, recs, dlq)

@@ -69,7 +69,8 @@ def weekly_discoveries(artists: DataFrame, as_of, num_weeks: int = 12) -> DataFr
     monday = F.to_date(F.date_trunc("week", now))
     spine = _spine(F.date_sub(monday, 7 * (num_weeks - 1)), monday, "WEEK", "week_start", artists.sparkSession)
     return (F.broadcast(spine).join(weekly, "week_start", "left")
-            .select("week_start", F.coalesce("new_artists", F.lit(0)).cast("bigint").alias("new_artists")))
+            .select("week_start", F.coalesce("new_artists", F.lit(0)).cast("bigint").alias("new_artists"))
+            .orderBy("week_start"))
 
 
 def _day_spine(now: F.Column, days: int, spark) -> DataFrame:
@@ -89,7 +90,7 @@ def novelty_ratio(history: DataFrame, artists: DataFrame, as_of, days: int = 30)
     spine = _day_spine(now, days, history.sparkSession)
     ratio = F.when(F.col("total_plays") > 0, F.col("novel_plays") / F.col("total_plays")).otherwise(0.0)
     return (F.broadcast(spine).join(daily, "day", "left")
-            .select("day", F.coalesce(ratio, F.lit(0.0)).alias("ratio")))
+            .select("day", F.coalesce(ratio, F.lit(0.0)).alias("ratio")).orderBy("day"))
 
 
 def artist_sources(artists: DataFrame, top_n: int = 10) -> DataFrame:
@@ -202,7 +203,3 @@ def source_share(artists: DataFrame) -> DataFrame:
     top = artist_sources(artists)  # at most 10 rows: a global window over them is safe
     total = F.sum("count").over(Window.partitionBy())
     return top.select("source", "count", F.round(F.col("count") * 100 / total).cast("bigint").alias("pct"))
-
-
-def recommendable_count(recs: DataFrame, artists: DataFrame) -> DataFrame:
-    return recommendable(rec_artist(recs, artists)).agg(F.count(F.lit(1)).alias("total"))

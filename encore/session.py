@@ -50,17 +50,16 @@ def apply_defaults(spark: SparkSession) -> None:
     for k, v in DEFAULT_CONF.items():
         if k.startswith("spark.ui"):
             continue
-        try:
+        if spark.conf.isModifiable(k):  # static settings of an existing session stay
             spark.conf.set(k, v)
-        except Exception:  # static conf on an existing session
-            pass
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a private scratch folder is made.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder and is
+    used as is. Only in local mode, where driver and executors are one
+    process, an unset folder is replaced by a scratch one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -69,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="encore-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured

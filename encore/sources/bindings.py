@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.functions.text import case_fold_key, normalize_text, track_key, track_key_of_normalized
-from encore.sources.tables import read_table, spread
+from encore.sources.tables import read_table
 
 # --- Fixed values of the binding ----------------------------------------------
 # Lifecycle statuses, in their display rank.
@@ -45,11 +45,11 @@ def spotify_uri(kind: str, key) -> F.Column:
 
 
 def enriched_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x part x supplier as enriched play messages."""
-    # the play log feeds several stages with per-row work: spread a scan with
-    # fewer splits than cores (measured: faster build); a no-op at scale
-    li = spread(read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"))
+    """lineitem x part x supplier as enriched play messages. A fixed share of
+    the orders carries the messages that must not pass: without a track key
+    (order key divisible by 97), without a title (101), not enriched (89)."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
     # text normalisation runs once per part / supplier, before the join
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size") \
         .withColumn("p_norm", normalize_text("p_name")).withColumn("p_uri", spotify_uri("track", F.col("p_partkey")))
@@ -60,10 +60,10 @@ def enriched_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         F.struct(F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber",
                  "l_partkey", "l_suppkey").alias("seq"),
-        track_key_of_normalized("s_norm", "p_norm").alias("track_key"),
+        F.when(F.col("l_orderkey") % 97 != 0, track_key_of_normalized("s_norm", "p_norm")).alias("track_key"),
         F.col("s_name").alias("artist"),
         case_fold_key(F.col("s_name")).alias("artist_key"),
-        F.col("p_name").alias("title"),
+        F.when(F.col("l_orderkey") % 101 != 0, F.col("p_name")).alias("title"),
         F.col("s_uri").alias("artist_id"),
         F.col("p_uri").alias("track_id"),
         F.array(F.lower("p_type"), F.lower("p_brand")).alias("genres"),
@@ -72,8 +72,8 @@ def enriched_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         source.alias("source"),
         (source == "lastfm").alias("played"),
         F.col("l_shipdate").alias("played_at"),
-        F.lit("spotify").alias("enrichment_source"),
-        F.lit(False).alias("pending_enrichment"),
+        F.when(F.col("l_orderkey") % 89 == 0, F.lit("pending")).otherwise(F.lit("spotify")).alias("enrichment_source"),
+        (F.col("l_orderkey") % 89 == 0).alias("pending_enrichment"),
     )
 
 

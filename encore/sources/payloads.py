@@ -76,10 +76,15 @@ def play_page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_play_pages(pages: DataFrame) -> DataFrame:
-    """One row per track of every page (object-or-array coerced)."""
-    raw = F.get_json_object("value", "$.recenttracks.track")
-    as_array = F.when(F.ltrim(raw).startswith("{"), F.concat(F.lit("["), raw, F.lit("]"))).otherwise(raw)
-    return pages.select(F.explode(F.from_json(as_array, T.ArrayType(PLAY_TRACK))).alias("t"))
+    """One row per track of every page (object-or-array coerced): the
+    typed track ``t``, its whole text ``raw`` (fields outside the type
+    included) and the page count the service reports."""
+    body = F.get_json_object("value", "$.recenttracks.track")
+    as_array = F.when(F.ltrim(body).startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    texts = F.transform(F.from_json(as_array, T.ArrayType(T.VariantType())), lambda v: F.to_json(v))
+    total = F.get_json_object("value", "$.recenttracks['@attr'].totalPages").try_cast("int")
+    each = F.explode(F.arrays_zip(F.from_json(as_array, T.ArrayType(PLAY_TRACK)).alias("t"), texts.alias("raw")))
+    return pages.select(total.alias("total_pages"), each.alias("e")).select("e.t", "e.raw", "total_pages")
 
 
 def raw_plays(tracks: DataFrame) -> DataFrame:
@@ -97,7 +102,7 @@ def raw_plays(tracks: DataFrame) -> DataFrame:
         F.timestamp_seconds(t["date"]["uts"].cast("long")).cast("timestamp_ntz").alias("played_at"),
         F.when(mbid.isNotNull(), F.create_map(F.lit("lastfm_mbid"), mbid))
         .otherwise(F.create_map().cast("map<string,string>")).alias("external_ids"),
-        F.to_json(t).alias("raw"))
+        F.col("raw"))
 
 
 # ---------------------------------------------------------------- tags
@@ -205,7 +210,3 @@ def read_followed(payloads: DataFrame) -> DataFrame:
     return (payloads.select(F.explode(names).alias("i"))
             .select(F.lower(F.col("i.name")).alias("name"))
             .filter(F.col("name").isNotNull() & (F.col("name") != "")).distinct())
-
-
-def entity_uri(kind: str, key) -> F.Column:
-    return spotify_uri(kind, key)

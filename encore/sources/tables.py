@@ -6,8 +6,6 @@ Catalyst prunes columns and pushes filters into the scan.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -19,16 +17,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores
-    (e.g. one large parquet row group) before per-row work; a real input has
-    far more splits than cores and passes through unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if os.environ.get("ENCORE_NO_SPREAD") or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def read_jdbc_table(spark: SparkSession, url: str, table: str, properties: dict | None = None,
                     partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
                     num_partitions: int | None = None) -> DataFrame:

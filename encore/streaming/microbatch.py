@@ -77,7 +77,7 @@ def parse_topic(raw: DataFrame, schema) -> tuple[DataFrame, DataFrame]:
     ok = parsed.filter(~broken).select("m.*").drop("_corrupt_record")
     bad = parsed.filter(broken).select(
         F.lit("malformed_message").alias("error_reason"),
-        F.substring(F.col("value"), 1, 4096).alias("original_payload"))
+        F.col("value").alias("original_payload"))
     return ok, bad
 
 

@@ -16,8 +16,16 @@ from encore.sources import bindings
 def simulate(messages, artists_hp):
     """Sequential reference semantics over messages sorted by seq."""
     history = {}  # track_key -> (artist_key, set(genres), seq)
-    novel, recs = [], {}
+    novel, recs, plays, followed = [], {}, {}, set()
     for m in messages:
+        applied = m.played and None not in (m.track_key, m.artist, m.title)
+        plays[m.artist_key] = plays.get(m.artist_key, 0) + applied
+        if not (m.track_key and m.artist and m.title) or m.pending_enrichment:
+            if applied:
+                history.setdefault(m.track_key, (m.artist_key, set(m.genres or []), m.seq))
+            continue
+        if plays[m.artist_key] >= 3:
+            followed.add(m.artist_key)
         clean = [g for g in (m.genres or []) if g is not None and g != ""]
         others = [h for t, h in history.items() if t != m.track_key]
         artist_new = not any(h[0] == m.artist_key for h in others)
@@ -36,9 +44,9 @@ def simulate(messages, artists_hp):
                 cur[0] = score
                 if m.track_key not in cur[1]:
                     cur[1].append(m.track_key)
-        if m.played and m.track_key not in history:
+        if applied and m.track_key not in history:
             history[m.track_key] = (m.artist_key, set(m.genres or []), m.seq)
-    return novel, recs
+    return novel, recs, followed
 
 
 def test_pipeline_matches_sequential_simulation(spark):
@@ -46,13 +54,19 @@ def test_pipeline_matches_sequential_simulation(spark):
     base = bindings.base_artists(spark, SF0001)
     rows = sorted(msgs.collect(), key=lambda r: tuple(r.seq))
     hp = {r.name_key: r.high_priority for r in base.collect()}
-    novel, recs = simulate(rows, hp)
+    novel, recs, followed = simulate(rows, hp)
 
     res = discovery_batch(msgs, base)
     got = {(r.track_key, tuple(r.seq), r.artist_is_new, r.track_is_new, tuple(r.new_genres))
            for r in res.novel_events.collect()}
     assert got == {(t, tuple(s), a, tr, n) for t, s, a, tr, n in novel}
 
+    # tracked artists are followed once a usable message sees three plays
+    status = {r.name_key: r.status for r in res.artists.collect()}
+    for r in base.collect():
+        want = "FOLLOWING" if r.status == "TRACKED" and r.name_key in followed else r.status
+        assert status[r.name_key] == want
+
     names = {r.id: r.name_key for r in base.collect()}
     got_recs = {names[r.artist_id]: (r.score, list(r.evidence_tracks)) for r in res.recommendations.collect()}
     assert set(got_recs) == set(recs)
@@ -152,11 +166,17 @@ def test_hot_artist_holding_a_third_of_the_log(spark):
     rows = sorted(skewed.collect(), key=lambda r: tuple(r.seq))
     assert sum(r.artist_key == "supplier#000000001" for r in rows) * 3 >= len(rows)
     hp = {r.name_key: r.high_priority for r in base.collect()}
-    novel, recs = simulate(rows, hp)
+    novel, recs, followed = simulate(rows, hp)
     res = discovery_batch(skewed, base)
     got = {(r.track_key, tuple(r.seq), r.artist_is_new, r.track_is_new, tuple(r.new_genres))
            for r in res.novel_events.collect()}
     assert got == {(t, tuple(s), a, tr, n) for t, s, a, tr, n in novel}
+    # tracked artists are followed once a usable message sees three plays
+    status = {r.name_key: r.status for r in res.artists.collect()}
+    for r in base.collect():
+        want = "FOLLOWING" if r.status == "TRACKED" and r.name_key in followed else r.status
+        assert status[r.name_key] == want
+
     names = {r.id: r.name_key for r in base.collect()}
     got_recs = {names[r.artist_id]: (r.score, list(r.evidence_tracks)) for r in res.recommendations.collect()}
     assert {k: (pytest.approx(v[0]), v[1]) for k, v in recs.items()} == got_recs

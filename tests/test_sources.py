@@ -1,6 +1,8 @@
 """Payload readers on hand-written JSON (cases the reference pins)."""
 
 
+import json
+
 from encore.sources import payloads as p
 
 
@@ -22,6 +24,15 @@ def test_single_track_page_object_is_coerced(spark):
     assert dict(plays["U"].external_ids) == {"lastfm_mbid": "m-1"}
 
 
+def test_raw_keeps_fields_outside_the_type(spark):
+    page = ('{"recenttracks":{"@attr":{"totalPages":"7"},"track":[{"artist":{"#text":"B"},"name":"U",'
+            '"album":{"#text":"Al"},"url":"http://x","date":{"uts":"0"}}]}}')
+    row = p.read_play_pages(spark.createDataFrame([(page,)], "value string"))
+    assert row.first().total_pages == 7
+    raw = json.loads(p.raw_plays(row).first().raw)
+    assert raw["album"] == {"#text": "Al"} and raw["url"] == "http://x"
+
+
 def test_tag_payload_errors_become_empty(spark):
     df = spark.createDataFrame([('{"error": 6}',), ('{"toptags":{"tag":[{"name":"Rock","count":"12"}]}}',),
                                 ("garbage",), ('{"toptags":{}}',)], "payload string")

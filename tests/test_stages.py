@@ -1,6 +1,7 @@
 """Routing, enrichment, paging and upsert cases on hand-written rows."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +9,12 @@ from pyspark.sql import functions as F
 from encore.operators.enrich import enrich
 from encore.operators.ordered import artist_counters, first_seen_history, upsert_artists
 from encore.plans.build import empty_artists
-from encore.plans.jobs import schema_upgrade
-from encore.plans.lists import check_paging, page_count, status_filters
+from encore.plans.jobs import backfill_genres, explore_top_tracks, mark_similar_explored, schema_upgrade
+from encore.plans.lists import check_paging, list_recommendations, page_count, status_filters
 from encore.plans.normalize import route_history, valid_raw
-from encore.plans.stages import route_novelty, score_events
+from encore.plans.stages import discovery_batch, dlq_rows, route_novelty, score_events
+from encore.sources import bindings
+from encore.functions.text import is_valid_text
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -136,3 +139,82 @@ def test_schema_upgrade(spark):
     v1 = spark.createDataFrame([("k", 12, "x")], "track_key string, popularity int, audio_features string")
     v2 = schema_upgrade(v1)
     assert v2.columns == ["track_key", "artist_popularity", "track_popularity"]
+
+
+def test_dead_letters_keep_the_whole_message(spark):
+    rows = [msg(1, None, "Known", "t", ["rock"]), msg(2, "k2", "Known", None), msg(3, "k3", "Known", "t", pending=True)]
+    m = spark.createDataFrame(rows, MSG_SCHEMA)
+    m = m.withColumn("seq", F.struct(F.col("played_at").alias("ts"), F.col("seq.i").alias("i")))
+    history = dlq_rows(route_history(m), "history", m.columns).collect()
+    assert [(r.error_reason, r.error_detail) for r in history] == [("NULL_TRACK_KEY", "the track key is missing")]
+    sent = json.loads(history[0].original_payload)
+    assert sent["artist"] == "Known" and sent["genres"] == ["rock"] and sent["seq"]["i"] == 1
+    routed = route_novelty(m, spark.createDataFrame([("known",)], "name_key string"))
+    got = {json.loads(r.original_payload)["seq"]["i"]: r.error_detail for r in dlq_rows(routed, "novelty", m.columns).collect()}
+    assert got == {1: "missing: track_key", 2: "missing: title"}
+    # a letter can be replayed: its payload reads back as the message
+    again = spark.createDataFrame([(history[0].original_payload,)], "v string").select(
+        F.from_json("v", m.schema).alias("m")).select("m.*")
+    assert again.first().artist_popularity == 50 and again.first().genres == ["rock"]
+
+
+def test_recommendations_come_in_order(spark):
+    n = 60
+    recs = spark.createDataFrame([(f"id{i}", (i * 37 % 11) / 11, (0.1, 0.2), ["k1", f"k{i}"], T0) for i in range(n)],
+                                 "artist_id string, score double, score_breakdown struct<genre_novelty:double,"
+                                 "popularity_norm:double>, evidence_tracks array<string>, updated_at timestamp")
+    artists = spark.createDataFrame([(f"id{i}", f"name{i:03d}", f"name{i:03d}", "TRACKED", False, ["g"], None)
+                                     for i in range(n)], "id string, name string, name_key string, status string, "
+                                    "high_priority boolean, genres array<string>, spotify_uri string")
+    history = spark.createDataFrame([("k1", "A", "T")], "track_key string, artist string, title string")
+    for join in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", join)
+        first = list_recommendations(recs, artists, history, 1, 25).collect()
+        second = list_recommendations(recs, artists, history, 2, 25).collect()
+        got = [(-r.score, r.name) for r in first + second]
+        assert got == sorted(got) and len(got) == 50
+        assert all(r.evidence_labels[0] == "A — T" for r in first)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def artists_due(spark):
+    rows = [("id1", "a", "FOLLOWING", "spotify:artist:x", 5), ("id2", "b", "FOLLOWING", None, 9),
+            ("id3", "c", "FOLLOWING", "spotify:artist:z", 1), ("id4", "d", "TRACKED", "spotify:artist:w", 7),
+            ("id5", "e", "PUBLISHED", None, 99), ("id6", "f", "FOLLOWING", "spotify:artist:v", 0)]
+    df = spark.createDataFrame(rows, "id string, name string, status string, spotify_uri string, play_count long")
+    return df.select("*", F.col("name").alias("name_key"), F.lit(None).cast("timestamp_ntz").alias("last_explored_at"),
+                     F.lit(None).cast("timestamp_ntz").alias("last_similar_explored_at"),
+                     F.lit(None).cast("array<string>").alias("genres"))
+
+
+def test_only_answered_artists_are_marked(spark):
+    a = artists_due(spark)
+    tops = spark.createDataFrame([("a", "A", "ref", "t", "title", 1)],
+                                 "artist string, track_artist string, track_artist_ref string, track_ref string, "
+                                 "title string, rank int")
+    answered = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "artist string")
+    _, after = explore_top_tracks(a, tops, "2024-01-01 00:00:00", answered=answered)
+    # b has no id, d is not followed, f got no answer, c an empty one
+    assert {r.id for r in after.filter("last_explored_at is not null").collect()} == {"id1", "id3"}
+    after = mark_similar_explored(a, answered, "2024-01-01 00:00:00")
+    assert {r.id for r in after.filter("last_similar_explored_at is not null").collect()} == {"id1", "id2", "id3"}
+    assert dict(after.dtypes)["last_similar_explored_at"] == "timestamp_ntz"
+
+
+def test_backfill_order(spark):
+    tags = spark.createDataFrame([("a", [("Rock", 20)])], "artist string, tags array<struct<name:string,count:int>>")
+    got = [r.name for r in backfill_genres(artists_due(spark), tags).collect()]
+    assert got == ["b", "a", "c", "f", "d", "e"]
+
+
+def test_blank_is_unicode_blank(spark):
+    rows = [("\t\n",), ("\u00a0",), ("\u3000 ",), ("a\u00a0",), (None,)]
+    got = [r.ok for r in spark.createDataFrame(rows, "v string").select(is_valid_text("v").alias("ok")).collect()]
+    assert got == [False, False, False, True, False]
+
+
+def test_events_run_to_recommendations(spark):
+    from conftest import SF0001
+    res = discovery_batch(bindings.event_plays(spark, SF0001), empty_artists(spark))
+    assert res.recommendations.count() > 0 and res.novel_events.count() > 0
+    assert res.artists.filter("status = 'FOLLOWING'").count() > 0

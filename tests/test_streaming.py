@@ -29,7 +29,7 @@ def _chunks(msgs):
 
 def _snap(res_hist, res_art, res_recs):
     h = sorted((r.track_key, tuple(r.seq)) for r in res_hist.collect())
-    a = sorted((r.name_key, r.play_count, r.scrobble_count, tuple(r.genres or []), r.spotify_uri)
+    a = sorted((r.name_key, r.status, r.play_count, r.scrobble_count, tuple(r.genres or []), r.spotify_uri)
                for r in res_art.collect())
     rc = sorted((r.artist_id, round(r.score, 9), tuple(r.evidence_tracks)) for r in res_recs.collect())
     return h, a, rc
