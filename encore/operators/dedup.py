@@ -33,23 +33,25 @@ def similar_dedup(candidates: DataFrame, artists: DataFrame) -> DataFrame:
     marked = (cand.join(known_mbid, "mbid", "left").join(known_name, "name_key", "left"))
     pre_skipped = marked.filter(F.col("_km").isNotNull()).drop("_km", "_kn").withColumn("outcome", F.lit("skipped"))
     pre_conflict = marked.filter(F.col("_km").isNull() & F.col("_kn").isNotNull()).drop("_km", "_kn")
-    remaining = marked.filter(F.col("_km").isNull() & F.col("_kn").isNull()).drop("_km", "_kn").checkpoint()
+    remaining = marked.filter(F.col("_km").isNull() & F.col("_kn").isNull()).drop("_km", "_kn")
 
     accepted_parts = []
-    while not remaining.isEmpty():    # every round accepts the first remaining candidate at least
+    while True:
+        # one job per round: every row that is left, with whether it is accepted now
         by_name = _min_ord(remaining, "name_key", "_fn")
         by_mbid = _min_ord(remaining, "mbid", "_fm")
-        flagged = remaining.join(by_name, "name_key", "left").join(by_mbid, "mbid", "left")
-        acc = flagged.filter((F.col("ord") == F.col("_fn")) &
-                             (F.col("mbid").isNull() | (F.col("ord") == F.col("_fm")))).drop("_fn", "_fm")
-        acc = acc.checkpoint()
+        first = (F.col("ord") == F.col("_fn")) & (F.col("mbid").isNull() | (F.col("ord") == F.col("_fm")))
+        judged = (remaining.join(by_name, "name_key", "left").join(by_mbid, "mbid", "left")
+                  .withColumn("_acc", F.coalesce(first, F.lit(False))).drop("_fn", "_fm").checkpoint())
+        if judged.isEmpty():
+            break                     # every round accepts the first remaining candidate at least
+        acc = judged.filter("_acc").drop("_acc")
         accepted_parts.append(acc)
-        taken_names = acc.select("name_key").withColumn("_tn", F.lit(True))
-        taken_mbids = acc.filter(F.col("mbid").isNotNull()).select("mbid").withColumn("_tm", F.lit(True))
-        remaining = (remaining.join(acc.select("ord"), "ord", "left_anti")
+        taken_names = acc.select("name_key").distinct().withColumn("_tn", F.lit(True))
+        taken_mbids = acc.filter(F.col("mbid").isNotNull()).select("mbid").distinct().withColumn("_tm", F.lit(True))
+        remaining = (judged.filter(~F.col("_acc")).drop("_acc")
                      .join(taken_names, "name_key", "left").join(taken_mbids, "mbid", "left")
-                     .filter(F.col("_tn").isNull() & F.col("_tm").isNull())
-                     .drop("_tn", "_tm").checkpoint())
+                     .filter(F.col("_tn").isNull() & F.col("_tm").isNull()).drop("_tn", "_tm"))
 
     accepted = (accepted_parts[0] if accepted_parts else
                 marked.filter(F.lit(False)).drop("_km", "_kn"))

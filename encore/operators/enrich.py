@@ -68,16 +68,16 @@ def enrich(normalized: DataFrame, artist_meta: DataFrame, track_meta: DataFrame,
     popularity)``, ``artist_tags(artist, tags)``, ``track_tags(artist, title, tags)``
     where tags are arrays of struct<name,count> in service order."""
     am = (artist_meta.groupBy(F.col("artist_ref").alias("_aref"))
-          .agg(F.min_by(F.struct(F.col("genres").alias("g"), F.col("popularity").alias("p")), F.col("artist_ref"))
-               .alias("_am"))
+          .agg(F.min(F.struct(F.col("popularity").alias("p"), F.col("genres").alias("g"))).alias("_am"))
           .select("_aref", F.lit(True).alias("_ahit"), F.col("_am.g").alias("_meta_genres"),
                   F.col("_am.p").alias("_apop")))
     tm = (track_meta.groupBy(F.col("track_ref").alias("_tref"))
           .agg(F.min(F.col("popularity")).alias("_tpop")).withColumn("_thit", F.lit(True)))
-    at = artist_tags.select(F.col("artist").alias("_at_artist"),
-                            enrichment_artist_tags("tags").alias("_atags")).dropDuplicates(["_at_artist"])
-    tt = track_tags.select(F.col("artist").alias("_tt_artist"), F.col("title").alias("_tt_title"),
-                           track_tag_names("tags").alias("_ttags")).dropDuplicates(["_tt_artist", "_tt_title"])
+    # of several answers for a key the least list counts
+    at = (artist_tags.groupBy(F.col("artist").alias("_at_artist"))
+          .agg(F.min(enrichment_artist_tags("tags")).alias("_atags")))
+    tt = (track_tags.groupBy(F.col("artist").alias("_tt_artist"), F.col("title").alias("_tt_title"))
+          .agg(F.min(track_tag_names("tags")).alias("_ttags")))
     ids = (F.col("artist_id").isNotNull() & (F.col("artist_id") != "") &
            F.col("track_id").isNotNull() & (F.col("track_id") != ""))
     j = (normalized

@@ -153,7 +153,7 @@ def _seen_before_by_other(own_seq, own_track) -> F.Column:
 
 def novelty_signals(messages: DataFrame, history: DataFrame | None = None, *,
                     f2_artist: DataFrame | None = None, f2_genre: DataFrame | None = None,
-                    track_first: DataFrame | None = None) -> DataFrame:
+                    track_first: DataFrame | None = None, land=lambda name, df: df) -> DataFrame:
     """W1 (J3+J4+J5+F8+P8): novelty of each message against the history rows
     strictly before it.
 
@@ -161,6 +161,9 @@ def novelty_signals(messages: DataFrame, history: DataFrame | None = None, *,
     another track key. A genre is new when no earlier history row of another
     track contains it. track_is_new: the track's first history row is not
     earlier than the message. Duplicates and order of the genre list are kept.
+
+    ``land`` writes the (message, new genres) hits: their measured size lets
+    the join back be a broadcast while they are few, and a shuffle join beyond.
     """
     if history is not None:
         hist = history.select("track_key", "artist_key", "genres", "seq")
@@ -179,11 +182,12 @@ def novelty_signals(messages: DataFrame, history: DataFrame | None = None, *,
          .join(track_first, "track_key", "left")
          .withColumn("track_is_new", F.col("track_seq").isNull() | (F.col("track_seq") >= F.col("seq")))
          .drop("track_seq"))
-    hits = (m.select("seq", "track_key", F.posexplode("genres").alias("pos", "genre"))
-            .join(f2_genre, "genre", "left")
-            .filter(~_seen_before_by_other(F.col("seq"), F.col("track_key")))
-            .groupBy("seq")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "genre"))).alias("_ng")))
+    hits = land("genre_hits", (
+        m.select("seq", "track_key", F.posexplode("genres").alias("pos", "genre"))
+        .join(f2_genre, "genre", "left")
+        .filter(~_seen_before_by_other(F.col("seq"), F.col("track_key")))
+        .groupBy("seq")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "genre"))).alias("_ng"))))
     return (m.join(hits, "seq", "left")
             .withColumn("new_genres", F.coalesce(F.transform("_ng", lambda x: x["genre"]),
                                                  F.array().cast("array<string>")))

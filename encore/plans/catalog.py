@@ -20,7 +20,9 @@ from encore.operators.enrich import (backfill_artist_tags, bare_entity_id, enric
 from encore.operators.joins import artist_detail, artist_origin, rec_artist
 from encore.operators.ordered import auto_promotions, novelty_signals
 from encore.plans.jobs import (apply_status_decisions, backfill_entity_ids, backfill_genres, expand_similar,
-                               explore_top_tracks, mark_similar_explored, onboard)
+                               explore_top_tracks, mark_similar_explored, onboard, replay_scores,
+                               similar_candidates_judged)
+from encore.functions.scoring import ScoreWeights
 from encore.plans.normalize import normalize_stage, route_history
 from encore.plans.stages import route_novelty
 from encore.sources import bindings as b, payloads as p
@@ -130,6 +132,27 @@ def q_scored_events(spark, sf_dir):
                             r6("breakdown.popularity_norm").alias("popularity_norm"))
 
 
+@query("scorer_run_counters")
+def q_scorer_run_counters(spark, sf_dir):
+    """A14 for the scorer: events by route, and the artists they scored."""
+    st = plays_state(spark, sf_dir)
+    return st.scored.agg(F.count_if(F.col("route") == "ok").alias("scored"),
+                         F.count_if(F.col("route") == "validation_failed").alias("invalid"),
+                         F.count_if(F.col("route") == "artist_not_found").alias("not_found"),
+                         F.count_distinct(F.when(F.col("route") == "ok", F.col("rec_artist_id"))).alias("artists"))
+
+
+@query("replay_recommendations")
+def q_replay_recommendations(spark, sf_dir):
+    """The landed novel events scored again with other weights."""
+    st = plays_state(spark, sf_dir)
+    again = replay_scores(st.novelty, st.artists, ScoreWeights(0.5, 0.5, 1.1))
+    return again.select("artist_id", r6("score").alias("score"),
+                        r6("score_breakdown.genre_novelty").alias("genre_novelty"),
+                        r6("score_breakdown.popularity_norm").alias("popularity_norm"),
+                        joined("evidence_tracks").alias("evidence_tracks"))
+
+
 @query("best_score_with_evidence")
 def q_best_scores(spark, sf_dir):
     st = plays_state(spark, sf_dir)
@@ -342,20 +365,32 @@ def q_incremental_pull(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- artist jobs
+def similar_outcomes(spark, sf_dir, st):
+    """The expansion's outcomes, judged once per state for all its readers."""
+    return st.shared("similar_outcomes", lambda: similar_candidates_judged(
+        st.artists, p.read_similar_payload(p.similar_payloads(spark, sf_dir)), PLAYS_AS_OF))
+
+
 @query("similar_expansion")
 def q_similar_expansion(spark, sf_dir):
     st = plays_state(spark, sf_dir)
-    outcomes, _, _, _ = expand_similar(st.artists, p.read_similar_payload(p.similar_payloads(spark, sf_dir)),
-                                       PLAYS_AS_OF)
-    return outcomes.select("origin_artist_name", "position", "name", "mbid", "outcome")
+    return similar_outcomes(spark, sf_dir, st).select("origin_artist_name", "position", "name", "mbid", "outcome")
+
+
+@query("expansion_run_counters")
+def q_expansion_run_counters(spark, sf_dir):
+    """A14 for the expansion job: candidates by outcome."""
+    st = plays_state(spark, sf_dir)
+    return similar_outcomes(spark, sf_dir, st).groupBy("outcome").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 @query("discovered_from")
 def q_discovered_from(spark, sf_dir):
     """Artists discovered through similar expansion with their origin."""
     st = plays_state(spark, sf_dir)
-    _, _, _, after = expand_similar(st.artists, p.read_similar_payload(p.similar_payloads(spark, sf_dir)),
-                                    PLAYS_AS_OF)
+    similar = p.similar_payloads(spark, sf_dir)
+    _, _, _, after = expand_similar(st.artists, p.read_similar_payload(similar), PLAYS_AS_OF, answered=similar,
+                                    outcomes=similar_outcomes(spark, sf_dir, st))
     found = artist_origin(after.filter(F.col("source") == "LASTFM_SIMILAR"), after)
     return found.select("name", "origin_artist_name", "added_at").orderBy(F.col("added_at").desc(), "name")
 

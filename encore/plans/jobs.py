@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from encore.operators.dedup import similar_dedup
 from encore.operators.enrich import backfill_artist_tags
 from encore.operators.joins import follow_semi
+from encore.operators.ordered import best_score_with_evidence
+from encore.functions.scoring import ScoreWeights
+from encore.plans.stages import NOVEL_EVENT_COLUMNS, score_events
 from encore.sources.bindings import STATUSES
 
 
@@ -46,25 +49,32 @@ def mark_similar_explored(artists: DataFrame, answered: DataFrame, as_of, hours:
     return mark_explored(artists, due, "last_similar_explored_at", _ts(as_of))
 
 
+def similar_candidates_judged(artists: DataFrame, similar: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """D3 over the answers of the due artists: every candidate with its outcome."""
+    o = similar_origins(artists, as_of, hours).select(
+        F.col("id").alias("origin_artist_id"), F.col("name").alias("origin_artist_name"),
+        "last_similar_explored_at", "name_key")
+    cand = (similar.join(o, similar.artist == o.origin_artist_name)
+            .withColumn("ord", F.struct(F.col("last_similar_explored_at").isNotNull().alias("_e"),
+                                        F.col("last_similar_explored_at").alias("_t"),
+                                        F.col("name_key").alias("_k"), F.col("position").alias("_p")))
+            .select("ord", "origin_artist_id", "origin_artist_name", "position", "name", "mbid", "match"))
+    return similar_dedup(cand, artists)
+
+
 def expand_similar(artists: DataFrame, similar: DataFrame, as_of, hours: int = 24,
-                   answered: DataFrame | None = None):
+                   answered: DataFrame | None = None, outcomes: DataFrame | None = None):
     """P15 -> S11 -> D3 -> insert TRACKED / LASTFM_SIMILAR -> P19 events
     -> mark explored. ``similar`` = read_similar_payload output (artist,
     position, name, mbid, match). Origins are processed oldest-explored first
     (never explored on top), then by name; candidates in list order.
     ``answered`` names the artists whose answer arrived (``similar`` alone
-    does not show empty answers). Returns (outcomes, new_artist_rows,
-    discovery_events, artists_after)."""
+    does not show empty answers); ``outcomes`` are those already judged for
+    the same state. Returns (outcomes, new_artist_rows, discovery_events,
+    artists_after)."""
     now = _ts(as_of)
-    origins = similar_origins(artists, as_of, hours)
-    o = origins.select(F.col("id").alias("origin_artist_id"), F.col("name").alias("origin_artist_name"),
-                       "last_similar_explored_at", "name_key")
-    cand = (similar.join(o, similar.artist == o.origin_artist_name)
-            .withColumn("ord", F.struct(F.col("last_similar_explored_at").isNotNull().alias("_e"),
-                                        F.col("last_similar_explored_at").alias("_t"),
-                                        F.col("name_key").alias("_k"), F.col("position").alias("_p")))
-            .select("ord", "origin_artist_id", "origin_artist_name", "position", "name", "mbid", "match"))
-    outcomes = similar_dedup(cand, artists)
+    if outcomes is None:
+        outcomes = similar_candidates_judged(artists, similar, as_of, hours)
     inserted = outcomes.filter(F.col("outcome") == "inserted")
     new_rows = inserted.select(
         F.sha2(F.col("name_key"), 256).alias("id"), "name", "name_key", F.lit("TRACKED").alias("status"),
@@ -170,6 +180,26 @@ def backfill_entity_ids(artists: DataFrame, resolved: DataFrame) -> DataFrame:
         F.when(F.col("_uri").isNotNull(), F.lit("updated")).otherwise(F.lit("unresolved")).alias("outcome"))
 
 
+def replay_scores(novel_events: DataFrame, artists: DataFrame, weights: ScoreWeights) -> DataFrame:
+    """The whole log of novel events through the scorer with other
+    weights, into a fresh recommendation table."""
+    scored = score_events(novel_events.select(*NOVEL_EVENT_COLUMNS), artists, weights)
+    return best_score_with_evidence(scored.filter(F.col("route") == "ok"))
+
+
+def artist_schema_upgrade(v1: DataFrame) -> DataFrame:
+    """An artist table from before play counting and similar expansion
+    gets the columns of both."""
+    added = (("scrobble_count", F.lit(0).cast("bigint")), ("origin_artist_id", F.lit(None).cast("string")),
+             ("source", F.lit(None).cast("string")),
+             ("last_similar_explored_at", F.lit(None).cast("timestamp_ntz")),
+             ("lastfm_mbid", F.lit(None).cast("string")))
+    for name, default in added:
+        if name not in v1.columns:
+            v1 = v1.withColumn(name, default)
+    return v1
+
+
 def schema_upgrade(v1: DataFrame) -> DataFrame:
     """v1 history snapshot -> v2 columns (audio features dropped,
     popularity renamed, track popularity added)."""

@@ -168,7 +168,7 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
         routed.filter(F.col("route") == "ok").drop("route"),
         f2_artist=ordered.pivot_first_two(f2_artist_rows, "artist_key"),
         f2_genre=ordered.pivot_first_two(f2_genre_rows, "genre"),
-        track_first=track_first)
+        track_first=track_first, land=land)
     emitted = F.col("artist_is_new") | (F.size("new_genres") > 0)
     novel_events = land("novel_events", judged.filter(emitted))
 

@@ -22,6 +22,10 @@ STATE_TABLES = ("history", "artists", "recommendations", "first2_artist", "first
 
 APPEND_TABLES = ("history",)
 
+# topic -> (table of the batch, record key)
+TOPICS = {"listening.history": ("history", "track_key"), "tracks.novel": ("novel_events", "track_key"),
+          "dead.letters": ("dlq", "error_reason")}
+
 
 def process_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, base_artists: DataFrame) -> dict:
     """Apply one micro-batch; returns what it wrote by table name. History is
@@ -46,6 +50,8 @@ def process_batch(store: SnapshotStore, batch: DataFrame, batch_id: int, base_ar
     first2 = (f2a, f2g) if f2a is not None and f2g is not None else None
     res = discovery_batch(batch, artists, history, recs, land=land, first2_state=first2)
     written["history_all"] = res.history
+    for topic, (name, key) in TOPICS.items():
+        write_topic(written[name], key, f"{store.root}/topics/{topic}/batch_id={batch_id}")
     return written
 
 
@@ -94,6 +100,19 @@ def topic_stream(spark: SparkSession, bootstrap_servers: str, topics: str, schem
     return parse_topic(raw, schema)
 
 
+def write_topic(df: DataFrame, key_col: str, path: str) -> None:
+    """S6 as a file sink: a batch's keyed JSON records, one line each. A
+    replayed batch overwrites its own folder."""
+    topic_sink_frame(df, key_col).select(F.to_json(F.struct("key", "value")).alias("value")) \
+        .write.mode("overwrite").text(path)
+
+
+def read_topic(spark: SparkSession, root: str, topic: str) -> DataFrame:
+    """The records (key, value) a sink has written for ``topic``."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{root}/topics/{topic}")
+    return lines.select(F.from_json("value", "key string, value string").alias("r")).select("r.*")
+
+
 def topic_sink_frame(df: DataFrame, key_col: str) -> DataFrame:
     """Keyed JSON records (the shape a Kafka sink expects)."""
     return df.select(F.col(key_col).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))

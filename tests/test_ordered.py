@@ -136,6 +136,15 @@ def test_similar_dedup_random_against_greedy(spark, seed):
     assert got == expected
 
 
+def test_similar_dedup_long_chain(spark):
+    """Every candidate collides with its neighbours, so a round settles few."""
+    cands = [(i, f"n{(i + 1) // 2}", f"m{i // 2}") for i in range(24)]
+    got = {r.ord: r.outcome for r in similar_dedup(
+        spark.createDataFrame(cands, "ord int, name string, mbid string"),
+        spark.createDataFrame([], "name_key string, lastfm_mbid string")).collect()}
+    assert got == greedy(cands, [], [])
+
+
 def test_similar_expansion_on_tables_against_greedy(spark):
     from encore.plans.build import build_state
     from encore.plans.jobs import expand_similar

@@ -10,6 +10,7 @@ from encore.operators.enrich import enrich
 from encore.operators.ordered import artist_counters, first_seen_history, upsert_artists
 from encore.plans.build import empty_artists
 from encore.plans.jobs import backfill_genres, explore_top_tracks, mark_similar_explored, schema_upgrade
+from encore.plans.jobs import artist_schema_upgrade
 from encore.plans.lists import check_paging, list_recommendations, page_count, status_filters
 from encore.plans.normalize import route_history, valid_raw
 from encore.plans.stages import discovery_batch, dlq_rows, route_novelty, score_events
@@ -139,6 +140,9 @@ def test_schema_upgrade(spark):
     v1 = spark.createDataFrame([("k", 12, "x")], "track_key string, popularity int, audio_features string")
     v2 = schema_upgrade(v1)
     assert v2.columns == ["track_key", "artist_popularity", "track_popularity"]
+    old = artist_schema_upgrade(spark.createDataFrame([("a",)], "name string"))
+    assert old.first().scrobble_count == 0 and "last_similar_explored_at" in old.columns
+    assert artist_schema_upgrade(old).columns == old.columns
 
 
 def test_dead_letters_keep_the_whole_message(spark):

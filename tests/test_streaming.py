@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF0001
 from encore.plans.stages import discovery_batch
 from encore.sources import bindings
-from encore.streaming.microbatch import parse_topic, process_batch, start
+from encore.streaming.microbatch import parse_topic, process_batch, read_topic, start
 from encore.streaming.state import SnapshotStore
 
 CUTS = ["1997-01-01", "1999-01-01"]
@@ -38,7 +38,7 @@ def _snap(res_hist, res_art, res_recs):
 def test_micro_batches_equal_one_batch_and_replay(spark):
     msgs = bindings.enriched_plays(spark, SF0001)
     base = bindings.base_artists(spark, SF0001)
-    one = discovery_batch(msgs, base)
+    one = discovery_batch(msgs, base, land=lambda name, df: df.cache())
     expected = _snap(one.history, one.artists, one.recommendations)
 
     store = SnapshotStore(spark, tempfile.mkdtemp(prefix="encore-store-", dir="/tmp"))
@@ -50,6 +50,11 @@ def test_micro_batches_equal_one_batch_and_replay(spark):
     sizes = [store.spark.read.parquet(f"{store.root}/history/batch_id={i}").count() for i in range(3)]
     assert sum(sizes) == one.history.count() and min(sizes) > 0
 
+    # the topics hold the records of all batches, dead letters included
+    for topic, want in (("listening.history", one.history), ("tracks.novel", one.novel_events), ("dead.letters", one.dlq)):
+        records = read_topic(spark, store.root, topic)
+        assert records.count() == want.count() and records.filter("value is null").count() == 0
+
     # replaying batch 1 then 2 (at-least-once delivery) changes nothing
     chunks = list(_chunks(msgs))
     process_batch(store, chunks[1], 1, base)
@@ -69,16 +74,17 @@ def test_foreach_batch_stream_over_files(spark):
     store = SnapshotStore(spark, os.path.join(root, "state"))
     q = start(spark, stream, store, base, os.path.join(root, "ckpt"))
     q.awaitTermination(600)
-    one = discovery_batch(msgs, base)
+    one = discovery_batch(msgs, base, land=lambda name, df: df.cache())
     got = store.read_appended_before("history", 10 ** 9)
     assert sorted(r.track_key for r in got.collect()) == sorted(r.track_key for r in one.history.collect())
 
 
 def test_parse_topic_routes_malformed(spark):
-    raw = spark.createDataFrame([('{"artist": "a", "title": "t"}',), ("{not json",)], "value string")
+    broken = "{not json" + "x" * 10_000
+    raw = spark.createDataFrame([('{"artist": "a", "title": "t"}',), (broken,)], "value string")
     ok, bad = parse_topic(raw, "artist string, title string")
     assert [tuple(r) for r in ok.collect()] == [("a", "t")]
-    assert [r.error_reason for r in bad.collect()] == ["malformed_message"]
+    assert [tuple(r) for r in bad.collect()] == [("malformed_message", broken)]   # kept whole
 
 
 def test_topic_sink_frame_is_keyed_json(spark):
