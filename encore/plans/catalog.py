@@ -347,6 +347,14 @@ def q_followed_names(spark, sf_dir):
     return p.read_followed(p.followed_payloads(spark, sf_dir))
 
 
+@query("full_backfill")
+def q_full_backfill(spark, sf_dir):
+    """Every page is read once; the newest play is the checkpoint to land."""
+    plays = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
+    return plays.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled"),
+                     F.max("played_at").alias("checkpoint")).withColumn("service", F.lit("lastfm-ingester"))
+
+
 @query("incremental_pull")
 def q_incremental_pull(spark, sf_dir):
     """A first pull up to a cut lands a high-water mark; the next pull
@@ -384,6 +392,17 @@ def q_expansion_run_counters(spark, sf_dir):
     return similar_outcomes(spark, sf_dir, st).groupBy("outcome").agg(F.count(F.lit(1)).alias("candidates"))
 
 
+@query("discovery_messages")
+def q_discovery_messages(spark, sf_dir):
+    """The events of the inserted artists, read back from their JSON."""
+    st = plays_state(spark, sf_dir)
+    similar = p.similar_payloads(spark, sf_dir)
+    _, _, events, _ = expand_similar(st.artists, p.read_similar_payload(similar), PLAYS_AS_OF, answered=similar,
+                                     outcomes=similar_outcomes(spark, sf_dir, st))
+    fields = "artist_name string, source string, origin_artist_id string, origin_artist_name string, lastfm_mbid string"
+    return events.select("key", F.from_json("value", fields).alias("v")).select("key", "v.*")
+
+
 @query("discovered_from")
 def q_discovered_from(spark, sf_dir):
     """Artists discovered through similar expansion with their origin."""
