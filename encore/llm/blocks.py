@@ -115,11 +115,13 @@ def _close(block: int, numbering: Numbering, seqs: list, buckets: int) -> Iterat
     """Rows of one block: its words by bucket, its documents by chunk."""
     words = list(numbering)
     every = np.concatenate([s for _, _, s in seqs]) if seqs else np.zeros(0, np.uint32)
-    train = np.concatenate([s for _, flag, s in seqs if flag] or [np.zeros(0, np.uint32)])
-    order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+    seen = np.bincount(every, minlength=len(words))
+    counts = seen if all(flag for _, flag, _ in seqs) else np.bincount(
+        np.concatenate([s for _, flag, s in seqs if flag] or [np.zeros(0, np.uint32)]), minlength=len(words))
+    del every
+    order = np.argsort(-seen, kind="stable")
     rank = np.empty(len(words), np.uint32)           # frequent words get small numbers
     rank[order] = np.arange(len(words), dtype=np.uint32)
-    counts = np.bincount(train, minlength=len(words))
     raw = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in words]
     of = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
     rows = []
@@ -145,7 +147,7 @@ def _close(block: int, numbering: Numbering, seqs: list, buckets: int) -> Iterat
 
 
 def split_blocks(docs: DataFrame, id_col: str, text_col: str, splitter: Callable[[str], list],
-                 buckets: int, train=None, block_chars: int = 32_000_000,
+                 buckets: int, train=None, block_chars: int = 16_000_000,
                  block_words: int = 1_000_000) -> DataFrame:
     """Rows WORDS and DOCS of every block.
 
