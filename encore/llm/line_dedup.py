@@ -240,7 +240,9 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, chunk: int) -> Data
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
             size = ends - starts
             ones = np.add.reduceat(index.astype(np.int64), starts)
-            keep = np.flatnonzero((size > 1) & (ones > 0) & (ones < size) | (key[starts] == hot))
+            # most keys are one line that meets itself
+            several = np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)
+            keep = np.flatnonzero(several & (ones > 0) & (ones < size) | (key[starts] == hot))
             small = []
             for s, e in zip(starts[keep].tolist(), ends[keep].tolist()):
                 if e - s > chunk or key[s] == hot:
