@@ -232,21 +232,27 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, chunk: int) -> Data
     def meet(batches):
         """Pairs of the keys of up to `chunk` lines; rows of larger keys, unpaired, with a null b."""
         held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, bool)]
-        hot = None
+        passing = None      # the last key of the flush before, if its rows were passed on
 
         def flush(key, line, sig, index):
-            nonlocal hot
+            nonlocal passing
             edges = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
             size = ends - starts
             ones = np.add.reduceat(index.astype(np.int64), starts)
             # most keys are one line that meets itself
             several = np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)
-            keep = np.flatnonzero(several & (ones > 0) & (ones < size) | (key[starts] == hot))
+            large = size > chunk
+            # only the first key can have begun before, only the last can go on: one side or line of it may be elsewhere
+            open_ended = np.zeros(len(starts), bool)
+            open_ended[0] = passing is not None and key[0] == passing
+            large[0] |= open_ended[0]
+            open_ended[-1] |= large[-1]
+            passing = int(key[-1]) if large[-1] else None
             small = []
-            for s, e in zip(starts[keep].tolist(), ends[keep].tolist()):
-                if e - s > chunk or key[s] == hot:
-                    hot = int(key[s])
+            for g in np.flatnonzero(several & (ones > 0) & (ones < size) | open_ended).tolist():
+                s, e = int(starts[g]), int(ends[g])
+                if large[g]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(line[s:e]), pa.nulls(e - s, pa.int64()), pa.array(key[s:e]),
                          pa.array(sig[s:e]), pa.array(index[s:e])], names=names)
@@ -261,7 +267,7 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, chunk: int) -> Data
             # the last key may go on in the next batch; of a large one, pass on what there is
             last = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if len(key) - last > chunk:
-                hot, last = int(key[-1]), len(key)
+                last = len(key)
             if last:
                 yield from flush(key[:last], line[:last], sig[:last], index[:last])
             held = [x[last:] for x in (key, line, sig, index)]

@@ -73,6 +73,26 @@ def test_equals_brute_force(spark, edge_docs, chunk):
     assert got == sorted(brute(rows), key=key)
 
 
+def test_large_keys_over_several_batches(spark):
+    """Templated lines share segments: keys of over `chunk` rows that begin and end inside small Arrow batches."""
+    rng = random.Random(9)
+    rows = [(d, "\n".join(f"{rng.choice('abcdef')}emplate line numbe{rng.choice('rstuvw')} of many pages{rng.choice('xyz')}"
+                          for _ in range(3))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(n) for n in names]
+    pairs = []
+    try:
+        spark.conf.set(names[1], "1")
+        for size in ("10000", "5", "7", "11", "16", "23"):
+            spark.conf.set(names[0], size)
+            pairs.append({tuple(r) for r in line_dedup.candidate_pairs(docs, 2, 24, 3).collect()})
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert pairs[0] and all(p == pairs[0] for p in pairs)
+
+
 def test_texts_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
     got, key = run(spark.createDataFrame(near_rows(), "doc_id long, text string"))
