@@ -10,8 +10,9 @@ words and their beginnings are then looked up in a lexicon of weights learned
 from labels, and a document's score joins the evidence by noisy-or.
 
 Training reads a bounded sample of labelled rows (those of the least id
-hash), one of each group of near copies, so that one text copied many times
-is not many witnesses. A lexicon entry must stand out from the share of toxic
+hash), one of each group of copies with the same label (the same words, or a
+Jaccard index of word shingles of 0.8 and more), so that one text copied many
+times is not many witnesses. A lexicon entry must stand out from the share of toxic
 documents by more than chance explains among all candidates.
 
 Null and empty texts have no evidence and get the score of documents without
@@ -26,7 +27,9 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ MAX_CACHE = 300_000         # words remembered in a task
 PREFIXES = (4, 5, 6)        # beginnings that count as features beside the whole word
 LEAST_ROWS = 3              # toxic rows that a candidate for the lexicon occurs in
 CHANCE = 0.5                # expected number of lexicon entries by chance alone
+SHINGLE, BANDS, BAND_ROWS = 3, 16, 4    # words of a shingle; MinHash values by band
+LEAST_JACCARD = 0.8         # of the shingles of near copies
 
 # The letters a character may stand for in leetspeak.
 LOOKS_LIKE = {
@@ -137,16 +142,88 @@ class Decoder:
         return found.union(self.spaced(words))
 
 
+def shingles(text: str) -> np.ndarray:
+    """Distinct hashes of the runs of SHINGLE words; a shorter text is one run."""
+    words = text.lower().split()
+    runs = [" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Keys of the bands of BAND_ROWS MinHash values each."""
+    rng = np.random.default_rng(11)
+    odd = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 10_000):
+        x = hashes[at:at + 10_000, None] * odd + add
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    return [xxhash.xxh64_intdigest(least[i:i + BAND_ROWS].tobytes(), i) - (1 << 63)
+            for i in range(0, len(least), BAND_ROWS)]
+
+
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """(text, y) of `rows` (doc_id, text, y), one of each group of copies with the same label.
+
+    Exact copies have the same words in the same order. Rows that share a band
+    of MinHash values are compared with the first row of the band only, so a
+    group of copies costs no more than its size; a row goes if its shingles
+    and those of an earlier row have a Jaccard index of LEAST_JACCARD or more.
+    """
+    words = F.array_join(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), " ")
+    exact = rows.groupBy("y", F.sha2(words.cast("binary"), 256).alias("copy")) \
+        .agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    rows = land(exact.select("y", F.struct("r.doc_id", "copy").alias("place"), "r.text"), "toxicity-distinct")
+
+    def keys(batches):
+        for batch in batches:
+            ids, copies, ys, texts = (c.to_pylist() for c in batch.columns)
+            each = [bands(shingles(t)) for t in texts]
+            n = np.full(len(each), BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.repeat(np.array(copies, object), n)),
+                 pa.array(np.repeat(np.array(ys, np.int32), n)), pa.array([k for e in each for k in e], pa.int64())],
+                names=["doc_id", "copy", "y", "band"])
+
+    def close(batches):
+        for batch in batches:
+            ids, copies, mine, theirs = (c.to_pylist() for c in batch.columns)
+            near = []
+            for a, b in zip(mine, theirs):
+                x, y = shingles(a), shingles(b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= LEAST_JACCARD * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, ok in zip(ids, near) if ok], pa.int64()),
+                                              pa.array([c for c, ok in zip(copies, near) if ok], pa.string())],
+                                             names=["doc_id", "copy"])
+
+    banded = rows.select(F.col("place.doc_id").cast("long").alias("doc_id"), "place.copy", "y", "text") \
+        .mapInArrow(keys, "doc_id long, copy string, y int, band long") \
+        .select(F.struct("doc_id", "copy").alias("place"), "y", "band")
+    banded = land(banded, "toxicity-bands")
+    first = banded.groupBy("y", "band").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = banded.join(first, ["y", "band"]).where("place != first").select("y", "place", "first").distinct()
+    # exact copies with different labels have the same place, so the label is part of the key
+    at = rows.select(F.struct(F.col("place.doc_id").cast("long").alias("doc_id"), "place.copy").alias("place"),
+                     "y", "text")
+    texts = pairs.join(at, ["y", "place"]).join(
+        at.select("y", F.col("place").alias("first"), F.col("text").alias("other")), ["y", "first"])
+
+    def labelled(y):
+        return texts.where(F.col("y") == y).select("place.doc_id", "place.copy", "text", "other") \
+            .mapInArrow(close, "doc_id long, copy string").distinct() \
+            .select(F.struct("doc_id", "copy").alias("place"), F.lit(y).alias("y"))
+
+    return at.join(labelled(0).union(labelled(1)), ["y", "place"], "left_anti").select("text", "y")
+
+
 def sample_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str,
                 label: str, limit: int) -> DataFrame:
-    """(text, y) of the labelled sample, one row of each group with the same least word hash."""
+    """(text, y) of the labelled sample, one row of each group of copies."""
     chosen = F.broadcast(labelled_rows(labels, label, usable, limit))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
         .join(chosen, "doc_id")
-    least = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
-    rows = land(rows.withColumn("sign", least), "toxicity-sample")
-    first = rows.groupBy("sign").agg(F.min("doc_id").alias("doc_id"))
-    return rows.join(first, ["sign", "doc_id"], "left_semi").dropDuplicates(["sign"]).select("text", "y")
+    return one_of_copies(land(rows, "toxicity-sample"))
 
 
 def train_trigrams(texts: DataFrame) -> dict[str, float]:

@@ -135,6 +135,17 @@ def test_learns_disguised_words(spark, tmp_path):
     assert min(got[2], got[3], got[None]) >= 0.7 > 0.3 > max(got[1], got[4], got[5])
 
 
+def test_only_copies_are_grouped(spark):
+    """Texts that share frequent words all stay; of exact and near copies with one label the first stays."""
+    own = [(i, prose(i, 60), int(i % 4 == 0)) for i in range(60)]
+    near = [(100 + i, prose(1, 60) + f" end{i}", 0) for i in range(20)]
+    docs = spark.createDataFrame([*own, *near, (200, " " + prose(2, 60).upper(), 0), (201, prose(4, 60), 0),
+                                  (202, "", 0), (203, " ", 0)], "doc_id long, text string, toxic int")
+    got = toxicity.sample_rows(docs, docs.select("doc_id", "toxic"), F.lit(True), "doc_id", "text", "toxic", 1000)
+    want = [(t, y) for _, t, y in own] + [(prose(4, 60), 0), ("", 0)]
+    assert sorted((r.text, r.y) for r in got.collect()) == sorted(want)
+
+
 def test_toxicity_edge_tables(edge_docs, no_docs, labels):
     model = toxicity.fit(edge_docs, labels, F.lit(True))
     got = toxicity.score(edge_docs, model).collect()
