@@ -5,7 +5,7 @@ three times in a row, letters standing alone one after another) is a lattice:
 every character may stand for itself, for a letter it looks like, for nothing
 (a separator) or for a repetition of the letter before. The Viterbi decoder
 takes the path that is best under the channel's costs and a character trigram
-model, which is trained on the plain words of the corpus sample. Restored
+model, which is trained on the plain words of all documents. Restored
 words and their beginnings are then looked up in a lexicon of weights learned
 from labels, and a document's score joins the evidence by noisy-or.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from encore.llm.common import crc_mod, land, prepare, table
 
 MAX_LABELLED = 20_000       # labelled rows learned from
 MAX_LEXICON = 50_000        # lexicon entries, those of most evidence
-MAX_TRIGRAMS = 50_000       # trigrams of the character model, the most frequent
+LEAST_SHARE = 1e-7          # of all trigrams of the corpus, for one to be in the character model
 MAX_CACHE = 300_000         # words remembered in a task
 PREFIXES = (4, 5, 6)        # beginnings that count as features beside the whole word
 LEAST_ROWS = 3              # toxic rows that a candidate for the lexicon occurs in
@@ -226,28 +227,42 @@ def sample_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str,
     return one_of_copies(land(rows, "toxicity-sample"))
 
 
-def train_trigrams(texts: DataFrame) -> dict[str, float]:
-    """log10-free (natural) probabilities of a letter after two, from the plain words."""
+def train_trigrams(docs: DataFrame) -> dict[str, float]:
+    """Natural log probabilities of a letter after two, from the plain words of all texts.
+
+    Words are counted first, then their trigrams, in tasks and in a shuffle.
+    Trigrams of less than LEAST_SHARE of all are left out; the sums that the
+    probabilities refer to keep them.
+    """
     def run(batches):
-        total: dict[str, int] = {}
+        words: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in text.lower().split():
-                    w = w.strip(EDGES)
-                    if w.isalpha() and not TRIPLE.search(w):
-                        s = f"^^{w}$"
-                        for i in range(len(s) - 2):
-                            g = s[i:i + 3]
-                            total[g] = total.get(g, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()),
-                                          pa.array(list(total.values()), pa.int64())], names=["g", "n"])
-
-    rows = (texts.select("text").mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "g").limit(MAX_TRIGRAMS).collect())
-    pairs: dict[str, int] = {}
-    for g, n in rows:
-        pairs[g[:2]] = pairs.get(g[:2], 0) + n
-    return {g: math.log((n + 0.1) / (pairs[g[:2]] + 5.0)) for g, n in rows}
+            for text in batch.column(0):
+                words.update((text.as_py() or "").lower().split())
+                if len(words) >= MAX_CACHE:
+                    yield of_words(words)
+                    words = Counter()
+        yield of_words(words)
+
+    def of_words(words):
+        total: dict[str, int] = {}
+        for w, n in words.items():
+            w = w.strip(EDGES)
+            if w.isalpha() and not TRIPLE.search(w):
+                s = f"^^{w}$"
+                for i in range(len(s) - 2):
+                    g = s[i:i + 3]
+                    total[g] = total.get(g, 0) + n
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()),
+                                           pa.array(list(total.values()), pa.int64())], names=["g", "n"])
+
+    counts = land(docs.select("text").mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")),
+                  "toxicity-trigrams")
+    n_all = counts.agg(F.sum("n")).first()[0] or 0
+    kept = counts.where(F.col("n") >= n_all * LEAST_SHARE).withColumn("pair", F.substring("g", 1, 2))
+    pairs = counts.groupBy(F.substring("g", 1, 2).alias("pair")).agg(F.sum("n").alias("n_pair"))
+    rows = kept.join(pairs, "pair").select("g", "n", "n_pair").collect()
+    return {g: math.log((n + 0.1) / (m + 5.0)) for g, n, m in rows}
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id",
@@ -258,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     rows = land(sample_rows(docs, labels, usable, id_col, text_col, label, max_labelled), "toxicity-rows")
     n_all, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     share = (n_toxic + 0.5) / (n_all + 1)
-    trigrams = train_trigrams(rows)
+    trigrams = train_trigrams(docs.select(F.col(text_col).alias("text")))
     shared = spark.sparkContext.broadcast(trigrams)
 
     def counted(wanted=None):

@@ -146,6 +146,17 @@ def test_only_copies_are_grouped(spark):
     assert sorted((r.text, r.y) for r in got.collect()) == sorted(want)
 
 
+def test_character_model_of_all_documents(spark):
+    """Trigrams come from all rows, labelled or not; rare ones are kept too."""
+    docs = spark.createDataFrame([(i, "alpha, beta beta 4lpha", None) for i in range(50)] + [(99, "ünï xyz", 1)],
+                                 "doc_id long, text string, toxic int")
+    got = toxicity.fit(docs, docs.select("doc_id", "toxic").where("false"), F.lit(True))["trigrams"]
+    n = {"^^a": 50, "^^b": 100, "^^x": 1, "^^ü": 1}
+    assert {g for g in got if g.startswith("^^")} == set(n)
+    assert all(math.isclose(got[g], math.log((n[g] + 0.1) / (152 + 5))) for g in n)
+    assert "ünï" in got and "lph" in got
+
+
 def test_toxicity_edge_tables(edge_docs, no_docs, labels):
     model = toxicity.fit(edge_docs, labels, F.lit(True))
     got = toxicity.score(edge_docs, model).collect()
