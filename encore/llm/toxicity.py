@@ -3,8 +3,10 @@
 A token that may be disguised (symbols or digits between letters, letters
 three times in a row, letters standing alone one after another) is a lattice:
 every character may stand for itself, for a letter it looks like, for nothing
-(a separator) or for a repetition of the letter before. The Viterbi decoder
-takes the path that is best under the channel's costs and a character trigram
+(a separator) or for a repetition of the letter before. In a run of lone
+letters a word may end anywhere, and the words of all divisions near the best
+are taken. Tokens in a row that together spell a word of the lexicon count as
+it if the model prices them lower as one word. The Viterbi decoder takes the path that is best under the channel's costs and a character trigram
 model, which is trained on the plain words of all documents. Restored
 words and their beginnings are then looked up in a lexicon of weights learned
 from labels, and a document's score joins the evidence by noisy-or.
@@ -53,35 +55,86 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 COST_LOOKS, COST_SEPARATOR, COST_REPEAT = 1.0, 0.4, 4.0
+MARGIN = 4.0                # cost over the best division of a run at which its words are still looked up
 EDGES = ".,;:!?\"'()[]{}…«»“”‘’#*%&$|<>-_~^=+/\\@`"
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
+def step(states: dict, ch: str, trigrams: dict[str, float], floor: float) -> dict:
+    """The states (last two letters -> cost, letters so far) after one more character."""
+    after: dict[tuple[str, str], tuple[float, str]] = {}
+
+    def reach(state, cost, letters):
+        if state not in after or cost < after[state][0]:
+            after[state] = (cost, letters)
+
+    read = [(c, COST_LOOKS) for c in LOOKS_LIKE.get(ch, "")]
+    if ch.isalpha():
+        read.append((ch, 0.0))
+    for (a, b), (cost, letters) in states.items():
+        for c, price in read:
+            reach((b, c), cost + price - trigrams.get(a + b + c, floor), letters + c)
+        if not ch.isalnum():
+            reach((a, b), cost + COST_SEPARATOR, letters)
+        if ch == b or (b != "^" and b in LOOKS_LIKE.get(ch, "")):
+            reach((a, b), cost + COST_REPEAT, letters)
+    return after
+
+
+def ended(states: dict, trigrams: dict[str, float], floor: float) -> tuple[float, str]:
+    """The cost and letters of the best word that ends here."""
+    return min((cost - trigrams.get(a + b + "$", floor), letters) for (a, b), (cost, letters) in states.items())
+
+
 def viterbi(token: str, trigrams: dict[str, float], floor: float) -> str:
     """The most probable letters behind `token`; '' if it can stand for none."""
-    states = {("^", "^"): (0.0, "")}                 # last two letters -> cost, letters so far
+    return priced(token, trigrams, floor)[1]
+
+
+def priced(token: str, trigrams: dict[str, float], floor: float) -> tuple[float, str]:
+    """The most probable letters behind `token` and their cost; '' if it can stand for none."""
+    states = {("^", "^"): (0.0, "")}
     for ch in token:
-        after: dict[tuple[str, str], tuple[float, str]] = {}
-
-        def reach(state, cost, letters, after=after):
-            if state not in after or cost < after[state][0]:
-                after[state] = (cost, letters)
-
-        read = [(c, COST_LOOKS) for c in LOOKS_LIKE.get(ch, "")]
-        if ch.isalpha():
-            read.append((ch, 0.0))
-        for (a, b), (cost, letters) in states.items():
-            for c, price in read:
-                reach((b, c), cost + price - trigrams.get(a + b + c, floor), letters + c)
-            if not ch.isalnum():
-                reach((a, b), cost + COST_SEPARATOR, letters)
-            if ch == b or (b != "^" and b in LOOKS_LIKE.get(ch, "")):
-                reach((a, b), cost + COST_REPEAT, letters)
-        if not after:
-            return ""                                # a digit that looks like no letter
-        states = after
-    ends = [(cost - trigrams.get(a + b + "$", floor), letters) for (a, b), (cost, letters) in states.items()]
-    return min(ends)[1]
+        states = step(states, ch, trigrams, floor)
+        if not states:
+            return math.inf, ""                      # a digit that looks like no letter
+    return ended(states, trigrams, floor)
+
+
+def words_in_run(run: str, trigrams: dict[str, float], floor: float) -> set[str]:
+    """Words of the divisions of `run` that cost at most MARGIN more than the best one.
+
+    A boundary may stand between any two characters. The forward pass has the
+    best cost of every state and boundary; the words from a boundary are
+    followed while their states are within MARGIN of it.
+    """
+    start = ("^", "^")
+    best: list[dict] = [{start: 0.0}]                # per place: state -> least cost
+    states = {start: (0.0, "")}
+    for ch in run:
+        states = step(states, ch, trigrams, floor)
+        end = ended(states, trigrams, floor)[0]
+        if start not in states or end < states[start][0]:
+            states[start] = (end, "")
+        # letters are not needed here; without them a step costs the same at any place
+        states = {k: (cost, "") for k, (cost, _) in states.items()}
+        best.append({k: cost for k, (cost, _) in states.items()})
+    rest = [math.inf] * len(run) + [0.0]             # least cost from a boundary to the end
+    words: list[tuple[int, int, float, str]] = []
+    for i in range(len(run) - 1, -1, -1):
+        before = best[i][start]
+        states = {start: (before, "")}
+        for j in range(i + 1, len(run) + 1):
+            states = {k: v for k, v in step(states, run[j - 1], trigrams, floor).items()
+                      if v[0] <= best[j].get(k, math.inf) + MARGIN}
+            if not states:
+                break
+            cost, word = ended(states, trigrams, floor)
+            if cost <= best[j][start] + MARGIN:
+                words.append((i, j, cost, word))
+                rest[i] = min(rest[i], cost - before + rest[j])
+    limit = best[-1][start] + MARGIN
+    return {word for _, j, cost, word in words if cost + rest[j] <= limit and len(word) > 1}
 
 
 def candidates(word: str) -> list[str]:
@@ -106,6 +159,14 @@ def squeezed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
+class Lookup:
+    """Whole words of a lexicon that tokens in pieces may spell, and their proper beginnings."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.words = {f for f in lexicon if "~" not in f and len(f) >= 4}
+        self.beginnings = {f[:n] for f in self.words for n in range(1, len(f))}
+
+
 class Decoder:
     """Forms of the words of a text: as written without edges, and restored."""
 
@@ -126,16 +187,42 @@ class Decoder:
 
     def spaced(self, words: list[str]) -> list[str]:
         """Restored words of runs of three and more lone characters."""
-        out, run = [], []
+        out, run = set(), []
         for w in [*words, ".."]:
             c = w.strip(EDGES) or w
             if len(c) == 1 and (c.isalpha() or c in LOOKS_LIKE):
                 run.append(c)
                 continue
             if len(run) >= 3:
-                out.append(viterbi("".join(run), self.trigrams, self.floor))
+                out |= words_in_run("".join(run), self.trigrams, self.floor)
             run = []
-        return [x for x in out if x]
+        return sorted(out)
+
+    def pieces(self, words: list[str], wanted: "Lookup") -> set[str]:
+        """Words of the lookup that several tokens in a row spell, where the model prices them lower as one word."""
+        out = set()
+        for i, first in enumerate(words):
+            for spelled in self.forms(first):
+                if spelled not in wanted.beginnings:
+                    continue
+                tokens, states = [first], {spelled}
+                for w in words[i + 1:]:
+                    tokens.append(w)
+                    states = {a + f for a in states for f in self.forms(w)}
+                    for word in states & wanted.words:
+                        if self.is_one(word, tokens):
+                            out.add(word)
+                    states &= wanted.beginnings
+                    if not states:
+                        break
+        return out
+
+    def is_one(self, word: str, tokens: list[str]) -> bool:
+        # the joined word pays a separator for every gap, the divided tokens pay their ends
+        cores = [w.strip(EDGES) or w for w in tokens]
+        apart = sum(priced(c, self.trigrams, self.floor)[0] for c in cores)
+        joined = priced("".join(cores), self.trigrams, self.floor)[0] + COST_SEPARATOR * (len(tokens) - 1)
+        return joined < apart
 
     def all_forms(self, text: str) -> set[str]:
         words = text.lower().split()
@@ -328,6 +415,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches):
         model, known = shared.value, {}
         decoder, lexicon = Decoder(model["trigrams"]), model["lexicon"]
+        whole = Lookup(lexicon)
         short = {squeezed(f): p for f, p in sorted(lexicon.items()) if "~" not in f and len(f) >= 5}
 
         def weight(form):
@@ -350,7 +438,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                     p = known.get(w) or evidence(w)
                     if p[0]:
                         hits[p[1]] = p[0]
-                for f in decoder.spaced(words):
+                for f in (*decoder.spaced(words), *decoder.pieces(words, whole)):
                     if p := weight(f):
                         hits[f] = p
                 clean = 1 - model["base"]

@@ -135,6 +135,21 @@ def test_learns_disguised_words(spark, tmp_path):
     assert min(got[2], got[3], got[None]) >= 0.7 > 0.3 > max(got[1], got[4], got[5])
 
 
+def test_word_boundaries_in_runs(spark):
+    common = "a i the stupid idiot student strong loser grass ready as total round cloud pilot is an and so".split()
+    docs = spark.createDataFrame([(i, " ".join(common)) for i in range(20)], "doc_id long, text string")
+    decoder = toxicity.Decoder(toxicity.train_trigrams(docs))
+    assert "stupid" in decoder.spaced("you a s t u p i d are".split())
+    assert {"stupid", "idiot"} <= set(decoder.spaced("s t u p i d i d i o t".split()))
+    assert "stupid" in decoder.spaced("a 5 t u p 1 d".split())
+    assert "ass" not in decoder.spaced("g r a s s".split())
+    model = {"trigrams": decoder.trigrams, "lexicon": {"stupid": 0.9, "idiot": 0.9}, "base": 0.05}
+    texts = ["a s t u p i d", "stu pid", "you 5tu p1d one", "s t u p i d i d i o t", "the student is", "stu dent"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.evidence for r in toxicity.score(rows, model).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 0, 5: 0}
+
+
 def test_only_copies_are_grouped(spark):
     """Texts that share frequent words all stay; of exact and near copies with one label the first stays."""
     own = [(i, prose(i, 60), int(i % 4 == 0)) for i in range(60)]
