@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from encore.llm import (
+    ann_forest,
     attention_mil,
     bpe,
     chat_format,
+    hard_negatives,
     line_dedup,
     neural_lm,
     rule_ledger,
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_rule_ledger": rule_ledger.op8_rule_ledger,
     "op9_neural_lm": neural_lm.op9_neural_lm,
     "op10_simhash": simhash.op10_simhash,
+    "op12_ann_forest": ann_forest.op12_ann_forest,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": chat_format.SQL,
     "op7_warc": warc.SQL,
     "op8_rule_ledger": rule_ledger.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
