@@ -10,6 +10,7 @@ from encore.llm import (
     hard_negatives,
     line_dedup,
     neural_lm,
+    prefix_trie,
     rule_ledger,
     simhash,
     toxicity,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_rule_ledger": rule_ledger.op8_rule_ledger,
     "op9_neural_lm": neural_lm.op9_neural_lm,
     "op10_simhash": simhash.op10_simhash,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_ann_forest": ann_forest.op12_ann_forest,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
@@ -38,5 +40,6 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": chat_format.SQL,
     "op7_warc": warc.SQL,
     "op8_rule_ledger": rule_ledger.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op13_hard_negatives": hard_negatives.SQL,
 }
