@@ -16,8 +16,8 @@ grows with the table. Equal vectors cannot be told apart by any split and are
 halved by position, so a group of copies is as harmless as other rows.
 
 Vectors that are null, all zero, or hold null or non-finite components take
-no part, nor do rows with a null id. Rows with the same id count as one: the
-one of the least vector. Vectors meet only those of equal length. An empty
+no part, nor do rows with a null id. Vectors meet only those of
+equal length; of those with the same id the least one counts. An empty
 table gives no rows; extra columns are ignored.
 """
 

@@ -14,8 +14,8 @@ whatever share of the rows an anchor's label has, it sends a bounded number of
 keys per block.
 
 Rows with a null id, label or vector, or with null or non-finite components,
-take no part. Rows with the same id count as one: that of the least label,
-then vector. Vectors meet only those of equal length. Scores beyond 64 bits
+take no part. Vectors meet only those of equal length; of
+those with the same id the one of the least label, then vector, counts. Scores beyond 64 bits
 are the nearest 64-bit number. An empty table gives no rows; extra columns are
 ignored.
 """

@@ -25,8 +25,8 @@ def odd_rows(dim=16):
     one = [0.5] * dim
     return [(None, one, 1), (100000, None, 1), (100050, [0.0] * dim, 2), (100100, [math.nan] * dim, 3),
             (100150, [math.inf] + one[1:], 4), (100200, [None] + one[1:], 5), (100250, [], 1),
-            (200000, one, 1), (200000, one, 1), (300, [1.0, 2.0], 1), (400, [2.0, 1.0], 2), (401, [-1.0, 0.25], 2),
-            (402, [1.0, 1.0], 2), (450, one, None)]
+            (200000, one, 1), (200000, one, 1), (300300, [1.0, 2.0], 1), (300400, [2.0, 1.0], 2), (300401, [-1.0, 0.25], 2),
+            (300402, [1.0, 1.0], 2), (300450, one, None)]
 
 
 def frame(spark, rows):
