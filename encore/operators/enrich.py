@@ -15,6 +15,8 @@ source or pending. All four lookups are left equi-joins on de-duplicated keys.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +64,18 @@ def track_tag_names(tags) -> F.Column:
                     lambda n: n.isNotNull() & (n != ""))
 
 
-def enrich(normalized: DataFrame, artist_meta: DataFrame, track_meta: DataFrame,
-           artist_tags: DataFrame, track_tags: DataFrame) -> DataFrame:
-    """T1. ``artist_meta(artist_ref, genres, popularity)``, ``track_meta(track_ref,
+@dataclass
+class Answers:
+    """The services' answers as lookup tables, one row per key."""
+
+    artists: DataFrame
+    tracks: DataFrame
+    artist_tags: DataFrame
+    track_tags: DataFrame
+
+
+def answers(artist_meta: DataFrame, track_meta: DataFrame, artist_tags: DataFrame, track_tags: DataFrame) -> Answers:
+    """``artist_meta(artist_ref, genres, popularity)``, ``track_meta(track_ref,
     popularity)``, ``artist_tags(artist, tags)``, ``track_tags(artist, title, tags)``
     where tags are arrays of struct<name,count> in service order."""
     am = (artist_meta.groupBy(F.col("artist_ref").alias("_aref"))
@@ -78,14 +89,25 @@ def enrich(normalized: DataFrame, artist_meta: DataFrame, track_meta: DataFrame,
           .agg(F.min(enrichment_artist_tags("tags")).alias("_atags")))
     tt = (track_tags.groupBy(F.col("artist").alias("_tt_artist"), F.col("title").alias("_tt_title"))
           .agg(F.min(track_tag_names("tags")).alias("_ttags")))
+    return Answers(am, tm, at, tt)
+
+
+def enrich(normalized: DataFrame, artist_meta: DataFrame, track_meta: DataFrame,
+           artist_tags: DataFrame, track_tags: DataFrame) -> DataFrame:
+    """T1 over raw answers (see ``answers``)."""
+    return enrich_from(normalized, answers(artist_meta, track_meta, artist_tags, track_tags))
+
+
+def enrich_from(normalized: DataFrame, found: Answers) -> DataFrame:
+    """T1 over lookup tables; on a stream four stream-static left joins."""
     ids = (F.col("artist_id").isNotNull() & (F.col("artist_id") != "") &
            F.col("track_id").isNotNull() & (F.col("track_id") != ""))
     j = (normalized
          .withColumn("_aref", entity_id("artist_id", "artist"))
          .withColumn("_tref", entity_id("track_id", "track"))
-         .join(am, "_aref", "left").join(tm, "_tref", "left")
-         .join(at, F.col("artist") == F.col("_at_artist"), "left")
-         .join(tt, (F.col("artist") == F.col("_tt_artist")) & (F.col("title") == F.col("_tt_title")), "left"))
+         .join(found.artists, "_aref", "left").join(found.tracks, "_tref", "left")
+         .join(found.artist_tags, F.col("artist") == F.col("_at_artist"), "left")
+         .join(found.track_tags, (F.col("artist") == F.col("_tt_artist")) & (F.col("title") == F.col("_tt_title")), "left"))
     answered = ids & F.col("_ahit").isNotNull() & F.col("_thit").isNotNull()
     atags = F.coalesce(F.col("_atags"), F.array().cast("array<string>"))
     ttags = F.coalesce(F.col("_ttags"), F.array().cast("array<string>"))

@@ -27,7 +27,7 @@ from encore.functions.scoring import clean_genres, genre_novelty_ratio, known_ge
 
 HISTORY_COLUMNS = ["track_key", "artist", "artist_key", "title", "artist_id", "track_id",
                    "genres", "artist_popularity", "track_popularity", "played_at",
-                   "enrichment_source", "pending_enrichment", "seq"]
+                   "enrichment_source", "pending_enrichment", "sources", "seq"]
 
 
 def applied_to_history(messages: DataFrame) -> DataFrame:
@@ -39,8 +39,10 @@ def applied_to_history(messages: DataFrame) -> DataFrame:
 
 def first_seen_history(messages: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """One row per track key, the first delivery wins (insert-if-absent)."""
+    sources = F.col("sources") if "sources" in messages.columns else F.array("source")
     rows = applied_to_history(messages).select(
-        *[c for c in HISTORY_COLUMNS if c not in ("genres", "pending_enrichment")],
+        *[c for c in HISTORY_COLUMNS if c not in ("genres", "pending_enrichment", "sources")],
+        F.coalesce(sources, F.array().cast("array<string>")).alias("sources"),
         F.coalesce(F.col("genres"), F.array().cast("array<string>")).alias("genres"),
         F.coalesce(F.col("pending_enrichment"), F.lit(False)).alias("pending_enrichment"),
     ).select(*HISTORY_COLUMNS)

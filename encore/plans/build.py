@@ -16,16 +16,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from encore.plans.chain import messages
 from encore.plans.stages import discovery_batch
 from encore.session import ensure_checkpoint_dir
-from encore.sources import bindings
+from encore.sources import bindings, chain
 from encore.sources.tables import read_table
 
 _LOCK = threading.Lock()
 _KEY_LOCKS: dict[tuple, threading.Lock] = {}
 _MEMO: dict[tuple, "StateTables"] = {}
+# what the landed tables of a folder consisted of when the session first read them
+_VERSIONS: dict[tuple, str] = {}
 # the landed tables each domain is derived from
-DOMAIN_TABLES = {"plays": ("lineitem", "part", "supplier"), "events": ("events",)}
+DOMAIN_TABLES = {"plays": ("lineitem", "part", "supplier"), "events": ("events",),
+                 "chain": ("events", "lineitem", "part", "supplier", "nation", "customer")}
 
 ARTIST_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("name", T.StringType()),
@@ -79,15 +83,21 @@ def domain_inputs(spark: SparkSession, sf_dir: str, domain: str):
         return bindings.enriched_plays(spark, sf_dir), bindings.base_artists(spark, sf_dir)
     if domain == "events":
         return bindings.event_plays(spark, sf_dir), empty_artists(spark)
+    if domain == "chain":
+        return messages(spark, sf_dir), bindings.base_artists(spark, sf_dir)
     raise ValueError(domain)
 
 
-def build_state(spark: SparkSession, sf_dir: str, domain: str = "plays") -> StateTables:
-    """Run the discovery pipeline over the whole log once; reuse per session
-    as long as the landed tables consist of the same files."""
+def build_state(spark: SparkSession, sf_dir: str, domain: str = "plays", refresh: bool = False) -> StateTables:
+    """Run the discovery pipeline over the whole log once per session and
+    version of the landed tables. Their files are listed once per session;
+    ``refresh`` lists them again after a load, and rebuilds if they changed."""
     app = spark.sparkContext.applicationId
-    files = sorted(f for t in DOMAIN_TABLES[domain] for f in read_table(spark, sf_dir, t).inputFiles())
-    key = (app, sf_dir, domain, hashlib.sha1("\n".join(files).encode()).hexdigest())
+    source = (app, sf_dir, domain)
+    if refresh or source not in _VERSIONS:
+        files = sorted(f for t in DOMAIN_TABLES[domain] for f in read_table(spark, sf_dir, t).inputFiles())
+        _VERSIONS[source] = hashlib.sha1("\n".join(files).encode()).hexdigest()
+    key = (*source, _VERSIONS[source])
     with _LOCK:
         own = _KEY_LOCKS.setdefault(key, threading.Lock())
     with own:
@@ -96,11 +106,13 @@ def build_state(spark: SparkSession, sf_dir: str, domain: str = "plays") -> Stat
         base = ensure_checkpoint_dir(spark).rstrip("/")
         tag = hashlib.sha1("".join(key).encode()).hexdigest()[:12]
         root = f"{base}/encore-state/{app}/{domain}-{tag}"
-        source, artists_state = domain_inputs(spark, sf_dir, domain)
+        log, artists_state = domain_inputs(spark, sf_dir, domain)
         # every stage reads the log: its joins and hashes are done once
-        source = _write(source, f"{root}/messages")
-        res = discovery_batch(source, artists_state, land=lambda name, df: _write(df, f"{root}/{name}"))
-        st = StateTables(source, res.history, res.artists, res.novel_events, res.scored,
+        log = _write(log, f"{root}/messages")
+        imported = chain.imported_novel(spark, sf_dir) if domain == "chain" else None
+        res = discovery_batch(log, artists_state, land=lambda name, df: _write(df, f"{root}/{name}"),
+                              imported=imported)
+        st = StateTables(log, res.history, res.artists, res.novel_events, res.scored,
                          res.recommendations, res.dlq, root)
         _MEMO[key] = st
         return st

@@ -31,6 +31,9 @@ from encore.streaming.state import advance_checkpoint, high_water_mark, pull_sin
 from encore.plans.build import build_state, land_small
 from encore.sources.bindings import EVENTS_AS_OF, PLAYS_AS_OF
 
+# the name under which the play-history pulls keep their mark
+PULL_SERVICE = "play-history"
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -57,6 +60,10 @@ def events_state(spark, sf_dir):
     return build_state(spark, sf_dir, "events")
 
 
+def chain_state(spark, sf_dir):
+    return build_state(spark, sf_dir, "chain")
+
+
 # ---------------------------------------------------------------- flagship (O2 + J10 + J11)
 @query("list_recommendations")
 def q_list_recommendations(spark, sf_dir):
@@ -167,7 +174,7 @@ def q_best_scores(spark, sf_dir):
 def q_history(spark, sf_dir):
     st = plays_state(spark, sf_dir)
     return st.history.select("track_key", "artist", "title", "played_at", joined("genres").alias("genres"),
-                             "artist_popularity", "track_popularity")
+                             "artist_popularity", "track_popularity", joined("sources").alias("sources"))
 
 
 @query("artist_counters")
@@ -352,7 +359,7 @@ def q_full_backfill(spark, sf_dir):
     """Every page is read once; the newest play is the checkpoint to land."""
     plays = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
     return plays.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled"),
-                     F.max("played_at").alias("checkpoint")).withColumn("service", F.lit("lastfm-ingester"))
+                     F.max("played_at").alias("checkpoint")).withColumn("service", F.lit(PULL_SERVICE))
 
 
 @query("incremental_pull")
@@ -360,7 +367,7 @@ def q_incremental_pull(spark, sf_dir):
     """A first pull up to a cut lands a high-water mark; the next pull
     takes only plays after it and advances the mark to max(played_at)."""
     plays = b.event_plays(spark, sf_dir)
-    service = "lastfm-ingester"
+    service = PULL_SERVICE
     first = plays.filter(F.col("played_at") < F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")))
     # the mark is one row, landed by the first pull: the second reads it, not the log
     mark = land_small(advance_checkpoint(None, first, service))
@@ -550,7 +557,7 @@ def q_normalize_stage(spark, sf_dir):
     # exploration produces (their ids are ignored and re-resolved)
     tracks, _ = explore_top_tracks(plays_state(spark, sf_dir).artists,
                                    p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
-    raw = topic_union(plays.drop("external_ids", "raw"),
+    raw = topic_union(plays.drop("external_ids", "raw", "seq"),
                       tracks.select("source", "artist", "title", "artist_id", "track_id"))
     out = normalize_stage(raw, b.track_catalog(spark, sf_dir))
     return out.select("track_key", "artist", "title", "artist_id", "track_id", joined("sources").alias("sources"),
@@ -645,3 +652,53 @@ def q_history_run_counters(spark, sf_dir):
                  F.count_if(F.col("route") == "skipped_not_played").alias("skipped"),
                  F.count_if(F.col("route") == "dropped").alias("dropped"),
                  F.count_if(F.col("route") == "NULL_TRACK_KEY").alias("dlq"))
+
+
+# ---------------------------------------------------------------- the whole chain (T2 -> T1 -> T3 -> T4 -> T5)
+@query("chain_messages")
+def q_chain_messages(spark, sf_dir):
+    """T2 -> T1 over both raw topics."""
+    return chain_state(spark, sf_dir).messages.select(
+        "track_key", "artist", "title", "artist_id", "track_id", joined("sources").alias("sources"), "played",
+        "played_at", "processed_at", joined("genres").alias("genres"), "artist_popularity", "track_popularity",
+        "enrichment_source", "pending_enrichment")
+
+
+@query("chain_artists")
+def q_chain_artists(spark, sf_dir):
+    """T3 at the end of the chain: landed artists and those the plays brought."""
+    return chain_state(spark, sf_dir).artists.select(
+        "id", "name", "status", "play_count", "scrobble_count", joined("genres").alias("genres"), "spotify_uri",
+        "added_at")
+
+
+@query("chain_recommendations")
+def q_chain_recommendations(spark, sf_dir):
+    """Raw pages to recommendations."""
+    st = chain_state(spark, sf_dir)
+    return rec_artist(st.recommendations, st.artists).select(
+        "artist_id", "name", "status", r6("score").alias("score"),
+        r6("score_breakdown.genre_novelty").alias("genre_novelty"),
+        r6("score_breakdown.popularity_norm").alias("popularity_norm"),
+        joined("evidence_tracks").alias("evidence_tracks"), "updated_at")
+
+
+@query("chain_dead_letters")
+def q_chain_dead_letters(spark, sf_dir):
+    """S7 over the chain: artists without a row, bad ratios and artists that
+    cannot be found, with the message's artist out of its payload."""
+    return chain_state(spark, sf_dir).dlq.select(
+        "stage", "error_reason", "error_detail", F.get_json_object("original_payload", "$.artist").alias("artist"),
+        F.get_json_object("original_payload", "$.track_key").alias("track_key"), "failed_at")
+
+
+@query("chain_run_counters")
+def q_chain_run_counters(spark, sf_dir):
+    """A14 over the chain: messages by stage and route."""
+    st = chain_state(spark, sf_dir)
+    novelty = route_novelty(st.messages, st.artists)
+    routes = [route_history(st.messages).select(F.lit("history").alias("stage"), "route"),
+              novelty.select(F.lit("novelty").alias("stage"), "route"),
+              st.novelty.select(F.lit("novelty").alias("stage"), F.lit("emitted").alias("route")),
+              st.scored.select(F.lit("scorer").alias("stage"), "route")]
+    return topic_union(*routes).groupBy("stage", "route").agg(F.count(F.lit(1)).alias("messages"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.functions.text import is_valid_text, track_key
@@ -14,29 +14,38 @@ def valid_raw(raw: DataFrame) -> DataFrame:
     return raw.filter(is_valid_text(F.col("artist")) & is_valid_text(F.col("title")))
 
 
-def resolve_ids(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """First catalog hit per (artist, title) gives both URIs (both or
+def first_hits(catalog: DataFrame) -> DataFrame:
+    """The first search hit per (artist, title): a lookup table of one row per query."""
+    return (catalog.groupBy("q_artist", "q_title")
+            .agg(F.min_by(F.struct("artist_uri", "track_uri"), F.struct("rank", "track_uri")).alias("_hit"))
+            .select("q_artist", "q_title", "_hit.artist_uri", "_hit.track_uri"))
+
+
+def resolve_ids(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The first hit per (artist, title) gives both URIs (both or
     neither); a miss keeps the row with null ids. Ids already on the input are
     ignored and re-resolved."""
-    first = (catalog.groupBy("q_artist", "q_title")
-             .agg(F.min_by(F.struct("artist_uri", "track_uri"), F.struct("rank", "track_uri")).alias("_hit")))
-    j = rows.join(first, (F.col("artist") == F.col("q_artist")) & (F.col("title") == F.col("q_title")), "left")
-    return (j.withColumn("artist_id", F.col("_hit.artist_uri"))
-            .withColumn("track_id", F.col("_hit.track_uri"))
-            .drop("q_artist", "q_title", "_hit"))
-
-
-def normalize_stage(raw: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Raw plays/tracks -> normalized messages keyed by track key."""
-    ok = valid_raw(raw)
-    keyed = ok.withColumn("track_key", track_key(F.col("artist"), F.col("title")))
-    resolved = resolve_ids(keyed.drop(*[c for c in ("artist_id", "track_id") if c in keyed.columns]), catalog)
+    rows = rows.drop(*[c for c in ("artist_id", "track_id") if c in rows.columns])
+    j = rows.join(hits, (F.col("artist") == F.col("q_artist")) & (F.col("title") == F.col("q_title")), "left")
+    return (j.withColumnsRenamed({"artist_uri": "artist_id", "track_uri": "track_id"})
+            .drop("q_artist", "q_title"))
+
+
+def normalize_stage(raw: DataFrame, catalog: DataFrame | None = None, hits: DataFrame | None = None,
+                    processed_at: Column | None = None) -> DataFrame:
+    """Raw plays/tracks -> normalized messages keyed by track key. ``hits``
+    is ``first_hits(catalog)`` where that is landed already; ``processed_at``
+    stamps the messages. A ``seq`` on the input is carried along. Works on a
+    stream too: the lookup is a stream-static left join."""
+    keyed = valid_raw(raw).withColumn("track_key", track_key(F.col("artist"), F.col("title")))
     source = F.coalesce(F.col("source"), F.lit("lastfm"))
-    return resolved.select(
-        "track_key", "artist", "title", "artist_id", "track_id",
-        F.array(source).alias("sources"),
-        (source == "lastfm").alias("played"),
-        "played_at")
+    out = ["track_key", "artist", "title", "artist_id", "track_id", F.array(source).alias("sources"),
+           (source == "lastfm").alias("played"), "played_at"]
+    if "seq" in raw.columns:
+        out.append("seq")
+    if processed_at is not None:
+        out.append(processed_at.alias("processed_at"))
+    return resolve_ids(keyed, first_hits(catalog) if hits is None else hits).select(*out)
 
 
 def valid_normalized(df: DataFrame) -> DataFrame:

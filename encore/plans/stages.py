@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.functions.scoring import DEFAULT_WEIGHTS, ScoreWeights, artist_score, score_breakdown, valid_ratio
@@ -42,15 +42,17 @@ class BatchResult:
 def route_novelty(messages: DataFrame, artists: DataFrame) -> DataFrame:
     """P5: malformed -> DLQ, pending -> skipped, unknown artist -> DLQ."""
     known = artists.select(F.col("name_key").alias("artist_key"), F.lit(True).alias("_known"))
+    return novelty_routes(messages.join(known, "artist_key", "left"), F.col("_known").isNotNull()).drop("_known")
+
+
+def novelty_routes(messages: DataFrame, known: Column) -> DataFrame:
+    """P5 for messages whose artist is known where ``known`` says so."""
     nonempty = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     valid = nonempty("track_key") & nonempty("artist") & nonempty("title") & \
         F.col("pending_enrichment").isNotNull()
-    return (messages.join(known, "artist_key", "left")
-            .withColumn("route", F.when(~valid, F.lit("malformed_message"))
-                        .when(F.col("pending_enrichment"), F.lit("skipped_pending"))
-                        .when(F.col("_known").isNull(), F.lit("artist_record_missing"))
-                        .otherwise(F.lit("ok")))
-            .drop("_known"))
+    return messages.withColumn("route", F.when(~valid, F.lit("malformed_message"))
+                               .when(F.col("pending_enrichment"), F.lit("skipped_pending"))
+                               .when(~known, F.lit("artist_record_missing")).otherwise(F.lit("ok")))
 
 
 def score_events(novel: DataFrame, artists: DataFrame, weights: ScoreWeights = DEFAULT_WEIGHTS) -> DataFrame:
@@ -112,7 +114,8 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
                     weights: ScoreWeights = DEFAULT_WEIGHTS,
                     land: Callable[[str, DataFrame], DataFrame] = keep_lazy,
                     first2_state: tuple[DataFrame, DataFrame] | None = None,
-                    promote_at: int = AUTO_FOLLOW_PLAYS) -> BatchResult:
+                    promote_at: int = AUTO_FOLLOW_PLAYS,
+                    imported: DataFrame | None = None) -> BatchResult:
     """One batch through T3 (history + artists) -> T4 (novelty) -> T5 (scores).
 
     ``land(name, df)`` materialises a state table and returns what later
@@ -130,6 +133,9 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
     Artists that a message of this batch promotes (W7/U4) are landed as
     FOLLOWING: the promotion is part of the novelty stage and reads only the
     counters, so it is applied before the one write of the artist table.
+
+    ``imported``: novel events that another producer put into the topic; they
+    are scored together with those of this batch.
     """
     batch_first = ordered.first_seen_history(messages)
     if history_state is None:
@@ -172,7 +178,10 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
     emitted = F.col("artist_is_new") | (F.size("new_genres") > 0)
     novel_events = land("novel_events", judged.filter(emitted))
 
-    scored = land("scored", score_events(novel_events.select(*NOVEL_EVENT_COLUMNS), artists, weights))
+    to_score = novel_events.select(*NOVEL_EVENT_COLUMNS)
+    if imported is not None:
+        to_score = to_score.unionByName(imported.select(*NOVEL_EVENT_COLUMNS))
+    scored = land("scored", score_events(to_score, artists, weights))
     recs = land("recommendations",
                 ordered.best_score_with_evidence(scored.filter(F.col("route") == "ok"), recs_state))
     dlq = land("dlq", dlq_rows(route_history(messages), "history", messages.columns)

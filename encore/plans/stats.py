@@ -107,7 +107,7 @@ def play_velocity(history: DataFrame, as_of, days: int = 30) -> DataFrame:
              .groupBy(F.to_date("played_at").alias("day")).agg(F.count(F.lit(1)).alias("plays")))
     spine = _day_spine(now, days, history.sparkSession)
     return (F.broadcast(spine).join(daily, "day", "left")
-            .select("day", F.coalesce("plays", F.lit(0)).cast("bigint").alias("plays")))
+            .select("day", F.coalesce("plays", F.lit(0)).cast("bigint").alias("plays")).orderBy("day"))
 
 
 def breakdown_averages(recs: DataFrame, artists: DataFrame) -> DataFrame:

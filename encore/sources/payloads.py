@@ -83,26 +83,32 @@ def read_play_pages(pages: DataFrame) -> DataFrame:
     as_array = F.when(F.ltrim(body).startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
     texts = F.transform(F.from_json(as_array, T.ArrayType(T.VariantType())), lambda v: F.to_json(v))
     total = F.get_json_object("value", "$.recenttracks['@attr'].totalPages").try_cast("int")
-    each = F.explode(F.arrays_zip(F.from_json(as_array, T.ArrayType(PLAY_TRACK)).alias("t"), texts.alias("raw")))
-    return pages.select(total.alias("total_pages"), each.alias("e")).select("e.t", "e.raw", "total_pages")
+    page = F.get_json_object("value", "$.recenttracks['@attr'].page").try_cast("long")
+    each = F.posexplode(F.arrays_zip(F.from_json(as_array, T.ArrayType(PLAY_TRACK)).alias("t"), texts.alias("raw")))
+    return pages.select(total.alias("total_pages"), page.alias("page"), each.alias("pos", "e")).select(
+        "e.t", "e.raw", "total_pages", "page", "pos")
 
 
 def raw_plays(tracks: DataFrame) -> DataFrame:
-    """Now-playing and undated tracks produce no play."""
+    """Now-playing and undated tracks produce no play. ``seq`` orders the
+    plays: by time, then artist, page and place (pages list the newest first)."""
     t = F.col("t")
     keep = (F.coalesce(t["@attr"]["nowplaying"], F.lit("")) != "true") & t["date"].isNotNull() & \
         t["date"]["uts"].isNotNull()
     out = tracks.filter(keep)
     mbid = F.nullif(t["mbid"], F.lit(""))
+    # epoch seconds -> UTC wall-clock time (the session zone is UTC)
+    played_at = F.timestamp_seconds(t["date"]["uts"].cast("long")).cast("timestamp_ntz")
     return out.select(
         F.lit("lastfm").alias("source"),
         t["artist"]["#text"].alias("artist"),
         t["name"].alias("title"),
-        # epoch seconds -> UTC wall-clock time (the session zone is UTC)
-        F.timestamp_seconds(t["date"]["uts"].cast("long")).cast("timestamp_ntz").alias("played_at"),
+        played_at.alias("played_at"),
         F.when(mbid.isNotNull(), F.create_map(F.lit("lastfm_mbid"), mbid))
         .otherwise(F.create_map().cast("map<string,string>")).alias("external_ids"),
-        F.col("raw"))
+        F.col("raw"),
+        F.struct(played_at.alias("ts"), t["artist"]["#text"].alias("origin"), F.col("page"),
+                 (-F.col("pos")).cast("long").alias("pos")).alias("seq"))
 
 
 # ---------------------------------------------------------------- tags
