@@ -51,27 +51,35 @@ class SnapshotStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _versions(self, table: str) -> list[int]:
-        path = f"{self.root}/{table}"
-        jvm = self.spark._jvm
-        fs_path = jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
+    def _folder(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _complete(self, path: str) -> bool:
+        at, fs = self._folder(f"{path}/_SUCCESS")
+        return fs.exists(at)
+
+    def _names(self, table: str, prefix: str) -> list[int]:
+        """The numbers of the folders ``<prefix><number>`` of a table."""
+        at, fs = self._folder(table)
+        if not fs.exists(at):
             return []
-        out = []
-        for st in fs.listStatus(fs_path):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(
-                    st.getPath().toString() + "/_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
+        names = [st.getPath().getName() for st in fs.listStatus(at)]
+        return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix))
+
+    def _versions(self, table: str) -> list[int]:
+        return [v for v in self._names(table, "v=") if self._complete(f"{table}/v={v}")]
 
     def read_before(self, table: str, batch_id: int) -> DataFrame | None:
         """Newest committed version strictly older than ``batch_id``."""
-        older = [v for v in self._versions(table) if v < batch_id]
-        if not older:
-            return None
-        return self.spark.read.parquet(f"{self.root}/{table}/v={older[-1]}")
+        for v in sorted((v for v in self._names(table, "v=") if v < batch_id), reverse=True):
+            if self._complete(f"{table}/v={v}"):
+                return self.spark.read.parquet(f"{self.root}/{table}/v={v}")
+        return None
+
+    def has_batch(self, table: str, batch_id: int) -> bool:
+        """Whether the rows that batch ``batch_id`` appended are complete."""
+        return self._complete(f"{table}/batch_id={batch_id}")
 
     def write(self, table: str, batch_id: int, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{table}/v={batch_id}"
@@ -88,26 +96,16 @@ class SnapshotStore:
     def read_appended_before(self, table: str, batch_id: int) -> DataFrame | None:
         """All rows appended by batches older than ``batch_id`` (partition
         pruning on batch_id)."""
-        done = [v for v in self._appended(table) if v < batch_id]
+        done = [v for v in self.appended(table) if v < batch_id]
         if not done:
             return None
         df = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(
             *[f"{self.root}/{table}/batch_id={v}" for v in done])
         return df.drop("batch_id")
 
-    def _appended(self, table: str) -> list[int]:
-        jvm = self.spark._jvm
-        fs_path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        out = []
-        for st in fs.listStatus(fs_path):
-            name = st.getPath().getName()
-            if name.startswith("batch_id=") and fs.exists(
-                    jvm.org.apache.hadoop.fs.Path(st.getPath().toString() + "/_SUCCESS")):
-                out.append(int(name.split("=", 1)[1]))
-        return sorted(out)
+    def appended(self, table: str) -> list[int]:
+        """Ids of the batches whose rows of ``table`` are complete."""
+        return [b for b in self._names(table, "batch_id=") if self._complete(f"{table}/batch_id={b}")]
 
     def latest(self, table: str) -> DataFrame | None:
         vs = self._versions(table)
