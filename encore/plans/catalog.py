@@ -12,15 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.plans import lists, stats
+from encore.plans import lists, stats, taste, windows
 from encore.functions.text import id_from_uri, name_contains, normalize_text, track_key
 from encore.operators.dedup import topic_union
 from encore.operators.enrich import (backfill_artist_tags, bare_entity_id, enrich, enrichment_artist_tags,
                                     entity_id)
+from encore.operators.objects import contains_value, merge_objects
 from encore.operators.joins import artist_detail, artist_origin, rec_artist
 from encore.operators.ordered import auto_promotions, novelty_signals
-from encore.plans.jobs import (apply_status_decisions, backfill_entity_ids, backfill_genres, expand_similar,
-                               explore_top_tracks, mark_similar_explored, onboard, replay_scores,
+from encore.plans.jobs import (after_backfills, apply_status_decisions, backfill_entity_ids, backfill_genres, expand_similar,
+                               explore_top_tracks, full_backfill, mark_similar_explored, onboard, replay_scores,
                                similar_candidates_judged)
 from encore.functions.scoring import ScoreWeights
 from encore.plans.normalize import normalize_stage, route_history
@@ -33,6 +34,8 @@ from encore.sources.bindings import EVENTS_AS_OF, PLAYS_AS_OF
 
 # the name under which the play-history pulls keep their mark
 PULL_SERVICE = "play-history"
+# components of the feature vectors
+TASTE_DIMS = 64
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -356,10 +359,14 @@ def q_followed_names(spark, sf_dir):
 
 @query("full_backfill")
 def q_full_backfill(spark, sf_dir):
-    """Every page is read once; the newest play is the checkpoint to land."""
-    plays = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
-    return plays.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled"),
-                     F.max("played_at").alias("checkpoint")).withColumn("service", F.lit(PULL_SERVICE))
+    """Every page is read, none is missing, and the newest play is the
+    mark that is landed."""
+    pages = p.play_page_payloads(spark, sf_dir)
+    plays, marks = full_backfill(pages, None, PULL_SERVICE)
+    mark = land_small(marks)
+    return plays.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled")).select(
+        "pulled", "first_pulled", high_water_mark(mark, PULL_SERVICE).alias("checkpoint"),
+        pages.select(F.count(F.lit(1))).scalar().alias("pages"), F.lit(PULL_SERVICE).alias("service"))
 
 
 @query("incremental_pull")
@@ -457,17 +464,35 @@ def q_auto_promote(spark, sf_dir):
         "scrobble_count", F.lit(0).cast("bigint")), 3)
 
 
+def backfill_artists(spark, sf_dir):
+    """The landed artists: every third with genres, every third with an empty
+    list, the others without; play counts by key."""
+    a = b.base_artists(spark, sf_dir)
+    key = read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("_k"))
+    genres = F.when(F.col("_k") % 3 == 1, F.array(F.lit("kept"))).when(
+        F.col("_k") % 3 == 2, F.array().cast("array<string>"))
+    return a.join(key, "name").withColumns({"genres": genres, "play_count": (F.col("_k") * 37 % 101).cast("bigint")}) \
+        .drop("_k")
+
+
 @query("backfill_genres")
 def q_backfill_genres(spark, sf_dir):
-    out = backfill_genres(b.base_artists(spark, sf_dir).withColumn("genres", F.lit(None).cast("array<string>"))
-                          .withColumn("play_count", F.lit(0).cast("bigint")),
-                          b.artist_tag_lists(spark, sf_dir))
+    out = backfill_genres(backfill_artists(spark, sf_dir), b.artist_tag_lists(spark, sf_dir))
     return out.select("id", "name", joined("genres").alias("genres"), "outcome")
 
 
 @query("backfill_entity_ids")
 def q_backfill_entity_ids(spark, sf_dir):
-    return backfill_entity_ids(b.base_artists(spark, sf_dir), b.artist_search(spark, sf_dir))
+    return backfill_entity_ids(backfill_artists(spark, sf_dir), b.artist_search(spark, sf_dir))
+
+
+@query("artists_after_backfills")
+def q_artists_after_backfills(spark, sf_dir):
+    """The artist table after both backfills."""
+    artists = backfill_artists(spark, sf_dir)
+    after = after_backfills(artists, backfill_genres(artists, b.artist_tag_lists(spark, sf_dir)),
+                            backfill_entity_ids(artists, b.artist_search(spark, sf_dir)))
+    return after.select("id", "name", "status", joined("genres").alias("genres"), "spotify_uri", "play_count")
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -702,3 +727,60 @@ def q_chain_run_counters(spark, sf_dir):
               st.novelty.select(F.lit("novelty").alias("stage"), F.lit("emitted").alias("route")),
               st.scored.select(F.lit("scorer").alias("stage"), "route")]
     return topic_union(*routes).groupBy("stage", "route").agg(F.count(F.lit(1)).alias("messages"))
+
+
+# ---------------------------------------------------------------- objects
+@query("external_id_merge")
+def q_external_id_merge(spark, sf_dir):
+    """Of every external id of an artist the last one that came, kept as a
+    map: the tracks' mbids on the plays, and the artist ids found for them."""
+    plays = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
+    found = chain_state(spark, sf_dir).messages
+    rows = (plays.select("artist", "external_ids", "seq").unionByName(
+        found.where("played").select("artist", F.create_map(F.lit("spotify"), "artist_id").alias("external_ids"), "seq")))
+    ids = merge_objects(rows.withColumn("artist_key", F.lower("artist")), "artist_key", "external_ids")
+    return ids.select("artist_key", F.size("external_ids").alias("n_ids"),
+                      F.try_element_at("external_ids", F.lit("lastfm_mbid")).alias("lastfm_mbid"),
+                      F.try_element_at("external_ids", F.lit("spotify")).alias("spotify"))
+
+
+@query("object_containment")
+def q_object_containment(spark, sf_dir):
+    """which of the raw track objects contain a given object, per artist."""
+    plays = p.raw_plays(p.read_play_pages(p.play_page_payloads(spark, sf_dir)))
+    has = lambda wanted: F.count_if(contains_value(F.col("object"), wanted))
+    return plays.select("artist", F.try_parse_json("raw").alias("object")).groupBy("artist").agg(
+        has({"name": "click"}).alias("clicks"), has({"artist": {"mbid": ""}, "mbid": ""}).alias("without_mbid"),
+        has({"artist": {"#text": "u1"}, "name": "error"}).alias("errors_of_u1"), has({"date": {}}).alias("dated"),
+        has({"name": 1}).alias("never"))
+
+
+# ---------------------------------------------------------------- windows and taste
+@query("plays_per_period")
+def q_plays_per_period(spark, sf_dir):
+    """Plays per hour, day and week."""
+    plays = b.event_plays(spark, sf_dir)
+    return topic_union(*(windows.plays_per_period(plays, period) for period in windows.PERIODS))
+
+
+@query("novel_ratio_per_week")
+def q_novel_ratio_per_week(spark, sf_dir):
+    """Share of the judged messages that were novel, per week."""
+    st = chain_state(spark, sf_dir)
+    judged = route_novelty(st.messages, st.artists).where("route = 'ok'")
+    return windows.novel_ratio_per_period(judged, st.novelty, "week").select(
+        "start", "messages", "novel", r6("ratio").alias("ratio"))
+
+
+@query("new_genres_per_month")
+def q_new_genres_per_month(spark, sf_dir):
+    """Genres by the month of the first play that brought them."""
+    return windows.new_genres_per_month(plays_state(spark, sf_dir).history)
+
+
+@query("taste_distance")
+def q_taste_distance(spark, sf_dir):
+    """Distance of every vector to the mean vector of its label."""
+    tracks = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return taste.taste_distance(tracks, "label", "embedding", TASTE_DIMS).select(
+        "vec_id", "label", r6("distance").alias("distance"))

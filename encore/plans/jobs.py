@@ -17,6 +17,8 @@ from encore.operators.ordered import best_score_with_evidence
 from encore.functions.scoring import ScoreWeights
 from encore.plans.stages import NOVEL_EVENT_COLUMNS, score_events
 from encore.sources.bindings import STATUSES
+from encore.sources.payloads import missing_pages, raw_plays, read_play_pages
+from encore.streaming.state import advance_checkpoint
 
 
 def _ts(as_of):
@@ -166,7 +168,7 @@ def backfill_genres(artists: DataFrame, artist_tags: DataFrame) -> DataFrame:
 
 
 def missing_entity_id(artists: DataFrame) -> DataFrame:
-    """No spotify id in the external ids."""
+    """No spotify id in the external ids. Worked off in ``backfill_order``."""
     return artists.filter(F.col("spotify_uri").isNull())
 
 
@@ -175,11 +177,49 @@ def backfill_entity_ids(artists: DataFrame, resolved: DataFrame) -> DataFrame:
     ``resolved(name, uri)``."""
     r = resolved.groupBy(F.col("name").alias("_rn")).agg(F.min("uri").alias("_uri"))
     todo = missing_entity_id(artists)
-    return todo.join(r, F.col("name") == F.col("_rn"), "left").select(
+    return todo.join(r, F.col("name") == F.col("_rn"), "left").orderBy(*backfill_order()).select(
         "id", "name", F.col("_uri").alias("spotify_uri"),
         F.when(F.col("_uri").isNotNull(), F.lit("updated")).otherwise(F.lit("unresolved")).alias("outcome"))
 
 
+def backfilled(artists: DataFrame, genres: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The artists that the reports of U10 and U11 change, as they are
+    afterwards: what a keyed state table has to rewrite."""
+    out = artists
+    for report, column in ((genres, "genres"), (ids, "spotify_uri")):
+        new = f"_new_{column}"
+        if report is None:
+            out = out.withColumn(new, F.lit(None).cast(artists.schema[column].dataType))
+            continue
+        hit = report.where("outcome = 'updated'").select(F.col("id").alias("_rid"), F.col(column).alias(new))
+        out = out.join(hit, F.col("id") == F.col("_rid"), "left").drop("_rid")
+    changed = F.col("_new_genres").isNotNull() | F.col("_new_spotify_uri").isNotNull()
+    return out.where(changed).withColumns({
+        c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in ("genres", "spotify_uri")}).drop("_new_genres", "_new_spotify_uri")
+
+
+def after_backfills(artists: DataFrame, genres: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The whole artist table after the backfills."""
+    changed = backfilled(artists, genres, ids)
+    return artists.join(changed.select("id"), "id", "left_anti").select(artists.columns).unionByName(
+        changed.select(artists.columns))
+
+
+class IncompletePull(ValueError):
+    """Pages of a full pull are missing."""
+
+
+def full_backfill(pages: DataFrame, marks: DataFrame | None, service: str) -> tuple[DataFrame, DataFrame]:
+    """All plays of all pages, and the marks with the service's newest
+    play. Raises IncompletePull if a page is missing, so that no mark is set
+    beyond plays that were never seen."""
+    gap = missing_pages(pages).first()
+    if gap is not None:
+        raise IncompletePull(f"page {gap['page']} of {gap['user']} is missing")
+    plays = raw_plays(read_play_pages(pages))
+    return plays, advance_checkpoint(marks, plays, service)
+
+
 def replay_scores(novel_events: DataFrame, artists: DataFrame, weights: ScoreWeights) -> DataFrame:
     """The whole log of novel events through the scorer with other
     weights, into a fresh recommendation table."""

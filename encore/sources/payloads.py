@@ -17,7 +17,7 @@ S13 read_followed        follow pages -> distinct lower-cased names
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ from encore.sources.tables import read_table
 
 # --- Fixed values: page size of the play-history service ---------------------
 PLAYS_PER_PAGE = 200
+# entries of one answer of the similar-artist service
+SIMILAR_PER_ANSWER = 10
 # ------------------------------------------------------------------------------
 
 PLAY_TRACK = T.StructType([
@@ -49,8 +51,8 @@ TOP_TRACK = T.StructType([
 # ---------------------------------------------------------------- play pages
 def play_page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as paged play-history JSON: user u<id>, pages of at most 200
-    events (by event id block); each user's latest event is now playing and
-    carries no date."""
+    events (by event id block), numbered from the newest, with their number in
+    all; each user's latest event is now playing and carries no date."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     latest = ev.groupBy("user_id").agg(F.max("event_id").alias("_last"))
     e = ev.join(latest, "user_id")
@@ -64,13 +66,17 @@ def play_page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.substring(F.sha2(F.col("event_type"), 256), 1, 36)).otherwise(F.lit("")).alias("mbid"),
         F.when(~now_playing, F.struct(F.unix_timestamp("ts").cast("string").alias("uts"),
                                       F.date_format("ts", "dd MMM yyyy, HH:mm").alias("#text"))).alias("date"))
-    pages = (e.groupBy("user_id", F.floor(F.col("event_id") / PLAYS_PER_PAGE).alias("page"))
-             .agg(F.sort_array(F.collect_list(F.struct((-F.col("event_id")).alias("k"), track.alias("t"))))
-                  .alias("tracks")))
+    blocks = (e.groupBy("user_id", F.floor(F.col("event_id") / PLAYS_PER_PAGE).alias("block"))
+              .agg(F.sort_array(F.collect_list(F.struct((-F.col("event_id")).alias("k"), track.alias("t"))))
+                   .alias("tracks")))
+    user = Window.partitionBy("user_id")
+    pages = blocks.withColumn("page", F.row_number().over(user.orderBy(F.col("block").desc()))).withColumn(
+        "total", F.count(F.lit(1)).over(user))
     tracks = F.transform("tracks", lambda x: x["t"])
     body = F.when(F.size("tracks") == 1, F.to_json(tracks[0])).otherwise(F.to_json(tracks))
     attr = F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"),
-                              F.col("page").cast("string").alias("page")))
+                              F.col("page").cast("string").alias("page"),
+                              F.col("total").cast("string").alias("totalPages")))
     return pages.select(
         F.concat(F.lit('{"recenttracks":{"@attr":'), attr, F.lit(',"track":'), body, F.lit("}}")).alias("value"))
 
@@ -89,6 +95,17 @@ def read_play_pages(pages: DataFrame) -> DataFrame:
         "e.t", "e.raw", "total_pages", "page", "pos")
 
 
+def missing_pages(pages: DataFrame) -> DataFrame:
+    """(user, page) of every page up to the reported number of pages that did not arrive."""
+    attr = lambda name: F.get_json_object("value", f"$.recenttracks['@attr'].{name}")
+    seen = pages.select(attr("user").alias("user"), attr("page").try_cast("int").alias("page"),
+                        attr("totalPages").try_cast("int").alias("total"))
+    users = seen.groupBy("user").agg(F.max("total").alias("total"), F.count_distinct("page").alias("n"))
+    short = users.where((F.col("total") > 0) & (F.col("n") < F.col("total")))
+    wanted = short.select("user", F.explode(F.sequence(F.lit(1), F.col("total"))).alias("page"))
+    return wanted.join(seen.select("user", "page"), ["user", "page"], "left_anti")
+
+
 def raw_plays(tracks: DataFrame) -> DataFrame:
     """Now-playing and undated tracks produce no play. ``seq`` orders the
     plays: by time, then artist, page and place (pages list the newest first)."""
@@ -107,7 +124,7 @@ def raw_plays(tracks: DataFrame) -> DataFrame:
         F.when(mbid.isNotNull(), F.create_map(F.lit("lastfm_mbid"), mbid))
         .otherwise(F.create_map().cast("map<string,string>")).alias("external_ids"),
         F.col("raw"),
-        F.struct(played_at.alias("ts"), t["artist"]["#text"].alias("origin"), F.col("page"),
+        F.struct(played_at.alias("ts"), t["artist"]["#text"].alias("origin"), (-F.col("page")).alias("page"),
                  (-F.col("pos")).cast("long").alias("pos")).alias("seq"))
 
 
@@ -130,15 +147,19 @@ def read_tag_payload(payload) -> F.Column:
 
 
 # ---------------------------------------------------------------- similar artists
-def similar_payloads(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
-    """Similar-artist answers per supplier: ``limit`` parts keyed after the
-    supplier, their names in varying case (so case-folded names collide),
-    mbid from the brand (null for sizes divisible by 3); the last entry
+def similar_payloads(spark: SparkSession, sf_dir: str, limit: int = SIMILAR_PER_ANSWER) -> DataFrame:
+    """Similar-artist answers per supplier (keys 0, 1, 2, ...): every part is
+    dealt to the supplier of its key modulo their number, in answers of
+    ``limit`` entries. Names vary in case (so case-folded names collide), mbid
+    from the brand (null for sizes divisible by 3); the last entry of an answer
     reuses the next supplier's mbid (already known for even keys)."""
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    pos = sup.select("s_suppkey", "s_name", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("position"))
-    j = pos.join(part, F.col("p_partkey") == F.col("s_suppkey") * limit + F.col("position") - 1)
+    n = sup.select(F.count(F.lit(1))).scalar()
+    nth = F.floor(F.col("p_partkey") / n)
+    dealt = part.withColumns({"s_suppkey": F.col("p_partkey") % n, "answer": F.floor(nth / limit),
+                              "position": (nth % limit + 1).cast("int")})
+    j = dealt.join(sup, "s_suppkey")
     k = F.pmod(F.col("position"), F.lit(3))
     name = F.when(k == 0, F.upper("p_name")).when(k == 1, F.initcap("p_name")).otherwise(F.col("p_name"))
     mbid = (F.when(F.col("position") == limit,
@@ -147,20 +168,23 @@ def similar_payloads(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataF
             .otherwise(F.substring(F.sha2(F.col("p_brand"), 256), 1, 36)))
     entry = F.struct(name.alias("name"), mbid.alias("mbid"),
                      F.format_number(F.lit(1.0) - F.col("position") / 20.0, 2).alias("match"))
-    per = j.groupBy("s_name").agg(F.sort_array(F.collect_list(F.struct("position", entry.alias("e")))).alias("l"))
+    per = j.groupBy("s_name", "answer").agg(
+        F.sort_array(F.collect_list(F.struct("position", entry.alias("e")))).alias("l"))
+    attr = F.struct(F.col("answer").cast("string").alias("page"))
     return per.select(F.col("s_name").alias("artist"),
-                      F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["e"]).alias("artist"))
-                                         .alias("similarartists"))).alias("payload"))
+                      F.to_json(F.struct(F.struct(F.transform("l", lambda x: x["e"]).alias("artist"),
+                                                  attr.alias("@attr")).alias("similarartists"))).alias("payload"))
 
 
 def read_similar_payload(payloads: DataFrame) -> DataFrame:
-    """(artist, position, name, mbid or null, match) in list order;
-    entries without a name are dropped."""
+    """(artist, position, name, mbid or null, match) in list order, that
+    of several answers page by page; entries without a name are dropped."""
+    page = F.coalesce(F.get_json_object("payload", "$.similarartists['@attr'].page").try_cast("int"), F.lit(0))
     arr = F.from_json(F.get_json_object("payload", "$.similarartists.artist"), T.ArrayType(SIMILAR))
-    ex = payloads.select("artist", F.posexplode(arr).alias("pos", "s"))
+    ex = payloads.select("artist", page.alias("page"), F.posexplode(arr).alias("pos", "s"))
     return (ex.filter(F.col("s.name").isNotNull() & (F.col("s.name") != ""))
-            .select("artist", (F.col("pos") + 1).alias("position"), F.col("s.name").alias("name"),
-                    F.nullif(F.col("s.mbid"), F.lit("")).alias("mbid"),
+            .select("artist", (F.col("page") * SIMILAR_PER_ANSWER + F.col("pos") + 1).alias("position"),
+                    F.col("s.name").alias("name"), F.nullif(F.col("s.mbid"), F.lit("")).alias("mbid"),
                     F.col("s.match").try_cast("double").alias("match")))
 
 
@@ -172,7 +196,6 @@ def top_track_payloads(spark: SparkSession, sf_dir: str, top_n: int = 10) -> Dat
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     counts = li.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
     w = Window.partitionBy("l_suppkey").orderBy(F.col("n").desc(), F.col("l_partkey"))
     top = counts.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_n)
     j = top.join(part, top.l_partkey == part.p_partkey).join(sup, top.l_suppkey == sup.s_suppkey)
