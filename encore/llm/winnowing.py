@@ -129,9 +129,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     rows, held = matched.agg(F.count("*"), F.coalesce(F.sum(F.size("keep")), F.lit(0))).first()
     if rows + held <= BROADCAST_ROWS:
         matched = F.broadcast(matched)
-    hit_docs = base.join(matched.select(F.col("doc_id").alias("d"), F.col("key").alias("h"), "keep"),
-                         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("h"))) \
-        .dropDuplicates(["doc_id", "key"]).drop("d", "h")
+    # the raw texts are joined, so that only those with a known fingerprint are cut into words again
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    hit_docs = texts.withColumn("key", F.unhex(F.md5("text"))) \
+        .join(matched.select(F.col("doc_id").alias("d"), F.col("key").alias("h"), "keep"),
+              F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("h"))) \
+        .dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "keep", words_of(F.col("text")).alias("words"))
+    hit_docs = with_hashes(hit_docs).withColumn("grams", gram_hashes(F.col("hashes"), F.col("n_words"), k, 0))
 
     grams = grams_at(hit_docs, F.col("keep"), window, k, short).drop("keep", "n_words")
     theirs = contexts.select("fp", "m", "whole", "mid", F.col("before").alias("item_before"),
@@ -139,16 +143,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     met = grams.join(theirs, ["fp", "m", "mid"])
     back = F.when(F.col("whole"), 0).otherwise(equal_run(F.col("before"), F.col("item_before")))
     on = F.when(F.col("whole"), 0).otherwise(equal_run(F.col("after"), F.col("item_after")))
-    spans = (met.withColumn("back", back).withColumn("on", on)
+    spans = land(met.withColumn("back", back).withColumn("on", on)
              .where(F.col("whole") | (F.col("back") + F.col("m") + F.col("on") >= window))
              .select("doc_id", "key", "items", (F.col("at") - F.col("back")).alias("from"),
-                     (F.col("at") + F.col("m") + F.col("on") - 1).alias("to")))
-    hits = spans.select("doc_id", "key", "items", F.explode(F.sequence("from", "to")).alias("at"))
-    per_doc = hits.groupBy("doc_id", "key").agg(
-        F.size(F.collect_set("at")).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+                     (F.col("at") + F.col("m") + F.col("on") - 1).alias("to")), "winnow-spans")
+    # positions without the items, and items without the positions
+    at = spans.select("doc_id", "key", F.explode(F.sequence("from", "to")).alias("at")).distinct()
+    hits = at.groupBy("doc_id", "key").agg(F.count("*").alias("n_hit"))
+    names = spans.select("doc_id", "key", F.explode("items").alias("item")).distinct()
+    named = names.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("h")).agg(
+        F.array_sort(F.collect_list("item")).alias("items"))
     left = prints.select("doc_id", "key", "n_words")
-    right = per_doc.select(F.col("doc_id").alias("d"), F.col("key").alias("h"), "n_hit", "items")
+    right = hits.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("h")), "left").select(
+        F.col("doc_id").alias("d"), F.col("key").alias("h"), "n_hit", "items")
     return (left.join(right, left["doc_id"].eqNullSafe(F.col("d")) & (left["key"] == F.col("h")), "left")
             .select("doc_id", F.col("n_words").cast("long").alias("n_words"),
                     F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
