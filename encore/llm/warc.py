@@ -9,7 +9,8 @@ length and payload digest must equal the payload's.
 Among records with equal payloads of at least `least_bytes` bytes, the rows
 with the largest page_id are the response and all others revisit it (their
 block is empty and refers to the response); smaller payloads are all
-responses. Null payloads count as empty, null urls as empty. A null page_id
+responses. Null payloads count as empty, null urls as empty; line breaks in a url are
+written as a backslash and a letter and come back. A null page_id
 is smaller than any other. Rows repeated with the same page_id and payload
 are repeated records of the same type. An empty table gives an empty
 archive. Extra columns are ignored.
@@ -36,7 +37,21 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def _field(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]", " "), F.lit("\r\n"))
+    return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
+
+
+def one_line(text: Column) -> Column:
+    """Backslashes doubled, line breaks as a backslash and a letter."""
+    for char, code in (("\\", "\\\\"), ("\r", "\\r"), ("\n", "\\n")):
+        text = F.replace(text, F.lit(char), F.lit(code))
+    return text
+
+
+def lines_again(text: Column) -> Column:
+    """Undoes `one_line`; doubled backslashes are cut out first, from left to right."""
+    parts = F.transform(F.split(text, r"\\\\", -1), lambda p: F.replace(
+        F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(parts, "\\")
 
 
 def _id(page_id: Column) -> Column:
@@ -48,7 +63,7 @@ def header_text(kind: Column, date: str) -> Column:
     revisit = kind == "revisit"
     return F.concat(
         F.lit("WARC/1.1\r\n"), _field("WARC-Type", kind), _field("WARC-Record-ID", _id(F.col("page_id"))),
-        _field("WARC-Date", F.lit(date)), _field("WARC-Target-URI", F.col("url")),
+        _field("WARC-Date", F.lit(date)), _field("WARC-Target-URI", one_line(F.col("url"))),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(_field("WARC-Refers-To", _id(F.col("refers_to"))),
                                  _field("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
@@ -72,12 +87,13 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE, id_c
     answers = (F.col("bytes") < least_bytes) | F.col("page_id").eqNullSafe(F.col("refers_to"))
     kind = F.when(answers, F.lit("response")).otherwise(F.lit("revisit"))
     headers = land(known.select("digest", header_text(kind, date).alias("header")), "warc-headers")
-    # one row of each digest brings its bytes: any of its responses has the same
-    keyed = base.select(F.col("page_id").alias("own_id"), "payload", F.sha2("payload", 256).alias("own_digest"))
-    stored = keyed.join(first, keyed["own_id"].eqNullSafe(first["refers_to"])
-                        & (keyed["own_digest"] == first["digest"]), "left_semi")
-    payloads = land(stored.select(F.col("own_digest").alias("digest"), "payload")
-                    .dropDuplicates(["digest"]), "warc-payloads")
+    # One row of each digest brings its bytes: any of its responses has the same. Joined and freed of
+    # repeated rows by the same plain keys, the payloads are shuffled once.
+    def owner(page_id):
+        return F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("owner")
+    keyed = base.select(owner("page_id"), F.sha2("payload", 256).alias("digest"), "payload")
+    stored = keyed.join(first.select(owner("refers_to"), "digest"), ["owner", "digest"], "left_semi")
+    payloads = land(stored.dropDuplicates(["owner", "digest"]).select("digest", "payload"), "warc-payloads")
     return headers, payloads
 
 
@@ -98,7 +114,8 @@ def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
         .otherwise(F.raise_error(F.lit("a stored payload has changed")).cast("long")).alias("payload_bytes"),
         sha1_base32(F.col("payload")).alias("payload_digest"))
     parsed = headers.select(
-        "digest", "header", page("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"),
+        "digest", "header", page("WARC-Record-ID").alias("page_id"),
+        lines_again(F.coalesce(field("WARC-Target-URI"), F.lit(""))).alias("url"),
         field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
         F.concat(field("Payload-Length"), F.lit(" "), field("WARC-Payload-Digest")).alias("said"))
     fits = F.col("said") == F.concat(F.col("payload_bytes").cast("string"), F.lit(" sha1:"), F.col("payload_digest"))
@@ -110,9 +127,38 @@ def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
         "payload", F.concat(F.col("header").cast("binary"), block, F.lit("\r\n\r\n").cast("binary")).alias("record"))
 
 
+def read_records(records: DataFrame) -> DataFrame:
+    """The fields of every reconstructed `record`, out of its bytes alone.
+
+    Raises an error if the block of a response does not have the length and
+    digest that its header states.
+    """
+    # one character per byte, so places and lengths are those of the bytes
+    text = F.decode("record", "ISO-8859-1")
+    cut = records.select(text.alias("text")).select(
+        F.concat(F.substring_index("text", "\r\n\r\n", 1), F.lit("\r\n")).alias("header"), "text")
+    block = F.expr("substring(text, length(header) + 3, length(text) - length(header) - 6)")
+
+    def field(name):
+        return F.nullif(F.regexp_extract("header", rf"(?md)^{name}: ([^\r]*)\r\n", 1), F.lit(""))
+
+    def page(name):
+        return F.nullif(F.regexp_extract("header", rf"(?md)^{name}: <urn:page:([^>]*)>\r\n", 1), F.lit("")).cast("long")
+
+    out = cut.select(
+        page("WARC-Record-ID").alias("page_id"), field("Payload-Length").cast("long").alias("payload_bytes"),
+        F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("payload_digest"),
+        field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
+        F.encode(block, "ISO-8859-1").alias("block"))
+    good = (F.col("record_type") == "revisit") | (
+        (F.octet_length("block") == F.col("payload_bytes")) & (sha1_base32(F.col("block")) == F.col("payload_digest")))
+    return out.withColumn("record_type", F.when(good, F.col("record_type")).otherwise(
+        F.raise_error(F.lit("a record's block does not fit its header")).cast("string")))
+
+
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     headers, payloads = write_archive(table(spark, sf_dir, "pages"))
-    return read_archive(headers, payloads).select(
+    return read_records(read_archive(headers, payloads).select("record")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

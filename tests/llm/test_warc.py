@@ -60,3 +60,16 @@ def test_changed_payloads_are_found(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archive(*warc.write_archive(df)).count() == 0
+
+
+def test_urls_and_records_come_back(spark):
+    urls = ["http://b/\r\nWARC-Type: x", "a\\nb", "a\\\nb", "\\", "\r", "", None, "é \\\\r"]
+    df = spark.createDataFrame([(i, u, f"body {i % 3} é") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    records = warc.read_archive(*warc.write_archive(df))
+    assert {r.page_id: r.url for r in records.collect()} == {i: u or "" for i, u in enumerate(urls)}
+    fields = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, warc.read_records(records.select("record")).select(fields).collect())) == \
+        sorted(map(tuple, records.select(fields).collect()))
+    broken = records.withColumn("record", F.concat("record", F.lit("x").cast("binary")))
+    with pytest.raises(Exception, match="does not fit its header"):
+        warc.read_records(broken.select("record")).collect()
