@@ -51,9 +51,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # `\\` and `\n` are read from left to right: the pairs are hidden while `\n` is replaced
-    hidden = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00\x00"))
-    return F.replace(F.replace(hidden, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x00"), F.lit("\\"))
+    # pairs of backslashes are cut out from left to right; what is left of `\n` is a line break
+    parts = F.transform(F.split(unescape(role), r"\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(parts, "\\")
 
 
 def text_part(text: Column) -> Column:

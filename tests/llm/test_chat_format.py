@@ -57,3 +57,12 @@ def test_query_on_an_empty_table(spark, tmp_path):
     assert [(x.conv_id, x.n_turns, x.loss_chars) for x in r] == [(-1, 2, len(said))]
     assert r[0].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert r[0].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_roles_with_backslashes_breaks_and_nul_come_back(spark):
+    roles = ["a\x00\x00b", "a\\nb", "a\nb", "\\", "\\\\n", "\\\n", "<|im_end|>\\", "<\\|x|>\n", "", "\x00", "n\\\\\\n"]
+    rows = [(i, 0, r, "t") for i, r in enumerate(roles)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string") \
+        .withColumn("parts", F.array(C.text_part(F.col("text"))))
+    got = C.read_back(C.format_conversations(messages)).collect()
+    assert {r.conv_id: r.turns[0].role for r in got} == dict(enumerate(roles))
