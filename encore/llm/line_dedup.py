@@ -17,10 +17,12 @@ verified by a bit-parallel edit distance over the band of `max_edits`
 diagonals.
 
 Blocks of texts send each distinct line once, whatever its number of
-occurrences. A key that many lines share is split into chunks, and pairs of
-chunks are compared in tasks of their own; no pair is left out. What travels
-for the join are hashes; texts of lines are fetched only for pairs that pass
-the signature.
+occurrences. Where a few lines share a key, their pairs are verified one by
+one. A key that many lines share is split into chunks, and pairs of chunks are
+searched in tasks of their own: a line tries the earlier ones in order until
+one is near, so however many near copies a line has, a task says once that it
+repeats. No pair is left out. What travels for the join are hashes; texts
+follow only for lines that meet others.
 
 Null texts count as empty. Rows with the same doc_id are one document: equal
 rows give equal results. A null doc_id is before all others. An empty table
@@ -34,13 +36,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encore.llm.common import land, prepare, shuffle_partitions, table
 
 MAX_EDITS, LEAST_CHARS = 2, 24
-BATCH_CHARS = 4_000_000     # characters hashed at once
-BLOCK_LINES = 1_000_000     # distinct lines a task remembers before it starts a new block
-CHUNK = 2_000               # lines of a key compared with each other in one piece
+BATCH_CHARS = 1_000_000     # characters hashed at once (or one line)
+BLOCK_LINES, BLOCK_CHARS = 500_000, 16_000_000      # distinct lines, and their characters, of a task's block
+FEW = 16                    # lines of a key that are paired as they meet; larger keys are searched
+CHUNK = 2_000               # lines of a larger key compared with each other in one piece
+LONG = 200                  # characters from which pairs are first freed of their common ends
+AREA = 2_000_000            # characters of the pairs measured together (or one pair)
 BROADCAST_ROWS = 200_000    # lines to fetch by a broadcast of their hashes, as counted; a shuffle beyond
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -154,17 +160,19 @@ def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
 def _lines_in_blocks(batches, least):
     """(line -> (doc_id, line_no) of its first occurrence) for each block of a task's documents."""
     seen: dict[str, tuple] = {}
+    size = 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             at = (doc_id is not None, doc_id or 0)
             for no, line in enumerate((text.as_py() or "").split("\n")):
                 if wanted(line, least):
                     place = (*at, no)
+                    size += 0 if line in seen else len(line)
                     if line not in seen or place < seen[line]:
                         seen[line] = place
-            if len(seen) >= BLOCK_LINES:
+            if len(seen) >= BLOCK_LINES or size >= BLOCK_CHARS:
                 yield seen
-                seen = {}
+                seen, size = {}, 0
     if seen:
         yield seen
 
@@ -197,8 +205,9 @@ def first_places(docs: DataFrame, least: int) -> DataFrame:
             .agg(F.min(F.struct("known", "doc_id", "line_no")).alias("place")))
 
 
-def candidate_pairs(docs: DataFrame, edits: int, least: int, chunk: int) -> DataFrame:
-    """(a, b), a < b: short ids of lines that share a segment and have close signatures."""
+def meetings(docs: DataFrame, edits: int, least: int, few: int) -> DataFrame:
+    """Lines that meet under a key: (a, b), a < b, short ids of lines with close
+    signatures where up to `few` lines share it; the rows (a, key, sig, index) of larger keys, with a null b."""
     partitions = shuffle_partitions(docs.sparkSession)
 
     def keys(batches):
@@ -211,26 +220,15 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, chunk: int) -> Data
                         [pa.array(key), pa.array(ids[of]), pa.array(sig[of]),
                          pa.array(np.full(len(of), index))], names=["key", "line", "sig", "index"])
 
-    def close(line_a, sig_a, line_b, sig_b):
-        for x in range(0, len(line_a), CHUNK):
-            near = np.bitwise_count((sig_a[x:x + CHUNK, None] ^ sig_b[None, :]).view(np.uint32)) <= 2 * edits
-            i, k = np.nonzero(near & (line_a[x:x + CHUNK, None] != line_b[None, :]))
-            a, b = line_a[x + i], line_b[k]
-            yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-
     def pairs_of(line, sig, index):
-        for found in close(line[index], sig[index], line[~index], sig[~index]):
-            yield found
-
-    def batch_of(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]),
-                                           *(pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.bool_()))],
-                                          names=names)
+        i, k = close_signatures(sig[index], sig[~index], edits)
+        a, b = line[index][i], line[~index][k]
+        ok = a != b
+        return np.unique(np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok]], axis=1), axis=0)
 
     names = ["a", "b", "key", "sig", "index"]
 
     def meet(batches):
-        """Pairs of the keys of up to `chunk` lines; rows of larger keys, unpaired, with a null b."""
         held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, bool)]
         passing = None      # the last key of the flush before, if its rows were passed on
 
@@ -242,31 +240,33 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, chunk: int) -> Data
             ones = np.add.reduceat(index.astype(np.int64), starts)
             # most keys are one line that meets itself
             several = np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts)
-            large = size > chunk
+            large = size > few
             # only the first key can have begun before, only the last can go on: one side or line of it may be elsewhere
             open_ended = np.zeros(len(starts), bool)
             open_ended[0] = passing is not None and key[0] == passing
             large[0] |= open_ended[0]
             open_ended[-1] |= large[-1]
             passing = int(key[-1]) if large[-1] else None
-            small = []
-            for g in np.flatnonzero(several & (ones > 0) & (ones < size) | open_ended).tolist():
-                s, e = int(starts[g]), int(ends[g])
-                if large[g]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(line[s:e]), pa.nulls(e - s, pa.int64()), pa.array(key[s:e]),
-                         pa.array(sig[s:e]), pa.array(index[s:e])], names=names)
-                else:
-                    small += pairs_of(line[s:e], sig[s:e], index[s:e])
+            go = several & (ones > 0) & (ones < size) | open_ended
+            rows = np.repeat(go & large, size)
+            if rows.any():
+                n = int(rows.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(line[rows]), pa.nulls(n, pa.int64()), pa.array(key[rows]),
+                                                  pa.array(sig[rows]), pa.array(index[rows])], names=names)
+            small = [pairs_of(line[x:y], sig[x:y], index[x:y])
+                     for x, y in zip(starts[go & ~large].tolist(), ends[go & ~large].tolist())]
             if small:
-                yield batch_of(np.concatenate(small))
+                pairs = np.concatenate(small)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]),
+                     *(pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.bool_()))], names=names)
 
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             key, line, sig, index = (np.concatenate(x) for x in zip(held, new))
             # the last key may go on in the next batch; of a large one, pass on what there is
             last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if len(key) - last > chunk:
+            if len(key) - last > few:
                 last = len(key)
             if last:
                 yield from flush(key[:last], line[:last], sig[:last], index[:last])
@@ -274,49 +274,23 @@ def candidate_pairs(docs: DataFrame, edits: int, least: int, chunk: int) -> Data
         if len(held[0]):
             yield from flush(*held)
 
-    schema = "a long, b long, key long, sig int, index boolean"
-    met = land(docs.mapInArrow(keys, "key long, line long, sig int, index boolean")
-               .repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(meet, schema), "lines-met")
-    rest = met.where("b is null").select("key", F.col("a").alias("line"), "sig", "index").distinct()
-    return met.where("b is not null").select("a", "b").union(
-        _split_pairs(rest, chunk, partitions, pairs_of, batch_of, schema)).distinct()
+    return (docs.mapInArrow(keys, "key long, line long, sig int, index boolean")
+            .repartition(partitions, "key").sortWithinPartitions("key")
+            .mapInArrow(meet, "a long, b long, key long, sig int, index boolean"))
 
 
-def _split_pairs(rest: DataFrame, chunk: int, partitions: int, pairs_of, batch_of, schema: str) -> DataFrame:
-    """Pairs of keys with many lines: chunks of the index side meet chunks of the probing side."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
-    each = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("line"), "n").cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = each.select("key", F.when(F.col("index"), F.col("own")).otherwise(F.col("other")).alias("i"),
-                        F.when(F.col("index"), F.col("other")).otherwise(F.col("own")).alias("k"),
-                        "line", "sig", "index")
-
-    def run(batches):
-        cell, rows = None, []
+def close_signatures(a: np.ndarray, b: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of the signatures that `edits` edits can make of each other."""
+    found = []
+    for x in range(0, len(a), 256):
+        i, k = np.nonzero(np.bitwise_count((a[x:x + 256, None] ^ b[None, :]).view(np.uint32)) <= 2 * edits)
+        found.append((i + x, k))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
-        def flush():
-            line, sig, index = (np.array(x, t) for x, t in zip(zip(*rows), (np.int64, np.int32, bool)))
-            for found in pairs_of(line, sig, index):
-                if len(found):
-                    yield batch_of(found)
 
-        for batch in batches:
-            for key, i, k, *row in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if (key, i, k) != cell and rows:
-                    yield from flush()
-                    rows = []
-                cell = (key, i, k)
-                rows.append(row)
-        if rows:
-            yield from flush()
-
-    return (cells.repartition(partitions, "key", "i", "k").sortWithinPartitions("key", "i", "k")
-            .mapInArrow(run, schema).select("a", "b"))
-
-
-def verified_links(docs: DataFrame, pairs: DataFrame, edits: int, least: int) -> DataFrame:
-    """(id_a, id_b): the ids of lines within `edits` edits of each other, among the pairs."""
-    need = land(pairs.select(F.col("a").alias("short")).union(pairs.select("b")).distinct(), "lines-needed")
+def texts_of(docs: DataFrame, need: DataFrame, least: int) -> DataFrame:
+    """(short, id, line) of the lines whose short ids `need` lists, landed."""
+    need = land(need.distinct(), "lines-needed")
     few = need.count() <= BROADCAST_ROWS
     chosen = docs.sparkSession.sparkContext.broadcast(
         {r.short for r in need.collect()} if few else None)
@@ -344,56 +318,179 @@ def verified_links(docs: DataFrame, pairs: DataFrame, edits: int, least: int) ->
     lines = docs.mapInArrow(fetch, "short long, id binary, line string")
     if not few:
         lines = lines.join(need, "short", "left_semi")
-    lines = land(lines.dropDuplicates(["id"]), "lines-texts")
+    return land(lines.dropDuplicates(["id"]), "lines-texts")
+
+
+def without_ends(a: str, b: str) -> tuple[str, str]:
+    """Both without the beginning and the end that they share; their distance is the same."""
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    start = int(differ[0]) if len(differ) else n
+    left = n - start
+    differ = np.flatnonzero(x[len(x) - left:][::-1] != y[len(y) - left:][::-1])
+    end = int(differ[0]) if len(differ) else left
+    return a[start:len(a) - end], b[start:len(b) - end]
+
+
+def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
+    """Which pairs are within `edits` edits, measured in groups of like length and bounded area."""
+    out = np.zeros(len(a), bool)
+    order = [i for i in range(len(a)) if abs(len(a[i]) - len(b[i])) <= edits]
+    if any(len(a[i]) > LONG for i in order):
+        a, b = list(a), list(b)
+        for i in order:
+            if len(a[i]) > LONG:
+                a[i], b[i] = without_ends(a[i], b[i])
+    # nothing left of one: as far apart as the other is long
+    done = [i for i in order if not a[i] or not b[i]]
+    out[done] = True
+    order = sorted(set(order) - set(done), key=lambda i: len(a[i]))
+    at = 0
+    while at < len(order):
+        # the pairs up to the first that would stretch the group beyond its area
+        end = at + 1
+        while end < len(order) and end - at < 4_096 and (end - at + 1) * len(a[order[end]]) <= AREA:
+            end += 1
+        part = order[at:end]
+        out[part] = banded_distance([a[i] for i in part], [b[i] for i in part], edits) <= edits
+        at = end
+    return out
+
+
+def verified_links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(id_a, id_b): the ids of lines within `edits` edits of each other, among the pairs."""
     a, b = (lines.toDF(x, f"id_{x}", f"line_{x}") for x in "ab")
 
     def verify(batches):
         for batch in batches:
-            ida, idb, la, lb = (batch.column(c).to_pylist() for c in range(4))
-            good = [i for i in range(len(la)) if abs(len(la[i]) - len(lb[i])) <= edits]
-            for s in range(0, len(good), 4_096):
-                part = good[s:s + 4_096]
-                near = banded_distance([la[i] for i in part], [lb[i] for i in part], edits) <= edits
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ida[i] for i, ok in zip(part, near) if ok], pa.binary()),
-                     pa.array([idb[i] for i, ok in zip(part, near) if ok], pa.binary())], names=["id_a", "id_b"])
+            near = pa.array(within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits))
+            yield batch.select(["id_a", "id_b"]).filter(near)
 
     return (pairs.join(a, "a").join(b, "b").select("id_a", "id_b", "line_a", "line_b")
             .mapInArrow(verify, "id_a binary, id_b binary"))
 
 
+def repeats_under_large_keys(rest: DataFrame, lines: DataFrame, places: DataFrame, edits: int,
+                             chunk: int) -> DataFrame:
+    """(id): lines that meet an earlier one within `edits` edits under a key that many lines share.
+
+    The index side and the probing side of a key meet in chunks of at most
+    about `chunk` lines and BATCH_CHARS characters. In a task every line tries
+    its candidates from the earliest on, and stops at the first that is near:
+    at most one row per line and pair of chunks leaves it.
+    """
+    partitions = shuffle_partitions(rest.sparkSession)
+    known = lines.join(places, "id").select("short", "id", "line", "place")
+    rows = rest.select("key", F.col("a").alias("short"), "sig", "index")
+    sizes = rows.join(lines.select("short", F.length("line").alias("chars")), "short").groupBy("key").agg(
+        F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("chars") / BATCH_CHARS)).cast("int").alias("n"))
+    each = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("short"), "n").cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = each.select("key", F.when(F.col("index"), F.col("own")).otherwise(F.col("other")).alias("i"),
+                        F.when(F.col("index"), F.col("other")).otherwise(F.col("own")).alias("k"),
+                        "short", "sig", "index").join(known, "short")
+
+    def search(rows):
+        ids, texts = [r[2] for r in rows], [r[3] for r in rows]
+        sig, index = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], bool)
+        rank = np.empty(len(rows), np.int64)
+        rank[sorted(range(len(rows)), key=lambda r: (rows[r][4], ids[r]))] = np.arange(len(rows))
+        left, right = np.flatnonzero(index), np.flatnonzero(~index)
+        i, k = close_signatures(sig[left], sig[right], edits)
+        i, k = left[i], right[k]
+        # the same line may stand on both sides: a pair of it is no pair
+        number = np.unique(np.array(ids, object), return_inverse=True)[1]
+        ok = number[i] != number[k]
+        i, k = i[ok], k[ok]
+        late, early = np.where(rank[i] > rank[k], i, k), np.where(rank[i] > rank[k], k, i)
+        order = np.lexsort((rank[early], late))
+        late, early = late[order], early[order]
+        found, step = set(), 1
+        while len(late):
+            # each line that is left tries its next `step` candidates
+            start = np.flatnonzero(np.r_[True, late[1:] != late[:-1]])
+            nth = np.arange(len(late)) - np.repeat(start, np.diff(np.r_[start, len(late)]))
+            now = nth < step
+            near = within([texts[x] for x in late[now]], [texts[x] for x in early[now]], edits)
+            hit = np.unique(late[now][near])
+            found.update(ids[x] for x in hit)
+            left_over = ~now & ~np.isin(late, hit)
+            late, early, step = late[left_over], early[left_over], step * 2
+        return found
+
+    def run(batches):
+        cell, rows = None, []
+
+        def flush():
+            found = sorted(search(rows))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["id"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "k", "sig", "index", "id", "line", "place")]
+            for key, i, k, sig, index, identity, line, place in zip(*columns):
+                if (key, i, k) != cell and rows:
+                    yield from flush()
+                    rows = []
+                cell = (key, i, k)
+                rows.append((sig, index, identity, line, (place["known"], place["doc_id"], place["line_no"])))
+        if rows:
+            yield from flush()
+
+    return (cells.repartition(partitions, "key", "i", "k").sortWithinPartitions("key", "i", "k")
+            .mapInArrow(run, "id binary"))
+
+
 def kept_places(docs: DataFrame, edits: int = MAX_EDITS, least: int = LEAST_CHARS,
-                chunk: int = CHUNK) -> DataFrame:
+                chunk: int = CHUNK, few: int = FEW) -> DataFrame:
     """(known, doc_id, line_no) of the lines that stay, of those that are compared."""
     places = land(first_places(docs, least), "lines-first")
-    pairs = land(candidate_pairs(docs, edits, least, chunk), "lines-pairs")
-    links = verified_links(docs, pairs, edits, least)
+    met = land(meetings(docs, edits, least, few), "lines-met")
+    pairs, rest = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").distinct()
+    lines = texts_of(docs, met.select(F.explode(F.array("a", "b")).alias("short")).where("short is not null"), least)
+    links = verified_links(pairs, lines, edits)
     a, b = (places.toDF(f"id_{x}", f"place_{x}") for x in "ab")
     later = F.when(F.col("place_a") > F.col("place_b"), F.col("id_a")).otherwise(F.col("id_b"))
-    repeats = links.join(a, "id_a").join(b, "id_b").select(later.alias("id")).distinct()
+    repeats = links.join(a, "id_a").join(b, "id_b").select(later.alias("id")).union(
+        repeats_under_large_keys(rest, lines, places, edits, chunk)).distinct()
     return places.join(repeats, "id", "left_anti").select("place.*")
 
 
-def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = LEAST_CHARS, chunk: int = CHUNK,
+def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = LEAST_CHARS, chunk: int = CHUNK, few: int = FEW,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` with the text rewritten, and n_lines, n_removed (names must be free)."""
+    """All columns of `docs` with the text rewritten, and n_lines, n_removed.
+
+    Columns of `docs` with these two names are left out.
+    """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = kept_places(source, edits, least, chunk).groupBy(
-        F.when(F.col("known"), F.col("doc_id")).alias("_doc")).agg(F.collect_set("line_no").alias("_kept"))
-    both = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    blank = "^[ \\t\\r\\x0b\\x0c]*$"
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (
-        (F.length(x) < least) | x.rlike(blank) | F.coalesce(F.array_contains("_kept", i), F.lit(False))).alias("stays")))
-    both = both.withColumn("_lines", numbered)
-    stay = F.transform(F.filter("_lines", lambda x: x["stays"]), lambda x: x["line"])
-    both = both.withColumn("_stay", stay)
-    return both.select(
-        *[F.when(F.col(text_col).isNotNull(), F.array_join("_stay", "\n")).alias(text_col) if c == text_col
-          else F.col(f"`{c}`") for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_stay")).cast("long").alias("n_removed"))
+    kept = kept_places(source, edits, least, chunk, few).groupBy(
+        F.when(F.col("known"), F.col("doc_id")).alias("kept_id")).agg(F.collect_set("line_no").alias("kept"))
+    # the row travels as one column, so its names clash with none of these
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.col(id_col).cast("long").alias("own_id"))
+    both = whole.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left").select(
+        "row", F.col(f"row.`{text_col}`").alias("old"), "kept")
+
+    def rewrite(batches):
+        for batch in batches:
+            texts, totals, removed = [], [], []
+            for text, keep in zip(batch.column("old").to_pylist(), batch.column("kept").to_pylist()):
+                lines, keep = (text or "").split("\n"), set(keep or ())
+                stay = [x for no, x in enumerate(lines) if no in keep or not wanted(x, least)]
+                texts.append(None if text is None else "\n".join(stay))
+                totals.append(len(lines))
+                removed.append(len(lines) - len(stay))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(texts, pa.string()), pa.array(totals, pa.int64()),
+                 pa.array(removed, pa.int64())], names=["row", "new", "n_lines", "n_removed"])
+
+    out = both.mapInArrow(rewrite, T.StructType([
+        both.schema["row"], T.StructField("new", T.StringType()), T.StructField("n_lines", T.LongType()),
+        T.StructField("n_removed", T.LongType())]))
+    return out.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)
+                        for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -64,12 +64,12 @@ def run(docs, **kw):
     return sorted(((r.doc_id is not None, r.doc_id or 0, r.text, r.n_lines) for r in got), key=key), key
 
 
-@pytest.mark.parametrize("chunk", [2000, 3])
-def test_equals_brute_force(spark, edge_docs, chunk):
+@pytest.mark.parametrize("chunk,few", [(2000, 16), (3, 2), (2, 1)])
+def test_equals_brute_force(spark, edge_docs, chunk, few):
     rows = [*[r for r in edge_rows() if r[0] != 7], *near_rows()]
     docs = edge_docs.where("doc_id is null or doc_id != 7").select("doc_id", "text").union(
         spark.createDataFrame(near_rows(), "doc_id long, text string"))
-    got, key = run(docs, chunk=chunk)
+    got, key = run(docs, chunk=chunk, few=few)
     assert got == sorted(brute(rows), key=key)
 
 
@@ -86,7 +86,7 @@ def test_large_keys_over_several_batches(spark):
         spark.conf.set(names[1], "1")
         for size in ("10000", "5", "7", "11", "16", "23"):
             spark.conf.set(names[0], size)
-            pairs.append({tuple(r) for r in line_dedup.candidate_pairs(docs, 2, 24, 3).collect()})
+            pairs.append({tuple(r) for r in line_dedup.kept_places(docs, 2, 24, 3, 3).collect()})
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v)
@@ -121,3 +121,46 @@ def test_banded_distance():
 def test_ids_are_of_the_whole_line():
     assert line_dedup.line_id("a" * 100) != line_dedup.line_id("a" * 99 + "b")
     assert hashlib.sha256(line_dedup.line_id("x")).digest()
+
+
+def test_rows_stay_linear_in_a_group_of_near_copies(spark):
+    """Each of n lines is one edit away from a common line that comes first: one row per line leaves a task."""
+    base = prose(3, 12)
+    made = []
+    for n in (100, 400):
+        rows = [(0, base)] + [(1 + i, base[:i % 60] + chr(0x4E00 + i) + base[i % 60 + 1:]) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        places = line_dedup.first_places(docs, 24).cache()
+        met = line_dedup.meetings(docs, 2, 24, 16).cache()
+        lines = line_dedup.texts_of(docs, met.selectExpr("explode(array(a, b)) as short").where("short is not null"), 24)
+        found = line_dedup.repeats_under_large_keys(met.where("b is null").distinct(), lines, places, 2, 2000)
+        made.append((met.count(), found.count()))
+        assert found.distinct().count() == n
+        assert line_dedup.dedup_lines(docs).where("n_removed = 1").count() == n
+    assert all(large <= 5 * small for small, large in zip(*made))
+
+
+def test_very_long_line_and_very_many_lines(spark):
+    long_line = prose(1, 150_000)
+    assert len(long_line) > 800_000
+    many = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(20_000))
+    rows = [(1, long_line), (2, long_line), (3, long_line[:400_000] + "x" + long_line[400_001:]), (4, many),
+            (5, "short but long enough to be compared\nshort but long enough to be comparex")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+           .select("doc_id", "n_removed").collect()}
+    assert [got[i] for i in (1, 2, 3, 5)] == [0, 1, 1, 1]
+
+
+def test_names_that_clash(spark):
+    rows = [(1, "the same long line of words here", 7, 8, [1], "k"), (2, "the same long line of words here", 7, 8, [2], "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, n_lines int, kept array<int>, row string")
+    got = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, rows[0][1], [1], "k", 1, 0), (2, "", [2], "k", 1, 1)]
+
+
+def test_common_ends_keep_the_distance():
+    rng = random.Random(11)
+    pairs = [(x, edited(rng, x, rng.randrange(5))) for x in (prose(s, 60) for s in range(60))]
+    pairs += [("aaaa" * 80, "aaaa" * 80 + "aa"), ("ab" * 150, "ab" * 149), ("x" * 300, "x" * 299 + "y"), ("é" * 201, "é" * 201)]
+    got = line_dedup.within([x for x, _ in pairs], [y for _, y in pairs], 2)
+    assert got.tolist() == [abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for x, y in pairs]
