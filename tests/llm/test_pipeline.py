@@ -62,3 +62,23 @@ def test_every_oracle_agrees(spark):
         columns = [d[0] for d in theirs.description]
         assert sorted(columns) == sorted(mine.columns)
         assert sorted(map(str, map(tuple, mine.select(columns).collect()))) == sorted(map(str, theirs.fetchall())), name
+
+
+def test_names_that_clash_and_missing_columns(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").selectExpr(
+        "doc_id", "text", "1 as score", "2 as n_removed", "3 as n_lines", "4 as fp", "5 as row", "6 as component_id",
+        "7 as nth", "8 as n_hit", "9 as top_passage", "10 as kept")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, tables)
+        if name != "byte_bpe":
+            assert docs.columns == columns
+            assert docs.selectExpr("sum(score) = count(*)", "sum(nth) = 7 * count(*)").first() == (True, True)
+    assert docs.count() > 0
+
+
+def test_rows_of_one_id_are_chosen_alike_whatever_the_plan(spark):
+    rows = [(7, f"text number {i} " + prose(1, 60), "en", f"s{i}", i) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {corpus_pipeline.near_dedup(spark, frame.repartition(n), "").first().source for n in (1, 3, 5)}
+    assert len(got) == 1
