@@ -12,7 +12,7 @@ the operators.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from encore.llm import attention_mil, bpe, line_dedup, simhash, winnowing
@@ -25,24 +25,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at KEEP_QUALITY or more."""
     labels = table(spark, sf_dir, "labels")
     par = attention_mil.fit(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)
-    scored = attention_mil.score(docs, par, carry=docs.columns)
-    return scored.where(F.col("score") >= KEEP_QUALITY).select(docs.columns)
+    # the row travels as one column: none of its names clashes with the operator's
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    scored = attention_mil.score(whole, par, carry=["row"])
+    return scored.where(F.col("score") >= KEEP_QUALITY).select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those of which no word is left go."""
-    found = line_dedup.dedup_lines(docs)
+    # the row travels as one column: its names clash with none of the operator's
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    found = line_dedup.dedup_lines(whole)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return (found.where(F.col("text").isNull() | left)
-            .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.where(F.col("text").isNull() | left).select(
+        *[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id; rows without an id stay."""
     found = simhash.near_duplicates(docs)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = docs.join(stay, "doc_id", "left_semi")
+    # of rows with one doc_id the one of the least hash stays, whatever the plan
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    least = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id",
+                        F.row_number().over(order).alias("nth"))
+    return least.where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
