@@ -113,6 +113,16 @@ def signatures(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, np.cumsum(n) - n).view(np.int32)
 
 
+def wide_signatures(lines: list[str]) -> np.ndarray:
+    """(lines, 2): 128 parities of character classes; an edit changes two at most."""
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    classes = mix(points + np.uint64(11)) & np.uint64(127)
+    bits = np.uint64(1) << (classes & np.uint64(63))
+    halves = [np.where(classes >> np.uint64(6) == h, bits, np.uint64(0)) for h in (0, 1)]
+    return np.stack([np.bitwise_xor.reduceat(x, np.cumsum(n) - n) for x in halves], axis=1)
+
+
 def banded_distance(a: list[str], b: list[str], edits: int) -> np.ndarray:
     """Edit distances of the pairs where they are at most `edits` (more otherwise).
 
@@ -391,21 +401,31 @@ def repeats_under_large_keys(rest: DataFrame, lines: DataFrame, places: DataFram
                         F.when(F.col("index"), F.col("other")).otherwise(F.col("own")).alias("k"),
                         "short", "sig", "index").join(known, "short")
 
-    def search(rows):
-        ids, texts = [r[2] for r in rows], [r[3] for r in rows]
+    def candidates(rows):
+        """(late, early): rows of a cell that are to be compared, the earliest ones of each late row first."""
+        ids = [r[2] for r in rows]
         sig, index = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], bool)
-        rank = np.empty(len(rows), np.int64)
-        rank[sorted(range(len(rows)), key=lambda r: (rows[r][4], ids[r]))] = np.arange(len(rows))
         left, right = np.flatnonzero(index), np.flatnonzero(~index)
         i, k = close_signatures(sig[left], sig[right], edits)
+        if not len(i):
+            return i, k
         i, k = left[i], right[k]
+        wide = wide_signatures([r[3] for r in rows])
+        ok = np.bitwise_count(wide[i] ^ wide[k]).sum(axis=1) <= 2 * edits
+        i, k = i[ok], k[ok]
+        order = sorted(range(len(rows)), key=lambda r: (rows[r][4], ids[r]))
+        rank, number = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+        rank[order] = np.arange(len(rows))
         # the same line may stand on both sides: a pair of it is no pair
-        number = np.unique(np.array(ids, object), return_inverse=True)[1]
+        number[order] = np.cumsum([0] + [ids[x] != ids[y] for x, y in zip(order, order[1:])])
         ok = number[i] != number[k]
         i, k = i[ok], k[ok]
         late, early = np.where(rank[i] > rank[k], i, k), np.where(rank[i] > rank[k], k, i)
         order = np.lexsort((rank[early], late))
-        late, early = late[order], early[order]
+        return late[order], early[order]
+
+    def search(ids, texts, late, early):
+        """Ids of the late rows of several cells that are near one of their early rows."""
         found, step = set(), 1
         while len(late):
             # each line that is left tries its next `step` candidates
@@ -417,13 +437,26 @@ def repeats_under_large_keys(rest: DataFrame, lines: DataFrame, places: DataFram
             found.update(ids[x] for x in hit)
             left_over = ~now & ~np.isin(late, hit)
             late, early, step = late[left_over], early[left_over], step * 2
-        return found
+        return sorted(found)
 
     def run(batches):
         cell, rows = None, []
+        ids, texts, pairs, size = [], [], [], 0
+
+        def close_cell():
+            """Adds the cell's pairs to those that are searched together."""
+            nonlocal size
+            late, early = candidates(rows)
+            if len(late):
+                pairs.append((late + len(ids), early + len(ids)))
+                ids.extend(r[2] for r in rows)
+                texts.extend(r[3] for r in rows)
+                size += len(late) + sum(len(r[3]) for r in rows)
 
         def flush():
-            found = sorted(search(rows))
+            nonlocal ids, texts, pairs, size
+            found = search(ids, texts, *(np.concatenate(c) for c in zip(*pairs))) if pairs else []
+            ids, texts, pairs, size = [], [], [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["id"])
 
@@ -431,12 +464,15 @@ def repeats_under_large_keys(rest: DataFrame, lines: DataFrame, places: DataFram
             columns = [batch.column(c).to_pylist() for c in ("key", "i", "k", "sig", "index", "id", "line", "place")]
             for key, i, k, sig, index, identity, line, place in zip(*columns):
                 if (key, i, k) != cell and rows:
-                    yield from flush()
+                    close_cell()
                     rows = []
+                    if size >= BATCH_CHARS:
+                        yield from flush()
                 cell = (key, i, k)
                 rows.append((sig, index, identity, line, (place["known"], place["doc_id"], place["line_no"])))
         if rows:
-            yield from flush()
+            close_cell()
+        yield from flush()
 
     return (cells.repartition(partitions, "key", "i", "k").sortWithinPartitions("key", "i", "k")
             .mapInArrow(run, "id binary"))
