@@ -36,6 +36,11 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.concat(*parts), BASE32HEX, BASE32)
 
 
+def address(payload: Column) -> Column:
+    """The payload's SHA-256 as bytes: half of what its hexadecimal digits take in every shuffle."""
+    return F.unhex(F.sha2(payload, 256))
+
+
 def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
 
@@ -79,7 +84,7 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE, id_c
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"),
                         F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    sums = land(base.select("page_id", "url", F.sha2("payload", 256).alias("digest"),
+    sums = land(base.select("page_id", "url", address(F.col("payload")).alias("digest"),
                             sha1_base32(F.col("payload")).alias("sha1"),
                             F.octet_length("payload").cast("long").alias("bytes")), "warc-sums")
     first = sums.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
@@ -91,7 +96,7 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE, id_c
     # repeated rows by the same plain keys, the payloads are shuffled once.
     def owner(page_id):
         return F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("owner")
-    keyed = base.select(owner("page_id"), F.sha2("payload", 256).alias("digest"), "payload")
+    keyed = base.select(owner("page_id"), address(F.col("payload")).alias("digest"), "payload")
     stored = keyed.join(first.select(owner("refers_to"), "digest"), ["owner", "digest"], "left_semi")
     payloads = land(stored.dropDuplicates(["owner", "digest"]).select("digest", "payload"), "warc-payloads")
     return headers, payloads
@@ -110,7 +115,7 @@ def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
         return F.nullif(F.regexp_extract("header", rf"(?md)^{name}: <urn:page:([^>]*)>\r\n", 1), F.lit("")).cast("long")
 
     verified = payloads.select(
-        "digest", "payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.octet_length("payload").cast("long"))
+        "digest", "payload", F.when(address(F.col("payload")) == F.col("digest"), F.octet_length("payload").cast("long"))
         .otherwise(F.raise_error(F.lit("a stored payload has changed")).cast("long")).alias("payload_bytes"),
         sha1_base32(F.col("payload")).alias("payload_digest"))
     parsed = headers.select(
