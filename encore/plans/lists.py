@@ -68,8 +68,8 @@ def list_recommendations(recs: DataFrame, artists: DataFrame, history: DataFrame
     evidence keys mapped to readable labels."""
     rows = recommendable(rec_artist(recs, artists), include_following)
     order = [F.col("score").desc(), F.col("name").asc()]
-    # labelling joins and regroups, so the page is put in order again after it
-    return evidence_labels(_page(rows, order, page, page_size), history).orderBy(*order)
+    # labelling joins and regroups, so the page (at most 100 rows) is put in order again after it
+    return evidence_labels(_page(rows, order, page, page_size), history).repartition(1).sortWithinPartitions(*order)
 
 
 def recommendation_total(recs: DataFrame, artists: DataFrame, include_following: bool = False) -> DataFrame:
