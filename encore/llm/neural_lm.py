@@ -3,15 +3,21 @@
 Corpus counts come from all training rows, by the distinct-word shuffle of
 `blocks`: every distinct word's count is summed once in its hash bucket and
 sent back to the blocks. On top of the counts, the text is a sequence of
-SYMBOLS: the end of text, the most frequent words, and classes of the other
-words by shape. A log-bilinear model gives P(symbol | two symbols before):
-the prediction vector is a linear map of the two context vectors, its score
-with a symbol a dot product plus a bias. It is trained in numpy by
-noise-contrastive estimation on the symbol trigram counts of the whole
-training corpus (at most SYMBOLS^3 rows, whatever the corpus size): tasks
-take gradient steps on their share of the counts and the parameters are
-averaged after each round. For scoring, batched matrix products over all
-contexts give normalised log-probabilities.
+symbols: the end of text, SHAPES classes of words by shape, and the most
+frequent words, of which there are as many as the square root of the number
+of distinct training words, so that the vocabulary grows with the corpus. Words outside it are targets and contexts through their class.
+
+A log-bilinear model gives P(symbol | two symbols before): the prediction
+vector is a linear map of the two context vectors, its score with a symbol a
+dot product plus a bias. It is trained in numpy by noise-contrastive
+estimation. The symbol trigrams of all training rows are counted into a table
+that grows with the corpus and is dealt by hash into shares of about
+SHARE_ROWS trigrams. In each round a task takes gradient steps over every
+trigram of its shares, weighted by their counts, and the parameters are
+averaged by the shares' counts. Shares, steps and seeds depend on the counts
+alone, not on files, tasks or the cluster; sums are kept in fixed point, so
+their order does not matter either. For scoring, batched matrix products over
+the distinct contexts of a chunk give normalised log-probabilities.
 
 A word of a shape class has, within the class, its count plus 1/2 over the
 class total plus 1/2; the last half is the mass of unseen words. So the
@@ -21,11 +27,12 @@ the sum over its tokens, the end included.
 Null texts count as empty (one token, the end). Every input row gives one
 output row; repeated rows count as often as they occur; a null id is a
 training row like the empty id text. An empty table gives no rows; without
-training rows the model is uniform over symbols. Extra columns are ignored.
+training rows the model is uniform over the end and the classes. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import chain
 
@@ -37,9 +44,13 @@ from pyspark.sql import functions as F
 from encore.llm import blocks as B
 from encore.llm.common import crc_mod, land, prepare, shuffle_partitions, table
 
-SYMBOLS, SHAPES, END = 128, 32, 0
-N_TOP = SYMBOLS - SHAPES - 1         # frequent words with a symbol of their own
-DIM, NOISE, ROUNDS, STEPS, BATCH, SHARES = 16, 10, 5, 200, 1024, 4
+SHAPES, END = 32, 0
+FIRST_WORD = 1 + SHAPES              # symbols: the end, the classes, then words by frequency
+DIM, NOISE, ROUNDS, BATCH, RATE = 16, 64, 3, 4096, 0.1
+SHARE_ROWS = 200_000                 # trigrams in a share, about
+LEAST_STEPS = 50                     # a round's steps in a share, however small
+NORM_CELLS, NORM_KEPT = 4_000_000, 2_000_000   # cells of a product; normalisers a task remembers
+FIXED = float(1 << 40)               # fixed point of averaged parameters
 STATS = 2
 END_WORD = b""
 SPACE_SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -68,8 +79,17 @@ def _narrow(data: bytes) -> np.ndarray:
     return lo.astype(np.int64) | (hi.astype(np.int64) << 32)
 
 
-def count_words(dealt: DataFrame) -> DataFrame:
-    """Per block and bucket its words with their corpus counts, and per bucket its statistics."""
+def n_words(distinct: int) -> int:
+    """Words with a symbol of their own among `distinct` training words."""
+    return min(distinct, math.ceil(math.sqrt(distinct)))
+
+
+def count_words(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Per block and bucket its words with their corpus counts, and per bucket its statistics.
+
+    A bucket names as many of its words as the whole corpus will have symbols,
+    were the other buckets like this one; only its share of them is needed.
+    """
     def answer(rows):
         total: dict[bytes, int] = {}
         for _, _, payload in rows:
@@ -89,7 +109,7 @@ def count_words(dealt: DataFrame) -> DataFrame:
             if w != END_WORD:
                 sums[shapes[w]] += c
                 kinds[shapes[w]] += 1
-        top = sorted(((w, c) for w, c in seen if w != END_WORD), key=lambda x: (-x[1], x[0]))[:N_TOP]
+        top = sorted(((w, c) for w, c in seen if w != END_WORD), key=lambda x: (-x[1], x[0]))[:n_words(buckets * len(seen))]
         yield {"key": 0, "block": -1, "kind": STATS, "bucket": rows[0][1], "payload": B.join_payloads(
             _wide(np.array([sum(c for _, c in seen), len(seen), *sums, *kinds], np.int64)),
             _wide(np.array([c for _, c in top], np.int64)), B.pack_words([w for w, _ in top]))}
@@ -98,7 +118,7 @@ def count_words(dealt: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    """Bounded statistics of the training corpus: totals, the top words, class totals."""
+    """Statistics of the training corpus: totals, the words with symbols, class totals."""
 
     def __init__(self, counted: DataFrame):
         def sums(batches):
@@ -122,8 +142,9 @@ class Corpus:
         self.n, self.distinct = int(v[0]), int(v[1])
         mass = v[2:2 + SHAPES] + 0.5 * v[2 + SHAPES:]
         best = (stats.mapInArrow(tops, "word binary, n long")
-                .orderBy(F.desc("n"), F.hex("word")).limit(N_TOP).collect())
-        self.top = {bytes(w): i + 1 for i, (w, _) in enumerate(best)}
+                .orderBy(F.desc("n"), F.hex("word")).limit(n_words(max(0, self.distinct - 1))).collect())
+        self.top = {bytes(w): FIRST_WORD + i for i, (w, _) in enumerate(best)}
+        self.size = FIRST_WORD + len(best)
         for w, c in best:
             mass[shape(bytes(w))] -= c + 0.5
         self.class_mass = np.maximum(mass, 0) + 0.5
@@ -149,8 +170,8 @@ def sequences(counted: DataFrame, dealt: DataFrame, corpus: Corpus) -> DataFrame
         own = np.fromiter((END if w == END_WORD else top.get(w, -1)
                            for _, _, c in parts for w in B.unpack_words(c)), np.int64, len(numbers))
         tail = own < 0
-        symbol, count, within = (np.empty(len(numbers), t) for t in (np.uint8, np.int64, np.float64))
-        symbol[numbers] = np.where(tail, 1 + N_TOP + shapes, own)
+        symbol, count, within = (np.empty(len(numbers), t) for t in (np.uint32, np.int64, np.float64))
+        symbol[numbers] = np.where(tail, 1 + shapes, own)
         count[numbers] = counts
         within[numbers] = np.where(tail, np.log10((counts + 0.5) / mass[shapes]), 0.0)
         return symbol, np.log10(count + 0.5), count > 0, within
@@ -164,126 +185,226 @@ def sequences(counted: DataFrame, dealt: DataFrame, corpus: Corpus) -> DataFrame
     return B.assemble(counted, dealt, start, finish, SEQ_SCHEMA, SEQ_ARROW)
 
 
-def contexts_of(symbols: np.ndarray, lens) -> np.ndarray:
+def contexts_of(symbols: np.ndarray, lens, size: int) -> np.ndarray:
     """The number of the two symbols before each place; END stands before the text."""
     firsts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
     one = np.concatenate([[END], symbols[:-1]]).astype(np.int64)
     two = np.concatenate([[END, END], symbols[:-2]])[:len(symbols)].astype(np.int64)
     one[firsts] = two[firsts] = END
     two[firsts[np.array(lens) > 1] + 1] = END
-    return two * SYMBOLS + one
+    return two * size + one
+
 
+def trigram_counts(seqs: DataFrame, size: int) -> DataFrame:
+    """(code, n): symbol trigram counts of the training rows."""
+    def summed(codes, ns):
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(at, np.concatenate(ns), len(code)).astype(np.int64)
 
-def trigram_counts(seqs: DataFrame) -> DataFrame:
-    """(code, n): symbol trigram counts of the training rows, at most SYMBOLS^3 rows."""
     def run(batches):
-        total = np.zeros(SYMBOLS ** 3, np.int64)
+        codes, ns, held = [], [], 0
         for batch in batches:
             for flags, lens, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 symbols, = B.unpack(packed)
-                code = contexts_of(symbols, lens) * SYMBOLS + symbols
-                total += np.bincount(code[np.repeat(flags, lens)], minlength=len(total))
-        code = np.flatnonzero(total)
-        for a in range(0, len(code), 100_000):
-            part = code[a:a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])],
-                                             names=["code", "n"])
-
-    return (seqs.select("flags", "lens", "symbols").mapInArrow(run, "code int, n long")
+                code = contexts_of(symbols, lens, size) * size + symbols
+                code, n = np.unique(code[np.repeat(np.array(flags, bool), lens)], return_counts=True)
+                codes.append(code)
+                ns.append(n)
+                held += len(code)
+                if held > 2 * SHARE_ROWS:
+                    codes, ns = ([x] for x in summed(codes, ns))
+                    held = len(codes[0])
+                    if held > SHARE_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(codes[0]), pa.array(ns[0])], names=["code", "n"])
+                        codes, ns, held = [], [], 0
+        if held:
+            code, n = summed(codes, ns)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+    return (seqs.select("flags", "lens", "symbols").mapInArrow(run, "code long, n long")
             .groupBy("code").agg(F.sum("n").alias("n")))
 
 
+def shares_of(counts: DataFrame) -> DataFrame:
+    """(share, n, payload): the trigrams dealt by hash into shares of about SHARE_ROWS, in order of code."""
+    n_shares = max(1, math.ceil(counts.count() / SHARE_ROWS))
+
+    def one(table: pa.Table) -> pa.Table:
+        code, n = (table.column(c).to_numpy() for c in ("code", "n"))
+        order = np.argsort(code)
+        return pa.table({"share": pa.array(table.column("share").to_numpy()[:1], pa.int32()),
+                         "n": pa.array([int(n.sum())], pa.int64()),
+                         "payload": pa.array([B.join_payloads(_wide(code[order]), _wide(n[order]))], pa.binary())})
+
+    share = F.pmod(F.xxhash64("code"), F.lit(n_shares)).cast("int")
+    return (counts.withColumn("share", share).repartition(n_shares, "share")
+            .groupBy("share").applyInArrow(one, "share int, n long, payload binary"))
+
+
 def start_parameters(unigram: np.ndarray) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(1)
-    return {"context": rng.normal(0, 0.1, (SYMBOLS, DIM)), "target": rng.normal(0, 0.1, (SYMBOLS, DIM)),
+    rng, size = np.random.default_rng(1), len(unigram)
+    return {"context": rng.normal(0, 0.1, (size, DIM)), "target": rng.normal(0, 0.1, (size, DIM)),
             "far": np.eye(DIM) * 0.5, "near": np.eye(DIM), "bias": np.log(unigram)}
 
 
-def nce_steps(par: dict, code: np.ndarray, n: np.ndarray, unigram: np.ndarray, seed: int,
-              steps: int = STEPS, rate: float = 0.1) -> dict:
-    """Adagrad steps of noise-contrastive estimation on trigrams drawn by their counts.
+def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each of `rows` to the row of `to` that `at` names; names may repeat."""
+    order = np.argsort(at, kind="stable")
+    named = at[order]
+    first = np.flatnonzero(np.concatenate([[True], named[1:] != named[:-1]]))
+    to[named[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def nce_scores(par: dict, q: np.ndarray, true: np.ndarray, noise: np.ndarray,
+               unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds against the noise of the true symbols and of the noise symbols."""
+    shift = par["bias"] - np.log(len(noise) * unigram)
+    return ((q * par["target"][true]).sum(axis=1) + shift[true], q @ par["target"][noise].T + shift[noise])
 
-    Each true symbol is told apart from NOISE symbols of the unigram
-    distribution; the model's scores count as log-probabilities.
+
+def logistic(s: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-s)), in place."""
+    np.negative(np.clip(s, -30, 30, out=s), out=s)
+    np.exp(s, out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
+
+
+def nce_loss(par: dict, far, near, true, weight, noise, unigram) -> float:
+    """The weighted mean loss of a batch, whose gradients `nce_gradients` gives."""
+    q = par["context"][far] @ par["far"] + par["context"][near] @ par["near"]
+    st, sn = nce_scores(par, q, true, noise, unigram)
+    return float((weight * (np.logaddexp(0, -st) + np.logaddexp(0, sn).sum(axis=1))).sum() / weight.sum())
+
+
+def nce_gradients(par: dict, far: np.ndarray, near: np.ndarray, true: np.ndarray, weight: np.ndarray,
+                  noise: np.ndarray, unigram: np.ndarray) -> dict:
+    """The gradients of a batch of trigrams.
+
+    Each true symbol is told apart from the batch's `noise` symbols, drawn
+    from the unigram distribution; the model's scores count as log-probabilities.
+    """
+    vf, vn = par["context"][far], par["context"][near]
+    q = vf @ par["far"] + vn @ par["near"]
+    gt, gn = (logistic(s) for s in nce_scores(par, q, true, noise, unigram))
+    w = weight / weight.sum()
+    gt = (gt - 1) * w
+    gn *= w[:, None]
+    dq = gt[:, None] * par["target"][true] + gn @ par["target"][noise]
+    grad = {k: np.zeros_like(par[k]) for k in ("context", "target", "bias")}
+    add_rows(grad["context"], far, dq @ par["far"].T)
+    add_rows(grad["context"], near, dq @ par["near"].T)
+    add_rows(grad["target"], true, gt[:, None] * q)
+    add_rows(grad["target"], noise, gn.T @ q)
+    add_rows(grad["bias"], true, gt)
+    add_rows(grad["bias"], noise, gn.sum(axis=0))
+    return grad | {"far": vf.T @ dq, "near": vn.T @ dq}
+
+
+def nce_pass(par: dict, code: np.ndarray, n: np.ndarray, unigram: np.ndarray, seed: int, rate: float) -> dict:
+    """Parameters after Adagrad steps over every trigram of a share.
+
+    A trigram of more than the mean count comes in several batches, its count
+    divided among them; so each counts in full and none fills a batch. A share
+    of few batches is passed over again, up to LEAST_STEPS steps.
     """
-    par, rng = {k: v.copy() for k, v in par.items()}, np.random.default_rng(seed)
-    sq = {k: np.full_like(v, 1e-3) for k, v in par.items()}
-    upto, noise_upto = np.cumsum(n) / n.sum(), np.cumsum(unigram)
-    log_noise = np.log(NOISE * unigram)
-    rows = np.arange(BATCH)
-    for _ in range(steps):
-        c = code[np.searchsorted(upto, rng.random(BATCH)).clip(max=len(code) - 1)]
-        far, near, true = c // SYMBOLS ** 2, c // SYMBOLS % SYMBOLS, c % SYMBOLS
-        noise = np.searchsorted(noise_upto, rng.random((BATCH, NOISE))).clip(max=SYMBOLS - 1)
-        w = np.concatenate([true[:, None], noise], axis=1)
-        vf, vn = par["context"][far], par["context"][near]
-        q = vf @ par["far"] + vn @ par["near"]
-        s = (q @ par["target"].T + par["bias"] - log_noise)[rows[:, None], w]
-        g = 1 / (1 + np.exp(-s.clip(-30, 30)))
-        g[:, 0] -= 1                                 # gradient of the logistic loss
-        # the gradient by score, summed where a noise symbol was drawn twice
-        by = np.bincount((rows[:, None] * SYMBOLS + w).ravel(), g.ravel() / BATCH,
-                         BATCH * SYMBOLS).reshape(BATCH, SYMBOLS)
-        dq = by @ par["target"]
-        context = np.zeros_like(par["context"])
-        np.add.at(context, far, dq @ par["far"].T)
-        np.add.at(context, near, dq @ par["near"].T)
-        grad = {"bias": by.sum(axis=0), "target": by.T @ q, "context": context,
-                "far": vf.T @ dq, "near": vn.T @ dq}
+    par, rng, size = {k: v.astype(np.float32) for k, v in par.items()}, np.random.default_rng(seed), len(unigram)
+    sq = {k: np.full_like(v, 1e-6) for k, v in par.items()}
+    times = np.ceil(n / n.mean()).astype(np.int64)
+    every = np.repeat(np.arange(len(n)), times)
+    order = np.concatenate([rng.permutation(every) for _ in range(math.ceil(LEAST_STEPS * BATCH / len(every)))])
+    weight, upto, unigram = (n / times).astype(np.float32), np.cumsum(unigram), unigram.astype(np.float32)
+    for at in range(0, len(order), BATCH):
+        rows = order[at:at + BATCH]
+        c = code[rows]
+        noise = np.searchsorted(upto, rng.random(NOISE)).clip(max=size - 1)
+        grad = nce_gradients(par, c // size ** 2, c // size % size, c % size, weight[rows], noise, unigram)
         for k in par:
             sq[k] += grad[k] ** 2
             par[k] -= rate * grad[k] / np.sqrt(sq[k])
     return par
 
 
-def train(counts: DataFrame) -> dict[str, np.ndarray]:
-    """Parameters after ROUNDS rounds of steps in SHARES tasks, averaged by each task's counts.
+def train(counts: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """Parameters after ROUNDS passes over all trigram counts, averaged over the shares.
 
-    Only parameters and the SYMBOLS unigram counts reach the driver.
+    Only parameters and the unigram counts of the symbols reach the driver.
     """
     spark = counts.sparkSession
-    uni = dict(counts.groupBy((F.col("code") % SYMBOLS).alias("w")).agg(F.sum("n")).collect())
-    unigram = np.array([uni.get(i, 0) + 0.5 for i in range(SYMBOLS)], np.float64)
+    uni = dict(counts.groupBy((F.col("code") % size).alias("w")).agg(F.sum("n")).collect())
+    unigram = np.array([uni.get(i, 0) + 0.5 for i in range(size)], np.float64)
     unigram /= unigram.sum()
     par = start_parameters(unigram)
     if not uni:
-        return par | {"bias": np.zeros(SYMBOLS), "target": np.zeros((SYMBOLS, DIM))}
-    shares = counts.coalesce(SHARES)                 # SYMBOLS^3 rows at most
+        return par | {"bias": np.zeros(size), "target": np.zeros((size, DIM))}
+    shares = land(shares_of(counts), "lm-shares")
+    total = float(sum(uni.values()))
     names, shapes = list(par), {k: v.shape for k, v in par.items()}
     for nth in range(ROUNDS):
         shared = spark.sparkContext.broadcast(par)
 
         def run(batches, nth=nth, shared=shared):
-            got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-            if sum(len(c) for c, _ in got):
-                code, n = (np.concatenate(x).astype(np.int64) for x in zip(*got))
-                order = np.argsort(code)
-                code, n = code[order], n[order]
-                new = nce_steps(shared.value, code, n, unigram, 1000 * nth + int(code[0]) % 997)
-                flat = np.concatenate([new[k].ravel() for k in names])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(flat)), pa.int32()), pa.array(flat * n.sum()),
-                     pa.array(np.full(len(flat), float(n.sum())))], names=["i", "x", "n"])
-
-        mean = (shares.mapInArrow(run, "i int, x double, n double")
-                .groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("i").collect())
-        flat, at = np.array([r.x for r in mean]), 0
+            summed = None
+            for batch in batches:
+                for share, n, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                    code, each = (_narrow(p) for p in B.split_payloads(payload))
+                    new = nce_pass(shared.value, code, each, unigram, 1_000_003 * nth + share, RATE / (1 + nth))
+                    flat = np.rint(np.concatenate([new[k].ravel() for k in names]) * (n / total * FIXED)).astype(np.int64)
+                    summed = flat if summed is None else summed + flat
+            if summed is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(summed)), pa.int32()), pa.array(summed)],
+                                                 names=["i", "x"])
+
+        mean = shares.mapInArrow(run, "i int, x long").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        flat, at = np.empty(mean.num_rows), 0
+        flat[mean.column("i").to_numpy()] = mean.column("x").to_numpy() / FIXED
         for k in names:
-            size = int(np.prod(shapes[k]))
-            par[k] = flat[at:at + size].reshape(shapes[k])
-            at += size
+            n = int(np.prod(shapes[k]))
+            par[k] = flat[at:at + n].reshape(shapes[k])
+            at += n
+        shared.unpersist()
     return par
 
 
-def log10_table(par: dict) -> np.ndarray:
-    """(contexts, symbols) normalised log10 probabilities, by batched matrix products."""
-    far, near = par["context"] @ par["far"], par["context"] @ par["near"]
-    out = np.empty((SYMBOLS * SYMBOLS, SYMBOLS), np.float32)
-    for a in range(SYMBOLS):                         # a batch: all contexts of one far symbol
-        s = (far[a] + near) @ par["target"].T + par["bias"]
-        s -= s.max(axis=1, keepdims=True)
-        out[a * SYMBOLS:(a + 1) * SYMBOLS] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
-    return out
+class Model:
+    """Normalised log10 probabilities of symbols after contexts."""
+
+    def __init__(self, par: dict):
+        par = {k: v.astype(np.float32) for k, v in par.items()}
+        self.far, self.near = par["context"] @ par["far"], par["context"] @ par["near"]
+        self.target, self.bias, self.size = par["target"], par["bias"], len(par["bias"])
+        self.contexts, self.norms = np.zeros(0, np.int64), np.zeros(0)
+
+    def logits(self, contexts: np.ndarray) -> np.ndarray:
+        """Scores of all symbols after each context."""
+        return (self.far[contexts // self.size] + self.near[contexts % self.size]) @ self.target.T + self.bias
+
+    def normalisers(self, contexts: np.ndarray) -> np.ndarray:
+        """Log of the summed exponentials after each of the distinct contexts."""
+        fresh = np.setdiff1d(contexts, self.contexts, assume_unique=True)
+        if len(self.contexts) + len(fresh) > NORM_KEPT:
+            self.contexts, self.norms, fresh = self.contexts[:0], self.norms[:0], contexts
+        rows, found = max(1, NORM_CELLS // self.size), [self.norms]
+        for at in range(0, len(fresh), rows):
+            s = self.logits(fresh[at:at + rows])
+            top = s.max(axis=1)
+            s -= top[:, None]
+            found.append(np.log(np.exp(s, out=s).sum(axis=1, dtype=np.float64)) + top)
+        every = np.concatenate([self.contexts, fresh])
+        order = np.argsort(every)
+        self.contexts, self.norms = every[order], np.concatenate(found)[order]
+        return self.norms[np.searchsorted(self.contexts, contexts)]
+
+    def log10(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The log10 probability of each symbol after its context."""
+        out = np.empty(len(symbols))
+        for at in range(0, len(symbols), 200_000):
+            c, w = contexts[at:at + 200_000], symbols[at:at + 200_000]
+            distinct, nth = np.unique(c, return_inverse=True)
+            norm = self.normalisers(distinct)
+            q = self.far[distinct // self.size] + self.near[distinct % self.size]
+            out[at:at + 200_000] = np.einsum("ij,ij->i", q[nth], self.target[w]) + self.bias[w] - norm[nth]
+        return out / np.log(10)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id",
@@ -296,21 +417,21 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id",
     partitions = shuffle_partitions(docs.sparkSession)
     split = land(B.split_blocks(docs, id_col, text_col, tokens, 4 * partitions, training), "lm-blocks")
     dealt = B.deal(split, partitions)
-    counted = land(count_words(dealt), "lm-counts")
+    counted = land(count_words(dealt, 4 * partitions), "lm-counts")
     corpus = Corpus(counted)
     seqs = land(sequences(counted, dealt, corpus), "lm-sequences")
-    par = train(land(trigram_counts(seqs), "lm-counted"))
+    par = train(land(trigram_counts(seqs, corpus.size), "lm-counted"), corpus.size)
     shift = float(np.log10(corpus.n + 0.5 * (corpus.distinct + 1)))
     shared, n = docs.sparkSession.sparkContext.broadcast(par), corpus.n
 
     def run(batches):
-        log10 = log10_table(shared.value)
+        model = Model(shared.value)
         for batch in batches:
             for row in batch.to_pylist():
                 symbols, = B.unpack(row["symbols"])
                 lens = np.array(row["lens"])
                 firsts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-                each = log10[contexts_of(symbols, lens), symbols].astype(np.float64)
+                each = model.log10(contexts_of(symbols, lens, model.size), symbols)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(lens.astype(np.int64)),
                      pa.array(row["known"], pa.int64()), pa.array(np.full(len(lens), n, np.int64)),

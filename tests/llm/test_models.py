@@ -51,16 +51,101 @@ def test_model_is_normalised_and_uses_context(spark):
     docs = spark.createDataFrame([(i, "the cat sat on the mat " * 5) for i in range(40)], "doc_id long, text string")
     got = neural_lm.score(docs, F.lit(True)).collect()
     assert got[0].score > got[0].base_score          # the order of words is learned
-    par = neural_lm.start_parameters(np.full(neural_lm.SYMBOLS, 1 / neural_lm.SYMBOLS))
-    assert np.allclose((10.0 ** neural_lm.log10_table(par).astype(np.float64)).sum(axis=1), 1, atol=1e-4)
+    model = neural_lm.Model(neural_lm.start_parameters(np.full(40, 1 / 40)))
+    for context in (0, 7, 41, 1599):
+        each = model.log10(np.full(40, context), np.arange(40))
+        assert np.isclose((10.0 ** each).sum(), 1, atol=1e-4)
 
 
 def test_contexts_stop_at_texts():
     s = np.array([5, 6, 0, 7, 0, 0])
-    assert [divmod(int(c), neural_lm.SYMBOLS) for c in neural_lm.contexts_of(s, [3, 2, 1])] == [
+    assert [divmod(int(c), 300) for c in neural_lm.contexts_of(s, [3, 2, 1], 300)] == [
         (0, 0), (0, 5), (5, 6), (0, 0), (0, 7), (0, 0)]
 
 
+def test_scores_equal_brute_force(edge_docs, monkeypatch):
+    """Every token's probability: softmax over all symbols, then the word's part of its class."""
+    rng = np.random.default_rng(3)
+
+    def parameters(counts, size):
+        return {k: rng.normal(0, 1, shape) for k, shape in (
+            ("context", (size, 4)), ("target", (size, 4)), ("far", (4, 4)), ("near", (4, 4)), ("bias", (size,)))}
+
+    kept = []
+    monkeypatch.setattr(neural_lm, "train", lambda counts, size: kept.append(parameters(counts, size)) or kept[0])
+    got = neural_lm.score(edge_docs, crc_mod(F.col("doc_id"), 5) != 1).collect()
+    par = kept[0]
+    count = Counter(w for i, t in edge_rows() if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
+                    for w in tokens(t))
+    words = sorted((w for w in count if w), key=lambda w: (-count[w], w))
+    own = {w: 33 + i for i, w in enumerate(words[:math.ceil(math.sqrt(len(words)))])}
+    assert len(par["bias"]) == 33 + len(own) and len(own) > 8
+    mass = Counter()
+    for w in words:
+        if w not in own:
+            mass[neural_lm.shape(w)] += count[w] + 0.5
+
+    def symbol(w):
+        return own[w] if w in own else 1 + neural_lm.shape(w) if w else 0
+
+    def brute(text):
+        far = near = 0
+        total = 0.0
+        for w in tokens(text):
+            s = symbol(w)
+            logits = (par["context"][far] @ par["far"] + par["context"][near] @ par["near"]) @ par["target"].T + par["bias"]
+            total += (logits[s] - np.log(np.exp(logits).sum())) / np.log(10)
+            if w and w not in own:
+                total += math.log10((count[w] + 0.5) / (mass[neural_lm.shape(w)] + 0.5))
+            far, near = near, s
+        return total
+
+    mine = sorted(r.score for r in got)
+    assert np.allclose(mine, sorted(brute(t) for _, t in edge_rows()), rtol=1e-4)
+
+
+def test_language_model_grows_and_ignores_layout(spark):
+    """More distinct words give more symbols and trigrams; files and partitions change nothing."""
+    assert [neural_lm.n_words(n) for n in (0, 1, 100, 1_000_000)] == [0, 1, 10, 1000]
+    counts = spark.range(3000).select((F.col("id") * 37 % 64000).alias("code"), (F.col("id") % 7 + 1).alias("n"))
+    monkey = neural_lm.SHARE_ROWS
+    neural_lm.SHARE_ROWS = 1000
+    try:
+        one, many = neural_lm.train(counts.coalesce(1), 40), neural_lm.train(counts.repartition(7), 40)
+        shares = neural_lm.shares_of(counts).collect()
+    finally:
+        neural_lm.SHARE_ROWS = monkey
+    assert len(shares) == 3 and sum(r.n for r in shares) == counts.agg(F.sum("n")).first()[0]
+    assert all(np.array_equal(one[k], many[k]) for k in one)
+
+
+def test_noise_contrastive_gradients_by_difference():
+    rng = np.random.default_rng(5)
+    size, unigram = 12, np.full(12, 1 / 12)
+    par = neural_lm.start_parameters(unigram)
+    far, near, true = rng.integers(0, size, (3, 20))
+    weight, noise = rng.random(20) + 0.1, rng.integers(0, size, 30)
+    grad = neural_lm.nce_gradients(par, far, near, true, weight, noise, unigram)
+    for k in par:
+        at = tuple(rng.integers(0, d) for d in par[k].shape)
+        ends = []
+        for step in (1e-5, -1e-5):
+            moved = {n: v.copy() for n, v in par.items()}
+            moved[k][at] += step
+            ends.append(neural_lm.nce_loss(moved, far, near, true, weight, noise, unigram))
+        assert np.isclose((ends[0] - ends[1]) / 2e-5, grad[k][at], rtol=1e-4, atol=1e-8), k
+
+
+def test_model_beats_counts_on_held_out_texts(spark):
+    """The order of words in one half of the texts is learned from the other half."""
+    rng = np.random.default_rng(9)
+    nouns, verbs = [f"noun{i}" for i in range(12)], [f"verb{i}" for i in range(12)]
+    rows = [(i, " ".join(f"the {nouns[a]} {verbs[b]} a" for a, b in rng.integers(0, 12, (30, 2)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neural_lm.score(docs, F.col("doc_id") < 100).where("doc_id >= 100").collect()
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
 def test_language_model_edge_tables(no_docs, edge_docs):
     assert neural_lm.score(no_docs, F.lit(True)).count() == 0
     got = neural_lm.score(edge_docs, F.lit(False)).collect()
