@@ -28,6 +28,7 @@ from encore.plans.normalize import normalize_stage, route_history
 from encore.plans.stages import route_novelty
 from encore.sources import bindings as b, payloads as p
 from encore.sources.tables import read_table
+from encore.sources.versions import HISTORY_VERSIONS, read_versions, write_version
 from encore.streaming.state import advance_checkpoint, high_water_mark, pull_since
 from encore.plans.build import build_state, land_small
 from encore.sources.bindings import EVENTS_AS_OF, PLAYS_AS_OF
@@ -180,6 +181,35 @@ def q_history(spark, sf_dir):
                              "artist_popularity", "track_popularity", joined("sources").alias("sources"))
 
 
+def history_of_versions(spark, sf_dir) -> DataFrame:
+    """The history as files of three schema versions in one folder: a track
+    is in the files of the version that its key falls to."""
+    st = plays_state(spark, sf_dir)
+
+    def write() -> DataFrame:
+        path = f"{st.root}/history-by-version"
+        first = F.substring("track_key", 1, 1)
+        rows = st.history.withColumns({"popularity": F.col("artist_popularity"), "audio_features": F.lit("{}"),
+                                       "pending_enrichment": F.lit(True)})
+        shares = (first < "5", (first >= "5") & (first < "a"), first >= "a")
+        for version, share in zip(HISTORY_VERSIONS, shares):
+            write_version(rows.where(share), path, version)
+        return read_versions(spark, path, HISTORY_VERSIONS)
+
+    with st.lock:
+        if "history-by-version" not in st.derived:
+            st.derived["history-by-version"] = write()
+        return st.derived["history-by-version"]
+
+
+@query("history_mixed_versions")
+def q_history_mixed_versions(spark, sf_dir):
+    """Old and new history files read together."""
+    return history_of_versions(spark, sf_dir).select(
+        "track_key", "artist", "title", "played_at", joined("genres").alias("genres"), "artist_popularity",
+        "track_popularity", "pending_enrichment", joined("sources").alias("sources"), "schema_version")
+
+
 @query("artist_counters")
 def q_artist_counters(spark, sf_dir):
     st = plays_state(spark, sf_dir)
