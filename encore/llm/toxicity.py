@@ -58,11 +58,18 @@ COST_LOOKS, COST_SEPARATOR, COST_REPEAT = 1.0, 0.4, 4.0
 MARGIN = 4.0                # cost over the best division of a run at which its words are still looked up
 EDGES = ".,;:!?\"'()[]{}…«»“”‘’#*%&$|<>-_~^=+/\\@`"
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+REPEATED = re.compile(r"(.)\1{4,}", re.DOTALL)
+REPEATS_READ = 4            # of one character in a row; further ones say nothing more
+LONGEST_IN_RUN = 64         # characters of a run that one word may span
 
 
 def step(states: dict, ch: str, trigrams: dict[str, float], floor: float) -> dict:
-    """The states (last two letters -> cost, letters so far) after one more character."""
-    after: dict[tuple[str, str], tuple[float, str]] = {}
+    """The states (last two letters -> cost, letters so far) after one more character.
+
+    Letters are a chain of pairs (letters before, letter), so that a step
+    costs the same at any place of a long token.
+    """
+    after: dict[tuple[str, str], tuple[float, tuple | None]] = {}
 
     def reach(state, cost, letters):
         if state not in after or cost < after[state][0]:
@@ -73,7 +80,7 @@ def step(states: dict, ch: str, trigrams: dict[str, float], floor: float) -> dic
         read.append((ch, 0.0))
     for (a, b), (cost, letters) in states.items():
         for c, price in read:
-            reach((b, c), cost + price - trigrams.get(a + b + c, floor), letters + c)
+            reach((b, c), cost + price - trigrams.get(a + b + c, floor), (letters, c))
         if not ch.isalnum():
             reach((a, b), cost + COST_SEPARATOR, letters)
         if ch == b or (b != "^" and b in LOOKS_LIKE.get(ch, "")):
@@ -81,9 +88,23 @@ def step(states: dict, ch: str, trigrams: dict[str, float], floor: float) -> dic
     return after
 
 
-def ended(states: dict, trigrams: dict[str, float], floor: float) -> tuple[float, str]:
-    """The cost and letters of the best word that ends here."""
-    return min((cost - trigrams.get(a + b + "$", floor), letters) for (a, b), (cost, letters) in states.items())
+def ended(states: dict, trigrams: dict[str, float], floor: float) -> tuple[float, tuple | None]:
+    """The cost and letters of the best word that ends here; of equal ones that of the least state."""
+    cost, best = min((cost - trigrams.get(a + b + "$", floor), (a, b)) for (a, b), (cost, _) in states.items())
+    return cost, states[best][1]
+
+
+def spelled(letters: tuple | None) -> str:
+    out = []
+    while letters is not None:
+        letters, c = letters
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def read_once(token: str) -> str:
+    """The token with runs of one character cut to REPEATS_READ."""
+    return REPEATED.sub(lambda m: m.group(1) * REPEATS_READ, token)
 
 
 def viterbi(token: str, trigrams: dict[str, float], floor: float) -> str:
@@ -93,12 +114,13 @@ def viterbi(token: str, trigrams: dict[str, float], floor: float) -> str:
 
 def priced(token: str, trigrams: dict[str, float], floor: float) -> tuple[float, str]:
     """The most probable letters behind `token` and their cost; '' if it can stand for none."""
-    states = {("^", "^"): (0.0, "")}
-    for ch in token:
+    states: dict = {("^", "^"): (0.0, None)}
+    for ch in read_once(token):
         states = step(states, ch, trigrams, floor)
         if not states:
             return math.inf, ""                      # a digit that looks like no letter
-    return ended(states, trigrams, floor)
+    cost, letters = ended(states, trigrams, floor)
+    return cost, spelled(letters)
 
 
 def words_in_run(run: str, trigrams: dict[str, float], floor: float) -> set[str]:
@@ -106,42 +128,43 @@ def words_in_run(run: str, trigrams: dict[str, float], floor: float) -> set[str]
 
     A boundary may stand between any two characters. The forward pass has the
     best cost of every state and boundary; the words from a boundary are
-    followed while their states are within MARGIN of it.
+    followed while their states are within MARGIN of it, over LONGEST_IN_RUN
+    characters at most. So the work grows with the length of the run.
     """
-    start = ("^", "^")
+    run, start = read_once(run), ("^", "^")
     best: list[dict] = [{start: 0.0}]                # per place: state -> least cost
-    states = {start: (0.0, "")}
+    states: dict = {start: (0.0, None)}
     for ch in run:
         states = step(states, ch, trigrams, floor)
         end = ended(states, trigrams, floor)[0]
         if start not in states or end < states[start][0]:
-            states[start] = (end, "")
+            states[start] = (end, None)
         # letters are not needed here; without them a step costs the same at any place
-        states = {k: (cost, "") for k, (cost, _) in states.items()}
+        states = {k: (cost, None) for k, (cost, _) in states.items()}
         best.append({k: cost for k, (cost, _) in states.items()})
     rest = [math.inf] * len(run) + [0.0]             # least cost from a boundary to the end
-    words: list[tuple[int, int, float, str]] = []
+    words: list[tuple[int, float, tuple | None]] = []
     for i in range(len(run) - 1, -1, -1):
         before = best[i][start]
-        states = {start: (before, "")}
-        for j in range(i + 1, len(run) + 1):
+        states = {start: (before, None)}
+        for j in range(i + 1, min(len(run), i + LONGEST_IN_RUN) + 1):
             states = {k: v for k, v in step(states, run[j - 1], trigrams, floor).items()
                       if v[0] <= best[j].get(k, math.inf) + MARGIN}
             if not states:
                 break
-            cost, word = ended(states, trigrams, floor)
+            cost, letters = ended(states, trigrams, floor)
             if cost <= best[j][start] + MARGIN:
-                words.append((i, j, cost, word))
+                words.append((j, cost, letters))
                 rest[i] = min(rest[i], cost - before + rest[j])
     limit = best[-1][start] + MARGIN
-    return {word for _, j, cost, word in words if cost + rest[j] <= limit and len(word) > 1}
+    return {w for j, cost, letters in words if cost + rest[j] <= limit and len(w := spelled(letters)) > 1}
 
 
 def candidates(word: str) -> list[str]:
     """Forms of a lower-case token that need decoding; none for a plain word."""
     core = word.strip(EDGES)
     out = []
-    if any(c.isalpha() for c in core) and (not core.isalpha() or TRIPLE.search(core)):
+    if TRIPLE.search(core) if core.isalpha() else any(c.isalpha() for c in core):
         out.append(core)
     if word[:1] in LOOKS_LIKE and word[1:2].isalpha():  # a look-alike in front of the letters
         out.append(word.rstrip(EDGES))
@@ -165,6 +188,7 @@ class Lookup:
     def __init__(self, lexicon: dict[str, float]):
         self.words = {f for f in lexicon if "~" not in f and len(f) >= 4}
         self.beginnings = {f[:n] for f in self.words for n in range(1, len(f))}
+        self.longest = max(map(len, self.words), default=0)  # every token adds a letter at least
 
 
 class Decoder:
@@ -177,36 +201,52 @@ class Decoder:
     def forms(self, word: str) -> tuple[str, ...]:
         got = self.known.get(word)
         if got is None:
-            core = word.strip(EDGES)
-            restored = [viterbi(c, self.trigrams, self.floor) for c in candidates(word)]
-            got = tuple({x for x in (core, *restored) if x})
+            if word.isalpha() and not TRIPLE.search(word):
+                got = (word,)
+            else:
+                restored = [viterbi(c, self.trigrams, self.floor) for c in candidates(word)]
+                got = tuple({x for x in (word.strip(EDGES), *restored) if x})
             if len(self.known) >= MAX_CACHE:
                 self.known.clear()
             self.known[word] = got
         return got
 
-    def spaced(self, words: list[str]) -> list[str]:
-        """Restored words of runs of three and more lone characters."""
+    def lone(self, word: str) -> str:
+        """The character that the word consists of, if it may stand for a letter; else ''."""
+        # a word between letters is itself without edges
+        c = word if word[0] not in EDGES and word[-1] not in EDGES else word.strip(EDGES) or word
+        return c if len(c) == 1 and (c.isalpha() or c in LOOKS_LIKE) else ""
+
+    def spaced(self, words: list[str], lone: dict[str, str] | None = None) -> list[str]:
+        """Restored words of runs of three and more lone characters (`lone`: those among the words)."""
+        if lone is None:
+            lone = {w: c for w in set(words) if (c := self.lone(w))}
         out, run = set(), []
-        for w in [*words, ".."]:
-            c = w.strip(EDGES) or w
-            if len(c) == 1 and (c.isalpha() or c in LOOKS_LIKE):
-                run.append(c)
-                continue
-            if len(run) >= 3:
-                out |= words_in_run("".join(run), self.trigrams, self.floor)
-            run = []
+        for w in [*words, ""] if lone else []:
+            if w in lone:
+                run.append(lone[w])
+            elif run:
+                if len(run) >= 3:
+                    out |= words_in_run("".join(run), self.trigrams, self.floor)
+                run = []
         return sorted(out)
 
-    def pieces(self, words: list[str], wanted: "Lookup") -> set[str]:
-        """Words of the lookup that several tokens in a row spell, where the model prices them lower as one word."""
+    def beginnings(self, word: str, wanted: "Lookup") -> tuple[str, ...]:
+        """Forms of the word with which a longer word of the lookup begins."""
+        return tuple(f for f in self.forms(word) if f in wanted.beginnings)
+
+    def pieces(self, words: list[str], wanted: "Lookup", starts: dict[str, tuple[str, ...]] | None = None) -> set[str]:
+        """Words of the lookup that several tokens in a row spell, where the model prices them lower as one word.
+
+        `starts` are the words that have `beginnings`.
+        """
+        if starts is None:
+            starts = {w: b for w in set(words) if (b := self.beginnings(w, wanted))}
         out = set()
-        for i, first in enumerate(words):
-            for spelled in self.forms(first):
-                if spelled not in wanted.beginnings:
-                    continue
-                tokens, states = [first], {spelled}
-                for w in words[i + 1:]:
+        for i, first in enumerate(words if starts else []):
+            for form in starts.get(first, ()):
+                tokens, states = [first], {form}
+                for w in words[i + 1:i + 1 + wanted.longest]:
                     tokens.append(w)
                     states = {a + f for a in states for f in self.forms(w)}
                     for word in states & wanted.words:
@@ -417,28 +457,39 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         decoder, lexicon = Decoder(model["trigrams"]), model["lexicon"]
         whole = Lookup(lexicon)
         short = {squeezed(f): p for f, p in sorted(lexicon.items()) if "~" not in f and len(f) >= 5}
+        # what an entry's first letters are decides for most words that they have none
+        heads, short_heads = {f[:3] for f in lexicon}, {f[:1] for f in short}
+        plain = (0.0, "", (), "")
 
         def weight(form):
-            return max((lexicon.get(f, 0.0) for f in features_of(form)), default=0.0) \
-                or short.get(squeezed(form), 0.0)
+            p = max((lexicon.get(f, 0.0) for f in features_of(form)), default=0.0) if form[:3] in heads else 0.0
+            return p or (short.get(squeezed(form), 0.0) if form[:1] in short_heads else 0.0)
 
-        def evidence(word):
-            p = max(((weight(f), f) for f in decoder.forms(word)), default=(0.0, ""))
+        def traits(word):
+            """The word's evidence and form, its forms that begin a lexicon word, its lone character."""
+            p = (*max(((weight(f), f) for f in decoder.forms(word)), default=(0.0, "")),
+                 decoder.beginnings(word, whole), decoder.lone(word))
             if len(known) >= MAX_CACHE:
                 known.clear()
-            known[word] = p
+            known[word] = p = p if p[0] or p[2] or p[3] else plain
             return p
 
         for batch in batches:
             scores, counts = [], []
             for text in batch.column(1):
                 words = (text.as_py() or "").lower().split()
-                hits = {}
+                hits, starts, lone = {}, {}, {}
                 for w in set(words):
-                    p = known.get(w) or evidence(w)
+                    p = known.get(w) or traits(w)
+                    if p is plain:
+                        continue
                     if p[0]:
                         hits[p[1]] = p[0]
-                for f in (*decoder.spaced(words), *decoder.pieces(words, whole)):
+                    if p[2]:
+                        starts[w] = p[2]
+                    if p[3]:
+                        lone[w] = p[3]
+                for f in (*decoder.spaced(words, lone), *decoder.pieces(words, whole, starts)):
                     if p := weight(f):
                         hits[f] = p
                 clean = 1 - model["base"]

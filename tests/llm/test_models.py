@@ -1,6 +1,7 @@
 """The learned operators: exact parts against brute force, learned parts by held-out accuracy."""
 
 import math
+import time
 import os
 import zlib
 from collections import Counter
@@ -235,6 +236,21 @@ def test_word_boundaries_in_runs(spark):
     assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 0, 5: 0}
 
 
+def test_long_runs_and_tokens_are_linear():
+    words = "stupid idiot alpha radio round cloud".split() * 20
+    total = Counter(f"^^{w}$"[i:i + 3] for w in words for i in range(len(w) + 1))
+    decoder = toxicity.Decoder({g: math.log(n / 1000) for g, n in total.items()})
+    start = time.monotonic()
+    decoder.spaced(["|"] * 100_000)
+    decoder.spaced(["a"] * 100_000)
+    decoder.spaced(["a", "b"] * 3000)
+    decoder.forms("a1b2c3" * 30_000)
+    decoder.forms("x" * 1_000_000)
+    assert time.monotonic() - start < 30
+    assert set(decoder.forms("stu" + "p" * 100_000 + "id")) == {"stupid", "stu" + "p" * 100_000 + "id"}
+    assert "idiot" in decoder.spaced([*"idi" + "o" * 5000 + "t"])
+
+
 def test_only_copies_are_grouped(spark):
     """Texts that share frequent words all stay; of exact and near copies with one label the first stays."""
     own = [(i, prose(i, 60), int(i % 4 == 0)) for i in range(60)]
