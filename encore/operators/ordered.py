@@ -261,26 +261,30 @@ def apply_promotions(artists: DataFrame, promotions: DataFrame) -> DataFrame:
             .drop("_pk"))
 
 
-def auto_promotions(messages: DataFrame, artists: DataFrame, min_scrobbles: int = 3) -> DataFrame:
+def auto_promotions(messages: DataFrame, artists: DataFrame, min_scrobbles: int = 3,
+                    land=lambda name, df: df) -> DataFrame:
     """TRACKED artists whose scrobble count reaches ``min_scrobbles``
     by the time any valid, non-pending message of theirs is processed.
 
     The count seen by a message includes its own play (the history stage runs
     first). Returns name_key, promoted_at (the promoting message's played_at).
+    Of artist rows that share a name the one with most scrobbles counts.
+
+    ``land`` writes the (name, reaching play) rows: by their measured size the
+    messages meet them in a broadcast while they are few, else in a shuffle.
     """
-    tracked = artists.filter(F.col("status") == "TRACKED").select(
-        "name_key", F.col("scrobble_count").alias("base"))
+    tracked = (artists.filter(F.col("status") == "TRACKED").groupBy("name_key")
+               .agg(F.max("scrobble_count").alias("base")))
     played = applied_to_history(messages).select(F.col("artist_key").alias("name_key"), "seq")
-    # seq of the play that brings the count to the threshold (per artist top-N)
+    # the first plays of every name, pruned before the shuffle (group limit),
+    # then the one that brings the count to the threshold
     w = Window.partitionBy("name_key").orderBy("seq")
-    nth = (played.join(tracked, "name_key")
-           .withColumn("_rn", F.row_number().over(w))
-           .filter(F.col("_rn") <= min_scrobbles)  # group limit before the shuffle
-           .filter(F.col("_rn") + F.col("base") == min_scrobbles)
+    first = played.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= min_scrobbles)
+    nth = (first.join(tracked, "name_key").filter(F.col("_rn") + F.col("base") == min_scrobbles)
            .select("name_key", F.col("seq").alias("reach_seq")))
     already = tracked.filter(F.col("base") >= min_scrobbles).select(
         "name_key", F.lit(None).cast(messages.schema["seq"].dataType.simpleString()).alias("reach_seq"))
-    reach = nth.unionByName(already)
+    reach = land("promotion_reach", nth.unionByName(already))
     valid = messages.filter(
         F.col("track_key").isNotNull() & (F.col("track_key") != "") &
         F.col("artist").isNotNull() & (F.col("artist") != "") &

@@ -24,7 +24,7 @@ from encore.plans.jobs import (after_backfills, apply_status_decisions, backfill
                                explore_top_tracks, full_backfill, mark_similar_explored, onboard, replay_scores,
                                similar_candidates_judged)
 from encore.functions.scoring import ScoreWeights
-from encore.plans.normalize import normalize_stage, route_history
+from encore.plans.normalize import normalize_stage, route_history, unfold
 from encore.plans.stages import route_novelty
 from encore.sources import bindings as b, payloads as p
 from encore.sources.tables import read_table
@@ -611,10 +611,11 @@ def q_normalize_stage(spark, sf_dir):
     # The normalizer consumes raw plays and the raw tracks that top-track
     # exploration produces (their ids are ignored and re-resolved)
     tracks, _ = explore_top_tracks(plays_state(spark, sf_dir).artists,
-                                   p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
+                                   p.read_top_tracks(p.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF, folded=True)
     raw = topic_union(plays.drop("external_ids", "raw", "seq"),
-                      tracks.select("source", "artist", "title", "artist_id", "track_id"))
-    out = normalize_stage(raw, b.track_catalog(spark, sf_dir))
+                      tracks.select("source", "artist", "title", "artist_id", "track_id", "copies"))
+    # equal messages of artists that share an id are looked up once
+    out = unfold(normalize_stage(raw, b.track_catalog(spark, sf_dir)))
     return out.select("track_key", "artist", "title", "artist_id", "track_id", joined("sources").alias("sources"),
                       "played", "played_at")
 

@@ -97,19 +97,22 @@ def expand_similar(artists: DataFrame, similar: DataFrame, as_of, hours: int = 2
 
 # ---------------------------------------------------------------- T6 top-track exploration
 def explore_top_tracks(artists: DataFrame, top_tracks: DataFrame, as_of, days: int = 7,
-                       answered: DataFrame | None = None):
+                       answered: DataFrame | None = None, folded: bool = False):
     """P14 -> S12 -> P18 raw-track messages -> mark explored. Artists
     without a spotify id are skipped; marked are those whose answer arrived
-    (``answered``, an empty list included)."""
+    (``answered``, an empty list included). Artist rows of one id send the same
+    messages: ``folded`` has them once, with their number as ``copies``."""
     now = _ts(as_of)
     due = eligible(artists, "last_explored_at", now - F.make_interval(days=F.lit(days))) \
         .filter(F.col("spotify_uri").isNotNull())
-    msgs = due.join(top_tracks, due.name == top_tracks.artist).select(
+    senders = due.groupBy("id", "name").agg(F.count(F.lit(1)).alias("copies")) if folded else due
+    msgs = senders.join(top_tracks, senders.name == top_tracks.artist).select(
         F.lit("spotify").alias("source"), F.col("track_artist").alias("artist"),
         F.concat(F.lit("spotify:artist:"), F.col("track_artist_ref")).alias("artist_id"),
         F.concat(F.lit("spotify:track:"), F.col("track_ref")).alias("track_id"),
         "title", "rank",
-        F.struct(F.lit("top_tracks").alias("type"), F.col("id").alias("origin_artist_id")).alias("origin"))
+        F.struct(F.lit("top_tracks").alias("type"), F.col("id").alias("origin_artist_id")).alias("origin"),
+        *(["copies"] if folded else []))
     came = (top_tracks if answered is None else answered).select(F.col("artist").alias("name")).distinct()
     return msgs, mark_explored(artists, due.join(came, "name", "left_semi"), "last_explored_at", now)
 

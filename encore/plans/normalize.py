@@ -35,19 +35,25 @@ def normalize_stage(raw: DataFrame, catalog: DataFrame | None = None, hits: Data
                     processed_at: Column | None = None) -> DataFrame:
     """Raw plays/tracks -> normalized messages keyed by track key. ``hits``
     is ``first_hits(catalog)`` where that is landed already; ``processed_at``
-    stamps the messages. A ``seq`` on the input is carried along. Works on a
-    stream too: the lookup is a stream-static left join."""
+    stamps the messages. A ``seq`` and the ``copies`` of folded messages on the
+    input are carried along. Works on a stream too: the lookup is a
+    stream-static left join."""
     keyed = valid_raw(raw).withColumn("track_key", track_key(F.col("artist"), F.col("title")))
     source = F.coalesce(F.col("source"), F.lit("lastfm"))
     out = ["track_key", "artist", "title", "artist_id", "track_id", F.array(source).alias("sources"),
            (source == "lastfm").alias("played"), "played_at"]
-    if "seq" in raw.columns:
-        out.append("seq")
+    out += [c for c in ("seq", "copies") if c in raw.columns]
     if processed_at is not None:
         out.append(processed_at.alias("processed_at"))
     return resolve_ids(keyed, first_hits(catalog) if hits is None else hits).select(*out)
 
 
+def unfold(messages: DataFrame) -> DataFrame:
+    """Folded messages as often as their ``copies`` say (null: once)."""
+    times = F.array_repeat(F.lit(True), F.coalesce("copies", F.lit(1)).cast("int"))
+    return messages.withColumn("copies", F.explode(times)).drop("copies")
+
+
 def valid_normalized(df: DataFrame) -> DataFrame:
     """Track key, artist and title present (may be empty)."""
     return df.filter(F.col("track_key").isNotNull() & F.col("artist").isNotNull() & F.col("title").isNotNull())

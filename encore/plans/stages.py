@@ -41,7 +41,8 @@ class BatchResult:
 
 def route_novelty(messages: DataFrame, artists: DataFrame) -> DataFrame:
     """P5: malformed -> DLQ, pending -> skipped, unknown artist -> DLQ."""
-    known = artists.select(F.col("name_key").alias("artist_key"), F.lit(True).alias("_known"))
+    # one row per name: artist rows that share a name must not multiply the messages
+    known = artists.select(F.col("name_key").alias("artist_key")).distinct().withColumn("_known", F.lit(True))
     return novelty_routes(messages.join(known, "artist_key", "left"), F.col("_known").isNotNull()).drop("_known")
 
 
@@ -158,7 +159,7 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
 
     counters = ordered.artist_counters(messages, inserted)
     upserted = ordered.upsert_artists(artists_state, counters)
-    promoted = ordered.auto_promotions(messages, ordered.counts_before(artists_state, counters), promote_at)
+    promoted = ordered.auto_promotions(messages, ordered.counts_before(artists_state, counters), promote_at, land)
     artists = land("artists", ordered.apply_promotions(upserted, promoted).drop("promoted_at"))
 
     new_artist_rows = ordered.artist_rows(inserted)

@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from encore.operators.enrich import enrich
-from encore.operators.ordered import artist_counters, first_seen_history, upsert_artists
+from encore.operators.ordered import artist_counters, auto_promotions, first_seen_history, upsert_artists
 from encore.plans.build import empty_artists
 from encore.plans.jobs import backfill_genres, explore_top_tracks, mark_similar_explored, schema_upgrade
 from encore.plans.jobs import artist_schema_upgrade
 from encore.plans.lists import check_paging, list_recommendations, page_count, status_filters
-from encore.plans.normalize import route_history, valid_raw
+from encore.plans.normalize import normalize_stage, route_history, unfold, valid_raw
 from encore.plans.stages import discovery_batch, dlq_rows, route_novelty, score_events
 from encore.sources import bindings
 from encore.functions.text import is_valid_text
@@ -52,6 +52,43 @@ def test_route_novelty(spark):
                    5: "malformed_message"}
 
 
+def test_artist_rows_of_one_name_route_a_message_once(spark):
+    m = spark.createDataFrame([msg(1, "k1", "Known", "t"), msg(2, "", "Known", "t")], MSG_SCHEMA)
+    artists = spark.createDataFrame([("known",), ("known",), ("other",)], "name_key string")
+    assert sorted(r.route for r in route_novelty(m, artists).collect()) == ["malformed_message", "ok"]
+
+
+def test_artist_rows_of_one_name_are_promoted_by_the_same_play(spark):
+    m = spark.createDataFrame([msg(i, f"k{i}", "A", "t") for i in (1, 2, 3, 4)], MSG_SCHEMA)
+    artists = spark.createDataFrame([("a", "TRACKED", 0)] * 3, "name_key string, status string, scrobble_count long")
+    two = m.filter(F.col("seq.i") < 3)
+    assert auto_promotions(two, artists, 3).collect() == []
+    third = m.filter(F.col("seq.i") == 3).first().played_at
+    assert [(r.name_key, r.promoted_at) for r in auto_promotions(m, artists, 3).collect()] == [("a", third)]
+
+
+def test_folded_top_tracks_are_the_same_messages(spark):
+    a = artists_due(spark).filter("id in ('id1', 'id3')")
+    a = a.unionByName(a).unionByName(a.filter("id = 'id1'"))
+    tops = spark.createDataFrame([("a", "A", "ref", "t1", "one", 1), ("a", "A", "ref", "t2", "two", 2),
+                                  ("c", "C", "ref", "t3", "three", 1)],
+                                 "artist string, track_artist string, track_artist_ref string, track_ref string, "
+                                 "title string, rank int")
+    plain, _ = explore_top_tracks(a, tops, "2024-01-01 00:00:00")
+    folded, _ = explore_top_tracks(a, tops, "2024-01-01 00:00:00", folded=True)
+    assert folded.count() == 3 and plain.count() == 8
+    rows = lambda df: sorted(str(r) for r in df.select(*plain.columns).collect())
+    assert rows(unfold(folded)) == rows(plain)
+    hits = spark.createDataFrame([], "q_artist string, q_title string, artist_uri string, track_uri string")
+    normal = lambda df: rows_of(normalize_stage(df.withColumn("played_at", F.lit(None).cast("timestamp_ntz")), hits=hits))
+    assert normal(unfold(folded)) == rows_of(unfold(normalize_stage(
+        folded.withColumn("played_at", F.lit(None).cast("timestamp_ntz")), hits=hits)))
+
+
+def rows_of(df):
+    return sorted(str(r) for r in df.collect())
+
+
 def test_score_routes(spark):
     rows = [("k1", "A", "uri:a", 0.5, 10), ("k2", "A", None, -0.1, 10), ("k3", "A", None, 1.1, 10),
             ("k4", "Nobody", None, 0.5, 10), ("k5", "A", None, float("nan"), 10)]
