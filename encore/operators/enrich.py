@@ -93,9 +93,11 @@ def answers(artist_meta: DataFrame, track_meta: DataFrame, artist_tags: DataFram
 
 
 def enrich(normalized: DataFrame, artist_meta: DataFrame, track_meta: DataFrame,
-           artist_tags: DataFrame, track_tags: DataFrame) -> DataFrame:
-    """T1 over raw answers (see ``answers``)."""
-    return enrich_from(normalized, answers(artist_meta, track_meta, artist_tags, track_tags))
+           artist_tags: DataFrame, track_tags: DataFrame, land=lambda df, name: df) -> DataFrame:
+    """T1 over raw answers (see ``answers``); ``land`` writes each lookup table."""
+    a = answers(artist_meta, track_meta, artist_tags, track_tags)
+    return enrich_from(normalized, Answers(land(a.artists, "artist-answers"), land(a.tracks, "track-answers"),
+                                           land(a.artist_tags, "artist-tags"), land(a.track_tags, "track-tags")))
 
 
 def enrich_from(normalized: DataFrame, found: Answers) -> DataFrame:
@@ -105,9 +107,12 @@ def enrich_from(normalized: DataFrame, found: Answers) -> DataFrame:
     j = (normalized
          .withColumn("_aref", entity_id("artist_id", "artist"))
          .withColumn("_tref", entity_id("track_id", "track"))
-         .join(found.artists, "_aref", "left").join(found.tracks, "_tref", "left")
+         .withColumn("_ids", ids)
+         # the widest table first, while the messages are still narrow
+         .join(found.tracks, "_tref", "left").join(found.artists, "_aref", "left")
          .join(found.artist_tags, F.col("artist") == F.col("_at_artist"), "left")
          .join(found.track_tags, (F.col("artist") == F.col("_tt_artist")) & (F.col("title") == F.col("_tt_title")), "left"))
+    ids = F.col("_ids")
     answered = ids & F.col("_ahit").isNotNull() & F.col("_thit").isNotNull()
     atags = F.coalesce(F.col("_atags"), F.array().cast("array<string>"))
     ttags = F.coalesce(F.col("_ttags"), F.array().cast("array<string>"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,12 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def land_rows(df: DataFrame, name: str) -> DataFrame:
+    """A table that several steps of one query read, written to a folder of its own in the checkpoint folder."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    return _write(df, f"{base}/encore-rows/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+
+
 def land_small(df: DataFrame) -> DataFrame:
     """A small state table (checkpoint rows), written to the checkpoint folder."""
     return df.checkpoint()

@@ -52,3 +52,12 @@ def test_history_scan_prunes_columns(plans):
     scan = [line for line in p.splitlines() if "FileScan parquet" in line][0]
     cols = scan.split("[", 1)[1].split("]", 1)[0].split(",")
     assert len(cols) <= 4
+
+
+def test_small_answers_do_not_move_the_log(plans):
+    # the answers are landed tables of a known size
+    assert "SortMergeJoin" not in plans["enrich_chain"]
+
+
+def test_backfill_statistics_read_landed_plays(plans):
+    assert "Generate" not in plans["full_backfill"]
