@@ -396,8 +396,9 @@ def q_followed_names(spark, sf_dir):
 def q_full_backfill(spark, sf_dir):
     """Every page is read, none is missing, and the newest play is the
     mark that is landed."""
-    pages = p.play_page_payloads(spark, sf_dir)
-    plays, marks = full_backfill(pages, None, PULL_SERVICE)
+    # the service answers once: everything below reads the answers it gave
+    pages = land_rows(p.play_page_payloads(spark, sf_dir), "play-pages")
+    plays, marks = full_backfill(pages, None, PULL_SERVICE, land=land_rows)
     mark = land_small(marks)
     return plays.agg(F.count(F.lit(1)).alias("pulled"), F.min("played_at").alias("first_pulled")).select(
         "pulled", "first_pulled", high_water_mark(mark, PULL_SERVICE).alias("checkpoint"),

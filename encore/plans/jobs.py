@@ -212,14 +212,16 @@ class IncompletePull(ValueError):
     """Pages of a full pull are missing."""
 
 
-def full_backfill(pages: DataFrame, marks: DataFrame | None, service: str) -> tuple[DataFrame, DataFrame]:
+def full_backfill(pages: DataFrame, marks: DataFrame | None, service: str,
+                  land=lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """All plays of all pages, and the marks with the service's newest
     play. Raises IncompletePull if a page is missing, so that no mark is set
-    beyond plays that were never seen."""
+    beyond plays that were never seen. ``land`` writes the plays, so that
+    their pages are parsed once."""
     gap = missing_pages(pages).first()
     if gap is not None:
         raise IncompletePull(f"page {gap['page']} of {gap['user']} is missing")
-    plays = raw_plays(read_play_pages(pages))
+    plays = land(raw_plays(read_play_pages(pages)), "plays")
     return plays, advance_checkpoint(marks, plays, service)
 
 
