@@ -184,12 +184,20 @@ def novelty_signals(messages: DataFrame, history: DataFrame | None = None, *,
          .join(track_first, "track_key", "left")
          .withColumn("track_is_new", F.col("track_seq").isNull() | (F.col("track_seq") >= F.col("seq")))
          .drop("track_seq"))
+    found, hit = F.struct("pos", "genre"), F.col("_ng")
+    folded = "copies" in messages.columns
+    if folded:
+        # messages of one seq list their new genres together; the copies of a folded row are such messages
+        found = F.struct("pos", "genre", F.coalesce("copies", F.lit(1)).cast("int").alias("n"))
+        hit = F.flatten(F.transform("_ng", lambda x: F.array_repeat(
+            F.struct(x["pos"].alias("pos"), x["genre"].alias("genre")), x["n"])))
     hits = land("genre_hits", (
-        m.select("seq", "track_key", F.posexplode("genres").alias("pos", "genre"))
+        m.select("seq", "track_key", *(["copies"] if folded else []), F.posexplode("genres").alias("pos", "genre"))
         .join(f2_genre, "genre", "left")
         .filter(~_seen_before_by_other(F.col("seq"), F.col("track_key")))
         .groupBy("seq")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "genre"))).alias("_ng"))))
+        .agg(F.sort_array(F.collect_list(found)).alias("_ng"))
+        .select("seq", hit.alias("_ng"))))
     return (m.join(hits, "seq", "left")
             .withColumn("new_genres", F.coalesce(F.transform("_ng", lambda x: x["genre"]),
                                                  F.array().cast("array<string>")))

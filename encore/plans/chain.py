@@ -30,16 +30,18 @@ class Lookups:
     found: Answers
 
 
-def raw_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_tracks(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFrame:
     """Raw tracks of the top-track exploration (T6) over the landed artists, as
-    of PLAYS_AS_OF; ``rank`` is kept beside the message."""
+    of PLAYS_AS_OF; ``rank`` is kept beside the message, and so are the
+    ``copies`` of ``folded`` ones (see ``explore_top_tracks``)."""
     tracks, _ = explore_top_tracks(bindings.base_artists(spark, sf_dir),
-                                   payloads.read_top_tracks(payloads.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF)
+                                   payloads.read_top_tracks(payloads.top_track_payloads(spark, sf_dir)), PLAYS_AS_OF,
+                                   folded=folded)
     at = F.to_timestamp_ntz(F.lit(PLAYS_AS_OF))
     seq = F.struct(at.alias("ts"), F.col("origin.origin_artist_id").alias("origin"),
                    F.lit(0).cast("long").alias("page"), F.col("rank").cast("long").alias("pos"))
     return chain.with_guests(tracks.select("source", "artist", "title", "artist_id", "track_id", "rank",
-                                           seq.alias("seq")))
+                                           *(["copies"] if folded else []), seq.alias("seq")))
 
 
 def raw_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +49,15 @@ def raw_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.raw_plays(payloads.read_play_pages(pages)).drop("external_ids", "raw")
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFrame:
     """Both raw topics."""
-    return topic_union(raw_plays(spark, sf_dir), raw_tracks(spark, sf_dir).drop("rank"))
+    return topic_union(raw_plays(spark, sf_dir), raw_tracks(spark, sf_dir, folded).drop("rank"))
 
 
 def lookups(spark: SparkSession, sf_dir: str, land=lambda name, df: df) -> Lookups:
     """``land(name, df)`` keeps each table, so that streams look keys up
     instead of deriving the answers anew for every micro-batch."""
-    rows = land("catalog", chain.catalog(spark, sf_dir, raw_tracks(spark, sf_dir)))
+    rows = land("catalog", chain.catalog(spark, sf_dir, raw_tracks(spark, sf_dir, folded=True)))
     a = answers(chain.artist_meta(spark, sf_dir), chain.track_meta(rows), chain.artist_tags(spark, sf_dir),
                 chain.track_tags(spark, sf_dir))
     return Lookups(land("hits", first_hits(rows)),
@@ -69,8 +71,10 @@ def keyed_message(enriched: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw topics -> normalized -> enriched messages."""
+    """Raw topics -> normalized -> enriched messages. Raw tracks that several
+    artist rows of one id send are one row with their number as ``copies``
+    (null for plays)."""
     look = lookups(spark, sf_dir)
-    normalized = normalize_stage(raw(spark, sf_dir), hits=look.hits,
+    normalized = normalize_stage(raw(spark, sf_dir, folded=True), hits=look.hits,
                                  processed_at=F.to_timestamp_ntz(F.lit(EVENTS_AS_OF)))
     return keyed_message(enrich_from(normalized, look.found))

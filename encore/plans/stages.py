@@ -92,7 +92,7 @@ NO_ERROR = ("ok", "apply", "dropped", "skipped_pending", "skipped_not_played")
 def dlq_rows(df: DataFrame, stage: str, payload: list[str] | None = None) -> DataFrame:
     """Error envelope of the rows whose route is an error reason, with the
     whole message (``payload`` columns) so that it can be replayed."""
-    payload = payload or [c for c in df.columns if c != "route"]
+    payload = [c for c in payload or df.columns if c not in ("route", "copies")]
     detail = F.lit(None).cast("string")
     for (at, reason), text in DLQ_DETAILS.items():
         if at == stage:
@@ -102,7 +102,13 @@ def dlq_rows(df: DataFrame, stage: str, payload: list[str] | None = None) -> Dat
         F.col("route").alias("error_reason"),
         detail.alias("error_detail"),
         F.to_json(F.struct(*payload)).alias("original_payload"),
-        F.col("seq.ts").alias("failed_at"))
+        F.col("seq.ts").alias("failed_at"),
+        *copies_of(df))
+
+
+def copies_of(df: DataFrame) -> list[str]:
+    """The column that counts the equal messages a folded row stands for, if there is one."""
+    return ["copies"] if "copies" in df.columns else []
 
 
 def keep_lazy(name: str, df: DataFrame) -> DataFrame:
@@ -137,6 +143,9 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
 
     ``imported``: novel events that another producer put into the topic; they
     are scored together with those of this batch.
+
+    Messages that were not played may come folded: ``copies`` equal ones as one
+    row. Novel events, scores and dead letters of such rows carry the number on.
     """
     batch_first = ordered.first_seen_history(messages)
     if history_state is None:
@@ -179,9 +188,9 @@ def discovery_batch(messages: DataFrame, artists_state: DataFrame,
     emitted = F.col("artist_is_new") | (F.size("new_genres") > 0)
     novel_events = land("novel_events", judged.filter(emitted))
 
-    to_score = novel_events.select(*NOVEL_EVENT_COLUMNS)
+    to_score = novel_events.select(*NOVEL_EVENT_COLUMNS, *copies_of(messages))
     if imported is not None:
-        to_score = to_score.unionByName(imported.select(*NOVEL_EVENT_COLUMNS))
+        to_score = to_score.unionByName(imported.select(*NOVEL_EVENT_COLUMNS), allowMissingColumns=True)
     scored = land("scored", score_events(to_score, artists, weights))
     recs = land("recommendations",
                 ordered.best_score_with_evidence(scored.filter(F.col("route") == "ok"), recs_state))

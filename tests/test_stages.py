@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from encore.operators.enrich import enrich
 from encore.operators.ordered import artist_counters, auto_promotions, first_seen_history, upsert_artists
 from encore.plans.build import empty_artists
-from encore.plans.jobs import backfill_genres, explore_top_tracks, mark_similar_explored, schema_upgrade
+from encore.plans.jobs import backfill_genres, explore_top_tracks, full_backfill, mark_similar_explored, schema_upgrade
 from encore.plans.jobs import artist_schema_upgrade
 from encore.plans.lists import check_paging, list_recommendations, page_count, status_filters
 from encore.plans.normalize import normalize_stage, route_history, unfold, valid_raw
@@ -85,6 +85,36 @@ def test_folded_top_tracks_are_the_same_messages(spark):
         folded.withColumn("played_at", F.lit(None).cast("timestamp_ntz")), hits=hits)))
 
 
+def test_folded_messages_are_judged_like_their_copies(spark):
+    at = "struct<ts:timestamp_ntz,i:int>"
+    schema = MSG_SCHEMA.replace("seq struct<i:int>", f"seq {at}").replace("timestamp,", "timestamp_ntz,")
+    rows = [msg(1, "k1", "A", "t", ["rock"]), msg(2, "k2", "A", "t2", ["rock", "jazz"], played=False),
+            msg(3, "k3", "B", "t", ["live", "live"], played=False), msg(4, "", "A", "t", played=False)]
+    m = spark.createDataFrame([((r[-3], i),) + r[1:] for i, r in enumerate(rows)], schema)
+    copies = F.when(F.col("seq.i") == 1, 3).when(F.col("seq.i") == 2, 2).when(F.col("seq.i") == 3, 2)
+    folded = m.withColumn("copies", copies.cast("long"))
+    artists = empty_artists(spark).unionByName(spark.createDataFrame(
+        [("id-b", "B", "b", "TRACKED", False)], "id string, name string, name_key string, status string, "
+        "high_priority boolean"), allowMissingColumns=True)
+    one, each = discovery_batch(folded, artists), discovery_batch(unfold(folded), artists)
+    for table in ("novel_events", "scored", "dlq"):
+        got, want = getattr(one, table), getattr(each, table)
+        assert got.count() < want.count(), table
+        assert rows_of(unfold(got).select(*want.columns)) == rows_of(want), table
+    for table in ("artists", "history", "recommendations"):
+        assert rows_of(getattr(one, table)) == rows_of(getattr(each, table)), table
+
+
+def test_backfill_lands_the_plays_of_its_pages_once(spark):
+    page = json.dumps({"recenttracks": {"@attr": {"user": "u1", "page": "1", "totalPages": "1"}, "track": [
+        {"artist": {"#text": "u1", "mbid": ""}, "name": "view", "mbid": "", "date": {"uts": "1704067200"}}]}})
+    landed = []
+    pages = spark.createDataFrame([(page,)], "value string")
+    plays, marks = full_backfill(pages, None, "s", land=lambda df, name: landed.append(name) or df.checkpoint())
+    assert landed == ["plays"] and plays.count() == 1
+    assert marks.first().last_played_at == dt.datetime(2024, 1, 1)
+
+
 def rows_of(df):
     return sorted(str(r) for r in df.collect())
 
