@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm.blocks import Numbering, _numbers
-from encore.llm.common import crc_mod, prepare, table
+from encore.llm.common import SMALL_BATCH, crc_mod, prepare, table
 
 PASSAGE_WORDS = 64
 MAX_LABELLED = 6_000        # labelled rows learned from: those of the least id hash
@@ -154,6 +154,7 @@ def labelled_rows(labels: DataFrame, label: str, usable: Column, limit: int) ->
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id",
         text_col: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> dict:
     """Parameters learned from at most `max_labelled` documents of at most MAX_BAG passages."""
+    prepare(docs.sparkSession, SMALL_BATCH)
     sample = F.broadcast(labelled_rows(labels, label, usable, max_labelled))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
         .join(sample, "doc_id").select("text", "y")
@@ -184,7 +185,7 @@ def score(docs: DataFrame, par: dict, id_col: str = "doc_id", text_col: str = "t
 
     With `carry`, these columns of `docs` stand in the place of doc_id.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     shared = docs.sparkSession.sparkContext.broadcast(par)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id")) if carry is None else docs.select(carry)
     source = docs.select(F.col(text_col).alias("_text"), *(

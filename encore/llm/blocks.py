@@ -111,14 +111,23 @@ def _numbers(numbering: Numbering, words) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def _counts(seqs: list[np.ndarray], n: int) -> np.ndarray:
+    """How often each of n numbers occurs; about CHUNK_TOKENS numbers are counted at once."""
+    out, part, size = np.zeros(n, np.int64), [], 0
+    for i, s in enumerate(seqs):
+        part.append(s)
+        size += len(s)
+        if size >= CHUNK_TOKENS or i + 1 == len(seqs):
+            out += np.bincount(np.concatenate(part), minlength=n)
+            part, size = [], 0
+    return out
+
+
 def _close(block: int, numbering: Numbering, seqs: list, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of one block: its words by bucket, its documents by chunk."""
     words = list(numbering)
-    every = np.concatenate([s for _, _, s in seqs]) if seqs else np.zeros(0, np.uint32)
-    seen = np.bincount(every, minlength=len(words))
-    counts = seen if all(flag for _, flag, _ in seqs) else np.bincount(
-        np.concatenate([s for _, flag, s in seqs if flag] or [np.zeros(0, np.uint32)]), minlength=len(words))
-    del every
+    seen = _counts([s for _, _, s in seqs], len(words))
+    counts = seen if all(flag for _, flag, _ in seqs) else _counts([s for _, flag, s in seqs if flag], len(words))
     order = np.argsort(-seen, kind="stable")
     rank = np.empty(len(words), np.uint32)           # frequent words get small numbers
     rank[order] = np.arange(len(words), dtype=np.uint32)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm import blocks as B
-from encore.llm.common import prepare, shuffle_partitions, table
+from encore.llm.common import SMALL_BATCH, prepare, shuffle_partitions, table
 
 MAX_VOCABULARY = 1_000_000  # entries of a rank file; the proven bound of what is broadcast
 
@@ -87,7 +87,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
            text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>), a row per input row."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, SMALL_BATCH)
     partitions = shuffle_partitions(spark)
     shared = spark.sparkContext.broadcast(ranks)
 
@@ -147,7 +147,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
     The token-byte table is at most MAX_VOCABULARY rows, so it is broadcast
     and joined in place. An id that it lacks raises an error.
     """
-    prepare(encoded.sparkSession)
+    prepare(encoded.sparkSession, SMALL_BATCH)
     by_id = [None] * (max(ranks.values(), default=-1) + 1)
     for token, i in ranks.items():
         by_id[i] = token

@@ -11,16 +11,17 @@ from encore.session import ensure_checkpoint_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+SMALL_BATCH = 4 << 20        # bytes of an Arrow batch where a task runs beside others for long
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = 16 << 20) -> None:
     """Bound the Arrow batches sent to Python tasks by bytes, so a run of very
     long texts cannot make one batch of gigabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     ensure_checkpoint_dir(spark)
 
 

@@ -4,7 +4,8 @@ Alternating large-star and small-star rounds: every round hangs each vertex
 on the least neighbour it knows, until only stars are left. The number of
 rounds grows with the logarithm of the vertices. Minima are pre-aggregated
 before the shuffle, and each round is landed, so a hub is one row on the
-other side of a join and a lost executor costs one round at most.
+other side of a join and a lost executor costs one round at most. A round is
+landed in as many files as the edges of the one before fill.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from encore.llm.common import land
 
+FILE_EDGES = 200_000        # edges of a landed file, about
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
@@ -41,7 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     was, is_ = None, state(now)
     while is_[0] and is_ != was:
         stars = _small_star(_large_star(now)).where("u != v").distinct()
-        now = land(stars, "edges")
+        now = land(stars.coalesce(-(-is_[0] // FILE_EDGES)), "edges")
         was, is_ = is_, state(now)
     roots = now.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     return roots.union(roots.select("root", "root")).distinct()

@@ -38,16 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encore.llm.common import land, prepare, shuffle_partitions, table
+from encore.llm.common import SMALL_BATCH, land, prepare, shuffle_partitions, table
 
 MAX_EDITS, LEAST_CHARS = 2, 24
-BATCH_CHARS = 1_000_000     # characters hashed at once (or one line)
-BLOCK_LINES, BLOCK_CHARS = 500_000, 16_000_000      # distinct lines, and their characters, of a task's block
+BATCH_CHARS = 1_000_000     # characters of the lines sent, or searched, together (or one line)
+HASH_CHARS = 200_000        # characters hashed at once (or one line): some fifteen words of 64 bits each
+BLOCK_LINES, BLOCK_CHARS = 250_000, 16_000_000      # distinct lines, and their characters, of a task's block
 FEW = 16                    # lines of a key that are paired as they meet; larger keys are searched
 CHUNK = 2_000               # lines of a larger key compared with each other in one piece
 LONG = 200                  # characters from which pairs are first freed of their common ends
+PAIRS = 200_000             # pairs of lines compared, or measured, at once
 AREA = 2_000_000            # characters of the pairs measured together (or one pair)
 BROADCAST_ROWS = 200_000    # lines to fetch by a broadcast of their hashes, as counted; a shuffle beyond
+FILE_IDS, FILE_LINES = 200_000, 5_000       # ids, or lines with their texts, of a landed file, about
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -192,7 +195,7 @@ def _batches_of(lines: list[str]):
     for x in lines:
         part.append(x)
         size += len(x)
-        if size >= BATCH_CHARS:
+        if size >= HASH_CHARS:
             yield part
             part, size = [], 0
     if part:
@@ -298,10 +301,11 @@ def close_signatures(a: np.ndarray, b: np.ndarray, edits: int) -> tuple[np.ndarr
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
-def texts_of(docs: DataFrame, need: DataFrame, least: int) -> DataFrame:
-    """(short, id, line) of the lines whose short ids `need` lists, landed."""
-    need = land(need.distinct(), "lines-needed")
-    few = need.count() <= BROADCAST_ROWS
+def texts_of(docs: DataFrame, need: DataFrame, least: int, most: int) -> DataFrame:
+    """(short, id, line) of the lines whose short ids `need` lists, landed; `most` is the most rows of `need`."""
+    need = land(need.distinct().coalesce(max(1, -(-most // FILE_IDS))), "lines-needed")
+    wanted_lines = need.count()
+    few = wanted_lines <= BROADCAST_ROWS
     chosen = docs.sparkSession.sparkContext.broadcast(
         {r.short for r in need.collect()} if few else None)
 
@@ -328,7 +332,7 @@ def texts_of(docs: DataFrame, need: DataFrame, least: int) -> DataFrame:
     lines = docs.mapInArrow(fetch, "short long, id binary, line string")
     if not few:
         lines = lines.join(need, "short", "left_semi")
-    return land(lines.dropDuplicates(["id"]), "lines-texts")
+    return land(lines.dropDuplicates(["id"]).coalesce(max(1, -(-wanted_lines // FILE_LINES))), "lines-texts")
 
 
 def without_ends(a: str, b: str) -> tuple[str, str]:
@@ -381,6 +385,56 @@ def verified_links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
             .mapInArrow(verify, "id_a binary, id_b binary"))
 
 
+def candidates(rows: list[tuple], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(late, early): rows (sig, index, id, line, place) of a cell that are to be compared, the earliest
+    ones of each late row first."""
+    ids = [r[2] for r in rows]
+    sig, index = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], bool)
+    left, right = (np.flatnonzero(x).astype(np.int32) for x in (index, ~index))
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][4], ids[r]))
+    rank, number = np.empty(len(rows), np.int32), np.empty(len(rows), np.int32)
+    rank[order] = np.arange(len(rows))
+    # the same line may stand on both sides: a pair of it is no pair
+    number[order] = np.cumsum([0] + [ids[x] != ids[y] for x, y in zip(order, order[1:])])
+    wide, found = None, []
+    step = max(1, PAIRS // max(1, len(right)))
+    for x in range(0, len(left), step):
+        i, k = close_signatures(sig[left[x:x + step]], sig[right], edits)
+        if not len(i):
+            continue
+        if wide is None:
+            wide = np.concatenate([wide_signatures(part) for part in _batches_of([r[3] for r in rows])])
+        i, k = left[x:x + step][i], right[k]
+        ok = np.bitwise_count(wide[i] ^ wide[k]).sum(axis=1) <= 2 * edits
+        ok &= number[i] != number[k]
+        i, k = i[ok], k[ok]
+        later = rank[i] > rank[k]
+        found.append((np.where(later, i, k), np.where(later, k, i)))
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    late, early = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((rank[early], late))
+    return late[order], early[order]
+
+
+def search(ids: list[bytes], texts: list[str], late: np.ndarray, early: np.ndarray, edits: int) -> list[bytes]:
+    """Ids of the late rows of several cells that are near one of their early rows."""
+    found, step = set(), 1
+    while len(late):
+        # each line that is left tries its next `step` candidates
+        start = np.flatnonzero(np.r_[True, late[1:] != late[:-1]])
+        nth = np.arange(len(late)) - np.repeat(start, np.diff(np.r_[start, len(late)]))
+        now = nth < step
+        of, with_ = late[now], early[now]
+        near = np.concatenate([within([texts[x] for x in of[a:a + PAIRS]], [texts[x] for x in with_[a:a + PAIRS]], edits)
+                               for a in range(0, len(of), PAIRS)])
+        hit = np.unique(of[near])
+        found.update(ids[x] for x in hit)
+        left_over = ~now & ~np.isin(late, hit)
+        late, early, step = late[left_over], early[left_over], step * 2
+    return sorted(found)
+
+
 def repeats_under_large_keys(rest: DataFrame, lines: DataFrame, places: DataFrame, edits: int,
                              chunk: int) -> DataFrame:
     """(id): lines that meet an earlier one within `edits` edits under a key that many lines share.
@@ -401,44 +455,6 @@ def repeats_under_large_keys(rest: DataFrame, lines: DataFrame, places: DataFram
                         F.when(F.col("index"), F.col("other")).otherwise(F.col("own")).alias("k"),
                         "short", "sig", "index").join(known, "short")
 
-    def candidates(rows):
-        """(late, early): rows of a cell that are to be compared, the earliest ones of each late row first."""
-        ids = [r[2] for r in rows]
-        sig, index = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], bool)
-        left, right = np.flatnonzero(index), np.flatnonzero(~index)
-        i, k = close_signatures(sig[left], sig[right], edits)
-        if not len(i):
-            return i, k
-        i, k = left[i], right[k]
-        wide = wide_signatures([r[3] for r in rows])
-        ok = np.bitwise_count(wide[i] ^ wide[k]).sum(axis=1) <= 2 * edits
-        i, k = i[ok], k[ok]
-        order = sorted(range(len(rows)), key=lambda r: (rows[r][4], ids[r]))
-        rank, number = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-        rank[order] = np.arange(len(rows))
-        # the same line may stand on both sides: a pair of it is no pair
-        number[order] = np.cumsum([0] + [ids[x] != ids[y] for x, y in zip(order, order[1:])])
-        ok = number[i] != number[k]
-        i, k = i[ok], k[ok]
-        late, early = np.where(rank[i] > rank[k], i, k), np.where(rank[i] > rank[k], k, i)
-        order = np.lexsort((rank[early], late))
-        return late[order], early[order]
-
-    def search(ids, texts, late, early):
-        """Ids of the late rows of several cells that are near one of their early rows."""
-        found, step = set(), 1
-        while len(late):
-            # each line that is left tries its next `step` candidates
-            start = np.flatnonzero(np.r_[True, late[1:] != late[:-1]])
-            nth = np.arange(len(late)) - np.repeat(start, np.diff(np.r_[start, len(late)]))
-            now = nth < step
-            near = within([texts[x] for x in late[now]], [texts[x] for x in early[now]], edits)
-            hit = np.unique(late[now][near])
-            found.update(ids[x] for x in hit)
-            left_over = ~now & ~np.isin(late, hit)
-            late, early, step = late[left_over], early[left_over], step * 2
-        return sorted(found)
-
     def run(batches):
         cell, rows = None, []
         ids, texts, pairs, size = [], [], [], 0
@@ -446,7 +462,7 @@ def repeats_under_large_keys(rest: DataFrame, lines: DataFrame, places: DataFram
         def close_cell():
             """Adds the cell's pairs to those that are searched together."""
             nonlocal size
-            late, early = candidates(rows)
+            late, early = candidates(rows, edits)
             if len(late):
                 pairs.append((late + len(ids), early + len(ids)))
                 ids.extend(r[2] for r in rows)
@@ -455,7 +471,7 @@ def repeats_under_large_keys(rest: DataFrame, lines: DataFrame, places: DataFram
 
         def flush():
             nonlocal ids, texts, pairs, size
-            found = search(ids, texts, *(np.concatenate(c) for c in zip(*pairs))) if pairs else []
+            found = search(ids, texts, *(np.concatenate(c) for c in zip(*pairs)), edits) if pairs else []
             ids, texts, pairs, size = [], [], [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["id"])
@@ -484,7 +500,8 @@ def kept_places(docs: DataFrame, edits: int = MAX_EDITS, least: int = LEAST_CHAR
     places = land(first_places(docs, least), "lines-first")
     met = land(meetings(docs, edits, least, few), "lines-met")
     pairs, rest = met.where("b is not null").select("a", "b").distinct(), met.where("b is null").distinct()
-    lines = texts_of(docs, met.select(F.explode(F.array("a", "b")).alias("short")).where("short is not null"), least)
+    lines = texts_of(docs, met.select(F.explode(F.array("a", "b")).alias("short")).where("short is not null"),
+                     least, 2 * met.count())
     links = verified_links(pairs, lines, edits)
     a, b = (places.toDF(f"id_{x}", f"place_{x}") for x in "ab")
     later = F.when(F.col("place_a") > F.col("place_b"), F.col("id_a")).otherwise(F.col("id_b"))
@@ -499,7 +516,7 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, least: int = LEAST_CHAR
 
     Columns of `docs` with these two names are left out.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kept = kept_places(source, edits, least, chunk, few).groupBy(
         F.when(F.col("known"), F.col("doc_id")).alias("kept_id")).agg(F.collect_set("line_no").alias("kept"))

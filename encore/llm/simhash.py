@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import land, prepare, shuffle_partitions, table
+from encore.llm.common import SMALL_BATCH, land, prepare, shuffle_partitions, table
 from encore.llm.components import connected_components
 
 SEED = 42
-FLUSH = 500_000             # shingles summed at once
+FLUSH = 200_000             # shingles summed at once
 # byte value -> its 8 bits in the 8 byte lanes of a 64-bit word
 LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
 
@@ -75,7 +75,7 @@ def bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the SimHash of every row, as a signed 64-bit integer."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, SMALL_BATCH)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
     def flush(ids, sizes, parts):

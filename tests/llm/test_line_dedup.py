@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,40 @@ def test_common_ends_keep_the_distance():
     pairs += [("aaaa" * 80, "aaaa" * 80 + "aa"), ("ab" * 150, "ab" * 149), ("x" * 300, "x" * 299 + "y"), ("é" * 201, "é" * 201)]
     got = line_dedup.within([x for x, _ in pairs], [y for _, y in pairs], 2)
     assert got.tolist() == [abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for x, y in pairs]
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_cell_of_near_copies_is_compared_in_pieces():
+    # every line of one side is close to every line of the other: a million pairs
+    base = prose(4, 20)[:100]
+    lines = [base + f"{i % 10}{i // 10 % 10}" for i in range(100)] * 20
+    ids = [line_dedup.line_id(x) for x in lines]
+    sig = line_dedup.signatures(lines)
+    rows = [(int(sig[n]), n % 2 == 0, ids[n], lines[n], (True, n, 0)) for n in range(len(lines))]
+    got = []
+    assert peak_mb(lambda: got.append(line_dedup.candidates(rows, 2))) < 60
+    late, early = got[0]
+    expected = {(max(i, k), min(i, k)) for i in range(0, 2000, 2) for k in range(1, 2000, 2) if ids[i] != ids[k]}
+    assert set(zip(late.tolist(), early.tolist())) == expected and len(late) == len(expected)
+    assert sorted(set(late.tolist())) == late[[0, *(1 + i for i in range(len(late) - 1) if late[i] != late[i + 1])]].tolist()
+    found = line_dedup.search(ids, lines, late[:5_000], early[:5_000], 2)
+    assert set(found) == {ids[n] for n in late[:5_000].tolist()}
+
+
+def test_hashing_many_lines_holds_little():
+    lines = [prose(s, 30) for s in range(12_000)]
+
+    def work():
+        for part in line_dedup._batches_of(lines):
+            for _ in line_dedup.join_keys(part, 2, 24):
+                pass
+
+    assert sum(map(len, lines)) > 1_500_000 and peak_mb(work) < 30

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from encore.llm import components as graph
 from encore.llm import simhash
 from encore.llm.components import connected_components
 from tests.llm.conftest import edge_rows, prose
@@ -79,3 +80,26 @@ def test_counts_over_many_lanes():
         part = hashes[at:at + n]
         at += n
         assert [int(((part >> np.uint64(k)) & np.uint64(1)).sum()) for k in range(64)] == row.tolist()
+
+
+def test_rounds_of_few_edges_are_landed_in_few_files(spark, monkeypatch):
+    files = []
+
+    def landed(df, name):
+        out = land(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    land = graph.land
+    monkeypatch.setattr(graph, "land", landed)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(200) if i % 50 != 49], "u long, v long")
+        got = {r.vertex: r.root for r in graph.connected_components(edges).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 50 * 50 for i in range(200)}
+    assert len(files) > 2 and set(files[1:]) == {1}
