@@ -54,7 +54,7 @@ def test_empty_tables(spark, tables, tmp_path):
 def test_every_oracle_agrees(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         mine = queries.QUERIES[name](spark, SF)
