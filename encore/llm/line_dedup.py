@@ -301,9 +301,10 @@ def close_signatures(a: np.ndarray, b: np.ndarray, edits: int) -> tuple[np.ndarr
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
-def texts_of(docs: DataFrame, need: DataFrame, least: int, most: int) -> DataFrame:
-    """(short, id, line) of the lines whose short ids `need` lists, landed; `most` is the most rows of `need`."""
-    need = land(need.distinct().coalesce(max(1, -(-most // FILE_IDS))), "lines-needed")
+def texts_of(docs: DataFrame, need: DataFrame, least: int, most: int | None = None) -> DataFrame:
+    """(short, id, line) of the lines whose short ids `need` lists, landed; `most` is the most rows of `need`, if known."""
+    need = need.distinct()
+    need = land(need if most is None else need.coalesce(max(1, -(-most // FILE_IDS))), "lines-needed")
     wanted_lines = need.count()
     few = wanted_lines <= BROADCAST_ROWS
     chosen = docs.sparkSession.sparkContext.broadcast(
