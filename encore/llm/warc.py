@@ -21,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import land, prepare, table
+from encore.llm.common import land, prepare, shuffles_freed, table
 
 BASE32HEX = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"       # the tables carry no crawl time; a parameter
+CODEC = "zstd"                      # of the archive's tables
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -84,21 +85,20 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE, id_c
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"),
                         F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    sums = land(base.select("page_id", "url", address(F.col("payload")).alias("digest"),
-                            sha1_base32(F.col("payload")).alias("sha1"),
-                            F.octet_length("payload").cast("long").alias("bytes")), "warc-sums")
-    first = sums.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
-    known = sums.join(first, "digest")
-    answers = (F.col("bytes") < least_bytes) | F.col("page_id").eqNullSafe(F.col("refers_to"))
-    kind = F.when(answers, F.lit("response")).otherwise(F.lit("revisit"))
-    headers = land(known.select("digest", header_text(kind, date).alias("header")), "warc-headers")
-    # One row of each digest brings its bytes: any of its responses has the same. Joined and freed of
-    # repeated rows by the same plain keys, the payloads are shuffled once.
-    def owner(page_id):
-        return F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("owner")
-    keyed = base.select(owner("page_id"), address(F.col("payload")).alias("digest"), "payload")
-    stored = keyed.join(first.select(owner("refers_to"), "digest"), ["owner", "digest"], "left_semi")
-    payloads = land(stored.dropDuplicates(["owner", "digest"]).select("digest", "payload"), "warc-payloads")
+    # The tables are read back from their files, so a shuffle is done with once its table is written:
+    # those of the payloads, here and on reading, are never on disk together.
+    with shuffles_freed(pages.sparkSession):
+        sums = land(base.select("page_id", "url", address(F.col("payload")).alias("digest"),
+                                sha1_base32(F.col("payload")).alias("sha1"),
+                                F.octet_length("payload").cast("long").alias("bytes")), "warc-sums", compression=CODEC)
+        first = sums.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
+        known = sums.join(first, "digest")
+        answers = (F.col("bytes") < least_bytes) | F.col("page_id").eqNullSafe(F.col("refers_to"))
+        kind = F.when(answers, F.lit("response")).otherwise(F.lit("revisit"))
+        headers = land(known.select("digest", header_text(kind, date).alias("header")), "warc-headers", compression=CODEC)
+        # Any row of a digest has its bytes; copies within a task are dropped before they are shuffled.
+        payloads = land(base.select(address(F.col("payload")).alias("digest"), "payload").dropDuplicates(["digest"]),
+                        "warc-payloads", compression=CODEC)
     return headers, payloads
 
 

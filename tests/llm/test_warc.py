@@ -1,5 +1,10 @@
 import base64
+import glob
 import hashlib
+import os
+import random
+import time
+from contextlib import nullcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +78,47 @@ def test_urls_and_records_come_back(spark):
     broken = records.withColumn("record", F.concat("record", F.lit("x").cast("binary")))
     with pytest.raises(Exception, match="does not fit its header"):
         warc.read_records(broken.select("record")).collect()
+
+
+def shuffle_files(spark):
+    """Paths of the shuffle files that this session has on disk."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+
+
+def copies(spark, n=200):
+    text = "".join(map(chr, random.Random(7).choices(range(0x4e00, 0x9fff), k=20000)))      # 60 KB that do not compress
+    rows = spark.sparkContext.parallelize([(i, "u", text) for i in range(n)], 8)
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), len(text.encode())
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    """Joins shuffle, as they do where tables are large."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_no_shuffle_stays_on_disk_once_its_table_is_written(spark, no_broadcast):
+    df = spark.createDataFrame([(i, "u", f"body {i % 50}") for i in range(100)], "page_id long, url string, html string")
+    before, setting = shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    headers, payloads = warc.write_archive(df)
+    end = time.time() + 5
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.1)         # Spark removes them in the background
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert warc.read_archive(headers, payloads).count() == 100 and payloads.count() == 50
+
+
+def test_copies_are_dropped_before_the_shuffle(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(warc, "shuffles_freed", lambda spark: nullcontext(), raising=False)      # so they can be measured
+    df, size = copies(spark)
+    before = shuffle_files(spark)
+    headers, payloads = warc.write_archive(df)
+    assert sum(map(os.path.getsize, shuffle_files(spark) - before)) < 20 * size       # one a task, not one a page
+    assert payloads.count() == 1
+    got = warc.read_archive(headers, payloads).groupBy("record_type", "refers_to").count().collect()
+    assert sorted(map(tuple, got)) == [("response", None, 1), ("revisit", 199, 199)]
