@@ -31,16 +31,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .union(least.select("u", "m").toDF("u", "v")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(vertex, root): every vertex of `edges` (u, v) with the least vertex of its component.
 
-    Vertices without an edge to another vertex are not listed.
+    Vertices without an edge to another vertex are not listed. `most`, if
+    known, is the most rows of `edges`, which are landed in as many files as
+    those fill.
     """
     def state(df):
         return tuple(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
                      .first())
 
-    now = land(edges.toDF("u", "v").where("u != v").distinct(), "edges")
+    now = edges.toDF("u", "v").where("u != v").distinct()
+    if most is not None:
+        now = now.coalesce(max(1, -(-most // FILE_EDGES)))
+    now = land(now, "edges")
     was, is_ = None, state(now)
     while is_[0] and is_ != was:
         stars = _small_star(_large_star(now)).where("u != v").distinct()

@@ -15,6 +15,12 @@ the other, so each sends itself to the values around it (a number of rows
 linear in the group) and everything at a value is tied to one member that
 lies within 1 bit of it.
 
+The tables of links and the result are far smaller than the texts, and are
+written in as many files as their rows fill, not in one for each partition of
+a shuffle: Hadoop's local file system starts a process to set the rights of
+every file and folder it makes, and until that process runs its own program it
+counts as a second copy of the executor.
+
 Null and empty texts have fingerprint zero and link like any other. A null
 id keeps its row; its component is the least id reachable, or null if none
 is known. Repeated rows give repeated output rows. Extra columns are ignored.
@@ -23,6 +29,7 @@ is known. Repeated rows give repeated output rows. Extra columns are ignored.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm.common import SMALL_BATCH, land, prepare, shuffle_partitions, table
-from encore.llm.components import connected_components
+from encore.llm.components import FILE_EDGES, connected_components
 
 SEED = 42
 FLUSH = 200_000             # shingles summed at once
+FILE_ROWS = 50_000          # rows of the result in a partition, about
 # byte value -> its 8 bits in the 8 byte lanes of a 64-bit word
 LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
 
@@ -131,8 +139,12 @@ def forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(distinct: DataFrame, max_bits: int = 3, n_blocks: int = 6,
-          group_limit: int = 4096) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints that connect what is within `max_bits` bits."""
+          group_limit: int = 4096, most: int | None = None) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints that connect what is within `max_bits` bits.
+
+    `most`, if known, is the most rows of `distinct`; the edges are landed in
+    as many files as the most edges of them fill.
+    """
     if max_bits > 3:
         raise ValueError("dense groups are linked for at most 3 bits")
     partitions = shuffle_partitions(distinct.sparkSession)
@@ -177,11 +189,19 @@ def links(distinct: DataFrame, max_bits: int = 3, n_blocks: int = 6,
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())],
                                           names=["u", "v"])
 
-    found = land(distinct.select("fp").mapInArrow(keys, "nth int, part long, fp long")
-                 .repartition(partitions, "nth", "part").sortWithinPartitions("nth", "part")
-                 .mapInArrow(search, "u long, v long"), "simhash-links")
-    dense = found.where("v is null").select(F.col("u").alias("fp")).distinct()
-    return found.where("v is not null").union(_dense_links(dense, max_bits)).distinct()
+    found = (distinct.select("fp").mapInArrow(keys, "nth int, part long, fp long")
+             .repartition(partitions, "nth", "part").sortWithinPartitions("nth", "part")
+             .mapInArrow(search, "u long, v long").distinct())
+    if most is not None:      # a fingerprint has an edge of its own, or a null, under each mask
+        found = found.coalesce(max(1, -(-most * len(masks) // FILE_EDGES)))
+    found = land(found, "simhash-links")
+    linked, rows = found.agg(F.count("v"), F.count("*")).first()
+    if linked == rows:
+        return found
+    dense = found.where("v is null").select(F.col("u").alias("fp"))
+    around = (rows - linked) * sum(comb(64, r) for r in range(max_bits - max_bits // 2 + 1))
+    tied = land(_dense_links(dense, max_bits).coalesce(-(-around // FILE_EDGES)), "simhash-dense")
+    return found.where("v is not null").union(tied).distinct()
 
 
 def _dense_links(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -212,7 +232,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, n_bloc
     """(doc_id, fp, component_id) for every row; component_id is the least id reachable."""
     fps = land(fingerprints(docs, shingle, id_col, text_col), "simhash")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(first, max_bits, n_blocks, group_limit))
+    edges = links(first, max_bits, n_blocks, group_limit, fps.count())
+    roots = connected_components(edges, edges.count())
     rooted = (first.join(roots, first["fp"] == roots["vertex"], "left")
               .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -221,6 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, n_bloc
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                        "component_id")
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicates(docs).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    ).repartition(max(1, -(-docs.count() // FILE_ROWS)))

@@ -103,3 +103,41 @@ def test_rounds_of_few_edges_are_landed_in_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {i: i // 50 * 50 for i in range(200)}
     assert len(files) > 2 and set(files[1:]) == {1}
+
+
+@pytest.mark.parametrize("group_limit", [4096, 1])
+def test_links_and_result_are_written_in_few_files(spark, monkeypatch, tmp_path, group_limit):
+    files = {}
+
+    def landed(df, name):
+        out = land(df, name)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    land = simhash.land
+    monkeypatch.setattr(simhash, "land", landed)
+    monkeypatch.setattr(graph, "land", landed)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    base = prose(5, 300).split()
+    rows = [*((i, prose(i, 50)) for i in range(40)), *((100 + k, " ".join(base[:k] + ["changed"] + base[k + 1:]))
+                                                       for k in range(0, 300, 4))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    search = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs: search(docs, group_limit=group_limit))
+    try:
+        simhash.op10_simhash(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    roots = components([fingerprint(t) for _, t in rows])
+    least = {}
+    for i, t in rows:
+        least.setdefault(roots[fingerprint(t)], i)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == [
+        (i, f"{fingerprint(t):016x}", least[roots[fingerprint(t)]]) for i, t in rows]
+    assert len(got.inputFiles()) == 1
+    assert files.pop("simhash") == [2] and ("simhash-dense" in files) == (group_limit == 1)
+    assert all(n <= 2 for some in files.values() for n in some), files
