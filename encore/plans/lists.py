@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.operators.joins import artist_origin, evidence_labels, rec_artist
@@ -29,10 +29,12 @@ def page_count(total: int, page_size: int) -> int:
 
 def _page(df: DataFrame, order, page: int, page_size: int) -> DataFrame:
     check_paging(page, page_size)
-    ordered = df.orderBy(*order)
-    if page > 1:
-        ordered = ordered.offset((page - 1) * page_size)
-    return ordered.limit(page_size)
+    rows = df.orderBy(*order).limit(page * page_size)
+    if page == 1:
+        return rows
+    # numbered, not `offset`: over one, adaptive re-planning now and then dropped the sort of the page
+    nth = F.row_number().over(Window.orderBy(*order))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") > (page - 1) * page_size).drop("_nth")
 
 
 def status_filters(artists: DataFrame, status: str | None = None,

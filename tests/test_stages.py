@@ -11,7 +11,7 @@ from encore.operators.ordered import artist_counters, auto_promotions, first_see
 from encore.plans.build import empty_artists
 from encore.plans.jobs import backfill_genres, explore_top_tracks, full_backfill, mark_similar_explored, schema_upgrade
 from encore.plans.jobs import artist_schema_upgrade
-from encore.plans.lists import check_paging, list_recommendations, page_count, status_filters
+from encore.plans.lists import _page, check_paging, list_recommendations, page_count, status_filters
 from encore.plans.normalize import normalize_stage, route_history, unfold, valid_raw
 from encore.plans.stages import discovery_batch, dlq_rows, route_novelty, score_events
 from encore.sources import bindings
@@ -248,6 +248,13 @@ def test_recommendations_come_in_order(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_later_page_has_no_offset(spark):
+    rows = spark.createDataFrame([(i * 37 % 60,) for i in range(60)], "n long")
+    page = _page(rows, [F.col("n").desc()], 3, 25)
+    assert [r.n for r in page.collect()] == list(range(9, -1, -1)) and page.columns == ["n"]
+    assert "offset" not in page._jdf.queryExecution().toString().lower()
+
+
 def artists_due(spark):
     rows = [("id1", "a", "FOLLOWING", "spotify:artist:x", 5), ("id2", "b", "FOLLOWING", None, 9),
             ("id3", "c", "FOLLOWING", "spotify:artist:z", 1), ("id4", "d", "TRACKED", "spotify:artist:w", 7),
