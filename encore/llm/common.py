@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.session import ensure_checkpoint_dir
+from encore.session import ensure_checkpoint_dir, shuffles_freed  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 SMALL_BATCH = 4 << 20        # bytes of an Arrow batch where a task runs beside others for long
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,22 +37,6 @@ def land(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffle files of a statement are removed as it ends, so
-    those of one landed table do not lie on disk beside those of the next.
-
-    For statements run once, as by `land`: run again, they shuffle again.
-    Spark has the setting since 4.1; one before keeps the files as ever.
-    """
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before)
-
-
 def crc_mod(id_col: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % m

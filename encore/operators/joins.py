@@ -4,15 +4,52 @@ Equi-joins only; Catalyst/AQE pick broadcast vs. shuffle from measured sizes
 (spark.sql.adaptive.autoBroadcastJoinThreshold), and AQE splits skewed
 partitions. Lookup sides are de-duplicated on their key first so a join can
 never multiply rows.
+
+A lookup that the whole log meets is counted first (``light``): AQE turns a
+join into a broadcast only after both sides have been shuffled, so that the
+log lies on disk once more for a table of a few rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encore.functions.text import EVIDENCE_SEPARATOR
 
+# counted bytes of a lookup that every executor may hold at once
+LOOKUP_BYTES = 32 << 20
+# what a row takes besides its values
+ROW_BYTES = 32
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value as it stands in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c).cast("bigint"), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("bigint"))
+    if isinstance(kind, T.ArrayType):
+        items = F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + _bytes(x, kind.elementType))
+        return F.coalesce(items, F.lit(0)) + 16
+    return F.lit(8).cast("bigint")
+
+
+def fits(df: DataFrame, limit: int = LOOKUP_BYTES) -> bool:
+    """Whether the rows of ``df``, counted, take no more than ``limit`` bytes (one job)."""
+    row = sum((_bytes(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES).cast("bigint"))
+    return (df.select(row.alias("n")).agg(F.sum("n")).first()[0] or 0) <= limit
+
+
+def light(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if it fits, else as it is."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
 
 def artist_lookup(events: DataFrame, artists: DataFrame, uri_col: str = "artist_id",
                   name_col: str = "artist") -> DataFrame:

@@ -17,9 +17,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from encore.operators.joins import fits
 from encore.plans.chain import messages
 from encore.plans.stages import discovery_batch
-from encore.session import ensure_checkpoint_dir
+from encore.session import ensure_checkpoint_dir, shuffles_freed
 from encore.sources import bindings, chain
 from encore.sources.tables import read_table
 
@@ -66,7 +67,9 @@ class StateTables:
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    """A landed table, in zstd; what its statement shuffled is freed as it ends."""
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -87,7 +90,7 @@ def empty_artists(spark: SparkSession) -> DataFrame:
 
 def domain_inputs(spark: SparkSession, sf_dir: str, domain: str):
     if domain == "plays":
-        return bindings.enriched_plays(spark, sf_dir), bindings.base_artists(spark, sf_dir)
+        return bindings.enriched_plays(spark, sf_dir, fits), bindings.base_artists(spark, sf_dir)
     if domain == "events":
         return bindings.event_plays(spark, sf_dir), empty_artists(spark)
     if domain == "chain":
@@ -114,11 +117,12 @@ def build_state(spark: SparkSession, sf_dir: str, domain: str = "plays", refresh
         tag = hashlib.sha1("".join(key).encode()).hexdigest()[:12]
         root = f"{base}/encore-state/{app}/{domain}-{tag}"
         log, artists_state = domain_inputs(spark, sf_dir, domain)
-        # every stage reads the log: its joins and hashes are done once
-        log = _write(log, f"{root}/messages")
+        # every stage reads the log: its joins and hashes are done once; in each
+        # file a track's messages stand together, so that its key and texts take little
+        log = _write(log.sortWithinPartitions("artist_key", "track_key"), f"{root}/messages")
         imported = chain.imported_novel(spark, sf_dir) if domain == "chain" else None
         res = discovery_batch(log, artists_state, land=lambda name, df: _write(df, f"{root}/{name}"),
-                              imported=imported)
+                              imported=imported, fits=fits)
         st = StateTables(log, res.history, res.artists, res.novel_events, res.scored,
                          res.recommendations, res.dlq, root)
         _MEMO[key] = st

@@ -13,6 +13,8 @@ compare ``seq`` and never use a global ``row_number``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +46,14 @@ def spotify_uri(kind: str, key) -> F.Column:
     return F.concat(F.lit(f"spotify:{kind}:"), F.substring(F.sha2(key.cast("string"), 256), 1, 22))
 
 
-def enriched_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enriched_plays(spark: SparkSession, sf_dir: str, fits: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """lineitem x part x supplier as enriched play messages. A fixed share of
     the orders carries the messages that must not pass: without a track key
-    (order key divisible by 97), without a title (101), not enriched (89)."""
+    (order key divisible by 97), without a title (101), not enriched (89).
+
+    ``fits`` counts the parts and suppliers: those that fit go to the log. If
+    neither do, suppliers are met first, whose columns are the narrower ones in
+    the second shuffle."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
     # text normalisation runs once per part / supplier, before the join
@@ -55,7 +61,13 @@ def enriched_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("p_norm", normalize_text("p_name")).withColumn("p_uri", spotify_uri("track", F.col("p_partkey")))
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal") \
         .withColumn("s_norm", normalize_text("s_name")).withColumn("s_uri", spotify_uri("artist", F.col("s_suppkey")))
-    df = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
+    met = [(part, li.l_partkey == part.p_partkey), (sup, li.l_suppkey == sup.s_suppkey)]
+    if fits is not None:
+        small = {id(d): fits(d) for d, _ in met}
+        met = [(F.broadcast(d) if small[id(d)] else d, on) for d, on in (met if small[id(sup)] else met[::-1])]
+    df = li
+    for d, on in met:
+        df = df.join(d, on)
     source = F.when(F.col("l_returnflag") == "R", F.lit("spotify")).otherwise(F.lit("lastfm"))
     return df.select(
         F.struct(F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber",
