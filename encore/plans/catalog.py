@@ -18,7 +18,7 @@ from encore.operators.dedup import topic_union
 from encore.operators.enrich import (backfill_artist_tags, bare_entity_id, enrich, enrichment_artist_tags,
                                     entity_id)
 from encore.operators.objects import contains_value, merge_objects
-from encore.operators.joins import artist_detail, artist_origin, rec_artist
+from encore.operators.joins import artist_detail, artist_origin, light, rec_artist
 from encore.operators.ordered import auto_promotions, novelty_signals
 from encore.plans.jobs import (after_backfills, apply_status_decisions, backfill_entity_ids, backfill_genres, expand_similar,
                                explore_top_tracks, full_backfill, mark_similar_explored, onboard, replay_scores,
@@ -125,8 +125,9 @@ def q_novel_events(spark, sf_dir):
 def q_novelty_flags(spark, sf_dir):
     """W1 over every judged message, aggregated per artist."""
     st = plays_state(spark, sf_dir)
-    routed = route_novelty(st.messages, st.artists).filter(F.col("route") == "ok").drop("route")
-    return novelty_signals(routed, st.history).groupBy("artist").agg(
+    routed = route_novelty(st.messages, st.artists, light).filter(F.col("route") == "ok").drop("route")
+    judged = novelty_signals(routed, st.history, land=lambda name, df: land_rows(df, name), few=light)
+    return judged.groupBy("artist").agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if("artist_is_new").alias("artist_new"),
         F.count_if("track_is_new").alias("track_new"),
@@ -594,7 +595,7 @@ def q_genre_filter(spark, sf_dir):
 def q_run_counters(spark, sf_dir):
     """Novelty-stage tallies of one run."""
     st = plays_state(spark, sf_dir)
-    routed = route_novelty(st.messages, st.artists)
+    routed = route_novelty(st.messages, st.artists, light)
     emitted = st.novelty.select(F.lit("processed").alias("k"), F.lit(-1).alias("w"))
     kinds = (routed.select(F.col("route").alias("k"), F.lit(1).alias("w"))
              .unionByName(emitted)
@@ -758,7 +759,7 @@ def q_chain_dead_letters(spark, sf_dir):
 def q_chain_run_counters(spark, sf_dir):
     """A14 over the chain: messages by stage and route."""
     st = chain_state(spark, sf_dir)
-    novelty = route_novelty(st.messages, st.artists)
+    novelty = route_novelty(st.messages, st.artists, light)
     copies = F.coalesce("copies", F.lit(1)).alias("copies")
     routes = [route_history(st.messages).select(F.lit("history").alias("stage"), "route", copies),
               novelty.select(F.lit("novelty").alias("stage"), "route", copies),

@@ -9,6 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from encore.operators.joins import fits, light
 from encore.operators.ordered import first_seen_history, novelty_signals
 from encore.plans.build import build_state, empty_artists
@@ -89,6 +90,13 @@ def test_plays_are_the_same_whatever_fits(spark, no_broadcast, tables):
     assert "SortMergeJoin" not in plan(one)
 
 
+def test_novelty_flags_do_not_shuffle_the_log(spark, no_broadcast, tables):
+    flags = entry.queries()["novelty_flags"](spark, tables)
+    assert "SortMergeJoin" not in plan(flags)
+    st = build_state(spark, tables, "plays")
+    assert sum(r.emitted for r in flags.collect()) == st.novelty.count() > 0
+
+
 def odd_messages(spark):
     """Repeats, unplayed plays before a track's first row, messages of one seq, missing genres and keys."""
     rows = [msg(i, f"k{i % 5}", "A" if i % 3 else "B", "t", ["pop", "", None, f"g{i % 4}"], played=i % 6 != 1) for i in range(1, 40)]
