@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from encore.functions.text import EVIDENCE_SEPARATOR
 
 # counted bytes of a lookup that every executor may hold at once
-LOOKUP_BYTES = 32 << 20
+LOOKUP_BYTES = 64 << 20
 # what a row takes besides its values
 ROW_BYTES = 32
 

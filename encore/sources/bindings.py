@@ -53,14 +53,16 @@ def enriched_plays(spark: SparkSession, sf_dir: str, fits: Callable[[DataFrame],
 
     ``fits`` counts the parts and suppliers: those that fit go to the log. If
     neither do, suppliers are met first, whose columns are the narrower ones in
-    the second shuffle."""
+    the second shuffle. A partition's plays of one track then stand together, so
+    that its key and texts take little room where the log is landed."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
-    # text normalisation runs once per part / supplier, before the join
+    # text normalisation runs once per part / supplier, before the join; the URIs
+    # are hashes of keys the line has, which would only widen what is shuffled and sorted
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size") \
-        .withColumn("p_norm", normalize_text("p_name")).withColumn("p_uri", spotify_uri("track", F.col("p_partkey")))
+        .withColumn("p_norm", normalize_text("p_name"))
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal") \
-        .withColumn("s_norm", normalize_text("s_name")).withColumn("s_uri", spotify_uri("artist", F.col("s_suppkey")))
+        .withColumn("s_norm", normalize_text("s_name"))
     met = [(part, li.l_partkey == part.p_partkey), (sup, li.l_suppkey == sup.s_suppkey)]
     if fits is not None:
         small = {id(d): fits(d) for d, _ in met}
@@ -68,6 +70,8 @@ def enriched_plays(spark: SparkSession, sf_dir: str, fits: Callable[[DataFrame],
     df = li
     for d, on in met:
         df = df.join(d, on)
+    if fits is not None:
+        df = df.sortWithinPartitions(case_fold_key("s_name"), "p_norm")
     source = F.when(F.col("l_returnflag") == "R", F.lit("spotify")).otherwise(F.lit("lastfm"))
     return df.select(
         F.struct(F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber",
@@ -76,8 +80,8 @@ def enriched_plays(spark: SparkSession, sf_dir: str, fits: Callable[[DataFrame],
         F.col("s_name").alias("artist"),
         case_fold_key(F.col("s_name")).alias("artist_key"),
         F.when(F.col("l_orderkey") % 101 != 0, F.col("p_name")).alias("title"),
-        F.col("s_uri").alias("artist_id"),
-        F.col("p_uri").alias("track_id"),
+        spotify_uri("artist", F.col("s_suppkey")).alias("artist_id"),
+        spotify_uri("track", F.col("p_partkey")).alias("track_id"),
         F.array(F.lower("p_type"), F.lower("p_brand")).alias("genres"),
         F.pmod(F.floor("s_acctbal").cast("int"), F.lit(101)).alias("artist_popularity"),
         F.col("p_size").alias("track_popularity"),
